@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import decontaminate, exact_dedup, near_dedup, packing, secrets, token_files
+from jobloom.llm import decontaminate, exact_dedup, near_dedup, packing, ppm, secrets, token_files
 from jobloom.llm.common import documents, shared_dir
 
 
@@ -20,6 +20,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def _remainder(by: int) -> Column:
+    """crc32 of the id as text, modulo ``by``; a null id is the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % by
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir), held_out=_remainder(10) == 0)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir), size=2, percent=80)
 
@@ -42,6 +51,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_minhash": op5_minhash,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
