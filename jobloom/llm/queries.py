@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import decontaminate, exact_dedup, near_dedup, packing, ppm, secrets, token_files
+from jobloom.llm import decontaminate, exact_dedup, html_text, language, near_dedup, packing, ppm, secrets, token_files
 from jobloom.llm.common import documents, shared_dir
 
 
@@ -25,6 +25,10 @@ def _remainder(by: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % by
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir), held_out=_remainder(4) == 2)
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(documents(spark, sf_dir), held_out=_remainder(10) == 0)
 
@@ -48,14 +52,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, path, with_ids=False)
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op3_language": op3_language,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_minhash": op5_minhash,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_files": op9_token_files,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL = {
