@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import decontaminate, exact_dedup, html_text, language, near_dedup, packing, ppm, secrets, token_files
+from jobloom.llm import decontaminate, exact_dedup, html_text, language, licenses, near_dedup, packing, ppm, secrets, token_files
 from jobloom.llm.common import documents, shared_dir
 
 
@@ -46,6 +46,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ids"
     token_files.write_ids(documents(spark, sf_dir), path, end_id=0)
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_licenses": op8_licenses,
     "op9_token_files": op9_token_files,
     "op10_html": op10_html,
 }
