@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from jobloom.llm.common import text_of
 
@@ -226,11 +227,11 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
     columns are ignored. Pages of any depth and with unclosed or stray tags are read.
     """
     rows = pages.select(*keep, text_of(html_col).alias("__html"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    schema = StructType([*rows.schema.fields[:-1], StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [main_text(page) for page in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*batch.schema.names[:-1], "text", "n_chars"])
 
-    return rows.mapInArrow(texts, f"{fields}, text string, n_chars long")
+    return rows.mapInArrow(texts, schema)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from jobloom.llm.common import text_of
 from jobloom.llm.gru import PAD, Network
@@ -80,7 +81,7 @@ def predict(docs: DataFrame, languages: list[str], network: Network | None, text
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((languages, network))
     kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    schema = StructType([*kept.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, network = sent.value
@@ -97,7 +98,7 @@ def predict(docs: DataFrame, languages: list[str], network: Network | None, text
                     lang[k], score[k] = languages[best], min(1.0, value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return kept.mapInArrow(label, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(label, schema)
 
 
 def _groups(rows: list[int], texts: list[str], most: int = 4 << 20) -> Iterator[list[int]]:
