@@ -1,14 +1,11 @@
 """MinHash near-duplicate detection by bottom-k sketches from one hash function.
 
 A document's word shingles are hashed by one function; the ``k`` smallest values are its
-sketch. Inverted lists of retained values generate overlaps: two sets at the threshold share, but for
-a chance below 1e-7, at least half of their sketches, so they share one of the rarest
-k/2 + 1 values of either; only those are listed. Sketches of the union filter, exact Jaccard
-on the full shingle sets of the texts verifies.
-
-Documents with equal sets are one class from the start. Inside a list, members are first
-compared with the most central one, which settles large groups of copies in linear
-work; then only members that aren't connected yet are compared.
+sketch. Two sets at the threshold share, but for a chance below 1e-7, at least half of their
+sketches, so they share one of the rarest k/2 + 1 values of either; inverted lists of these
+alone generate the overlaps. The members of all lists with the same most central member are
+one cluster, in which every linked pair meets. There, sketches of the union filter; exact Jaccard on the full shingle sets
+of the texts verifies. Documents with equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -19,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import LOWER, stored, text_of
@@ -96,43 +93,109 @@ def _listed(classes: DataFrame, k: int, percent: int) -> DataFrame:
     return shared.select("set", "n", score.alias("score"), F.explode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first.cast("int")))).alias("x")).select(F.col("x.value").alias("value"), "set", "n", "score")
 
 
-def _promising(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sketch of the union estimates at least half; exact for small sets."""
-    side = lambda x: classes.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
-    seen = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), union))
-    whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    exact = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
-    near = F.when(whole, exact).otherwise(2 * seen >= F.size(union))
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return both.where(sized & near).select("a", "b")
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose full shingle sets, from the texts, are similar enough."""
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    place = classes.join(wanted, "set", "left_semi").select("set", F.col("first.id").alias("of"), F.col("first.key").alias("at"))
-    texts = stored(docs.join(place, docs["id"].eqNullSafe(place["of"]) & (docs["key"] == place["at"])).select("set", "text").dropDuplicates(["set"]))
-    side = lambda x: texts.select(F.col("set").alias(x), F.col("text").alias(f"text_{x}"))
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in batches:
-            keep = []
-            for b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                if b != last:
-                    last, own = b, shingle_set(text_b, size)
-                other = shingle_set(text_a, size)
-                common = len(own & other)
-                keep.append(100 * common >= percent * (len(own) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _clusters(listed: DataFrame) -> DataFrame:
+    """(centre, set, n, score): of each list of two or more sets of similar size, its members under its most central one.
+
+    A list is split by size: a set stands in the parts of its own class of size and of the
+    next, so any two whose sizes allow a link stand in one part together.
+    """
+    own = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    parts = listed.select("value", "set", "n", "score", F.explode(F.array(own, own + 1)).alias("part"))
+    several = parts.groupBy("value", "part").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "set")).alias("best")).where("members > 1")
+    joined = parts.join(several, ["value", "part"])
+    return joined.groupBy(F.col("best.set").alias("centre"), "set").agg(F.first("n").alias("n"), F.first("score").alias("score"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a binary, b binary")
+
+def _spread(clusters: DataFrame, members: int, shingles: int) -> DataFrame:
+    """Clusters dealt to groups (centre, i, j) of bounded size that together hold each pair of a cluster's members.
+
+    A cluster of more than ``members`` sets or ``shingles`` shingles is cut into blocks, and each two
+    blocks make a group; a smaller one is one group.
+    """
+    size = clusters.groupBy("centre").agg(F.ceil(F.greatest(F.count(F.lit(1)) / members, F.sum("n") / shingles)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    dealt = clusters.join(size, "centre").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "score")
 
 
-def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text", stars: int = 6, cheap: int = 20) -> DataFrame:
+def spanning_links(sets: list[np.ndarray], order: list[int], k: int, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what all links among ``sets`` (sorted hashes) connect.
+
+    Members take turns, in ``order``, to be compared with all later ones that aren't
+    connected with them yet. A pair is passed over where its sizes, the triangle inequality
+    of the Jaccard distance (to the first member, whose distances are all known), or sketches that share less
+    than half rule a link out; else its intersection is counted.
+    """
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    rank = np.empty(m, np.int64)
+    rank[order] = np.arange(m)
+    component = np.arange(m)
+    elements, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    sketch = np.stack([np.pad(s[:k], (0, max(0, k - len(s))), constant_values=-(2**63) + 1) for s in sets])
+    far = None
+    found = []
+
+    def shared(p: int, rows: np.ndarray) -> np.ndarray:
+        if len(rows) == m:
+            some, of = elements, owner
+        else:
+            some = np.concatenate([sets[x] for x in rows])
+            of = np.repeat(np.arange(len(rows)), sizes[rows])
+        own = sets[p]
+        at = np.minimum(np.searchsorted(own, some), len(own) - 1)
+        return np.bincount(of, own[at] == some, len(rows)).astype(np.int64)
+
+    for p in order:
+        open_ = (component != component[p]) & (rank > rank[p]) & (100 * np.minimum(sizes, sizes[p]) >= percent * np.maximum(sizes, sizes[p]))
+        if far is not None:
+            open_ &= np.abs(far - far[p]) <= 1 - percent / 100 + 1e-9
+        rows = np.flatnonzero(open_) if far is not None else np.arange(m)
+        if not len(rows):
+            continue
+        if far is not None and 100 * sizes[p] > k * percent:
+            own = np.sort(sketch[p])
+            at = np.minimum(np.searchsorted(own, sketch[rows]), k - 1)
+            alike = (own[at] == sketch[rows]).sum(axis=1)
+            rows = rows[(2 * alike >= k) | (100 * sizes[rows] <= k * percent)]
+            if not len(rows):
+                continue
+        common = shared(p, rows)
+        union = sizes[rows] + sizes[p] - common
+        if far is None:
+            far = 1 - common / union
+        near = (100 * common >= percent * union) & open_[rows]
+        for x in rows[near].tolist():
+            if component[x] != component[p]:
+                found.append((x, p))
+                component[component == component[x]] = component[p]
+    return found
+
+
+def _links(groups: DataFrame, size: int, k: int, percent: int) -> DataFrame:
+    """(a, b): spanning links of each group (centre, i, j, set, score, text), confirmed on the shingles' words."""
+
+    def link(group: pa.Table) -> pa.Table:
+        names, texts = group.column("set").to_pylist(), group.column("text").to_pylist()
+        score = group.column("score").to_pylist()
+        order = sorted(range(len(names)), key=lambda x: (-score[x], names[x]))
+        pairs = spanning_links([shingle_hashes(t, size) for t in texts], order, k, percent)
+        words: dict[int, set] = {}
+        sure = []
+        for a, b in pairs:
+            if b not in words:
+                words = {b: shingle_set(texts[b], size)}
+            other = shingle_set(texts[a], size)
+            common = len(words[b] & other)
+            if 100 * common >= percent * (len(words[b]) + len(other) - common):
+                sure.append((names[a], names[b]))
+        return pa.table({"a": pa.array([a for a, _ in sure], pa.binary()), "b": pa.array([b for _, b in sure], pa.binary())})
+
+    return groups.groupBy("centre", "i", "j").applyInArrow(link, "a binary, b binary")
+
+
+def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text", members: int = 1024, shingles: int = 1_500_000) -> DataFrame:
     """Every row of ``docs`` with its group of near-duplicates.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of word
@@ -141,58 +204,19 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, k: int = 64,
     without words are linked with nothing and kept. Rows that share an id are documents of
     their own; a null id never wins over another one. Other columns are ignored.
 
-    In each list, up to ``stars`` times, the members outside the central one's component are
-    compared with it, until at most ``cheap`` pairs a listed row aren't settled; these are
-    then all compared, so no link between lists' members is lost.
+    ``members`` and ``shingles`` bound what one task holds at a time, not what is compared.
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.unhex(F.md5("text")).alias("key"), "text")
     rows = stored(sketches(base, size, k))
-    filled = rows.where("n > 0")
-    classes = stored(filled.groupBy("set").agg(F.min(F.struct("id", "key")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    listed = stored(_listed(classes, k, percent))
-    n_listed = listed.count()
-
-    links = tested = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    labels = docs.sparkSession.createDataFrame([], "node binary, component binary")
-    for turn in range(stars + 1):
-        named = listed.join(labels, listed["set"] == labels["node"], "left").select("value", "set", "n", "score", F.coalesce("component", "set").alias("component"))
-        open_ = stored(_open(named))
-        left = open_.groupBy("value", "component").count().groupBy("value").agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-        if not left:
-            break
-        last = turn == stars or turn and left <= cheap * n_listed
-        pairs = (_all_pairs(open_, percent) if last else _star_pairs(open_, turn)).join(tested, ["a", "b"], "left_anti")
-        pairs = stored(_promising(stored(pairs.distinct()), classes, k, percent))
-        links = links.unionByName(stored(_confirmed(pairs, classes, base, size, percent)))
-        labels = components(links)
-        if last:
-            break
-        tested = tested.unionByName(pairs)
-    return _result(rows, labels, id_col)
-
-
-def _open(named: DataFrame) -> DataFrame:
-    """The rows of lists whose members are of several components."""
-    several = named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-    return named.join(several, "value", "left_semi")
-
-
-def _star_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """Of each list, the most central member with all members of other components.
-
-    At turn t it is taken from the component whose most central member is the t-th best.
-    """
-    tops = open_.groupBy("value", "component").agg(F.max(F.struct("score", "set")).alias("top"))
-    nth = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("top")))
-    centre = tops.withColumn("nth", nth).where(F.col("nth") == turn + 1).select("value", F.col("component").alias("its"), F.col("top.set").alias("b"))
-    return open_.join(centre, "value").where("component != its").select(F.col("set").alias("a"), "b")
-
-
-def _all_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list's members that are of different components and of similar size."""
-    other = open_.select("value", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
-    sized = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-    return open_.join(other, (open_["value"] == other["value"]) & (F.col("set") > F.col("b")) & (F.col("component") != F.col("other")) & sized).select(F.col("set").alias("a"), "b")
+    classes = rows.where("n > 0").groupBy("set").agg(F.min(F.struct("id", "key")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    clusters = stored(_clusters(_listed(classes, k, percent)))
+    groups = _spread(clusters, members, shingles)
+    wanted = clusters.select("set").distinct()
+    first = rows.join(wanted, "set", "left_semi").groupBy("set").agg(F.min(F.struct("id", "key")).alias("first"))
+    place = groups.join(first, "set").select("centre", "i", "j", "set", "score", F.col("first.id").alias("of"), F.col("first.key").alias("at"))
+    texts = base.join(place, base["id"].eqNullSafe(place["of"]) & (base["key"] == place["at"])).select("centre", "i", "j", "set", "score", "text")
+    links = stored(_links(texts, size, k, percent))
+    return _result(rows, components(links), id_col)
 
 
 def _result(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
