@@ -1,19 +1,533 @@
-"""Registered ledger queries and their oracle SQL."""
+"""Registered ledger queries and their oracle SQL.
+
+Each entry applies a library operator to the ledger derived from the supplied tables. The
+oracle states the same result in DuckDB SQL over the same views, written apart from the operator.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobloom.functions.json_text import canonical_json
+from jobloom.functions.predicates import Scope, any_field_contains, progress_percent
+from jobloom.functions.timing import deferral_ms, failure_outcome, retry_delay_ms
+from jobloom.operators import claims, integrity, intents, lifecycle, metrics, reads, schedules, workflow
+from jobloom.sources.adapter import AS_OF, Ledger, from_star, with_views
+
+FLAGSHIP = "q2_job_metrics"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+NOW = f"CAST('{AS_OF}' AS TIMESTAMP)"
+DAY = f"({NOW} - INTERVAL '24' HOUR)"
+ORG = "coalesce(CAST(organization_id AS VARCHAR), '-') AS organization"
+
+
+def org(name: str = "organization_id") -> F.Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("-")).alias("organization")
 
-FLAGSHIP = "q1_queue_counts"
+
+def query(name: str, views: str = "", sql: str | None = None):
+    """Registers a function of a ledger under a name, with SQL over the named views."""
+
+    def add(make: Callable[[Ledger], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: make(from_star(spark, sf_dir))
+        if sql:
+            _ORACLES[name] = with_views(sql, *views.split())
+        return make
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each ledger query by name."""
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the ledger queries."""
-    return {}
+    return dict(_ORACLES)
+
+
+# ---------------------------------------------------------------- rollups
+
+_Q_COUNTS = f"""queue_counts AS (
+    SELECT organization_id, job_type, count(*) FILTER (WHERE status = 'PENDING') AS pending_count, count(*) FILTER (WHERE status = 'LEASED') AS leased_count,
+           count(*) FILTER (WHERE status = 'LEASED' AND lease_expires_at < {NOW}) AS stale_leases
+    FROM job_queue GROUP BY ALL)"""
+_Q_ATTEMPTS = f"""attempt_rollup AS (
+    SELECT q.organization_id, q.job_type, count(*) FILTER (WHERE a.outcome = 'RETRYABLE') AS retryable_24h, count(*) FILTER (WHERE a.outcome = 'TERMINAL') AS terminal_24h,
+           count(*) FILTER (WHERE a.outcome = 'PANICKED') AS panicked_24h, count(*) FILTER (WHERE a.outcome = 'TIMEOUT') AS timeout_24h,
+           quantile_cont((epoch_us(a.finished_at) - epoch_us(a.started_at)) / 1000.0, 0.5) AS p50_duration_ms_24h, quantile_cont((epoch_us(a.finished_at) - epoch_us(a.started_at)) / 1000.0, 0.95) AS p95_duration_ms_24h
+    FROM job_attempts a JOIN job_queue q ON q.id = a.job_id WHERE a.created_at >= {DAY} AND a.finished_at IS NOT NULL GROUP BY ALL)"""
+_Q_DEAD = f"dead AS (SELECT organization_id, job_type, count(*) AS dead_lettered_24h FROM job_dead_letters WHERE failed_at >= {DAY} GROUP BY ALL)"
+_Q_WON = f"""won AS (SELECT q.organization_id, q.job_type, count(*) AS succeeded_24h FROM job_events e JOIN job_queue q ON q.id = e.job_id
+    WHERE e.event_type = 'SUCCEEDED' AND e.occurred_at >= {DAY} GROUP BY ALL)"""
+_Q_ROLLUP = f"""{_Q_COUNTS}, {_Q_ATTEMPTS}, {_Q_DEAD}, {_Q_WON},
+    keys AS (SELECT organization_id, job_type FROM queue_counts UNION SELECT organization_id, job_type FROM attempt_rollup UNION SELECT organization_id, job_type FROM dead UNION SELECT organization_id, job_type FROM won),
+    rollup AS (SELECT k.organization_id, k.job_type, coalesce(c.pending_count, 0) AS pending_count, coalesce(c.leased_count, 0) AS leased_count, coalesce(c.stale_leases, 0) AS stale_leases,
+        coalesce(w.succeeded_24h, 0) AS succeeded_24h, coalesce(a.retryable_24h, 0) AS retryable_24h, coalesce(a.terminal_24h, 0) AS terminal_24h, coalesce(a.panicked_24h, 0) AS panicked_24h,
+        coalesce(a.timeout_24h, 0) AS timeout_24h, coalesce(d.dead_lettered_24h, 0) AS dead_lettered_24h, a.p50_duration_ms_24h, a.p95_duration_ms_24h
+        FROM keys k LEFT JOIN queue_counts c ON c.organization_id IS NOT DISTINCT FROM k.organization_id AND c.job_type = k.job_type
+        LEFT JOIN attempt_rollup a ON a.organization_id IS NOT DISTINCT FROM k.organization_id AND a.job_type = k.job_type
+        LEFT JOIN dead d ON d.organization_id IS NOT DISTINCT FROM k.organization_id AND d.job_type = k.job_type
+        LEFT JOIN won w ON w.organization_id IS NOT DISTINCT FROM k.organization_id AND w.job_type = k.job_type)"""
+_COUNT_COLUMNS = ", ".join(metrics.COUNTS)
+_BY_DEFINITION = f"""metrics AS (SELECT d.job_type, {', '.join(f'CAST(coalesce(sum(r.{c}), 0) AS BIGINT) AS {c}' for c in metrics.COUNTS)}, {', '.join(f'avg(r.{c}) AS {c}' for c in metrics.PERCENTILES)}
+    FROM job_definitions d LEFT JOIN rollup r ON r.job_type = d.job_type GROUP BY d.job_type)"""
+_VALID = """valid AS (SELECT job_id, run_number, occurred_at FROM job_events WHERE event_type = 'REQUEUED'
+    AND json_type(payload, '$.next_run_number') IN ('UBIGINT', 'BIGINT') AND regexp_full_match(json_extract_string(payload, '$.next_run_number'), '[1-9][0-9]*')
+    AND TRY_CAST(json_extract_string(payload, '$.next_run_number') AS BIGINT) = run_number + 1 AND TRY_CAST(json_extract_string(payload, '$.next_run_number') AS BIGINT) <= 2147483647
+    AND json_type(payload, '$.next_run_at') = 'VARCHAR' AND regexp_full_match(json_extract_string(payload, '$.next_run_at'), '[+-]?[0-9]+-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})')
+    AND TRY_CAST(substr(json_extract_string(payload, '$.next_run_at'), 1, 19) AS TIMESTAMP) IS NOT NULL
+    AND json_type(payload, '$.delay_microseconds') IN ('UBIGINT', 'BIGINT') AND regexp_full_match(json_extract_string(payload, '$.delay_microseconds'), '0|[1-9][0-9]*')
+    AND json_type(payload, '$.reason') = 'VARCHAR' AND json_extract_string(payload, '$.reason') = 'HANDLER_CONTINUATION'
+    AND (json_extract_string(payload, '$.requeue_kind') = 'HANDLER_CONTINUATION' OR NOT json_exists(payload, '$.requeue_kind')))"""
+_CONTINUED = f"""{_VALID}, continued AS (SELECT q.organization_id, q.job_type, count(*) AS n, 0 AS active, 0 AS top FROM valid v JOIN job_queue q ON q.id = v.job_id WHERE v.occurred_at >= {DAY} GROUP BY ALL
+    UNION ALL SELECT organization_id, job_type, 0, count(*), max(run_number) FROM job_queue q WHERE status IN ('PENDING', 'LEASED') AND EXISTS (SELECT 1 FROM valid v WHERE v.job_id = q.id AND v.run_number = q.run_number - 1) GROUP BY ALL)"""
+_CONTINUED_BY_DEFINITION = """continued_by AS (SELECT d.job_type, CAST(coalesce(sum(n), 0) AS BIGINT) AS continued_24h, CAST(coalesce(sum(active), 0) AS BIGINT) AS active_continued_count, CAST(coalesce(max(top), 0) AS INTEGER) AS max_active_run_number
+    FROM job_definitions d LEFT JOIN continued c ON c.job_type = d.job_type GROUP BY d.job_type)"""
+_ALL = "job_definitions job_queue job_attempts job_dead_letters job_events"
+
+
+@query("q1_queue_counts", "job_queue", f"WITH {_Q_COUNTS} SELECT {ORG}, job_type, pending_count, leased_count, stale_leases FROM queue_counts")
+def _(l):
+    return metrics.queue_counts(l["job_queue"], AS_OF).select(org(), "job_type", "pending_count", "leased_count", "stale_leases")
+
+
+@query("q1_attempt_rollup", "job_queue job_attempts", f"WITH {_Q_ATTEMPTS} SELECT {ORG}, job_type, retryable_24h, terminal_24h, panicked_24h, timeout_24h, round(p50_duration_ms_24h, 3) AS p50, round(p95_duration_ms_24h, 3) AS p95 FROM attempt_rollup")
+def _(l):
+    return metrics.attempt_rollup(l["job_attempts"], l["job_queue"], AS_OF).select(org(), "job_type", "retryable_24h", "terminal_24h", "panicked_24h", "timeout_24h", F.round("p50_duration_ms_24h", 3).alias("p50"), F.round("p95_duration_ms_24h", 3).alias("p95"))
+
+
+@query("q1_dead_letter_rollup", "job_dead_letters", f"WITH {_Q_DEAD} SELECT {ORG}, job_type, dead_lettered_24h FROM dead")
+def _(l):
+    return metrics.dead_letter_rollup(l["job_dead_letters"], AS_OF).select(org(), "job_type", "dead_lettered_24h")
+
+
+@query("q1_succeeded_rollup", "job_queue job_events", f"WITH {_Q_WON} SELECT {ORG}, job_type, succeeded_24h FROM won")
+def _(l):
+    return metrics.succeeded_rollup(l["job_events"], l["job_queue"], AS_OF).select(org(), "job_type", "succeeded_24h")
+
+
+@query("q1_job_metrics_rollup", _ALL, f"WITH {_Q_ROLLUP} SELECT {ORG}, job_type, {_COUNT_COLUMNS}, coalesce(round(p50_duration_ms_24h, 3), -1) AS p50, coalesce(round(p95_duration_ms_24h, 3), -1) AS p95 FROM rollup")
+def _(l):
+    rollup = metrics.job_metrics_rollup(l, AS_OF)
+    return rollup.select(org(), "job_type", *metrics.COUNTS, *(F.coalesce(F.round(f"{p}_duration_ms_24h", 3), F.lit(-1.0)).alias(p) for p in ("p50", "p95")))
+
+
+@query("q2_job_metrics", _ALL, f"WITH {_Q_ROLLUP}, {_BY_DEFINITION} SELECT job_type, {_COUNT_COLUMNS}, coalesce(round(p50_duration_ms_24h, 3), -1) AS p50, coalesce(round(p95_duration_ms_24h, 3), -1) AS p95 FROM metrics")
+def _(l):
+    return metrics.job_metrics(l, AS_OF).select("job_type", *metrics.COUNTS, *(F.coalesce(F.round(f"{p}_duration_ms_24h", 3), F.lit(-1.0)).alias(p) for p in ("p50", "p95")))
+
+
+@query("q2_job_metrics_one_organization", _ALL, f"WITH {_Q_ROLLUP} SELECT d.job_type, {', '.join(f'CAST(coalesce(sum(r.{c}), 0) AS BIGINT) AS {c}' for c in metrics.COUNTS)} FROM job_definitions d LEFT JOIN rollup r ON r.job_type = d.job_type AND r.organization_id = 3 GROUP BY d.job_type")
+def _(l):
+    return metrics.job_metrics(l, AS_OF, Scope.of(3)).select("job_type", *metrics.COUNTS)
+
+
+@query("q3_continuation_rollup", "job_queue job_events", f"WITH {_CONTINUED} SELECT {ORG}, job_type, CAST(sum(n) AS BIGINT) AS continued_24h, CAST(sum(active) AS BIGINT) AS active_continued_count, CAST(max(top) AS INTEGER) AS max_active_run_number FROM continued GROUP BY organization_id, job_type")
+def _(l):
+    return metrics.continuation_rollup(l["job_events"], l["job_queue"], AS_OF).select(org(), "job_type", "continued_24h", "active_continued_count", "max_active_run_number")
+
+
+@query("q3_continuation_metrics", _ALL, f"WITH {_CONTINUED}, {_CONTINUED_BY_DEFINITION} SELECT * FROM continued_by")
+def _(l):
+    return metrics.continuation_metrics(l, AS_OF)
+
+
+@query("q4_intent_metrics", "job_enqueue_intents", f"""
+    SELECT job_type, count(*) FILTER (WHERE status = 'PENDING') AS pending_count, count(*) FILTER (WHERE status = 'PENDING' AND promotion_attempts > 0) AS retrying_count,
+           coalesce(max(promotion_attempts) FILTER (WHERE status = 'PENDING'), 0) AS max_promotion_attempts, count(*) FILTER (WHERE status = 'CONFLICTED') AS conflicted_24h,
+           count(*) FILTER (WHERE status = 'PROMOTED') AS promoted_24h, min(created_at) FILTER (WHERE status = 'PENDING') AS oldest_pending_at
+    FROM job_enqueue_intents WHERE status = 'PENDING' OR status = 'CONFLICTED' AND conflicted_at >= {DAY} OR status = 'PROMOTED' AND promoted_at >= {DAY} GROUP BY job_type""")
+def _(l):
+    return metrics.intent_metrics(l["job_enqueue_intents"], AS_OF)
+
+
+@query("q5_dashboard", _ALL, f"WITH {_Q_ROLLUP}, {_BY_DEFINITION}, {_CONTINUED}, {_CONTINUED_BY_DEFINITION} SELECT m.job_type, pending_count + leased_count AS load, {_COUNT_COLUMNS}, continued_24h, active_continued_count, max_active_run_number FROM metrics m JOIN continued_by c ON c.job_type = m.job_type")
+def _(l):
+    return metrics.dashboard(l, AS_OF).select("job_type", "load", *metrics.COUNTS, "continued_24h", "active_continued_count", "max_active_run_number")
+
+
+@query("q5_dashboard_counts", "workflow_runs", "SELECT count(*) FILTER (WHERE status = 'COMPLETED_WITH_ERRORS') AS completed_with_errors, count(*) FILTER (WHERE status = 'WAITING_FOR_EXTERNAL') AS waiting_for_external FROM workflow_runs")
+def _(l):
+    return metrics.dashboard_counts(l["workflow_runs"])
+
+
+# ---------------------------------------------------------------- listings and lookups
+
+@query("q6_list_jobs", "job_queue", f"""
+    SELECT id, job_type, {ORG}, status, priority, payload, coalesce(CASE WHEN progress_total > 0 THEN round(progress_done * 100.0 / progress_total, 2) END, -1) AS progress_pct, created_at
+    FROM job_queue WHERE status = 'PENDING' AND job_type ILIKE '%OBS_P%' ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 50""")
+def _(l):
+    found = reads.list_jobs(l["job_queue"], status="PENDING", type_like="OBS_P", limit=100, offset=50)
+    return found.select("id", "job_type", org(), "status", "priority", "payload", F.coalesce("progress_pct", F.lit(-1.0)).alias("progress_pct"), "created_at")
+
+
+@query("q6_list_jobs_global", "job_queue", "SELECT id, job_type, status FROM job_queue WHERE organization_id IS NULL ORDER BY created_at DESC, id DESC LIMIT 100")
+def _(l):
+    return reads.list_jobs(l["job_queue"], Scope.tenantless()).select("id", "job_type", "status")
+
+
+@query("q7_job_summaries", "job_queue", "SELECT id, job_type, status, stage, run_number, attempt, next_run_at, created_at FROM job_queue WHERE job_type = 'jobs.p2' AND (created_at, id) < (CAST('2024-01-15 00:00:00' AS TIMESTAMP), 700) ORDER BY created_at DESC, id DESC LIMIT 100")
+def _(l):
+    found = reads.list_job_summaries(l["job_queue"], job_type="jobs.p2", after=("2024-01-15 00:00:00", 700))
+    return found.select("id", "job_type", "status", "stage", "run_number", "attempt", "next_run_at", "created_at")
+
+
+@query("q8_job_statuses", "job_queue", "SELECT id, job_type, status, run_number, attempt FROM job_queue WHERE organization_id = 2 AND id IN (1, 5, 9, 13, 13, 77, 400, 999, 123456789)")
+def _(l):
+    return reads.job_statuses(l["job_queue"], [1, 5, 9, 13, 13, 77, 400, 999, 123456789], Scope.of(2))
+
+
+@query("q9_job_by_id", "job_queue", "SELECT id, job_type, status, payload FROM job_queue WHERE id = 42")
+def _(l):
+    return reads.by_id(l["job_queue"], 42).select("id", "job_type", "status", "payload")
+
+
+@query("q10_payload_by_key", "job_queue", "SELECT id, payload FROM job_queue WHERE idempotency_key = 'key-100' AND organization_id IS NOT DISTINCT FROM (SELECT organization_id FROM job_queue WHERE id = 100) AND job_type = (SELECT job_type FROM job_queue WHERE id = 100)")
+def _(l):
+    owner = l["job_queue"].where("id = 100").first()
+    return reads.payload_by_key(l["job_queue"], owner["job_type"], "key-100", Scope.tenantless() if owner["organization_id"] is None else Scope.of(owner["organization_id"]))
+
+
+@query("q11_latest_payload_for_run", "job_queue", "SELECT id, payload FROM job_queue WHERE job_type = 'jobs.p1' AND json_extract_string(payload, '$.run_id') = 'r7' ORDER BY created_at DESC, id DESC LIMIT 1")
+def _(l):
+    return reads.latest_payload_for_run(l["job_queue"], "jobs.p1", "r7")
+
+
+@query("q11_latest_per_type", "job_queue", "SELECT id, job_type, created_at FROM job_queue QUALIFY row_number() OVER (PARTITION BY job_type ORDER BY created_at DESC, id DESC) = 1")
+def _(l):
+    return reads.latest_per(l["job_queue"], "job_type").select("id", "job_type", "created_at")
+
+
+@query("q12_job_events", "job_queue job_events", "SELECT e.id, e.event_type, e.payload, e.occurred_at FROM job_events e WHERE e.job_id = 7 AND e.id > 100 AND EXISTS (SELECT 1 FROM job_queue q WHERE q.id = e.job_id) ORDER BY e.id LIMIT 50")
+def _(l):
+    return reads.of_job(l["job_events"], l["job_queue"], 7, after=100, limit=50).select("id", "event_type", "payload", "occurred_at")
+
+
+@query("q13_job_logs", "job_queue job_logs", "SELECT id, level, message FROM job_logs WHERE job_id = 3 AND id > 0 AND job_id IN (SELECT id FROM job_queue) ORDER BY id LIMIT 100")
+def _(l):
+    return reads.of_job(l["job_logs"], l["job_queue"], 3).select("id", "level", "message")
+
+
+@query("q14_definitions", "job_definitions", r"SELECT job_type, version, max_attempts, is_enabled FROM job_definitions WHERE contains(lower(job_type), 'un_used%')")
+def _(l):
+    return reads.list_definitions(l["job_definitions"], "UN_USED%").select("job_type", "version", "max_attempts", "is_enabled")
+
+
+@query("q15_intents", "job_enqueue_intents", f"SELECT id, job_type, {ORG}, status, created_at FROM job_enqueue_intents WHERE status = 'PENDING' ORDER BY created_at DESC, id DESC LIMIT 100")
+def _(l):
+    return reads.list_intents(l["job_enqueue_intents"], status="PENDING").select("id", "job_type", org(), "status", "created_at")
+
+
+@query("q16_runtime_configs", "job_runtime_configs", "SELECT job_type, schema_version, config FROM job_runtime_configs WHERE job_type = 'jobs.p3'")
+def _(l):
+    return l["job_runtime_configs"].where("job_type = 'jobs.p3'")
+
+
+@query("q17_schedule_by_name", "job_schedules", "SELECT id, name, cron_expr, is_active, next_fire_at FROM job_schedules WHERE name = 'schedule-3'")
+def _(l):
+    return l["job_schedules"].where("name = 'schedule-3'").select("id", "name", "cron_expr", "is_active", "next_fire_at")
+
+
+@query("q18_latest_run_per_type", "workflow_runs", "SELECT id, workflow_type, status FROM workflow_runs QUALIFY row_number() OVER (PARTITION BY workflow_type ORDER BY created_at DESC, id DESC) = 1")
+def _(l):
+    return reads.latest_per(l["workflow_runs"], "workflow_type").select("id", "workflow_type", "status")
+
+
+@query("q19_runs", "workflow_runs", "SELECT id, workflow_type, status, created_at FROM workflow_runs WHERE workflow_type ILIKE '%FLOW_1%' ORDER BY created_at DESC, id DESC LIMIT 40")
+def _(l):
+    return reads.list_runs(l["workflow_runs"], type_like="FLOW_1", limit=40).select("id", "workflow_type", "status", "created_at")
+
+
+@query("q19_count_runs", "workflow_runs", "SELECT count(*) AS runs FROM workflow_runs WHERE status = 'RUNNING' AND organization_id IS NULL")
+def _(l):
+    return reads.count_runs(l["workflow_runs"], Scope.tenantless(), "RUNNING")
+
+
+@query("q20_steps", "workflow_runs workflow_steps", "SELECT id, step_key, status FROM workflow_steps WHERE workflow_run_id = 12 AND workflow_run_id IN (SELECT id FROM workflow_runs) ORDER BY created_at, id")
+def _(l):
+    return reads.steps_of(l["workflow_steps"], l["workflow_runs"], 12).select("id", "step_key", "status")
+
+
+@query("q21_dependencies", "workflow_runs workflow_step_dependencies", "SELECT prerequisite_step_id, dependent_step_id, release_mode FROM workflow_step_dependencies WHERE workflow_run_id = 12 AND workflow_run_id IN (SELECT id FROM workflow_runs)")
+def _(l):
+    return reads.dependencies_of(l["workflow_step_dependencies"], l["workflow_runs"], 12).select("prerequisite_step_id", "dependent_step_id", "release_mode")
+
+
+@query("q22_run_of_job", "workflow_steps", "SELECT job_id, workflow_run_id FROM workflow_steps WHERE job_id IN (4, 5, 44, 444)")
+def _(l):
+    return reads.run_of_job(l["workflow_steps"], [4, 5, 44, 444])
+
+
+@query("q23_workflow_results", "workflow_runs workflow_steps", """
+    SELECT r.id, r.status, CASE WHEN s.id IS NULL THEN 'undeclared' WHEN r.status IN ('RUNNING', 'WAITING_FOR_EXTERNAL') THEN 'pending' WHEN r.status <> 'SUCCEEDED' THEN 'unsuccessful'
+           WHEN s.output IS NULL THEN 'missing' ELSE 'ready' END AS result_state, CASE WHEN s.id IS NOT NULL AND r.status = 'SUCCEEDED' THEN s.output END AS result
+    FROM workflow_runs r LEFT JOIN workflow_steps s ON s.workflow_run_id = r.id AND s.step_key = r.result_step_key""")
+def _(l):
+    return reads.workflow_results(l["workflow_runs"], l["workflow_steps"])
+
+
+@query("q24_run_detail", "workflow_runs workflow_steps workflow_step_dependencies", """
+    SELECT id, workflow_type, status, s.steps, e.edges, s.steps > 5 AS steps_cut, e.edges > 100 AS edges_cut FROM workflow_runs,
+           (SELECT count(*) AS steps FROM workflow_steps WHERE workflow_run_id = 9) s, (SELECT count(*) AS edges FROM workflow_step_dependencies WHERE workflow_run_id = 9) e WHERE id = 9""")
+def _(l):
+    return reads.detail(l, 9, steps_shown=5)
+
+
+@query("q25_decoded_events", "job_events", f"""WITH {_VALID.replace('SELECT job_id,', 'SELECT id, job_id,')}
+    SELECT e.id, e.job_id, e.event_type, CASE WHEN e.event_type <> 'REQUEUED' THEN 'PLAIN' WHEN v.id IS NOT NULL THEN 'HANDLER_CONTINUATION' WHEN json_extract_string(e.payload, '$.reason') IS NOT NULL THEN 'OTHER_REQUEUE' ELSE 'UNKNOWN' END AS payload_kind
+    FROM job_events e LEFT JOIN valid v ON v.id = e.id""")
+def _(l):
+    return reads.decoded_events(l["job_events"])
+
+
+@query("q26_missing_snapshots", "job_queue", "SELECT id FROM job_queue WHERE idempotency_key IS NOT NULL AND enqueue_request IS NULL")
+def _(l):
+    return integrity.missing_snapshots(l["job_queue"])
+
+
+@query("q26_broken_links", "workflow_steps job_queue", """
+    SELECT id, 'JOB_MISSING' AS problem FROM workflow_steps s WHERE job_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM job_queue q WHERE q.id = s.job_id)
+    UNION ALL SELECT id, 'JOB_NOT_LINKED' FROM workflow_steps WHERE execution_kind = 'JOB' AND job_id IS NULL AND status <> 'BLOCKED'""")
+def _(l):
+    return integrity.broken_links(l["workflow_steps"], l["job_queue"])
+
+
+@query("j17_scope_conflicts", "workflow_steps workflow_runs job_queue", """
+    SELECT s.id, s.workflow_run_id, s.job_id FROM workflow_steps s JOIN workflow_runs r ON r.id = s.workflow_run_id JOIN job_queue q ON q.id = s.job_id WHERE q.organization_id IS DISTINCT FROM r.organization_id""")
+def _(l):
+    return integrity.scope_conflicts(l["workflow_steps"], l["workflow_runs"], l["job_queue"])
+
+
+@query("integrity_job_violations", "job_queue", """
+    SELECT id, 'PROGRESS' AS rule FROM job_queue WHERE progress_done > progress_total UNION ALL SELECT id, 'LEASE' FROM job_queue WHERE status = 'LEASED' AND (lease_expires_at IS NULL OR worker_id IS NULL)""")
+def _(l):
+    return integrity.job_violations(l["job_queue"])
+
+
+@query("integrity_duplicate_intents", "job_enqueue_intents", f"SELECT job_type, {ORG}, idempotency_key, count(*) AS rows FROM job_enqueue_intents GROUP BY job_type, organization_id, idempotency_key HAVING count(*) > 1")
+def _(l):
+    return integrity.duplicate_keys(l["job_enqueue_intents"], "job_type", "organization_id", "idempotency_key").select("job_type", org(), "idempotency_key", "rows")
+
+
+@query("integrity_orphan_logs", "job_logs job_queue", "SELECT id, job_id FROM job_logs WHERE job_id NOT IN (SELECT id FROM job_queue)")
+def _(l):
+    return integrity.orphans(l["job_logs"], "job_id", l["job_queue"]).select("id", "job_id")
+
+
+@query("integrity_intents", "job_enqueue_intents", "SELECT id, status FROM job_enqueue_intents WHERE (status = 'PROMOTED') <> (promoted_at IS NOT NULL) OR (status = 'CONFLICTED') <> (conflicted_at IS NOT NULL)")
+def _(l):
+    return integrity.intent_violations(l["job_enqueue_intents"])
+
+
+@query("x29_unavailable_schedules", "job_schedules job_definitions", "SELECT id, name, job_type FROM job_schedules WHERE is_active AND job_type NOT IN (SELECT job_type FROM job_definitions WHERE is_enabled)")
+def _(l):
+    return integrity.unavailable_schedules(l["job_schedules"], l["job_definitions"])
+
+
+@query("x28_catalogue_changes", "job_definitions", "SELECT * FROM (VALUES ('jobs.new', 'INSERT'), ('jobs.p2', 'DISABLE'), ('jobs.p5', 'DISABLE')) AS t(job_type, action)")
+def _(l):
+    return integrity.catalogue_changes(l["job_definitions"], ["jobs.p1", "jobs.new", "jobs.p3"], ["jobs.p1", "jobs.p2", "jobs.p4", "jobs.p5"])
+
+
+# ---------------------------------------------------------------- predicates and projections
+
+@query("f20_search", "job_queue", "SELECT id FROM job_queue WHERE contains(lower(job_type), 'p4') OR contains(lower(coalesce(worker_id, '')), 'p4') OR contains(CAST(id AS VARCHAR), 'p4')")
+def _(l):
+    return l["job_queue"].where(any_field_contains("P4", "job_type", "worker_id", "id")).select("id")
+
+
+@query("p4_progress", "job_queue", "SELECT id, coalesce(CASE WHEN progress_total > 0 THEN round(progress_done * 100.0 / progress_total, 2) END, -1) AS progress_pct FROM job_queue")
+def _(l):
+    return l["job_queue"].select("id", F.coalesce(progress_percent(), F.lit(-1.0)).alias("progress_pct"))
+
+
+@query("t6_in_order", "job_queue", "SELECT id, status, CAST(list_position([9, 3, 5, 1], id) AS BIGINT) AS place FROM job_queue WHERE id IN (9, 3, 5, 1)")
+def _(l):
+    return reads.in_order(l["job_queue"], [9, 3, 5, 1]).select("id", "status", "place")
+
+
+# ---------------------------------------------------------------- claims and transitions
+
+_ELIGIBLE = f"""free AS (SELECT * FROM job_queue q WHERE status = 'PENDING' AND next_run_at <= {NOW} AND execution_resource_key IS NOT NULL
+        AND NOT EXISTS (SELECT 1 FROM job_execution_resource_claims c WHERE c.resource_key = q.execution_resource_key) ORDER BY priority DESC, next_run_at, created_at, id LIMIT 3200),
+    heads AS (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY execution_resource_key ORDER BY priority DESC, next_run_at, created_at, id) = 1)"""
+
+
+@query("w1_resource_heads", "job_queue job_execution_resource_claims", f"WITH {_ELIGIBLE} SELECT id, execution_resource_key FROM heads")
+def _(l):
+    return claims.resource_heads(l["job_queue"], l["job_execution_resource_claims"], AS_OF, 50).select("id", "execution_resource_key")
+
+
+@query("x5_claim", "job_queue job_execution_resource_claims", f"""WITH {_ELIGIBLE}, plain AS (SELECT * FROM job_queue WHERE status = 'PENDING' AND next_run_at <= {NOW} AND execution_resource_key IS NULL)
+    SELECT id, status_after AS status, attempt, worker_id, lease_expires_at FROM (SELECT id, 'LEASED' AS status_after, attempt + 1 AS attempt, 'w1' AS worker_id, {NOW} + INTERVAL '60' SECOND AS lease_expires_at, priority, next_run_at, created_at
+    FROM (SELECT * FROM heads UNION ALL SELECT * FROM plain)) ORDER BY priority DESC, next_run_at, created_at, id LIMIT 50""")
+def _(l):
+    change = claims.claim(l["job_queue"], l["job_execution_resource_claims"], "w1", 60, AS_OF, 50)
+    return change.upserts["job_queue"].select("id", "status", "attempt", "worker_id", "lease_expires_at")
+
+
+@query("x22_expired_resources", "job_queue job_execution_resource_claims", f"SELECT resource_key, job_id FROM job_execution_resource_claims c WHERE lease_expires_at < {NOW} AND NOT EXISTS (SELECT 1 FROM job_queue q WHERE q.id = c.job_id AND q.status = 'LEASED')")
+def _(l):
+    return claims.expired_resources(l["job_execution_resource_claims"], l["job_queue"], AS_OF).select("resource_key", "job_id")
+
+
+@query("x11_failure_outcome", "job_queue", "SELECT id, CASE WHEN id % 5 IN (1, 2) THEN 'DEAD_LETTER' WHEN attempt >= max_attempts THEN 'DEAD_LETTER' ELSE 'RETRY' END AS leads_to FROM job_queue")
+def _(l):
+    kind = F.element_at(F.array(*map(F.lit, ("RETRYABLE", "TERMINAL", "PANICKED", "TIMEOUT", "LEASE_EXPIRED"))), (F.col("id") % 5 + 1).cast("int"))
+    return l["job_queue"].select("id", failure_outcome(kind, F.col("attempt"), F.col("max_attempts")).alias("leads_to"))
+
+
+@query("x13_retry_delay", "job_queue", "SELECT id, CAST(greatest(1000, least(5000 * CAST(pow(2, least(greatest(attempt, 1), 10)) AS BIGINT), 300000) + id % 1000 - 500) AS BIGINT) AS delay_ms FROM job_queue")
+def _(l):
+    return l["job_queue"].select("id", retry_delay_ms(F.col("attempt"), F.col("id")).cast("long").alias("delay_ms"))
+
+
+@query("x17_cancel", "job_queue", "SELECT CAST(i AS BIGINT) AS id, CASE WHEN q.id IS NULL THEN 'NOT_FOUND' WHEN q.status IN ('PENDING', 'LEASED') THEN 'CANCELED' ELSE 'INVALID_STATE' END AS outcome FROM range(0, 3000, 7) t(i) LEFT JOIN job_queue q ON q.id = i AND q.organization_id = 3")
+def _(l):
+    return lifecycle.cancel(l["job_queue"], l.spark.range(0, 3000, 7), AS_OF, Scope.of(3)).outcomes
+
+
+@query("x18_requeue", "job_queue workflow_steps", f"""
+    SELECT CAST(i AS BIGINT) AS id, CASE WHEN q.id IS NULL THEN 'NOT_FOUND' WHEN m.job_id IS NOT NULL THEN 'WORKFLOW_MANAGED' WHEN q.status <> 'CANCELED' OR q.run_number <> 3 THEN 'EXPECTATION_MISMATCH'
+           WHEN q.lease_expires_at > {NOW} THEN 'CANCELLATION_NOT_QUIESCED' ELSE 'REQUEUED' END AS outcome
+    FROM range(0, 3000) t(i) LEFT JOIN job_queue q ON q.id = i LEFT JOIN (SELECT DISTINCT job_id FROM workflow_steps WHERE job_id IS NOT NULL) m ON m.job_id = i""")
+def _(l):
+    commands = l.spark.range(0, 3000).select("id", F.lit("CANCELED").alias("expected_status"), F.lit(3).alias("expected_run"))
+    return lifecycle.compare_and_requeue(l["job_queue"], l["workflow_steps"], commands, AS_OF).outcomes
+
+
+@query("x20_reap", "job_queue job_attempts job_events", f"""
+    WITH stale AS (SELECT * FROM job_queue WHERE status = 'LEASED' AND lease_expires_at < {NOW} ORDER BY lease_expires_at, id LIMIT 200),
+    ran AS (SELECT DISTINCT job_id, run_number, attempt FROM job_events WHERE event_type = 'STAGE_CHANGED' AND stage = 'running'), beat AS (SELECT DISTINCT job_id, run_number, attempt FROM job_events WHERE event_type = 'HEARTBEAT'),
+    j AS (SELECT s.id, s.attempt, s.max_attempts, a.claim_origin, a.execution_started_persisted_at IS NOT NULL OR r.job_id IS NOT NULL AS started, b.job_id IS NOT NULL AS beaten FROM stale s
+        LEFT JOIN job_attempts a ON a.job_id = s.id AND a.run_number = s.run_number AND a.attempt = s.attempt LEFT JOIN ran r ON r.job_id = s.id AND r.run_number = s.run_number AND r.attempt = s.attempt
+        LEFT JOIN beat b ON b.job_id = s.id AND b.run_number = s.run_number AND b.attempt = s.attempt)
+    SELECT id, CASE WHEN claim_origin = 'PRESTART' AND NOT started THEN 'RELEASE' WHEN attempt >= max_attempts THEN 'DEAD_LETTER' ELSE 'RETRY' END AS decision, started, started AND NOT beaten AS started_without_heartbeat FROM j""")
+def _(l):
+    return lifecycle.reap_decisions(l["job_queue"], l["job_attempts"], l["job_events"], AS_OF, 200).select("id", "decision", "started", "started_without_heartbeat")
+
+
+@query("x24_patch_payload", "job_queue workflow_steps", """
+    SELECT CAST(i AS BIGINT) AS id, CASE WHEN q.id IS NULL THEN 'NOT_FOUND' WHEN m.job_id IS NOT NULL THEN 'WORKFLOW_MANAGED' WHEN q.idempotency_key IS NOT NULL THEN 'IDEMPOTENT' WHEN q.status <> 'PENDING' THEN 'NOT_PENDING' WHEN q.attempt > 0 THEN 'ALREADY_CLAIMED' ELSE 'UPDATED' END AS outcome
+    FROM range(0, 2000) t(i) LEFT JOIN job_queue q ON q.id = i LEFT JOIN (SELECT DISTINCT job_id FROM workflow_steps WHERE job_id IS NOT NULL) m ON m.job_id = i""")
+def _(l):
+    commands = l.spark.range(0, 2000).select("id", F.lit("tags").alias("field"), F.lit("[]").alias("value"))
+    return lifecycle.patch_payload(l["job_queue"], l["workflow_steps"], commands).outcomes
+
+
+# ---------------------------------------------------------------- outbox and schedules
+
+@query("i2_eligible_intents", "job_enqueue_intents job_definitions", f"SELECT id, job_type FROM job_enqueue_intents WHERE status = 'PENDING' AND next_promotion_at <= {NOW} AND job_type IN ('jobs.p1', 'jobs.p4', 'jobs.p5') AND job_type IN (SELECT job_type FROM job_definitions WHERE is_enabled)")
+def _(l):
+    return intents.eligible(l["job_enqueue_intents"], l["job_definitions"], ["jobs.p1", "jobs.p4", "jobs.p5"], AS_OF).select("id", "job_type")
+
+
+@query("i3_promotion_batch", "job_enqueue_intents job_definitions", f"SELECT id, job_type, next_promotion_at FROM job_enqueue_intents WHERE status = 'PENDING' AND next_promotion_at <= {NOW} AND job_type IN ('jobs.p1', 'jobs.p2') AND job_type IN (SELECT job_type FROM job_definitions WHERE is_enabled) ORDER BY next_promotion_at, created_at, id LIMIT 24")
+def _(l):
+    return intents.batch(l["job_enqueue_intents"], l["job_definitions"], ["jobs.p1", "jobs.p2"], AS_OF, 100).select("id", "job_type", "next_promotion_at")
+
+
+@query("i5_deferral", "job_enqueue_intents", "SELECT id, round(least(240000.0, pow(2, least(promotion_attempts, 9)) * 1000) + (id % 100) / 100.0 * least(60000.0, pow(2, least(promotion_attempts, 9)) * 250), 3) AS delay_ms FROM job_enqueue_intents")
+def _(l):
+    return l["job_enqueue_intents"].select("id", F.round(deferral_ms(F.col("promotion_attempts"), F.col("id") % 100 / 100.0), 3).alias("delay_ms"))
+
+
+@query("i6_retention", "job_enqueue_intents", "SELECT id FROM job_enqueue_intents WHERE status = 'PROMOTED' AND promoted_at < CAST('2024-01-28 12:00:00' AS TIMESTAMP) ORDER BY promoted_at, id LIMIT 40")
+def _(l):
+    return intents.delete_promoted_before(l["job_enqueue_intents"], "2024-01-28 12:00:00", 40)[1]
+
+
+@query("i7_retention_by_job", "job_enqueue_intents", "SELECT id FROM job_enqueue_intents WHERE NOT (status = 'PROMOTED' AND coalesce(promoted_job_id IN (1, 4, 7, 10), false))")
+def _(l):
+    return intents.delete_promoted_for(l["job_enqueue_intents"], [1, 4, 7, 10]).select("id")
+
+
+@query("h3_due_schedules", "job_schedules", f"SELECT id, name, next_fire_at FROM job_schedules WHERE is_active AND next_fire_at <= {NOW} ORDER BY next_fire_at, id LIMIT 20")
+def _(l):
+    return schedules.due_schedules(l["job_schedules"], AS_OF, 20).select("id", "name", "next_fire_at")
+
+
+@query("h4_materialise")
+def _(l):
+    return schedules.materialise(l["job_schedules"], l["job_definitions"], AS_OF, 1000)
+
+
+@query("h5_next_fires")
+def _(l):
+    return schedules.next_fires(l["job_schedules"], AS_OF).select("id", "cron_expr", "next_fire_at", "following_fire_at")
+
+
+@query("h9_deactivate", "job_schedules", "SELECT name FROM job_schedules WHERE is_active AND name IN ('schedule-1', 'schedule-2', 'schedule-3') AND name NOT IN ('schedule-2')")
+def _(l):
+    return schedules.to_deactivate(l["job_schedules"], ["schedule-1", "schedule-2", "schedule-3"], ["schedule-2"])
+
+
+# ---------------------------------------------------------------- workflow graphs
+
+_PER_STEP = """per AS (SELECT s.id, s.workflow_run_id, s.status, s.execution_kind, count(p.id) AS total, count(p.id) FILTER (WHERE p.status NOT IN ('SUCCEEDED', 'FAILED', 'CANCELED')) AS pending,
+    count(p.id) FILTER (WHERE p.status IN ('FAILED', 'CANCELED') AND e.release_mode = 'ON_SUCCESS') AS unsatisfied
+    FROM workflow_steps s LEFT JOIN workflow_step_dependencies e ON e.dependent_step_id = s.id LEFT JOIN workflow_steps p ON p.id = e.prerequisite_step_id GROUP BY ALL)"""
+
+
+@query("d7_dependency_counts", "workflow_steps workflow_step_dependencies", f"WITH {_PER_STEP} SELECT id, total, pending, unsatisfied FROM per")
+def _(l):
+    return workflow.dependency_counts(l["workflow_steps"], l["workflow_step_dependencies"]).select("id", "total", "pending", "unsatisfied")
+
+
+@query("d8_ready_steps", "workflow_runs workflow_steps workflow_step_dependencies", f"""WITH {_PER_STEP}
+    SELECT p.id, p.workflow_run_id, CASE WHEN unsatisfied > 0 THEN 'CANCELED' WHEN execution_kind = 'EXTERNAL' THEN 'WAITING_FOR_EXTERNAL' ELSE 'ENQUEUED' END AS becomes
+    FROM per p JOIN workflow_runs r ON r.id = p.workflow_run_id WHERE p.status = 'BLOCKED' AND pending = 0 AND r.status IN ('RUNNING', 'WAITING_FOR_EXTERNAL')""")
+def _(l):
+    return workflow.ready_steps(l["workflow_steps"], l["workflow_step_dependencies"], l["workflow_runs"]).select("id", "workflow_run_id", "becomes")
+
+
+@query("d9_propagate")
+def _(l):
+    return workflow.propagate(l["workflow_steps"], l["workflow_step_dependencies"])
+
+
+@query("d9_downstream", "workflow_step_dependencies workflow_steps", """
+    SELECT DISTINCT root, id FROM (WITH RECURSIVE reach AS (SELECT prerequisite_step_id AS root, dependent_step_id AS id FROM workflow_step_dependencies WHERE prerequisite_step_id % 50 = 0
+        UNION SELECT r.root, e.dependent_step_id FROM reach r JOIN workflow_step_dependencies e ON e.prerequisite_step_id = r.id) SELECT * FROM reach)""")
+def _(l):
+    return workflow.downstream(l["workflow_step_dependencies"], l["workflow_steps"].where("id % 50 = 0").select("id"))
+
+
+@query("d10_run_status", "workflow_runs workflow_steps", """
+    SELECT r.id, CASE WHEN r.status = 'CANCELED' THEN 'CANCELED' WHEN active > 0 THEN 'RUNNING' WHEN waiting > 0 THEN 'WAITING_FOR_EXTERNAL' WHEN errored > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'SUCCEEDED' END AS status, active, waiting, errored
+    FROM workflow_runs r JOIN (SELECT workflow_run_id, count(*) FILTER (WHERE status IN ('ENQUEUED', 'RUNNING', 'BLOCKED')) AS active, count(*) FILTER (WHERE status = 'WAITING_FOR_EXTERNAL') AS waiting,
+        count(*) FILTER (WHERE status IN ('FAILED', 'CANCELED')) AS errored FROM workflow_steps GROUP BY 1) s ON s.workflow_run_id = r.id""")
+def _(l):
+    return workflow.run_status(l["workflow_steps"], l["workflow_runs"])
+
+
+@query("d14_cancel_runs", "workflow_runs workflow_steps", """
+    SELECT s.id, s.workflow_run_id, CASE WHEN execution_kind = 'EXTERNAL' OR s.status = 'BLOCKED' THEN 'CANCEL_STEP' ELSE 'CANCEL_JOB_AND_STEP' END AS action
+    FROM workflow_steps s JOIN workflow_runs r ON r.id = s.workflow_run_id WHERE r.id < 50 AND r.status NOT IN ('SUCCEEDED', 'COMPLETED_WITH_ERRORS', 'CANCELED') AND s.status NOT IN ('SUCCEEDED', 'FAILED', 'CANCELED')""")
+def _(l):
+    return workflow.cancel_run(l["workflow_steps"], l["workflow_runs"], l.spark.range(50))
+
+
+@query("d15_recovery_blueprint", "workflow_runs workflow_steps workflow_step_dependencies", """
+    SELECT s.workflow_run_id, s.step_key, s.execution_kind, coalesce((SELECT string_agg(p.step_key || ':' || e.release_mode, ',' ORDER BY p.step_key) FROM workflow_step_dependencies e JOIN workflow_steps p ON p.id = e.prerequisite_step_id WHERE e.dependent_step_id = s.id), '') AS needs
+    FROM workflow_steps s JOIN workflow_runs r ON r.id = s.workflow_run_id WHERE r.id < 40 AND r.status IN ('SUCCEEDED', 'COMPLETED_WITH_ERRORS', 'CANCELED')""")
+def _(l):
+    return workflow.recovery_blueprint(l["workflow_runs"], l["workflow_steps"], l["workflow_step_dependencies"], l.spark.range(40).withColumnRenamed("id", "source_run_id"))
+
+
+@query("d1_cycles", "workflow_step_dependencies", "SELECT workflow_run_id, CAST(dependent_step_id AS VARCHAR) AS step_key FROM workflow_step_dependencies WHERE false")
+def _(l):
+    edges = l["workflow_step_dependencies"].select("workflow_run_id", F.col("prerequisite_step_id").cast("string").alias("prerequisite_key"), F.col("dependent_step_id").cast("string").alias("dependent_key"))
+    return workflow.cycles(edges)
+
+
+@query("x3_canonical_requests", "job_queue", "SELECT id, enqueue_request AS request FROM job_queue WHERE enqueue_request IS NOT NULL")
+def _(l):
+    return l["job_queue"].where("enqueue_request IS NOT NULL").select("id", canonical_json("enqueue_request").alias("request"))
