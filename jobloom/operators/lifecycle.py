@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions.json_text import canonical_json, json_with
@@ -11,7 +11,14 @@ from jobloom.functions.timing import failure_outcome, plus_ms, retry_at, retry_d
 from jobloom.operators.changes import Change, event
 
 FENCE = ["id", "run_number", "attempt", "worker_id"]
-NONE_TS, NONE_S = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string")
+
+
+def _no_time() -> Column:
+    return F.lit(None).cast("timestamp_ntz")
+
+
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def fenced(jobs: DataFrame, commands: DataFrame, as_of: str) -> DataFrame:
@@ -91,8 +98,8 @@ def _released(held: DataFrame) -> DataFrame:
 def succeed(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
     """Completes jobs; a success has no outcome in its attempt row."""
     held = fenced(jobs, commands, as_of)
-    done = held.withColumns({"status": F.lit("SUCCEEDED"), "stage": F.lit("completed"), "lease_expires_at": NONE_TS, "worker_id": NONE_S})
-    return Change({"job_queue": done, "job_attempts": _finished(held, as_of, NONE_S)}, {"job_events": event(held, "SUCCEEDED", instant(as_of), stage=F.lit("completed"))}, {"job_execution_resource_claims": _released(held)})
+    done = held.withColumns({"status": F.lit("SUCCEEDED"), "stage": F.lit("completed"), "lease_expires_at": _no_time(), "worker_id": _no_text()})
+    return Change({"job_queue": done, "job_attempts": _finished(held, as_of, _no_text())}, {"job_events": event(held, "SUCCEEDED", instant(as_of), stage=F.lit("completed"))}, {"job_execution_resource_claims": _released(held)})
 
 
 def fail(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
@@ -102,7 +109,7 @@ def fail(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
     at, source = retry_at(now, retry_delay_ms(F.col("attempt"), F.col("id")), F.col("not_before"))
     again = held.where("leads_to = 'RETRY'").withColumns({"next_run_at": at, "source": source})
     dead = held.where("leads_to = 'DEAD_LETTER'")
-    free = {"lease_expires_at": NONE_TS, "worker_id": NONE_S}
+    free = {"lease_expires_at": _no_time(), "worker_id": _no_text()}
     jobs_after = again.withColumns({"status": F.lit("PENDING"), "stage": F.lit("queued"), **free}).drop("source").unionByName(dead.withColumns({"status": F.lit("DEAD_LETTERED"), "stage": F.lit("completed"), **free}))
     letters = dead.select(F.col("id").alias("job_id"), "job_type", "organization_id", "run_number", "attempt", "error_code", F.col("payload").alias("payload_snapshot"), now.alias("failed_at"))
     payload = F.to_json(F.struct(F.col("kind"), F.col("error_code")))
@@ -116,9 +123,9 @@ def continue_after(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
     now = instant(as_of)
     held = fenced(jobs, commands, as_of)
     at = now + F.make_dt_interval(secs=(F.col("delay_us") / F.lit(1_000_000)).cast("decimal(18,6)"))
-    after = held.withColumns({"run_number": F.col("run_number") + 1, "attempt": F.lit(0), "status": F.lit("PENDING"), "stage": F.lit("queued"), "next_run_at": at, "lease_expires_at": NONE_TS, "worker_id": NONE_S})
+    after = held.withColumns({"run_number": F.col("run_number") + 1, "attempt": F.lit(0), "status": F.lit("PENDING"), "stage": F.lit("queued"), "next_run_at": at, "lease_expires_at": _no_time(), "worker_id": _no_text()})
     payload = F.to_json(F.struct(F.lit("HANDLER_CONTINUATION").alias("reason"), F.lit("HANDLER_CONTINUATION").alias("requeue_kind"), (F.col("run_number") + 1).alias("next_run_number"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("next_run_at"), F.col("delay_us").alias("delay_microseconds")))
-    return Change({"job_queue": after, "job_attempts": _finished(held, as_of, NONE_S)}, {"job_events": event(held, "REQUEUED", now, payload)}, {"job_execution_resource_claims": _released(held)})
+    return Change({"job_queue": after, "job_attempts": _finished(held, as_of, _no_text())}, {"job_events": event(held, "REQUEUED", now, payload)}, {"job_execution_resource_claims": _released(held)})
 
 
 def cancel(jobs: DataFrame, commands: DataFrame, as_of: str, scope: Scope = Scope.admin()) -> Change:
@@ -127,7 +134,7 @@ def cancel(jobs: DataFrame, commands: DataFrame, as_of: str, scope: Scope = Scop
     seen = asked.join(jobs.where(scope.sees()), "id", "left")
     outcome = F.when(F.col("status").isNull(), "NOT_FOUND").when(F.col("status").isin("PENDING", "LEASED"), "CANCELED").otherwise("INVALID_STATE")
     decided = seen.withColumn("outcome", outcome)
-    gone = decided.where("outcome = 'CANCELED'").drop("outcome").withColumns({"status": F.lit("CANCELED"), "worker_id": NONE_S})
+    gone = decided.where("outcome = 'CANCELED'").drop("outcome").withColumns({"status": F.lit("CANCELED"), "worker_id": _no_text()})
     return Change({"job_queue": gone}, {"job_events": event(gone, "CANCELED", instant(as_of))}, outcomes=decided.select("id", "outcome"))
 
 
@@ -146,7 +153,7 @@ def compare_and_requeue(jobs: DataFrame, steps: DataFrame, commands: DataFrame,
     )
     decided = joined.withColumn("outcome", outcome)
     again = decided.where("outcome = 'REQUEUED'").select(*jobs.columns)
-    after = again.withColumns({"status": F.lit("PENDING"), "run_number": F.col("run_number") + 1, "attempt": F.lit(0), "stage": F.lit("queued"), "next_run_at": instant(as_of), "lease_expires_at": NONE_TS})
+    after = again.withColumns({"status": F.lit("PENDING"), "run_number": F.col("run_number") + 1, "attempt": F.lit(0), "stage": F.lit("queued"), "next_run_at": instant(as_of), "lease_expires_at": _no_time()})
     return Change({"job_queue": after}, {"job_events": event(again, "REQUEUED", instant(as_of), F.lit('{"reason":"OPERATOR"}'))}, outcomes=decided.select("id", "outcome"))
 
 
@@ -166,7 +173,7 @@ def replay(jobs: DataFrame, replays: DataFrame, commands: DataFrame, as_of: str,
     )
     decided = joined.withColumn("outcome", outcome).withColumn("new_id", (F.lit(first_id) + F.col("ordinal")).cast("long"))
     made = decided.where("outcome = 'REPLAYED'")
-    new = made.withColumns({"id": F.col("new_id"), "status": F.lit("PENDING"), "run_number": F.lit(1), "attempt": F.lit(0), "stage": F.lit("queued"), "next_run_at": instant(as_of), "created_at": instant(as_of), "idempotency_key": NONE_S, "enqueue_request": NONE_S, "worker_id": NONE_S, "lease_expires_at": NONE_TS}).select(*jobs.columns)
+    new = made.withColumns({"id": F.col("new_id"), "status": F.lit("PENDING"), "run_number": F.lit(1), "attempt": F.lit(0), "stage": F.lit("queued"), "next_run_at": instant(as_of), "created_at": instant(as_of), "idempotency_key": _no_text(), "enqueue_request": _no_text(), "worker_id": _no_text(), "lease_expires_at": _no_time()}).select(*jobs.columns)
     lineage = made.select(F.col("new_id").alias("replay_job_id"), *key, "reason")
     return Change({"job_queue": new}, {"job_events": event(new, "ENQUEUED", instant(as_of)), "job_replays": lineage}, outcomes=decided.select("ordinal", "outcome"))
 
@@ -191,7 +198,7 @@ def reap(jobs: DataFrame, attempts: DataFrame, events: DataFrame, as_of: str, li
     """Applies the decisions."""
     now = instant(as_of)
     decided = reap_decisions(jobs, attempts, events, as_of, limit)
-    free = {"lease_expires_at": NONE_TS, "worker_id": NONE_S}
+    free = {"lease_expires_at": _no_time(), "worker_id": _no_text()}
     later = plus_ms(now, F.lit(retry_delay_seconds * 1000))
     after = decided.withColumns({
         "status": F.when(F.col("decision") == "DEAD_LETTER", "DEAD_LETTERED").otherwise("PENDING"),

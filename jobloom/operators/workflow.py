@@ -124,7 +124,7 @@ def cycles(edges: DataFrame) -> DataFrame:
                 if not left[b]:
                     free.append(b)
         stuck = sorted(k for k, n in left.items() if n)
-        return pd.DataFrame({"workflow_run_id": [pdf["workflow_run_id"].iloc[0]] * len(stuck), "step_key": stuck})
+        return pd.DataFrame({"workflow_run_id": [pdf["workflow_run_id"].iloc[0]] * len(stuck), "step_key": pd.Series(stuck, dtype="object")})
 
     kind = edges.schema["workflow_run_id"].dataType.simpleString()
     return edges.groupBy("workflow_run_id").applyInPandas(kahn, f"workflow_run_id {kind}, step_key string")

@@ -16,6 +16,7 @@ from jobloom.functions.predicates import Scope, any_field_contains, progress_per
 from jobloom.functions.timing import deferral_ms, failure_outcome, retry_delay_ms
 from jobloom.operators import claims, integrity, intents, lifecycle, metrics, reads, schedules, workflow
 from jobloom.sources.adapter import AS_OF, Ledger, from_star, with_views
+from jobloom.streaming import job_states
 
 FLAGSHIP = "q2_job_metrics"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,9 +180,9 @@ def _(l):
     return found.select("id", "job_type", "status", "stage", "run_number", "attempt", "next_run_at", "created_at")
 
 
-@query("q8_job_statuses", "job_queue", "SELECT id, job_type, status, run_number, attempt FROM job_queue WHERE organization_id = 2 AND id IN (1, 5, 9, 13, 13, 77, 400, 999, 123456789)")
+@query("q8_job_statuses", "job_queue", "SELECT id, job_type, status, run_number, attempt FROM job_queue WHERE organization_id = 2 AND (id IN (9, 123456789) OR id < 400 AND id % 3 = 0)")
 def _(l):
-    return reads.job_statuses(l["job_queue"], [1, 5, 9, 13, 13, 77, 400, 999, 123456789], Scope.of(2))
+    return reads.job_statuses(l["job_queue"], list(range(0, 400, 3)) + [9, 123456789], Scope.of(2))
 
 
 @query("q9_job_by_id", "job_queue", "SELECT id, job_type, status, payload FROM job_queue WHERE id = 42")
@@ -205,9 +206,9 @@ def _(l):
     return reads.latest_per(l["job_queue"], "job_type").select("id", "job_type", "created_at")
 
 
-@query("q12_job_events", "job_queue job_events", "SELECT e.id, e.event_type, e.payload, e.occurred_at FROM job_events e WHERE e.job_id = 7 AND e.id > 100 AND EXISTS (SELECT 1 FROM job_queue q WHERE q.id = e.job_id) ORDER BY e.id LIMIT 50")
+@query("q12_job_events", "job_queue job_events", "SELECT e.id, e.event_type, e.payload, e.occurred_at FROM job_events e WHERE e.job_id = 7 AND e.id > 3 AND EXISTS (SELECT 1 FROM job_queue q WHERE q.id = e.job_id) ORDER BY e.id LIMIT 50")
 def _(l):
-    return reads.of_job(l["job_events"], l["job_queue"], 7, after=100, limit=50).select("id", "event_type", "payload", "occurred_at")
+    return reads.of_job(l["job_events"], l["job_queue"], 7, after=3, limit=50).select("id", "event_type", "payload", "occurred_at")
 
 
 @query("q13_job_logs", "job_queue job_logs", "SELECT id, level, message FROM job_logs WHERE job_id = 3 AND id > 0 AND job_id IN (SELECT id FROM job_queue) ORDER BY id LIMIT 100")
@@ -531,3 +532,18 @@ def _(l):
 @query("x3_canonical_requests", "job_queue", "SELECT id, enqueue_request AS request FROM job_queue WHERE enqueue_request IS NOT NULL")
 def _(l):
     return l["job_queue"].where("enqueue_request IS NOT NULL").select("id", canonical_json("enqueue_request").alias("request"))
+
+
+# ---------------------------------------------------------------- streams
+
+@query("st6_job_states", "job_events", """
+    SELECT job_id, max(run_number) AS run_number, count(*) FILTER (WHERE e.run_number < top) AS stale_events, count(*) FILTER (WHERE e.run_number >= top) AS events,
+           arg_max(event_type, (occurred_at, id)) FILTER (WHERE e.run_number >= top) AS last_event
+    FROM (SELECT *, coalesce(max(run_number) OVER (PARTITION BY job_id ORDER BY occurred_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM job_events) e GROUP BY job_id""")
+def _(l):
+    return job_states.drain(l["job_events"])
+
+
+@query("st7_terminal_changes", "workflow_runs", "SELECT id, status FROM workflow_runs WHERE status IN ('SUCCEEDED', 'COMPLETED_WITH_ERRORS', 'CANCELED')")
+def _(l):
+    return job_states.drain_terminal_runs(l["workflow_runs"])
