@@ -87,18 +87,18 @@ def _values(token: Column) -> Column:
 
 def _tests(x: Column) -> Column:
     """The p-value of a token (k, v) under randomness, by the three tests together."""
-    k, v = x["k"], x["v"]
-    n = F.size(v)
-    squares = F.aggregate(F.array_distinct(v), F.lit(0), lambda a, d: a + F.pow(F.size(F.filter(v, lambda y: y == d)), F.lit(2)).cast("int"))
+    k, v, size = x["k"], x["v"], F.size(x["v"])
+    n = size.cast("double")
+    squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, d: a + F.pow(F.size(F.filter(v, lambda y: y == d)), F.lit(2)))
     chi = (k / n * squares - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
     high = F.transform(v, lambda y: F.when(2 * y >= k, 1).otherwise(0))
     n1 = F.aggregate(high, F.lit(0), lambda a, b: a + b)
-    changes = F.aggregate(F.zip_with(F.slice(high, 2, n), F.slice(high, 1, n - 1), lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
+    changes = F.aggregate(F.zip_with(F.slice(high, 2, size), F.slice(high, 1, size - 1), lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
     cross = 2.0 * n1 * (n - n1)
     spread = F.sqrt(F.greatest(F.lit(1e-9), cross * (cross - n) / (n * n * (n - 1.0))))
     runs = F.when(n1.between(1, n - 1), (changes - cross / n) / spread).otherwise(F.lit(37.0))
     mean = (k - 1) / 2.0
-    lagged = F.aggregate(F.zip_with(F.slice(v, 2, n), F.slice(v, 1, n - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, b: a + b)
+    lagged = F.aggregate(F.zip_with(F.slice(v, 2, size), F.slice(v, 1, size - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, b: a + b)
     serial = lagged / (F.sqrt(n - 1.0) * (k * k - 1.0) / 12)
     least = F.least(_beyond(chi), 2 * _beyond(F.abs(runs)), 2 * _beyond(F.abs(serial)))
     return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), 3 * least))
@@ -129,12 +129,11 @@ def scan(docs: DataFrame, alpha: float = 0.05, id_col: str = "doc_id", text_col:
     at_most = F.sum("count").over(up)  # tokens whose p is this small
     rejected = counts.select("class", "bin", at_most.alias("m"), F.sum("count").over(Window.partitionBy("class")).alias("all")).where(F.pow(F.lit(2.0), -F.col("bin") / BINS_AN_OCTAVE) <= alpha * F.col("m") / F.col("all"))
     limits = rejected.groupBy("class").agg(F.min("bin").alias("bin"))
-    # a row for each class of length, of which a text of 2^31 characters has 31
-    limit = F.broadcast(limits.agg(F.map_from_entries(F.collect_list(F.struct("class", "bin"))).alias("limit")))
-    passed = F.filter("tokens", lambda t: F.coalesce(t["bin"] < F.element_at("limit", t["class"]), F.lit(True)))
+    limit = {r[0]: r[1] for r in limits.collect()}  # a row for each class of length, of which a text of 2^31 characters has 31
+    passed = F.filter("tokens", lambda t: F.coalesce(t["bin"] < F.element_at(F.create_map(*(F.lit(x) for pair in limit.items() for x in pair)), t["class"]), F.lit(True)) if limit else F.lit(True))
     random = F.transform(passed, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end")))
     named = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind"), s["end"].alias("end")))
-    return table.crossJoin(limit).select(F.col("id").alias(id_col), named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", random))).alias("spans"))
+    return table.select(F.col("id").alias(id_col), named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", random))).alias("spans"))
 
 
 def _bin(p: Column) -> Column:
