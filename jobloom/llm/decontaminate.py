@@ -87,11 +87,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
 
     All columns and rows are returned; null text stays null.
     """
-    found = hits(docs, benchmark, size, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("hit_id"), "key", "spans").dropDuplicates(["hit_id", "key"])
+    found = hits(docs, benchmark, size, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
     word = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # of text as it is
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["hit_id"]) & (F.md5(text_of(text_col)) == found["key"]), "left")
-    hit = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["len"]))
+    joined = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.md5(text_of(text_col)) == found["__key"]), "left")
+    hit = lambda i: F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["len"]))
     words = F.regexp_extract_all(F.col(text_col), F.lit(word), F.lit(0))
     gaps = F.split(F.col(text_col), word, -1)
     rest = F.transform(F.arrays_zip(gaps.alias("gap"), words.alias("word")), lambda x, i: F.concat(x["gap"], F.when(x["word"].isNull() | hit(i), F.lit("")).otherwise(x["word"])))
-    return joined.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.array_join(rest, ""))).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.array_join(rest, ""))).select(*docs.columns)
