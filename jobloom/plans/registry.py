@@ -547,3 +547,199 @@ def _(l):
 @query("st7_terminal_changes", "workflow_runs", "SELECT id, status FROM workflow_runs WHERE status IN ('SUCCEEDED', 'COMPLETED_WITH_ERRORS', 'CANCELED')")
 def _(l):
     return job_states.drain_terminal_runs(l["workflow_runs"])
+
+
+# ---------------------------------------------------------------- single operators
+
+@query("f1_scopes", "job_queue", """
+    SELECT 'admin' AS scope, count(*) AS jobs FROM job_queue UNION ALL SELECT 'global', count(*) FROM job_queue WHERE organization_id IS NULL UNION ALL SELECT 'organization', count(*) FROM job_queue WHERE organization_id = 4""")
+def _(l):
+    scopes = {"admin": Scope.admin(), "global": Scope.tenantless(), "organization": Scope.of(4)}
+    seen = F.explode(F.array_compact(F.array(*(F.when(s.sees(), name) for name, s in scopes.items())))).alias("scope")
+    return l["job_queue"].select(seen).groupBy("scope").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query("j14_free_resources", "job_queue job_execution_resource_claims", "SELECT id FROM job_queue q WHERE status = 'PENDING' AND execution_resource_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM job_execution_resource_claims c WHERE c.resource_key = q.execution_resource_key)")
+def _(l):
+    taken = l["job_execution_resource_claims"].select(F.col("resource_key").alias("execution_resource_key"))
+    return l["job_queue"].where("status = 'PENDING' AND execution_resource_key IS NOT NULL").join(taken, "execution_resource_key", "left_anti").select("id")
+
+
+@query("j19_first_running_event", "job_events", "SELECT job_id, run_number, attempt, arg_min(occurred_at, id) AS running_at FROM job_events WHERE event_type = 'STAGE_CHANGED' AND stage = 'running' GROUP BY ALL")
+def _(l):
+    ran = l["job_events"].where("event_type = 'STAGE_CHANGED' AND stage = 'running'")
+    return ran.groupBy("job_id", "run_number", "attempt").agg(F.min_by("occurred_at", "id").alias("running_at"))
+
+
+@query("j21_workflow_managed", "job_queue workflow_steps", "SELECT id, EXISTS (SELECT 1 FROM workflow_steps s WHERE s.job_id = q.id) AS workflow_managed FROM job_queue q")
+def _(l):
+    managed = l["workflow_steps"].where("job_id IS NOT NULL").select(F.col("job_id").alias("id"), F.lit(True).alias("managed")).distinct()
+    return l["job_queue"].select("id").join(managed, "id", "left").select("id", F.col("managed").isNotNull().alias("workflow_managed"))
+
+
+@query("u1_metric_keys", "job_queue job_dead_letters job_events", f"SELECT {ORG}, job_type FROM (SELECT organization_id, job_type FROM job_queue WHERE status = 'PENDING' UNION SELECT organization_id, job_type FROM job_dead_letters WHERE failed_at >= {DAY})")
+def _(l):
+    from jobloom.functions.predicates import last_day
+
+    pending = l["job_queue"].where("status = 'PENDING'").select("organization_id", "job_type")
+    dead = l["job_dead_letters"].where(last_day(AS_OF, "failed_at")).select("organization_id", "job_type")
+    return pending.union(dead).distinct().select(org(), "job_type")
+
+
+@query("u3_difference", "job_queue job_definitions", "SELECT job_type FROM job_definitions EXCEPT SELECT job_type FROM job_queue")
+def _(l):
+    return l["job_definitions"].select("job_type").subtract(l["job_queue"].select("job_type"))
+
+
+@query("p6_json_objects", "job_queue", """SELECT id, CASE WHEN worker_id IS NULL THEN concat('{"status":"', status, '","run":', CAST(run_number AS VARCHAR), '}') ELSE concat('{"status":"', status, '","run":', CAST(run_number AS VARCHAR), ',"worker":"', worker_id, '"}') END AS note FROM job_queue""")
+def _(l):
+    return l["job_queue"].select("id", F.to_json(F.struct("status", F.col("run_number").alias("run"), F.col("worker_id").alias("worker"))).alias("note"))
+
+
+@query("src3_json_records", "job_queue", "SELECT id, 'k' || CAST(id % 3 AS VARCHAR) AS k, CAST(CASE WHEN id % 2 = 0 THEN -1 ELSE id END AS BIGINT) AS n FROM job_queue")
+def _(l):
+    text = F.concat(F.lit('[{"k":"k'), (F.col("id") % 3).cast("string"), F.lit('","n":'), F.when(F.col("id") % 2 == 0, "null").otherwise(F.col("id").cast("string")), F.lit("}]"))
+    rows = l["job_queue"].select("id", text.alias("records")).select("id", F.inline(F.from_json("records", "array<struct<k:string,n:bigint>>")))
+    return rows.select("id", "k", F.coalesce("n", F.lit(-1).cast("long")).alias("n"))
+
+
+@query("src5_array_with_ordinality", "workflow_step_dependencies", "SELECT dependent_step_id, prerequisite_step_id, row_number() OVER (PARTITION BY dependent_step_id ORDER BY prerequisite_step_id) AS place FROM workflow_step_dependencies")
+def _(l):
+    packed = l["workflow_step_dependencies"].groupBy("dependent_step_id").agg(F.array_sort(F.collect_list("prerequisite_step_id")).alias("needs"))
+    return packed.select("dependent_step_id", F.posexplode("needs").alias("place", "prerequisite_step_id")).select("dependent_step_id", "prerequisite_step_id", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@query("snk3_upsert", "job_dead_letters", "SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'again' ELSE error_code END AS error_code FROM job_dead_letters UNION ALL SELECT -1, 'again'")
+def _(l):
+    from jobloom.operators.changes import upsert
+
+    base = l["job_dead_letters"].select("job_id", "error_code")
+    rows = base.where("job_id % 2 = 0").select("job_id", F.lit("again").alias("error_code")).union(l.spark.sql("SELECT -1L, 'again'"))
+    return upsert(base, rows, ["job_id"])
+
+
+@query("snk4_insert_missing", "job_runtime_configs", "SELECT job_type, schema_version FROM job_runtime_configs UNION ALL SELECT 'jobs.new', 1")
+def _(l):
+    from jobloom.operators.changes import insert_missing
+
+    base = l["job_runtime_configs"].select("job_type", "schema_version")
+    return insert_missing(base, l.spark.sql("SELECT 'jobs.new' AS job_type, 1 AS schema_version UNION ALL SELECT 'jobs.p1', 99"), ["job_type"])
+
+
+_COMMANDS = "SELECT id AS ordinal, job_type, organization_id, idempotency_key, id % 400 AS n FROM job_enqueue_intents"
+
+
+@query("x2_enqueue", "job_queue job_enqueue_intents job_definitions", f"""
+    WITH c AS ({_COMMANDS}), j AS (SELECT c.*, q.id AS there, q.enqueue_request AS r, d.job_type AS defined, row_number() OVER (PARTITION BY c.job_type, c.organization_id, c.idempotency_key ORDER BY ordinal) AS nth
+        FROM c LEFT JOIN job_queue q ON q.job_type = c.job_type AND q.organization_id IS NOT DISTINCT FROM c.organization_id AND q.idempotency_key = c.idempotency_key LEFT JOIN job_definitions d ON d.job_type = c.job_type AND d.is_enabled)
+    SELECT ordinal, CASE WHEN there IS NOT NULL AND r IS NULL THEN 'LEGACY_KEY' WHEN there IS NOT NULL THEN 'CONFLICT' WHEN defined IS NULL THEN 'NO_ENABLED_DEFINITION' WHEN nth = 1 THEN 'INSERTED' ELSE 'EXISTING' END AS outcome FROM j""")
+def _(l):
+    commands = l["job_enqueue_intents"].select(
+        F.col("id").alias("ordinal"), "job_type", "organization_id", F.concat(F.lit('{"n":'), (F.col("id") % 400).cast("string"), F.lit("}")).alias("payload"), F.lit(None).cast("int").alias("priority"),
+        F.lit(None).cast("int").alias("max_attempts"), F.lit(None).cast("timestamp_ntz").alias("next_run_at"), "idempotency_key", F.lit(None).cast("string").alias("stage"),
+    )
+    return lifecycle.enqueue(l["job_queue"], l["job_definitions"], commands, AS_OF, 10_000_000).outcomes.select("ordinal", "outcome")
+
+
+@query("i1_record", "job_enqueue_intents", """
+    WITH c AS (SELECT id AS ordinal, * FROM job_enqueue_intents WHERE id % 2 = 0), base AS (SELECT DISTINCT job_type, organization_id, idempotency_key FROM job_enqueue_intents WHERE id % 2 = 1)
+    SELECT ordinal, CASE WHEN b.job_type IS NOT NULL THEN 'EXISTING' WHEN row_number() OVER (PARTITION BY c.job_type, c.organization_id, c.idempotency_key ORDER BY ordinal) = 1 THEN 'INSERTED' ELSE 'EXISTING' END AS outcome
+    FROM c LEFT JOIN base b ON b.job_type = c.job_type AND b.organization_id IS NOT DISTINCT FROM c.organization_id AND b.idempotency_key = c.idempotency_key""")
+def _(l):
+    table = l["job_enqueue_intents"]
+    there = table.where("id % 2 = 1").dropDuplicates(["job_type", "organization_id", "idempotency_key"])
+    return intents.record(there, table.where("id % 2 = 0").withColumnRenamed("id", "ordinal"), AS_OF, 1_000_000).outcomes
+
+
+_LIVE = f"status = 'LEASED' AND lease_expires_at > {NOW}"
+
+
+def _fence(l, condition):
+    return l["job_queue"].where(f"status = 'LEASED' AND {condition}").select("id", "run_number", "attempt", "worker_id")
+
+
+@query("x10_success", "job_queue", f"SELECT id, 'SUCCEEDED' AS status, run_number, attempt FROM job_queue WHERE {_LIVE} AND id % 2 = 0")
+def _(l):
+    return lifecycle.succeed(l["job_queue"], _fence(l, "id % 2 = 0"), AS_OF).upserts["job_queue"].select("id", "status", "run_number", "attempt")
+
+
+@query("x9_heartbeat", "job_queue", f"SELECT id, {NOW} + INTERVAL '90' SECOND AS lease_expires_at FROM job_queue WHERE {_LIVE} AND id % 3 = 0")
+def _(l):
+    return lifecycle.heartbeat(l["job_queue"], _fence(l, "id % 3 = 0"), 90, AS_OF).upserts["job_queue"].select("id", "lease_expires_at")
+
+
+@query("x14_failures", "job_queue", f"""
+    SELECT id, CASE WHEN id % 3 = 0 OR attempt >= max_attempts THEN 'DEAD_LETTERED' ELSE 'PENDING' END AS status,
+           CASE WHEN id % 3 = 0 OR attempt >= max_attempts THEN next_run_at ELSE {NOW} + greatest(1000, least(5000 * CAST(pow(2, least(greatest(attempt, 1), 10)) AS BIGINT), 300000) + id % 1000 - 500) * INTERVAL '1' MILLISECOND END AS next_run_at
+    FROM job_queue WHERE {_LIVE}""")
+def _(l):
+    kind = F.when(F.col("id") % 3 == 0, "TERMINAL").otherwise("RETRYABLE")
+    commands = _fence(l, "true").withColumns({"kind": kind, "error_code": F.lit("e"), "not_before": F.lit(None).cast("timestamp_ntz")})
+    return lifecycle.fail(l["job_queue"], commands, AS_OF).upserts["job_queue"].select("id", "status", "next_run_at")
+
+
+@query("x16_continuation", "job_queue", f"SELECT id, run_number + 1 AS run_number, 0 AS attempt, {NOW} + INTERVAL '2500' MILLISECOND AS next_run_at FROM job_queue WHERE {_LIVE}")
+def _(l):
+    commands = _fence(l, "true").withColumn("delay_us", F.lit(2_500_000))
+    return lifecycle.continue_after(l["job_queue"], commands, AS_OF).upserts["job_queue"].select("id", "run_number", "attempt", "next_run_at")
+
+
+@query("x6_release_unstarted", "job_queue", "SELECT id, 'PENDING' AS status, attempt - 1 AS attempt FROM job_queue WHERE status = 'LEASED' AND id % 4 = 1")
+def _(l):
+    return claims.release_unstarted(l["job_queue"], _fence(l, "id % 4 = 1"), AS_OF).upserts["job_queue"].select("id", "status", "attempt")
+
+
+@query("x19_replay", "job_queue", "SELECT id AS ordinal, CASE WHEN status <> 'SUCCEEDED' OR run_number <> 1 THEN 'EXPECTATION_MISMATCH' ELSE 'REPLAYED' END AS outcome FROM job_queue WHERE id % 5 = 0")
+def _(l):
+    none = l.spark.createDataFrame([], "source_job_id long, source_run_number int, replay_request_key string, reason string, replay_job_id long")
+    commands = l["job_queue"].where("id % 5 = 0").select(F.col("id").alias("ordinal"), F.col("id").alias("source_job_id"), F.lit(1).alias("source_run_number"), F.lit("k").alias("replay_request_key"), F.lit("again").alias("reason"))
+    return lifecycle.replay(l["job_queue"], none, commands, AS_OF, 10_000_000).outcomes
+
+
+@query("x20_reap_report", "job_queue job_attempts job_events")
+def _(l):
+    return lifecycle.reap(l["job_queue"], l["job_attempts"], l["job_events"], AS_OF, 1000).outcomes
+
+
+@query("i3_promotion_report", "job_enqueue_intents job_queue job_definitions")
+def _(l):
+    return intents.promote(l["job_enqueue_intents"], l["job_queue"], l["job_definitions"], ["jobs.p1", "jobs.p2", "jobs.p3", "jobs.p5"], AS_OF, 10_000_000).outcomes
+
+
+@query("d5_step_defaults", "workflow_steps job_definitions", """
+    SELECT s.id, coalesce(CASE WHEN execution_kind = 'JOB' THEN CASE WHEN s.id % 3 = 0 THEN 7 ELSE d.default_priority END END, -1) AS priority
+    FROM workflow_steps s LEFT JOIN job_definitions d ON d.is_enabled AND d.job_type = 'jobs.p' || CAST(1 + s.id % 5 AS VARCHAR)""")
+def _(l):
+    steps = l["workflow_steps"].withColumns({"job_type": F.concat(F.lit("jobs.p"), (1 + F.col("id") % 5).cast("string")), "priority": F.when(F.col("id") % 3 == 0, 7), "max_attempts": F.lit(None).cast("int"), "timeout_seconds": F.lit(None).cast("int")})
+    return workflow.step_defaults(steps, l["job_definitions"]).select("id", F.coalesce("priority", F.lit(-1)).alias("priority"))
+
+
+@query("d12_external_completion", "workflow_steps", """
+    SELECT id, CASE WHEN execution_kind <> 'EXTERNAL' THEN 'NOT_EXTERNAL' WHEN status = 'WAITING_FOR_EXTERNAL' THEN 'COMPLETED' WHEN status = 'SUCCEEDED' AND output IS NOT NULL THEN 'ALREADY_COMPLETED'
+           WHEN status IN ('SUCCEEDED', 'FAILED', 'CANCELED') THEN 'CONFLICT' ELSE 'NOT_WAITING' END AS outcome FROM workflow_steps WHERE id < 900""")
+def _(l):
+    output = F.concat(F.lit('{ "v" : '), F.col("id").cast("string"), F.lit(".0 }"))
+    commands = l["workflow_steps"].where("id < 900").select("id", F.lit("SUCCEEDED").alias("new_status"), output.alias("new_output"))
+    return workflow.complete_external(l["workflow_steps"], commands, AS_OF).select("id", "outcome")
+
+
+@query("d18_active_keys", "workflow_runs", """
+    SELECT id AS ordinal, CASE WHEN EXISTS (SELECT 1 FROM workflow_runs r WHERE r.status IN ('RUNNING', 'WAITING_FOR_EXTERNAL') AND r.idempotency_key = c.idempotency_key) THEN 'EXISTING' ELSE 'ENQUEUED' END AS outcome
+    FROM workflow_runs c WHERE idempotency_key IS NOT NULL""")
+def _(l):
+    runs = l["workflow_runs"].withColumnRenamed("idempotency_key", "active_key")
+    commands = runs.where("active_key IS NOT NULL").select(F.col("id").alias("ordinal"), "workflow_type", "organization_id", "active_key")
+    return workflow.active_key(runs, commands).select("ordinal", "outcome")
+
+
+@query("d13_append_counters", "workflow_steps", """
+    SELECT 'new-' || CAST(id % 20 AS VARCHAR) AS dependent_key, count(*) AS total, count(*) FILTER (WHERE status NOT IN ('SUCCEEDED', 'FAILED', 'CANCELED')) AS pending, count(*) FILTER (WHERE status IN ('FAILED', 'CANCELED')) AS unsatisfied
+    FROM workflow_steps GROUP BY ALL""")
+def _(l):
+    edges = l["workflow_steps"].select(F.col("id").alias("prerequisite_step_id"), F.concat(F.lit("new-"), (F.col("id") % 20).cast("string")).alias("dependent_key"), F.lit("ON_SUCCESS").alias("release_mode"))
+    return workflow.appendable(l["workflow_steps"], edges).drop("born_unsatisfied")
+
+
+@query("d16_canonical_requests")
+def _(l):
+    return workflow.canonical_request(l["workflow_steps"], l["workflow_step_dependencies"])
