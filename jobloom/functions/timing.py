@@ -30,13 +30,13 @@ def failure_outcome(kind: Column, attempt: Column, most: Column) -> Column:
     return F.when(kind.isin("TERMINAL", "PANICKED"), "DEAD_LETTER").when(attempt >= most, "DEAD_LETTER").otherwise("RETRY")
 
 
-def retry_at(failed_at: Column, policy_ms: Column, hint: Column) -> tuple[Column, Column]:
-    """The next attempt's instant and whose it is: the later of the policy's and a handler's hint, the policy's if equal.
+def hint_after(failed_at: Column, delay_us: Column) -> Column:
+    """The instant that a handler asks for by a delay: whole milliseconds, rounded up; no delay is no hint."""
+    return F.when(delay_us > 0, plus_ms(failed_at, F.ceil(delay_us / 1000)))
+
 
-    Hints count to whole milliseconds, rounded up.
-    """
+def retry_at(failed_at: Column, policy_ms: Column, hint: Column) -> tuple[Column, Column]:
+    """The next attempt's instant and whose it is: the later of the policy's and a handler's hint, the policy's if equal."""
     policy = plus_ms(failed_at, policy_ms)
-    cut = F.date_trunc("millisecond", hint).cast("timestamp_ntz")
-    hinted = F.when(cut < hint, plus_ms(cut, F.lit(1))).otherwise(cut)
-    later = F.coalesce(hinted > policy, F.lit(False))
-    return F.when(later, hinted).otherwise(policy), F.when(later, "HANDLER").otherwise("POLICY")
+    later = F.coalesce(hint > policy, F.lit(False))
+    return F.when(later, hint).otherwise(policy), F.when(later, "HANDLER").otherwise("POLICY")

@@ -11,8 +11,8 @@ from jobloom.functions.timing import deferral_ms, plus_ms
 from jobloom.operators.changes import Change, delete_oldest, event
 
 MOST_PROMOTED = 24
-#: Error codes that settle an intent.
-CONFLICTS = ("job.idempotency_conflict", "job.idempotency_legacy", "job.enqueue_invalid", "job.resource_invalid")
+#: Error codes of requests that can never be promoted.
+CONFLICTS = ("job.intent_invalid_persisted_row", "job.invalid_job_type", "job.invalid_execution_resource_key", "job.invalid_stage")
 
 
 def record(intents: DataFrame, commands: DataFrame, as_of: str, first_id: int) -> Change:
@@ -52,8 +52,12 @@ def failure_class(code: Column) -> Column:
     return F.when(code.isin(*CONFLICTS), "CONFLICTED").otherwise("DEFERRED")
 
 
-def promote(intents: DataFrame, jobs: DataFrame, definitions: DataFrame, types: list[str], as_of: str, first_id: int, limit: int = MOST_PROMOTED) -> Change:
-    """Turns a batch into jobs; one whose key a job has already converges on it, or conflicts. Outcomes are counted by kind."""
+def promote(intents: DataFrame, jobs: DataFrame, definitions: DataFrame, types: list[str], as_of: str, first_id: int, limit: int = MOST_PROMOTED, share: Column | None = None) -> Change:
+    """Turns a batch into jobs. One whose key a job has already converges on it if the requests are equal.
+
+    A request without type can never be promoted and is settled as a conflict; any other
+    failure, such as a key taken by another request, is put off. Outcomes are counted by kind.
+    """
     now = instant(as_of)
     chosen = batch(intents, definitions, types, as_of, limit)
     key = ["job_type", "organization_id", "idempotency_key"]
@@ -61,12 +65,16 @@ def promote(intents: DataFrame, jobs: DataFrame, definitions: DataFrame, types:
     match = (F.col("job_type") == F.col("_job_type")) & F.col("organization_id").eqNullSafe(F.col("_organization_id")) & (F.col("idempotency_key") == F.col("_idempotency_key"))
     lead = Window.partitionBy(*key).orderBy("created_at", "id")
     joined = chosen.withColumns({"nth": F.row_number().over(lead), "lead": F.first("id").over(lead), "request": canonical_json("enqueue_request")}).join(there, match, "left")
-    outcome = F.when(F.col("there_id").isNotNull(), F.when(F.col("there") == F.col("request"), "EXISTING").otherwise("CONFLICTED")).when(F.col("nth") == 1, "PROMOTED").otherwise("EXISTING")
+    taken = F.col("there_id").isNotNull() & (F.col("there") != F.col("request"))
+    code = F.when(F.trim("job_type") == "", "job.invalid_job_type").when(taken, "job.idempotency_conflict")
+    outcome = F.when(code.isNotNull(), failure_class(code)).when(F.col("there_id").isNotNull() | (F.col("nth") > 1), "EXISTING").otherwise("PROMOTED")
     decided = joined.withColumn("outcome", outcome)
     job_id = F.coalesce("there_id", (F.lit(first_id) + F.col("lead")).cast("long"))
+    is_done, is_conflict = F.col("outcome").isin("PROMOTED", "EXISTING"), F.col("outcome") == "CONFLICTED"
+    put_off = plus_ms(now, deferral_ms(F.col("promotion_attempts"), F.lit(0.0) if share is None else share))
     done = decided.withColumns({
-        "status": F.when(F.col("outcome") == "CONFLICTED", "CONFLICTED").otherwise("PROMOTED"), "promotion_attempts": F.col("promotion_attempts") + 1,
-        "promoted_job_id": F.when(F.col("outcome") != "CONFLICTED", job_id), "promoted_at": F.when(F.col("outcome") != "CONFLICTED", now), "conflicted_at": F.when(F.col("outcome") == "CONFLICTED", now),
+        "status": F.when(is_conflict, "CONFLICTED").when(is_done, "PROMOTED").otherwise("PENDING"), "promotion_attempts": F.col("promotion_attempts") + 1,
+        "promoted_job_id": F.when(is_done, job_id), "promoted_at": F.when(is_done, now), "conflicted_at": F.when(is_conflict, now), "next_promotion_at": F.when(F.col("outcome") == "DEFERRED", put_off).otherwise(F.col("next_promotion_at")),
     }).select(*intents.columns)
     new = decided.where("outcome = 'PROMOTED'").join(definitions.select("job_type", "default_priority", "max_attempts"), "job_type").select(
         job_id.alias("id"), *key, "enqueue_request", F.lit("PENDING").alias("status"), F.col("default_priority").alias("priority"), "max_attempts", F.lit(1).alias("run_number"), F.lit(0).alias("attempt"), F.lit("queued").alias("stage"), now.alias("next_run_at"), now.alias("created_at")

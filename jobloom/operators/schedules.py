@@ -80,13 +80,20 @@ def _number(schedule_id) -> int:
 
 
 def next_fire_coalesced(cron_text: str, scheduled_for: datetime, now: datetime, schedule_id, most: int) -> datetime | None:
-    """The next jittered fire after now; fires missed meanwhile count as the one that is being made."""
-    cron, at = parse_cron(cron_text), max(scheduled_for, now - timedelta(seconds=most))
-    while (at := next_fire(cron, at)) is not None:
-        fire = at + timedelta(seconds=jitter_seconds(_number(schedule_id), at, most))
-        if at > scheduled_for and fire > now:
-            return fire
-    return None
+    """The jittered fire after the one that was due; if that is past too, the earliest one after now.
+
+    Fires missed meanwhile count as the one that is being made.
+    """
+    cron, number = parse_cron(cron_text), _number(schedule_id)
+    spread = lambda base: base + timedelta(seconds=jitter_seconds(number, base, most))
+    base = next_fire(cron, scheduled_for)
+    if base is None or spread(base) > now:
+        return base and spread(base)
+    best, base = None, now - timedelta(seconds=most + 1 if most > 0 else 0)  # what lies before can't land after now
+    while (base := next_fire(cron, base)) is not None and (best is None or base < best):
+        if spread(base) > now:
+            best = min(best or spread(base), spread(base))
+    return best
 
 
 def next_fires(schedules: DataFrame, as_of: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.json_text import canonical, set_field
 from jobloom.functions.predicates import Scope, before_cursor, check_page, continuation_is_valid
-from jobloom.functions.timing import retry_at
+from jobloom.functions.timing import hint_after, retry_at
 from jobloom.operators import changes, claims, intents, lifecycle, schedules, workflow
 
 NOW = "2024-01-02 00:00:00"
@@ -97,10 +97,12 @@ def test_fence_and_failures(spark):
     assert sorted((r["job_id"], r["event_type"]) for r in change.appends["job_events"].collect()) == [(1, "FAILED"), (1, "RETRY_SCHEDULED"), (2, "DEAD_LETTERED"), (2, "FAILED")]
 
 
-def test_retry_hint_is_rounded_up_and_ties_are_the_policys(spark):
-    row = spark.createDataFrame([(at("2024-01-01"), at("2024-01-01T00:00:01.000500")), (at("2024-01-01"), at("2024-01-01T00:00:01"))], "a timestamp_ntz, h timestamp_ntz")
-    when, whose = retry_at(F.col("a"), F.lit(1000), F.col("h"))
-    assert [tuple(r) for r in row.select(when, whose).collect()] == [(at("2024-01-01T00:00:01.001000"), "HANDLER"), (at("2024-01-01T00:00:01"), "POLICY")]
+def test_retry_hints(spark):
+    rows = [(at("2024-01-01"), None, 1_000_001), (at("2024-01-01"), None, 1_000_000), (at("2024-01-01"), at("2024-01-01T00:00:01.000001"), 0), (at("2024-01-01"), None, None)]
+    row = spark.createDataFrame(rows, "a timestamp_ntz, h timestamp_ntz, d long")
+    when, whose = retry_at(F.col("a"), F.lit(1000), F.coalesce("h", hint_after(F.col("a"), F.col("d"))))
+    second = at("2024-01-01T00:00:01")
+    assert [tuple(r) for r in row.select(when, whose).collect()] == [(at("2024-01-01T00:00:01.001000"), "HANDLER"), (second, "POLICY"), (at("2024-01-01T00:00:01.000001"), "HANDLER"), (second, "POLICY")]
 
 
 def test_other_transitions(spark):
@@ -179,7 +181,7 @@ def test_outbox(spark):
     definitions = spark.createDataFrame([("a", 5, 7, True)], "job_type string, default_priority int, max_attempts int, is_enabled boolean")
     there = jobs(spark, {"id": 7, "idempotency_key": "k", "organization_id": 1, "enqueue_request": '{"other":1}'})
     promoted = intents.promote(after, there, definitions, ["a"], NOW, 100)
-    assert {(r["id"], r["status"]) for r in promoted.upserts["job_enqueue_intents"].collect()} == {(10, "PROMOTED"), (13, "CONFLICTED")}
+    assert {(r["id"], r["status"]) for r in promoted.upserts["job_enqueue_intents"].collect()} == {(10, "PROMOTED"), (13, "PENDING")}
     assert ids(promoted.upserts["job_queue"]) == [110]
     assert intents.has_eligible(after, definitions, ["a"], NOW) and not intents.has_eligible(after, definitions, ["b"], NOW)
 
@@ -196,6 +198,12 @@ def test_cron():
             schedules.parse_cron(bad)
     late = schedules.next_fire_coalesced("0 * * * * *", datetime(2024, 1, 1), datetime(2024, 1, 5, 0, 0, 30), 77, 0)
     assert late == datetime(2024, 1, 5, 0, 1)
+    # of fires a minute apart, spread over up to two minutes, the earliest one after now
+    cron, now = schedules.parse_cron("0 * * * * *"), datetime(2024, 1, 5, 0, 0, 30)
+    bases = [now.replace(second=0) + k * (datetime(1, 1, 1, 0, 1) - datetime(1, 1, 1)) for k in range(-3, 6)]
+    fires = [b + (datetime(1, 1, 1) + (schedules.jitter_seconds(77, b, 120) * (datetime(1, 1, 1, 0, 0, 1) - datetime(1, 1, 1))) - datetime(1, 1, 1)) for b in bases]
+    assert schedules.next_fire(cron, now) == datetime(2024, 1, 5, 0, 1)
+    assert schedules.next_fire_coalesced("0 * * * * *", datetime(2024, 1, 1), now, 77, 120) == min(f for f in fires if f > now)
 
 
 def test_stream_equals_batch(spark):
