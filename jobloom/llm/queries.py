@@ -60,6 +60,32 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def _licenses_sql() -> str:
+    """SQL for op8: identifiers by position, joined to a sequence, from which each rule in turn takes its matches."""
+    ids, rules = licenses.known()
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({text(s)}, {text(i)})" for s, i in ids.items())
+    single = ", ".join(f"({text(s)}, {text(next(name for name, rule in rules if rule == f' {i} '))})" for s, i in ids.items() if any(rule == f" {i} " for _, rule in rules))
+    steps = "SELECT r, seq, [] :: VARCHAR[] AS hits FROM seqs"
+    for name, rule in rules:
+        steps = f"SELECT r, replace(seq, {text(rule)}, ' | ') AS seq, CASE WHEN contains(seq, {text(rule)}) THEN list_append(hits, {text(name)}) ELSE hits END AS hits FROM ({steps})"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    plain = lambda part: f"trim(regexp_replace({part}, {text(licenses.BETWEEN)}, ' ', 'g'))"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {lower} AS t, regexp_matches(coalesce(text, ''), {text(licenses.TRIGGER)}) AS may FROM documents),
+        known(s, id) AS (VALUES {known}), single(s, licence) AS (VALUES {single}),
+        parts AS (SELECT r, unnest(regexp_split_to_array(t, {text(licenses.CUT)})) AS part, generate_subscripts(regexp_split_to_array(t, {text(licenses.CUT)}), 1) AS place FROM d WHERE may),
+        found AS (SELECT r, place, id, place - coalesce(lag(place) OVER (PARTITION BY r ORDER BY place), 0) - 1 AS others FROM parts JOIN known ON known.s = {plain("part")}),
+        seqs AS (SELECT r, ' ' || string_agg(CASE WHEN others > {licenses.MOST_BETWEEN} THEN '| ' ELSE '' END || id || ' ', '' ORDER BY place) AS seq FROM found GROUP BY r),
+        named AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY place) AS ids FROM found GROUP BY r),
+        matched AS ({steps}),
+        notices AS (SELECT r, list(licence) AS own FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d WHERE may) JOIN single ON single.s = {plain("line")} GROUP BY r),
+        joined AS (SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, list_sort(list_distinct(list_concat(coalesce(hits, []), coalesce(own, [])))) AS licences
+            FROM d LEFT JOIN named USING (r) LEFT JOIN matched USING (r) LEFT JOIN notices USING (r))
+        SELECT doc_id, n_sentences, sentence_ids, CAST(len(licences) AS BIGINT) AS n_licenses, array_to_string(licences, ',') AS licenses FROM joined
+    """
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -110,4 +136,5 @@ ORACLE_SQL = {
                sha256(norm) AS text_sha256
         FROM t
     """,
+    "op8_licenses": _licenses_sql(),
 }
