@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from jobloom.llm.common import text_of
 from jobloom.llm.gru import PAD, Network
 
 #: Bytes that the network reads at a time.

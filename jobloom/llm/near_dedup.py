@@ -4,8 +4,8 @@ A document's word shingles are hashed by one function; the ``k`` smallest values
 sketch. Two sets at the threshold share, but for a chance below 1e-7, at least half of their
 sketches, so they share one of the rarest k/2 + 1 values of either; inverted lists of these
 alone generate the overlaps. The members of all lists with the same most central member are
-one cluster, in which every linked pair meets. There, sketches of the union filter; exact Jaccard on the full shingle sets
-of the texts verifies. Documents with equal sets are one class from the start.
+one cluster, in which every linked pair meets. There, sketches filter; exact Jaccard on the
+full shingle sets of the texts verifies. Documents with equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -83,12 +83,12 @@ def _listed(classes: DataFrame, k: int, percent: int) -> DataFrame:
     (number - m + 1). For small sets, m is exact; for the others it is half the sketch.
     Values of one class alone are left out.
     """
-    values = classes.select("set", "n", F.size("sketch").alias("own"), F.explode("sketch").alias("value"))
+    values = classes.select("set", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = values.join(common, "value").groupBy("set", "n", "own").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    shared = values.join(common, "value").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
     small = 100 * F.col("n") <= k * percent  # no partner has more than k shingles
     needed = F.when(small, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(k // 2))
-    first = F.col("own") - needed + 1 - (F.col("own") - F.size("shared"))
+    first = F.size("shared") - needed + 1  # of all its values so many less those of one class alone
     score = F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["df"])
     return shared.select("set", "n", score.alias("score"), F.explode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first.cast("int")))).alias("x")).select(F.col("x.value").alias("value"), "set", "n", "score")
 
@@ -115,7 +115,42 @@ def _spread(clusters: DataFrame, members: int, shingles: int) -> DataFrame:
     size = clusters.groupBy("centre").agg(F.ceil(F.greatest(F.count(F.lit(1)) / members, F.sum("n") / shingles)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
     block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     dealt = clusters.join(size, "centre").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "score")
+    return dealt.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "n", "score")
+
+
+def _promising(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of groups (centre, i, j, set, n, score, first, sketch), less the sketch, that some other row's sketch is alike.
+
+    Sketches are compared all at once, as counts of values in 2048 cells: values that fall
+    together can only make two sketches more alike, so no link is lost.
+    """
+    kept = members.drop("sketch").schema
+
+    def choose(group: pa.Table) -> pa.Table:
+        n = group.column("n").to_numpy()
+        sketch = group.column("sketch").combine_chunks()
+        cells = np.zeros((len(n), 2048), np.float32)
+        owner = np.repeat(np.arange(len(n)), np.diff(sketch.offsets.to_numpy()))
+        np.add.at(cells, (owner, sketch.flatten().to_numpy() & 2047), 1)
+        need = np.where(100 * n <= k * percent, -(-n * percent // 100), k // 2)
+        alike = np.zeros(len(n), bool)
+        for i in range(0, len(n), 256):
+            part = slice(i, i + 256)
+            pairs = cells[part] @ cells.T >= np.minimum(need[part, None], need)
+            pairs &= 100 * np.minimum(n[part, None], n) >= percent * np.maximum(n[part, None], n)
+            alike[part] = pairs.sum(axis=1) > 1  # itself and another one
+        return group.drop_columns(["sketch"]).filter(pa.array(alike))
+
+    return members.groupBy("centre", "i", "j").applyInArrow(choose, kept)
+
+
+def _union_shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many of the k smallest values of the union of ``one`` and each other sketch of k values are in both."""
+    k = len(one)
+    both = np.sort(np.concatenate([np.broadcast_to(one, others.shape), others], axis=1), axis=1)
+    again = both[:, 1:] == both[:, :-1]
+    distinct = np.arange(2, 2 * k + 1) - np.cumsum(again, axis=1)
+    return (again & (distinct <= k)).sum(axis=1)
 
 
 def spanning_links(sets: list[np.ndarray], order: list[int], k: int, percent: int) -> list[tuple[int, int]]:
@@ -123,8 +158,9 @@ def spanning_links(sets: list[np.ndarray], order: list[int], k: int, percent: in
 
     Members take turns, in ``order``, to be compared with all later ones that aren't
     connected with them yet. A pair is passed over where its sizes, the triangle inequality
-    of the Jaccard distance (to the first member, whose distances are all known), or sketches that share less
-    than half rule a link out; else its intersection is counted.
+    of the Jaccard distance (to the first member, whose distances are all known), or the
+    sketch of the union, of which both share less than half, rule a link out; else its
+    intersection is counted.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -159,6 +195,9 @@ def spanning_links(sets: list[np.ndarray], order: list[int], k: int, percent: in
             at = np.minimum(np.searchsorted(own, sketch[rows]), k - 1)
             alike = (own[at] == sketch[rows]).sum(axis=1)
             rows = rows[(2 * alike >= k) | (100 * sizes[rows] <= k * percent)]
+            if sizes[p] >= k:
+                full = sizes[rows] >= k
+                rows = np.concatenate([rows[~full], rows[full][2 * _union_shared(sketch[p], sketch[rows[full]]) >= k]])
             if not len(rows):
                 continue
         common = shared(p, rows)
@@ -208,12 +247,10 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, k: int = 64,
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.unhex(F.md5("text")).alias("key"), "text")
     rows = stored(sketches(base, size, k))
-    classes = rows.where("n > 0").groupBy("set").agg(F.min(F.struct("id", "key")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(rows.where("n > 0").groupBy("set").agg(F.min(F.struct("id", "key")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     clusters = stored(_clusters(_listed(classes, k, percent)))
-    groups = _spread(clusters, members, shingles)
-    wanted = clusters.select("set").distinct()
-    first = rows.join(wanted, "set", "left_semi").groupBy("set").agg(F.min(F.struct("id", "key")).alias("first"))
-    place = groups.join(first, "set").select("centre", "i", "j", "set", "score", F.col("first.id").alias("of"), F.col("first.key").alias("at"))
+    met = _spread(clusters, members, shingles).join(classes.select("set", "first", "sketch"), "set").select("centre", "i", "j", "set", "n", "score", "first", "sketch")
+    place = stored(_promising(met, k, percent)).select("centre", "i", "j", "set", "score", F.col("first.id").alias("of"), F.col("first.key").alias("at"))
     texts = base.join(place, base["id"].eqNullSafe(place["of"]) & (base["key"] == place["at"])).select("centre", "i", "j", "set", "score", "text")
     links = stored(_links(texts, size, k, percent))
     return _result(rows, components(links), id_col)
