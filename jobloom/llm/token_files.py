@@ -66,7 +66,7 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, shard = encoder(vocab), TaskContext.get().partitionId()
         names = [x.split()[0] for x in schema.split(", ")]
-        own, lengths, held, at, number, id_type = [], [], [], 0, 0, None
+        own, lengths, held, n_held, at, number, id_type = [], [], [], 0, 0, 0, None
 
         def done() -> pa.RecordBatch:
             ids = np.concatenate(held)
@@ -81,10 +81,11 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
                 own.append(doc)
                 lengths.append(len(ids))
                 held.append(ids)
-                if sum(lengths) >= chunk_ids:
+                n_held += len(ids)
+                if n_held >= chunk_ids:
                     yield done()
-                    at, number = at + sum(lengths), number + 1
-                    own, lengths, held = [], [], []
+                    at, number = at + n_held, number + 1
+                    own, lengths, held, n_held = [], [], [], 0
         if own:
             yield done()
 
