@@ -30,7 +30,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(documents(spark, sf_dir), held_out=_remainder(10) == 0)
+    return ppm.score(documents(spark, sf_dir), held_out=_remainder(10) == 0, order=5)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
