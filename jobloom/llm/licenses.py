@@ -16,6 +16,8 @@ from jobloom.llm.common import lower_ascii, text_of
 
 #: Ends of sentences: closing punctuation before white space, and empty lines.
 CUT = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*"
+#: Comment markers at a line's start; a line of markers alone becomes an empty line.
+MARKERS = r"(?<![^\n])[\x20\x09]*(?:#+|//[/!]*|/\*[*!]*|\*+/?|--+>?|;+|%+|<!--+)[\x20\x09]*"
 #: What normalising turns into a space: ASCII other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Each known text has a sentence with one of these, so documents without any have no licence.
@@ -100,6 +102,11 @@ def known(texts: list[tuple[str, str]] = TEXTS) -> tuple[dict[str, str], list[tu
     return ids, sorted(((licence, rule) for rule, licence in rules.items()), key=lambda x: (-x[1].count(" "), x))
 
 
+def uncommented(text: Column) -> Column:
+    """``text`` without the comment markers at its lines' starts."""
+    return F.regexp_replace(text, MARKERS, "")
+
+
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text."""
     return F.transform(F.split(lower_ascii(text), CUT), lambda s: F.trim(F.regexp_replace(s, BETWEEN, " ")))
@@ -111,18 +118,22 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, id_col: str = "d
     Returns one row per document row: id, n_sentences (known sentences), sentence_ids (in text order, space-joined),
     n_licenses, licenses (distinct, sorted, comma-joined). Up to ``MOST_BETWEEN`` other
     sentences may stand between two of a rule. A rule takes its sentences, so a notice inside a
-    longer text counts once. A line that is a whole one-sentence text counts even where the
-    line before it has no closing punctuation. Null text is empty; no row is dropped; there is no shuffle.
+    longer text counts once. A line that is a whole known text counts even where the
+    lines beside it have no closing punctuation. Comment markers at line starts are no text. A known
+    sentence may be cut by one or two empty lines. Null text is empty; no row is dropped; there is no shuffle.
     """
     ids, rules = known(texts)
     lookup = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
-    single = {s: next(licence for licence, rule in rules if rule == f" {i} ") for s, i in ids.items() if any(rule == f" {i} " for _, rule in rules)}
-    lines = F.transform(F.split(lower_ascii(F.col("text")), "\n"), lambda s: F.trim(F.regexp_replace(s, BETWEEN, " ")))
-    notices = F.filter(F.transform(lines, lambda s: F.element_at(F.create_map(*(F.lit(x) for pair in single.items() for x in pair)), s)), lambda x: x.isNotNull())
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    whole = F.create_map(*(F.lit(x) for pair in {" ".join(known_sentences(t)): licence for licence, t in texts}.items() for x in pair))
+    text = uncommented(F.col("text"))
+    lines = F.transform(F.split(lower_ascii(text), "\n"), lambda s: F.trim(F.regexp_replace(s, BETWEEN, " ")))
+    notices = F.filter(F.transform(lines, lambda s: F.element_at(whole, s)), lambda x: x.isNotNull())
+    parts = sentences(text)
+    cut = lambda i, n: F.element_at(lookup, F.array_join(F.slice(F.col("parts"), i + 1, n), " "))
+    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", "text", F.when(F.col("text").rlike(TRIGGER), parts).alias("parts"))
     found = base.select(
         "id",
-        F.when(F.col("text").rlike(TRIGGER), F.transform(sentences(F.col("text")), lambda s: F.element_at(lookup, s))).alias("ids"),
+        F.when(F.col("text").rlike(TRIGGER), F.transform("parts", lambda s, i: F.coalesce(F.element_at(lookup, s), cut(i, 2), cut(i, 3)))).alias("ids"),
         F.when(F.col("text").rlike(TRIGGER), F.array_distinct(notices)).alias("notices"),
     )
     # known ones in order, with a bar wherever too many others stand between
