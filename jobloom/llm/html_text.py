@@ -154,26 +154,38 @@ def measure(root: Node) -> list[Node]:
 
 
 def main_node(root: Node) -> list[Node]:
-    """The subtrees that hold the article, in page order."""
+    """The subtrees that hold the article, in page order.
+
+    Off the path from the best node to the body, at every level, nodes under the path's least density are set
+    beside the article; headings and further articles stay.
+    """
     nodes = measure(root)
     best = max(nodes, key=lambda n: n.total)
     if not best.total:
         return [root]
-    path, node = [best], best
-    while node.parent:
-        node = node.parent
-        path.append(node)
     for kind in ("article", "main"):
-        for node in path:
-            if node.tag == kind:
-                return [node]
-    while best.parent and best.tag not in ("div", "section", "td", "html", "blockquote"):
-        best = best.parent
-    if not best.parent:
-        return [best]
+        above = best
+        while above.parent and above.tag != kind:
+            above = above.parent
+        if above.tag == kind:
+            best = above
+            break
+    else:
+        while best.parent and best.tag not in ("div", "section", "td", "html", "blockquote"):
+            best = best.parent
+    path = [best]
+    while path[-1].parent:
+        path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    beside = [n for n in best.parent.parts if isinstance(n, Node) and not n.beside]
-    return [n for n in beside if n is best or n.tag in HEADING or n.tag == "p" and n.density >= threshold]
+    for below, node in zip(path, path[1:]):
+        for n in node.parts:
+            if isinstance(n, Node) and n is not below and n.chars and n.density < threshold and n.tag not in HEADING and not _holds_article(n):
+                n.beside = True
+    return [root]
+
+
+def _holds_article(node: Node) -> bool:
+    return any(n.tag == "article" for n in _nodes(node))
 
 
 def blocks(nodes: list[Node]) -> list[str]:
