@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from jobloom.llm.gru import PAD, Network
 
@@ -125,9 +126,20 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     return predict(base, *learned, text_col=text_col, keep=(id_col, "held_out"))
 
 
+@F.pandas_udf(BooleanType())
+def has_letter(text: pd.Series) -> pd.Series:
+    """Whether a text has a letter, by the rule of ``predict``; a null one has none."""
+    return text.map(lambda t: t is not None and any(map(str.isalpha, t))).astype(bool)
+
+
 def drop_rejected(docs: DataFrame, held_out: Column, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those of undetermined language, and those scored under ``least``; all columns are returned."""
+    """``docs`` without those of undetermined language, and those scored under ``least``; all columns are returned.
+
+    When nothing was learned, every text with a letter is kept, as no language can be told from another.
+    """
     base = docs.withColumn("__held_out", held_out)
     learned = train(base.where(~F.col("__held_out")), lang_col, id_col, text_col)
+    if learned[1] is None:
+        return docs.where(has_letter(F.col(text_col)))
     labelled = predict(docs.withColumn("__whole", F.struct(*docs.columns)), *learned, text_col=text_col, keep=("__whole",))
     return labelled.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("__whole.*")
