@@ -48,15 +48,16 @@ def default_path() -> str:
 class Encoder:
     """Encodes texts and remembers the ids of words, with the space before them.
 
-    The memory only saves work: it begins anew when it holds ``most`` words.
+    The memory only saves work: it begins anew when it holds ``most`` words. With ``special``, strings
+    of added tokens are these tokens, as in the tokenizer as loaded; else they are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 2_000_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
         self.most = most
         self.first: dict[str, bytes] = {}  # words that begin a line
         self.later: dict[str, bytes] = {}  # words after a space, which belongs to them
@@ -65,6 +66,8 @@ class Encoder:
         kind = json.loads(self.tokenizer.to_str())
         self.byte_level = kind["normalizer"] is None and (kind["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not kind["pre_tokenizer"]["add_prefix_space"] and kind["post_processor"] is None
         self.model = self.tokenizer.model
+        added = [t["content"] for t in kind["added_tokens"]]
+        self.whole = re.compile("|".join(map(re.escape, added))) if special and added else None  # texts that the library does whole
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -117,12 +120,13 @@ class Encoder:
         for text in texts:
             if len(self.first) + len(self.later) + len(self.pieces) > self.most:
                 self.first, self.later, self.pieces = {}, {}, {}
-            found.append(np.frombuffer(self._text(text), np.uint32))
+            ids = self._encode(text) if self.whole and self.whole.search(text) else self._text(text)
+            found.append(np.frombuffer(ids, np.uint32))
         return found
 
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _loaded:
-        _loaded[path] = Encoder(path)
+        _loaded[path] = Encoder(path, special=True)
     return _loaded[path]
