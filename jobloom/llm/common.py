@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,13 +32,14 @@ def lower_ascii(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors reach.
 
-    It lies in ``spark.checkpoint.dir``; where that is unset, as in tests on one
-    machine, in a temporary folder, which the session then also uses for checkpoints.
+    It lies in ``spark.checkpoint.dir``. Where that is unset on one machine, as in tests, it
+    lies in a temporary folder, which the session then also uses for checkpoints; a
+    cluster without that setting is an error, as its executors share no temporary folder.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = spark.sparkContext.getCheckpointDir()
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="jobloom-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/jobloom-{uuid.uuid4().hex}"
@@ -46,9 +48,33 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again.
 
-    Cuts the lineage: lost executors cost no recomputation of what came before.
+    Cuts the lineage: lost executors cost no recomputation of what came before. The table
+    stays until ``discard``, or until the shared folder is cleared.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more: what was made from them is stored itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_values(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", parts: int = 1 << 15) -> DataFrame:
+    """``rows`` joined with ``table``, which has each ``key`` once and in ``weight`` how many rows have it.
+
+    Keys with more than one in ``parts`` of all these rows are at most ``parts``: their entries go to all tasks,
+    and their rows stay where they are. All others are joined by a shuffle, in which no
+    key stands out. ``table`` is read more than once, so it should be a stored one.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = F.col(weight) > F.lit(total // parts)
+    few = F.broadcast(table.where(hot).drop(weight))
+    rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(table.where(~hot).drop(weight), key, how))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import stored
+from jobloom.llm.common import discard, stored, with_values
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,12 +22,13 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("low"))
-        hung = large.join(small, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        now = stored(hung.unionByName(small.select("a", F.col("low").alias("b"))).distinct())
-        before, mark = mark, _mark(now)
+        least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), F.count(F.lit(1)).alias("degree")))
+        large = stored(with_values(both.where("b > a"), least, "a", "degree").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
+        small = stored(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("degree")))
+        hung = with_values(large, small, "a", "degree").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        after = stored(hung.unionByName(small.select("a", F.col("low").alias("b"))).distinct())
+        discard(now, least, large, small)
+        now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,11 +1,13 @@
 """MinHash near-duplicate detection by bottom-k sketches from one hash function.
 
 A document's word shingles are hashed by one function; the ``k`` smallest values are its
-sketch. Two sets at the threshold share, but for a chance below 1e-7, at least half of their
-sketches, so they share one of the rarest k/2 + 1 values of either; inverted lists of these
-alone generate the overlaps. The members of all lists with the same most central member are
-one cluster, in which every linked pair meets. There, sketches filter; exact Jaccard on the
-full shingle sets of the texts verifies. Documents with equal sets are one class from the start.
+sketch. Documents with equal sets are one class from the start. Inverted lists of retained
+values generate overlaps: two sets at the threshold share, but for a chance of about 2e-8, 12 of
+the 32 smallest values of their union. So a class with fewer than 12 values that other classes
+have too has no partner, and of two linked ones each has one of the rarest of these values,
+all but eleven, in common. A list is split by the sizes of its sets. All parts with the same most central
+member are one cluster, in which every linked pair meets. There, sketches filter;
+exact Jaccard on the full shingle sets of the texts verifies.
 """
 
 from __future__ import annotations
@@ -19,9 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import LOWER, stored, text_of
+from jobloom.llm.common import LOWER, discard, stored, text_of, with_values
 from jobloom.llm.components import components
 
+#: Bits of the filter that keeps documents without a partner out of the shuffle of texts: 8 MB.
+FILTER_BITS = 1 << 26
+
 _words: dict[bytes, int] = {}
 
 
@@ -58,7 +63,7 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """(id, key, n, set, sketch) of each (id, key, text): set is a 128-bit digest of all hashes."""
+    """(id, key, n, set, sketch) of each (id, key, text): set is a 128-bit digest of all hashes, sketch the k smallest, eight bytes each."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,79 +74,125 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
                 batch.column(1),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
+                pa.array([s[:k].tobytes() for s in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "set", "sketch"])
 
-    return docs.mapInArrow(sketch, f"id {kind}, key binary, n long, set binary, sketch array<long>")
+    return docs.mapInArrow(sketch, f"id {kind}, key binary, n long, set binary, sketch binary")
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of sketches, and how many each sketch has."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.int64), np.array([len(x) // 8 for x in parts], np.int64)
+
+
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """Places within parts of so many entries each: 0, 1, ... for each part."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _retained(classes: DataFrame, k: int) -> DataFrame:
+    """(value, short, n): the k smallest values of each class."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, counts = _values(batch.column(2))
+            kept = _rank(counts) < k
+            of = [pa.array(np.repeat(batch.column(x).to_numpy(), counts)[kept]) for x in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(values[kept]), *of], ["value", "short", "n"])
+
+    return classes.select("short", F.col("n").cast("int").alias("n"), "sketch").mapInArrow(cut, "value long, short long, n int")
 
 
-def _listed(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(value, set, n, score): the retained values under which a class is listed.
+def _listed(classes: DataFrame, k: int, need: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(value, short, own, central): the retained values under which a class is listed; and the stored table that this reads.
 
-    In the order of rarity, sets that share at least m of their values share one of the first
-    (number - m + 1). For small sets, m is exact; for the others it is half the sketch.
-    Values of one class alone are left out.
+    Of two sets that share at least m of their k smallest values, in the order of rarity, the first
+    (number - m + 1) of each one's have one in common; the number is of values that
+    more than one class has. For small sets, m is exact; for the others it is ``need``.
+    ``own`` is the class of size, ``central`` orders classes by how frequent their values are together.
     """
-    values = classes.select("set", "n", F.explode("sketch").alias("value"))
-    common = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = values.join(common, "value").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    retained = _retained(classes, k)
+    common = stored(retained.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumn("times", F.col("df")))
+    shared = with_values(retained, common, "value", "df").groupBy("short", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
     small = 100 * F.col("n") <= k * percent  # no partner has more than k shingles
-    needed = F.when(small, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(k // 2))
-    first = F.size("shared") - needed + 1  # of all its values so many less those of one class alone
-    score = F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    return shared.select("set", "n", score.alias("score"), F.explode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first.cast("int")))).alias("x")).select(F.col("x.value").alias("value"), "set", "n", "score")
+    first = F.size("shared") - F.when(small, F.ceil(F.col("n") * percent / 100)).otherwise(need).cast("int") + 1
+    own = F.floor(F.log("n") / F.log(F.lit(100.01 / percent))).cast("int")
+    score = F.floor(4096 * F.log2(1 + F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["times"])))
+    central = F.call_function("shiftleft", score, F.lit(45)).bitwiseOR(F.col("short").bitwiseAND(F.lit((1 << 45) - 1)))
+    chosen = shared.where(first > 0).select("short", own.alias("own"), central.alias("central"), F.explode(F.slice("shared", F.lit(1), first)).alias("x"))
+    return chosen.select("x.value", "short", "own", "central"), common
 
 
 def _clusters(listed: DataFrame) -> DataFrame:
-    """(centre, set, n, score): of each list of two or more sets of similar size, its members under its most central one.
+    """(centre, short): of each list of two or more sets of similar size, its members under its most central one.
 
-    A list is split by size: a set stands in the parts of its own class of size and of the
+    A list is split by size: a set stands in the part of its own class of size and in that of the
     next, so any two whose sizes allow a link stand in one part together.
     """
-    own = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
-    parts = listed.select("value", "set", "n", "score", F.explode(F.array(own, own + 1)).alias("part"))
-    several = parts.groupBy("value", "part").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "set")).alias("best")).where("members > 1")
-    joined = parts.join(several, ["value", "part"])
-    return joined.groupBy(F.col("best.set").alias("centre"), "set").agg(F.first("n").alias("n"), F.first("score").alias("score"))
+    own = F.col("own")
+    parts = listed.withColumn("part", F.explode(F.array(own, own + 1))).select(F.xxhash64("value", "part").alias("list"), "short", "central")
+    several = stored(parts.groupBy("list").agg(F.count(F.lit(1)).alias("members"), F.max("central").alias("centre")).where("members > 1"))
+    clusters = stored(with_values(parts.drop("central"), several, "list", "members").select("centre", "short").distinct())
+    discard(several)
+    return clusters
 
 
-def _spread(clusters: DataFrame, members: int, shingles: int) -> DataFrame:
-    """Clusters dealt to groups (centre, i, j) of bounded size that together hold each pair of a cluster's members.
+def _spread(clusters: DataFrame, members: int, shingles: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows of clusters (centre, n, ...) dealt to groups (centre, part, i, j) of bounded size that together hold each pair that can be linked.
 
-    A cluster of more than ``members`` sets or ``shingles`` shingles is cut into blocks, and each two
-    blocks make a group; a smaller one is one group.
+    Also the stored tables that this reads.
+
+    A cluster of more than ``members`` sets or ``shingles`` shingles is split by size: a set stands in
+    the part of its own class of size and in that of the next, so any two whose sizes
+    allow a link stand in one part together. A part that is still larger is cut into
+    blocks, and each two blocks make a group.
     """
-    size = clusters.groupBy("centre").agg(F.ceil(F.greatest(F.count(F.lit(1)) / members, F.sum("n") / shingles)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
-    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    dealt = clusters.join(size, "centre").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "n", "score")
+    weigh = lambda rows, *by: rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.greatest(F.count(F.lit(1)) / members, F.sum("n") / shingles)).cast("int").alias("blocks"))
+    sizes = stored(weigh(clusters, "centre"))
+    sized = stored(with_values(clusters, sizes, "centre", "rows"))
+    discard(sizes)
+    own = F.floor(F.log("n") / F.log(F.lit(100.01 / percent))).cast("int")
+    whole = sized.where("blocks = 1").withColumns({"part": F.lit(0), "i": F.lit(0), "j": F.lit(0)}).drop("blocks")
+    parts = sized.where("blocks > 1").drop("blocks").withColumn("part", F.explode(F.array(own, own + 1))).withColumn("both", F.xxhash64("centre", "part"))
+    cut = stored(weigh(parts, "both").where("rows > 1"))
+    block = F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int")
+    dealt = with_values(parts, cut, "both", "rows").drop("both").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other", "blocks")
+    return whole.unionByName(blocks), [sized, cut]
+
+
+GROUP = ("centre", "part", "i", "j")
 
 
 def _promising(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rows of groups (centre, i, j, set, n, score, first, sketch), less the sketch, that some other row's sketch is alike.
+    """(*GROUP, set, of, at, score): the rows of groups that some other row's sketch is alike; score: how many others.
 
     Sketches are compared all at once, as counts of values in 2048 cells: values that fall
-    together can only make two sketches more alike, so no link is lost.
+    together can only make two sketches more alike, so no link is lost. ``cells`` has two bytes a value.
     """
-    kept = members.drop("sketch").schema
 
     def choose(group: pa.Table) -> pa.Table:
         n = group.column("n").to_numpy()
-        sketch = group.column("sketch").combine_chunks()
-        cells = np.zeros((len(n), 2048), np.float32)
-        owner = np.repeat(np.arange(len(n)), np.diff(sketch.offsets.to_numpy()))
-        np.add.at(cells, (owner, sketch.flatten().to_numpy() & 2047), 1)
+        parts = group.column("cells").to_pylist()
+        owner = np.repeat(np.arange(len(n)), [len(x) // 2 for x in parts])
+        flat = owner * 2048 + np.frombuffer(b"".join(parts), np.uint16)
+        cells = np.bincount(flat, minlength=len(n) * 2048).astype(np.float32).reshape(len(n), 2048)
         need = np.where(100 * n <= k * percent, -(-n * percent // 100), k // 2)
-        alike = np.zeros(len(n), bool)
-        for i in range(0, len(n), 256):
-            part = slice(i, i + 256)
-            pairs = cells[part] @ cells.T >= np.minimum(need[part, None], need)
-            pairs &= 100 * np.minimum(n[part, None], n) >= percent * np.maximum(n[part, None], n)
-            alike[part] = pairs.sum(axis=1) > 1  # itself and another one
-        return group.drop_columns(["sketch"]).filter(pa.array(alike))
+        by = np.argsort(n, kind="stable")
+        n, need, cells = n[by], need[by], cells[by]
+        score = np.zeros(len(n), np.int64)
+        for at in range(0, len(n), 256):
+            part = slice(at, min(at + 256, len(n)))
+            near = slice(np.searchsorted(n, -(-n[at] * percent // 100)), np.searchsorted(n, n[part][-1] * 100 // percent, "right"))
+            pairs = cells[part] @ cells[near].T >= np.minimum(need[part, None], need[near])
+            pairs &= 100 * np.minimum(n[part, None], n[near]) >= percent * np.maximum(n[part, None], n[near])
+            score[by[part]] = pairs.sum(axis=1) - 1  # without itself
+        return group.drop_columns(["cells", "n"]).append_column("score", pa.array(score)).filter(pa.array(score > 0))
 
-    return members.groupBy("centre", "i", "j").applyInArrow(choose, kept)
+    fields = members.drop("cells", "n").schema.add("score", "long")
+    return members.groupBy(*GROUP).applyInArrow(choose, fields)
 
 
 def _union_shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -213,7 +264,7 @@ def spanning_links(sets: list[np.ndarray], order: list[int], k: int, percent: in
 
 
 def _links(groups: DataFrame, size: int, k: int, percent: int) -> DataFrame:
-    """(a, b): spanning links of each group (centre, i, j, set, score, text), confirmed on the shingles' words."""
+    """(a, b): links that connect each group (*GROUP, set, score, text), confirmed on the shingles' words; stars about the least member."""
 
     def link(group: pa.Table) -> pa.Table:
         names, texts = group.column("set").to_pylist(), group.column("text").to_pylist()
@@ -221,17 +272,40 @@ def _links(groups: DataFrame, size: int, k: int, percent: int) -> DataFrame:
         order = sorted(range(len(names)), key=lambda x: (-score[x], names[x]))
         pairs = spanning_links([shingle_hashes(t, size) for t in texts], order, k, percent)
         words: dict[int, set] = {}
-        sure = []
+        top = list(range(len(names)))
         for a, b in pairs:
             if b not in words:
                 words = {b: shingle_set(texts[b], size)}
             other = shingle_set(texts[a], size)
             common = len(words[b] & other)
             if 100 * common >= percent * (len(words[b]) + len(other) - common):
-                sure.append((names[a], names[b]))
+                low, high = sorted((_top(top, a), _top(top, b)), key=names.__getitem__)
+                top[high] = low
+        sure = [(names[x], names[y]) for x in range(len(names)) if (y := _top(top, x)) != x]
         return pa.table({"a": pa.array([a for a, _ in sure], pa.binary()), "b": pa.array([b for _, b in sure], pa.binary())})
 
-    return groups.groupBy("centre", "i", "j").applyInArrow(link, "a binary, b binary")
+    return groups.groupBy(*GROUP).applyInArrow(link, "a binary, b binary")
+
+
+def _top(top: list[int], x: int) -> int:
+    """The least member that ``x`` is connected with, the way there made short."""
+    while top[x] != x:
+        top[x] = top[top[x]]
+        x = top[x]
+    return x
+
+
+def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` (a long) may be one of ``keys``; few others, unless the keys are very many.
+
+    Keys set bits of bitmaps of ``FILTER_BITS`` bits in all, whatever their number, which go to
+    all tasks. So rows without a partner aren't shuffled; a join decides on the others.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    maps = keys.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    tested = rows.withColumn("bit", bit).withColumn("bucket", F.expr("bitmap_bucket_number(bit)")).join(F.broadcast(maps), "bucket")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(F.expr("bitmap_bit_position(bit)"), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return tested.where(F.getbit(byte, F.expr("cast(bitmap_bit_position(bit) & 7 as int)")) == 1).drop("bit", "bucket", "bits")
 
 
 def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text", members: int = 1024, shingles: int = 1_500_000) -> DataFrame:
@@ -241,26 +315,57 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, k: int = 64,
     shingles; a group is what links connect. Returns one row per document row: id, n_shingles,
     component_id (the smallest id of its group), kept. Null text has no words; documents
     without words are linked with nothing and kept. Rows that share an id are documents of
-    their own; a null id never wins over another one. Other columns are ignored.
+    their own; a null id never wins over another one. An empty table gives an empty result. Other columns are ignored.
 
     ``members`` and ``shingles`` bound what one task holds at a time, not what is compared.
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.unhex(F.md5("text")).alias("key"), "text")
     rows = stored(sketches(base, size, k))
-    classes = stored(rows.where("n > 0").groupBy("set").agg(F.min(F.struct("id", "key")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    clusters = stored(_clusters(_listed(classes, k, percent)))
-    met = _spread(clusters, members, shingles).join(classes.select("set", "first", "sketch"), "set").select("centre", "i", "j", "set", "n", "score", "first", "sketch")
-    place = stored(_promising(met, k, percent)).select("centre", "i", "j", "set", "score", F.col("first.id").alias("of"), F.col("first.key").alias("at"))
-    texts = base.join(place, base["id"].eqNullSafe(place["of"]) & (base["key"] == place["at"])).select("centre", "i", "j", "set", "score", "text")
-    links = stored(_links(texts, size, k, percent))
-    return _result(rows, components(links), id_col)
-
-
-def _result(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    named = rows.select("id", "n", "set").join(labels, rows["set"] == labels["node"], "left").select("id", "n", F.coalesce("component", "set").alias("component"))
-    linked = named.where("n > 0")
-    least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
-    found = linked.join(least, "component").unionByName(named.where("n = 0").withColumn("component_id", F.col("id")))
+    # classes: the row whose text stands for them, their smallest id, how many rows they have
+    classes = stored(
+        rows.where("n > 0").groupBy("set")
+        .agg(F.min(F.struct("id", "key")).alias("first"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .withColumn("short", F.xxhash64("set"))
+    )
+    half, need = k // 2, -(-3 * k // 16)
+    listed, common = _listed(classes, half, need, percent)
+    listed = stored(listed)
+    discard(common)
+    clusters = _clusters(listed)
+    discard(listed)
+    met = clusters.join(_cells(classes), "short")
+    dealt, read = _spread(met, members, shingles, percent)
+    place = stored(_promising(dealt, k, percent))
+    discard(clusters, *read)
+    keyed = base.withColumn("place", F.xxhash64("id", "key"))
+    texts = _among(keyed, place.select(F.xxhash64("of", "at").alias("place")), "place").join(place, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at")))
+    links = stored(_links(texts.select(*GROUP, "set", "score", "text"), size, k, percent))
+    discard(place)
+    return _result(rows, classes, components(links), id_col)
+
+
+def _cells(classes: DataFrame) -> DataFrame:
+    """(short, set, of, at, n, cells) of each class; cells: the lowest 11 bits of the sketch's values, two bytes each."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, counts = _values(batch.column(batch.num_columns - 1))
+            data = (values & 2047).astype(np.uint16).tobytes()
+            ends = np.cumsum(counts) * 2
+            cells = pa.array([data[e - 2 * c : e] for e, c in zip(ends.tolist(), counts.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cells], [*batch.schema.names[:-1], "cells"])
+
+    plain = classes.select("short", "set", F.col("first.id").alias("of"), F.col("first.key").alias("at"), "n", F.col("sketch").alias("cells"))
+    return plain.mapInArrow(cut, plain.schema)
+
+
+def _result(rows: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    named = stored(classes.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "least", "copies", F.coalesce("component", "set").alias("component")))
+    least = stored(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets")))
+    of_sets = stored(with_values(named, least, "component", "sets").select("set", "component_id", "copies"))
+    discard(classes, named, least)
+    with_words = with_values(rows.where("n > 0").select("id", "n", "set"), of_sets, "set", "copies").select("id", "n", "component_id")
+    found = with_words.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
