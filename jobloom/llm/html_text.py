@@ -1,9 +1,11 @@
 """Main text of web pages by composite text density.
 
-Of every node of the page's tree: characters per tag, lowered by the share of characters in
-links. Of every node: the sum of its children's densities. The node with the largest sum leads
-to the article; the least density on its path to the body is the threshold that what stands
-beside it must reach.
+Of every node of the page's tree: its characters per tag, adjusted by the share of characters in
+links (the composite text density of the published method). Of every node: the sum of its children's
+densities. The node with the largest sum leads to the article; the least density on its path to the
+body is the threshold. What stands beside that path, on any level, stays where it reaches the
+threshold. Inside, and in the ``article`` or ``main`` element around it, blocks of links and nodes that
+only a class name speaks against go where they don't reach it.
 """
 
 from __future__ import annotations
@@ -21,20 +23,21 @@ from jobloom.llm.common import text_of
 
 # Kinds of elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Elements, roles and words of class or id that stand for something beside the article.
-BESIDE = frozenset("nav footer aside form button select option optgroup menu dialog object embed audio video canvas map head datalist output input label fieldset".split()) | RAW
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer sidebar sidenav aside widget widgets ad ads adv advert adverts advertisement "
-    "adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal overlay "
-    "comment comments commentlist disqus respond reply replies social share sharing related recommended recommendations pagination pager login signup search toolbar skip".split()
-)
+# Elements and roles that by their definition hold no article text.
+BESIDE = frozenset("nav footer aside form button select option optgroup menu dialog object embed audio video canvas map datalist output input label fieldset noscript template svg".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar".split())
+#: Elements that are left out as tags where the page never ends them.
+ENDED = frozenset("noscript template svg object audio video canvas map".split())
+#: Words of class or id that say what density can't: readers' comments and adverts are as dense as an article.
+WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsored banner cookie cookies gdpr nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav masthead newsletter popup modal overlay comment comments commentlist disqus pagination pager".split())
+#: Words that count only against nodes under the threshold.
+HINTS = frozenset("header footer topbar aside widget widgets sponsor promo promotion consent notice notices alert subscribe subscription respond reply replies social share sharing related recommended recommendations login signup search toolbar skip".split())
 #: Start tags that end an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -47,39 +50,50 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 
 
 class Node:
-    """An element: what it holds in order (text or nodes), and the figures of its subtree."""
+    """An element: what it holds in order (text or nodes), and the figures of its subtree.
+
+    ``doubt`` is 2 for what isn't article text by its element, role or class name, 1 for what has a hint of that, else 0.
+    """
 
-    __slots__ = ("tag", "parent", "parts", "beside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "doubt", "beside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, beside: bool):
-        self.tag, self.parent, self.beside, self.parts = tag, parent, beside, []
+    def __init__(self, tag: str, parent: Node | None, doubt: int):
+        self.tag, self.parent, self.doubt, self.beside, self.parts = tag, parent, doubt, False, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_beside(tag: str, attributes: str, within: bool) -> bool:
+def _doubt(tag: str, attributes: str, within: bool) -> int:
+    """How sure the element itself is that it stands beside the article; ``within``: an article or main is open."""
     if tag in BESIDE or tag == "header" and not within:
-        return True
+        return 2
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    found = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
         if name == "role" and value in ROLES:
-            return True
+            return 2
+        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
+            found = 1
         if name in ("class", "id"):
             for word in value.split():
-                if not word.startswith(("has-", "with-", "no-", "without-")) and not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", word)):
-                    return not (within and "header" in word)
-    return False
+                if word.startswith(("has-", "with-", "no-", "without-")):
+                    continue
+                parts = re.split(r"[^a-z0-9]+", word)
+                if not WORDS.isdisjoint(parts):
+                    return 2
+                if not HINTS.isdisjoint(parts):
+                    found = 1
+    return found
 
 
 def parse(page: str) -> Node:
     """The page's tree. Open elements that HTML ends by itself are ended; unknown end tags are ignored."""
-    root = now = Node("html", None, False)
+    root = now = Node("html", None, 0)
     at, end = 0, len(page)
     depth: dict[str, int] = {}
+    last: dict[str, int] = {}  # where the page ends such an element for the last time
     while at < end:
         m = _PART.match(page, at)
         at = m.end()
@@ -96,7 +110,7 @@ def parse(page: str) -> Node:
                 now = now.parent
         elif opened:
             tag = opened.lower()
-            if tag in ("html", "body"):
+            if tag in ("html", "head", "body"):
                 continue
             ended = {"p"} if tag in BLOCK else set()
             for kinds in (ended, ENDS.get(tag, ())):
@@ -108,12 +122,16 @@ def parse(page: str) -> Node:
                         depth[now.tag] -= 1
                         now = now.parent
             if tag in RAW:
-                found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = found.end() if found else end
                 continue
+            if tag in ENDED:
+                if tag not in last:
+                    last[tag] = max((x.start() for x in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+                if last[tag] < at:
+                    continue
             within = bool(depth.get("article") or depth.get("main"))
-            beside = _is_beside(tag, attributes or "", within) or now.beside and tag not in ("article", "main")
-            node = Node(tag, now, beside)
+            node = Node(tag, now, _doubt(tag, attributes or "", within))
             now.parts.append(node)
             if tag not in VOID and not (attributes or "").endswith("/"):
                 now = node
@@ -122,15 +140,27 @@ def parse(page: str) -> Node:
 
 
 def _nodes(root: Node) -> list[Node]:
-    """All nodes of the subtree that aren't beside the article, parents first."""
+    """All nodes of the subtree, parents first."""
     found = [root]
     for node in found:
-        found.extend(p for p in node.parts if isinstance(p, Node) and not p.beside)
+        found.extend(p for p in node.parts if isinstance(p, Node))
     return found
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density: characters per tag, on a scale that falls with links; ``share``: of the body's characters in links."""
+    if not chars:
+        return 0.0
+    plain, tags, links, link_tags = max(1, chars - link_chars), max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = math.log(chars / plain * links + share * chars + math.e)
+    return chars / tags * math.log(max(1.0, chars / links * tags / link_tags)) / math.log(base)
+
+
 def measure(root: Node) -> list[Node]:
-    """Sets densities and density sums of all nodes, and returns the nodes."""
+    """Sets densities and density sums of all nodes, and returns the nodes.
+
+    Sums leave out children that aren't article text by their element, role or class name.
+    """
     nodes = _nodes(root)
     for node in reversed(nodes):
         node.chars += sum(len("".join(html.unescape(p).split())) for p in node.parts if isinstance(p, str))
@@ -142,54 +172,45 @@ def measure(root: Node) -> list[Node]:
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
+    for node in nodes:  # a part of the page that holds more than half of all text, links apart, is no advert
+        if node.doubt == 2 and node.tag not in BESIDE and node.tags > 2 and 2 * (node.chars - node.link_chars) > root.chars - root.link_chars:
+            node.doubt = 1
     share = root.link_chars / root.chars if root.chars else 0.0
     for node in nodes:
-        if node.chars:
-            tags, linked, links = max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-            base = math.log(node.chars / max(1, node.chars - node.link_chars) * node.link_chars + share * node.chars + math.e)
-            node.density = node.chars / tags * math.log(node.chars / linked * tags / links + 1) / math.log(base + 1)
-        if node.parent:
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        if node.parent and node.doubt < 2:
             node.parent.total += node.density
     return nodes
 
 
-def main_node(root: Node) -> list[Node]:
-    """The subtrees that hold the article, in page order.
-
-    Off the path from the best node to the body, at every level, nodes under the path's least density are set
-    beside the article; headings and further articles stay.
-    """
+def mark(root: Node) -> float:
+    """Marks the nodes that stand beside the article, and returns the threshold. Of equal sums, the first in the page's levels leads."""
     nodes = measure(root)
-    best = max(nodes, key=lambda n: n.total)
-    if not best.total:
-        return [root]
-    for kind in ("article", "main"):
-        above = best
-        while above.parent and above.tag != kind:
-            above = above.parent
-        if above.tag == kind:
-            best = above
-            break
-    else:
-        while best.parent and best.tag not in ("div", "section", "td", "html", "blockquote"):
-            best = best.parent
+    shut: set[int] = set()  # what isn't article text by what it or a node around it says itself
+    for node in nodes:
+        if node.doubt == 2 or id(node.parent) in shut:
+            shut.add(id(node))
+    best = max((n for n in nodes if id(n) not in shut), key=lambda n: n.total, default=root)
     path = [best]
     while path[-1].parent:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    for below, node in zip(path, path[1:]):
-        for n in node.parts:
-            if isinstance(n, Node) and n is not below and n.chars and n.density < threshold and n.tag not in HEADING and not _holds_article(n):
-                n.beside = True
-    return [root]
-
-
-def _holds_article(node: Node) -> bool:
-    return any(n.tag == "article" for n in _nodes(node))
+    top = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
+    inner = set(map(id, _nodes(top or best)))
+    on_path = set(map(id, path))
+    for node in nodes:
+        if node.doubt == 2:
+            node.beside = True
+        elif id(node) in inner:
+            links = node.link_tags > 1 and node.tag in BLOCK and node.tag != "p" and 10 * node.link_chars >= 9 * node.chars
+            node.beside = (node.doubt == 1 or links) and id(node) not in on_path and node.density < threshold
+        elif node.parent and id(node.parent) in on_path and id(node) not in on_path and node.chars and node.tag not in HEADING and node.tag != "article":
+            node.beside = node.density < threshold or node.doubt == 1 and top is not None
+    return threshold
 
 
 def blocks(nodes: list[Node]) -> list[str]:
-    """The text of each block, in page order, its white space made single spaces."""
+    """The text of each block of what isn't beside the article, in page order, its white space made single spaces."""
     found, held = [], []
 
     def done() -> None:
@@ -228,14 +249,19 @@ _BREAK = object()
 
 def main_text(page: str) -> str:
     """The page's main text, its blocks joined by line feeds."""
-    return "\n".join(blocks(main_node(parse(page)))) if page else ""
+    if not page:
+        return ""
+    root = parse(page)
+    mark(root)
+    return "\n".join(blocks([root]))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """``keep`` of each row of ``pages``, with text and n_chars (its code points).
 
     Null or empty html gives an empty text. Repeated rows give a row each, nulls in the kept columns are kept, other
-    columns are ignored. Pages of any depth and with unclosed or stray tags are read.
+    columns are ignored. Pages of any length and depth and with unclosed or stray tags are read. An empty table gives an
+    empty result.
     """
     rows = pages.select(*keep, text_of(html_col).alias("__html"))
     schema = StructType([*rows.schema.fields[:-1], StructField("text", StringType()), StructField("n_chars", LongType())])
