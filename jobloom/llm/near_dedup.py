@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import LOWER, discard, stored, text_of, with_values
+from jobloom.llm.common import LOWER, among, discard, stored, text_of, with_values
 from jobloom.llm.components import components
 
 #: Bits of the filter that keeps documents without a partner out of the shuffle of texts: 8 MB.
@@ -295,19 +295,6 @@ def _top(top: list[int], x: int) -> int:
     return x
 
 
-def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose ``key`` (a long) may be one of ``keys``; few others, unless the keys are very many.
-
-    Keys set bits of bitmaps of ``FILTER_BITS`` bits in all, whatever their number, which go to
-    all tasks. So rows without a partner aren't shuffled; a join decides on the others.
-    """
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    maps = keys.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-    tested = rows.withColumn("bit", bit).withColumn("bucket", F.expr("bitmap_bucket_number(bit)")).join(F.broadcast(maps), "bucket")
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(F.expr("bitmap_bit_position(bit)"), 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return tested.where(F.getbit(byte, F.expr("cast(bitmap_bit_position(bit) & 7 as int)")) == 1).drop("bit", "bucket", "bits")
-
-
 def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text", members: int = 1024, shingles: int = 1_500_000) -> DataFrame:
     """Every row of ``docs`` with its group of near-duplicates.
 
@@ -338,7 +325,7 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, k: int = 64,
     place = stored(_promising(dealt, k, percent))
     discard(clusters, *read)
     keyed = base.withColumn("place", F.xxhash64("id", "key"))
-    texts = _among(keyed, place.select(F.xxhash64("of", "at").alias("place")), "place").join(place, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at")))
+    texts = among(keyed, place.select(F.xxhash64("of", "at").alias("place")), "place", FILTER_BITS).join(place, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at")))
     links = stored(_links(texts.select(*GROUP, "set", "score", "text"), size, k, percent))
     discard(place)
     return _result(rows, classes, components(links), id_col)

@@ -195,8 +195,8 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
 
 
-@pytest.mark.parametrize("most_in_set", [1000, 0])
-def test_decontamination(spark, most_in_set):
+@pytest.mark.parametrize("set_bits", [decontaminate.SET_BITS, 64])
+def test_decontamination(spark, set_bits):
     items = [(1, prose(900, 40)), (10, prose(901, 13)), (2, "Only four words, Émile"), (3, None), (4, "..."), (None, prose(902, 20)), (5, prose(900, 40))]
     rows = [*ODD, (20, prose(1, 30) + " " + prose(900, 40).upper()), (21, prose(2, 400) + ", " + prose(901, 13)), (22, "Only FOUR words émile"), (23, "only four words Émile only four words Émile"), (24, prose(900, 40)[:150]), (25, prose(902, 20))]
     windows = collections.defaultdict(set)
@@ -214,14 +214,14 @@ def test_decontamination(spark, most_in_set):
                     found |= {str(x) for x in own if x is not None}
         expected.append((i, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
     docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string").withColumn("window", F.lit("w"))
-    got = decontaminate.hits(docs, bench, most_in_set=most_in_set)
+    got = decontaminate.hits(docs, bench, set_bits=set_bits)
     assert sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"])) for r in got.collect()) == sorted(map(repr, expected))
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(repr(x[0]) for x in expected if not x[4])
-    if most_in_set:
+    if set_bits > 64:
         clean = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench).collect()}
         assert words(clean[20]) == words(prose(1, 30)) and clean[1] is None and clean[4] == "word"
-    none = decontaminate.hits(docs, bench.where("false"), most_in_set=most_in_set)
+    none = decontaminate.hits(docs, bench.where("false"), set_bits=set_bits)
     assert none.count() == len(rows) and none.where("n_hit > 0").count() == 0
 
 
