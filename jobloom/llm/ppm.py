@@ -311,17 +311,19 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_of(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _most_frequent(deep: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and scores of up to ``most`` of the most frequent codes: all those over a bound on how often they occur."""
-    step = F.floor(F.log2("times") * 16)
+def _most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """Up to ``most`` rows with the largest ``count``: all those over a bound, which the histogram of counts gives.
+
+    The histogram has a row for each sixteenth of a doubling, some thousand at most.
+    """
+    step = F.floor(F.log2(count) * 16)
     least, held = 1 << 20, 0
-    for size, n in sorted(((r[0], r[1]) for r in deep.groupBy(step).count().collect()), reverse=True):
+    for size, n in sorted(((r[0], r[1]) for r in rows.groupBy(step).count().collect()), reverse=True):
         held += n
         if held > most:
             break
         least = size
-    got = deep.where(step >= least).select("code", "p").toArrow()
-    return got.column("code").to_numpy(), got.column("p").to_numpy()
+    return rows.where(step >= least)
 
 
 def _deep_scores(texts: list[str], order: int, scored: Frequent) -> tuple[np.ndarray, ...]:
@@ -366,9 +368,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, kinds = words + ends, distinct + (ends > 0)
     share = total + 0.1 * (kinds + 1)
-    top = counts.orderBy(F.desc("n"), "word").limit(most_in_memory).toArrow()
+    top = _most_frequent(counts, "n", most_in_memory).select("word", "n").toArrow()
     deep = gram_scores(base, order) if order > ORDER else None
-    model = train(training) if deep is None else _most_frequent(deep, most_codes)
+    if deep is None:
+        model = train(training)
+    else:
+        codes = _most_frequent(deep, "times", most_codes).select("code", "p").toArrow()
+        model = codes.column("code").to_numpy(), codes.column("p").to_numpy()
     sent = spark.sparkContext.broadcast((model, top.column("word").to_pylist(), np.log10((top.column("n").to_numpy() + 0.1) / share), float(np.log10((ends + 0.1) / share))))
     kind = base.schema["id"].dataType.simpleString()
     schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, code long, times long"
