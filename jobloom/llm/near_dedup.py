@@ -2,12 +2,13 @@
 
 A document's word shingles are hashed by one function; the ``k`` smallest values are its
 sketch. Documents with equal sets are one class from the start. Inverted lists of retained
-values generate overlaps: two sets at the threshold share, but for a chance of about 2e-8, 12 of
-the 32 smallest values of their union. So a class with fewer than 12 values that other classes
-have too has no partner, and of two linked ones each has one of the rarest of these values,
-all but eleven, in common. A list is split by the sizes of its sets. All parts with the same most central
-member are one cluster, in which every linked pair meets. There, sketches filter;
-exact Jaccard on the full shingle sets of the texts verifies.
+values generate overlaps: a class is listed under each three values that follow one another in
+its sketch. Two sets at the threshold share four fifths of the smallest values of their union, and
+but for a chance of about 2e-8 three of the first 50 in a row, which then follow one another
+in both sketches. Common shingles alone bring no two documents together: their
+values hardly ever meet without another one between. All parts of lists with the same largest member
+are one cluster, in which every linked pair meets. There, sketches filter; exact Jaccard on
+the full shingle sets of the texts verifies.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from jobloom.llm.common import LOWER, among, discard, stored, text_of, with_values
 from jobloom.llm.components import components
 
-#: Bits of the filter that keeps documents without a partner out of the shuffle of texts: 8 MB.
+#: Values of a sketch that runs are taken from, and how many make a run.
+LISTED, RUN = 50, 3
+#: Bits of the filters that keep lists of two, and documents without a partner, out of shuffles: 8 MB.
 FILTER_BITS = 1 << 26
 
 _words: dict[bytes, int] = {}
@@ -92,50 +95,57 @@ def _rank(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _retained(classes: DataFrame, k: int) -> DataFrame:
-    """(value, short, n): the k smallest values of each class."""
+def runs(values: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each ``length`` values in a row of sketches that have so many values each, and the sketch it is of."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    left = np.repeat(counts, counts) - _rank(counts)
+    starts = np.flatnonzero(left >= length)
+    mixed = np.full(len(starts), length, np.uint64)
+    for i in range(length):
+        mixed = (mixed ^ values[starts + i].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    return mixed.view(np.int64), owner[starts]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, counts = _values(batch.column(2))
-            kept = _rank(counts) < k
-            of = [pa.array(np.repeat(batch.column(x).to_numpy(), counts)[kept]) for x in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(values[kept]), *of], ["value", "short", "n"])
 
-    return classes.select("short", F.col("n").cast("int").alias("n"), "sketch").mapInArrow(cut, "value long, short long, n int")
+def _listed(classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, short, own): the runs of its ``k`` smallest values under which a class (n, short, sketch) is listed.
 
+    Runs have ``RUN`` values. A union of up to five shingles may have none of these in common, so sets of up to five
+    have their single values too, as have all sets under a lower threshold than 80 percent. ``own`` is the class of size.
+    """
 
-def _listed(classes: DataFrame, k: int, need: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(value, short, own, central): the retained values under which a class is listed; and the stored table that this reads.
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, short = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            values, counts = _values(batch.column(2))
+            values, counts = values[_rank(counts) < k], np.minimum(counts, k)
+            single = (n <= 5) | (percent < 80)
+            ones = np.repeat(single, counts)
+            few = np.flatnonzero(single)
+            keys, of = runs(values, counts, RUN)
+            alone, alone_of = runs(values[ones], counts[few], 1)
+            of = np.concatenate([of, few[alone_of]])
+            own = (np.log(np.maximum(n, 1)) / np.log(100.01 / percent)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, alone])), pa.array(short[of]), pa.array(own[of])], ["key", "short", "own"])
 
-    Of two sets that share at least m of their k smallest values, in the order of rarity, the first
-    (number - m + 1) of each one's have one in common; the number is of values that
-    more than one class has. For small sets, m is exact; for the others it is ``need``.
-    ``own`` is the class of size, ``central`` orders classes by how frequent their values are together.
-    """
-    retained = _retained(classes, k)
-    common = stored(retained.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumn("times", F.col("df")))
-    shared = with_values(retained, common, "value", "df").groupBy("short", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
-    small = 100 * F.col("n") <= k * percent  # no partner has more than k shingles
-    first = F.size("shared") - F.when(small, F.ceil(F.col("n") * percent / 100)).otherwise(need).cast("int") + 1
-    own = F.floor(F.log("n") / F.log(F.lit(100.01 / percent))).cast("int")
-    score = F.floor(4096 * F.log2(1 + F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["times"])))
-    central = F.call_function("shiftleft", score, F.lit(45)).bitwiseOR(F.col("short").bitwiseAND(F.lit((1 << 45) - 1)))
-    chosen = shared.where(first > 0).select("short", own.alias("own"), central.alias("central"), F.explode(F.slice("shared", F.lit(1), first)).alias("x"))
-    return chosen.select("x.value", "short", "own", "central"), common
+    return classes.select("n", "short", "sketch").mapInArrow(deal, "key long, short long, own int")
 
 
 def _clusters(listed: DataFrame) -> DataFrame:
-    """(centre, short): of each list of two or more sets of similar size, its members under its most central one.
+    """(centre, short): of each list of two or more, its members under its largest one.
 
-    A list is split by size: a set stands in the part of its own class of size and in that of the
+    A list of more than two is split by size: a set stands in the part of its own class of size and in that of the
     next, so any two whose sizes allow a link stand in one part together.
     """
+    lists = stored(listed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("short").alias("centre"), F.min("short").alias("low")).where("members > 1"))
+    two = lists.where("members = 2").select("centre", F.explode(F.array("centre", "low")).alias("short"))
+    longer = lists.where("members > 2").select("key", "members")
+    kept = stored(with_values(among(listed, longer, "key", FILTER_BITS), longer, "key", "members"))
     own = F.col("own")
-    parts = listed.withColumn("part", F.explode(F.array(own, own + 1))).select(F.xxhash64("value", "part").alias("list"), "short", "central")
-    several = stored(parts.groupBy("list").agg(F.count(F.lit(1)).alias("members"), F.max("central").alias("centre")).where("members > 1"))
-    clusters = stored(with_values(parts.drop("central"), several, "list", "members").select("centre", "short").distinct())
-    discard(several)
+    parts = kept.withColumn("part", F.explode(F.array(own, own + 1))).select(F.xxhash64("key", "part").alias("list"), "short")
+    several = stored(parts.groupBy("list").agg(F.count(F.lit(1)).alias("members"), F.max("short").alias("centre")).where("members > 1"))
+    clusters = stored(with_values(parts, several, "list", "members").select("centre", "short").unionByName(two).distinct())
+    discard(lists, kept, several)
     return clusters
 
 
@@ -314,12 +324,7 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, k: int = 64,
         .agg(F.min(F.struct("id", "key")).alias("first"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         .withColumn("short", F.xxhash64("set"))
     )
-    half, need = k // 2, -(-3 * k // 16)
-    listed, common = _listed(classes, half, need, percent)
-    listed = stored(listed)
-    discard(common)
-    clusters = _clusters(listed)
-    discard(listed)
+    clusters = _clusters(_listed(classes, min(k, LISTED), percent))
     met = clusters.join(_cells(classes), "short")
     dealt, read = _spread(met, members, shingles, percent)
     place = stored(_promising(dealt, k, percent))
