@@ -83,12 +83,12 @@ def with_values(rows: DataFrame, table: DataFrame, key: str, weight: str, how: s
 def among(rows: DataFrame, keys: DataFrame, key: str, bits: int, also: Column | None = None) -> DataFrame:
     """``rows`` whose ``key`` (a long) may be one of ``keys``, and those of which ``also`` holds; few others, unless the keys are very many.
 
-    Keys set bits of bitmaps of ``bits`` bits in all, whatever their number; these go to all
-    tasks. So what has no partner isn't shuffled; a join decides on what is left.
+    Keys set bits of a set of ``bits`` bits, whatever their number; its words of 64 bits that aren't zero, at most
+    bits / 64, go to all tasks. So what has no partner isn't shuffled; a join decides on what is left.
     """
     bit = F.pmod(F.xxhash64(key), F.lit(bits))
-    maps = keys.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-    tested = rows.withColumn("bit", bit).withColumn("bucket", F.expr("bitmap_bucket_number(bit)")).join(F.broadcast(maps), "bucket", "inner" if also is None else "left")
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(F.expr("bitmap_bit_position(bit)"), 3) + 1, F.lit(1))), 16, 10).cast("int")
-    found = F.coalesce(F.getbit(byte, F.expr("cast(bitmap_bit_position(bit) & 7 as int)")) == 1, F.lit(False))
-    return tested.where(found if also is None else found | also).drop("bit", "bucket", "bits")
+    word, place = F.shiftright(F.col("bit"), 6), F.col("bit").bitwiseAND(F.lit(63)).cast("int")
+    words = keys.select(bit.alias("bit")).groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("set"))
+    tested = rows.withColumn("bit", bit).withColumn("word", word).join(F.broadcast(words), "word", "inner" if also is None else "left")
+    found = F.coalesce(F.getbit("set", place) == 1, F.lit(False))
+    return tested.where(found if also is None else found | also).drop("bit", "word", "set")
