@@ -8,27 +8,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The natural key of each ledger table that changes.
+KEYS = {
+    "job_queue": ["id"], "job_attempts": ["job_id", "run_number", "attempt"], "job_dead_letters": ["job_id", "run_number"], "job_replays": ["replay_job_id"],
+    "job_execution_resource_claims": ["resource_key", "job_id"], "job_enqueue_intents": ["id"], "job_schedules": ["id"], "job_definitions": ["job_type"], "job_runtime_configs": ["job_type"],
+    "workflow_runs": ["id"], "workflow_steps": ["id"], "workflow_step_dependencies": ["prerequisite_step_id", "dependent_step_id"],
+}
+
+
 @dataclass
 class Change:
-    """What a transition does: rows by table that are new or replace those of the same key, rows appended to logs, keys deleted."""
+    """What a transition does, by table: rows that are new or replace those of the same key, columns set in rows that are there, rows appended to logs, rows deleted."""
 
     upserts: dict[str, DataFrame] = field(default_factory=dict)
     appends: dict[str, DataFrame] = field(default_factory=dict)
     deletes: dict[str, DataFrame] = field(default_factory=dict)
     outcomes: DataFrame | None = None
+    updates: dict[str, DataFrame] = field(default_factory=dict)
+
+    def apply(self, ledger: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The next snapshot. One writer applies changes; that replaces row locks.
 
-    def apply(self, ledger: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
-        """The next snapshot. One writer applies changes; that replaces row locks."""
-        keys, after = keys or {}, dict(ledger)
+        Deletes come first, then updates, upserts and appends. ``updates`` never adds a row, and leaves
+        columns that it doesn't have; ``deletes`` names rows by any of their columns.
+        """
+        after = dict(ledger)
+        now = lambda name: after.get(name, ledger[name])
         for name, rows in self.deletes.items():
-            after[name] = ledger[name].join(rows, rows.columns, "left_anti")
+            after[name] = now(name).join(rows, rows.columns, "left_anti")
+        for name, rows in self.updates.items():
+            after[name] = set_columns(now(name), rows, KEYS[name])
         for name, rows in self.upserts.items():
-            after[name] = upsert(after.get(name, ledger[name]), rows, keys.get(name, ["id"]))
+            after[name] = upsert(now(name), rows, KEYS[name])
         for name, rows in self.appends.items():
-            after[name] = after.get(name, ledger[name]).unionByName(rows, allowMissingColumns=True)
+            after[name] = now(name).unionByName(rows.select(*[c for c in rows.columns if c in now(name).columns]), allowMissingColumns=True)
         return after
 
 
+def set_columns(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``base`` with the columns of ``rows`` besides its keys set in the rows that it names, to null as well; columns that base lacks are ignored."""
+    columns = [c for c in rows.columns if c not in keys and c in base.columns]
+    new = rows.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_named"))
+    joined = base.join(new, keys, "left")
+    return joined.select(*(F.when(F.col("_named"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns))
+
+
 def upsert(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``base`` with rows replaced by those of ``rows`` that have their key, and the others added."""
     kept = base.join(rows.select(*keys), keys, "left_anti")

@@ -51,12 +51,25 @@ def claim(jobs: DataFrame, taken: DataFrame, worker: str, lease_seconds: int, as
 
 
 def release_unstarted(jobs: DataFrame, fence: DataFrame, as_of: str) -> Change:
-    """Gives claims back that didn't start: the attempt is undone and its row deleted."""
+    """Gives claims back that didn't start: the attempt is undone, its row and its resource claim are deleted."""
     now = instant(as_of)
     held = jobs.join(fence, ["id", "run_number", "attempt", "worker_id"], "left_semi").where("status = 'LEASED'")
     gone = held.select(F.col("id").alias("job_id"), "run_number", "attempt")
+    free = held.where("execution_resource_key IS NOT NULL").select(F.col("execution_resource_key").alias("resource_key"), F.col("id").alias("job_id"))
     back = held.withColumns({"status": F.lit("PENDING"), "attempt": F.col("attempt") - 1, "worker_id": F.lit(None).cast("string"), "lease_expires_at": F.lit(None).cast("timestamp_ntz"), "stage": F.lit("queued")})
-    return Change({"job_queue": back}, {"job_events": event(held, "REQUEUED", now, F.lit('{"reason":"UNSTARTED_CLAIM_RELEASED"}'))}, {"job_attempts": gone})
+    return Change({"job_queue": back}, {"job_events": event(held, "REQUEUED", now, F.lit('{"reason":"UNSTARTED_CLAIM_RELEASED"}'))}, {"job_attempts": gone, "job_execution_resource_claims": free})
+
+
+def quiesced(canceled: DataFrame, as_of: str) -> DataFrame:
+    """Canceled jobs whose last holder can't run any more: the lease is over, or there was none."""
+    live = canceled.where(F.coalesce(~expired(as_of), F.lit(False)) & F.col("lease_expires_at").isNotNull()).select("id")
+    return canceled.where("status = 'CANCELED'").join(live, "id", "left_anti")
+
+
+def not_acquired(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """Candidates with a resource that another job holds: what a claim passes over."""
+    held = taken.select(F.col("resource_key").alias("execution_resource_key"), F.col("job_id").alias("holder"))
+    return wanted.where("execution_resource_key IS NOT NULL").join(held, "execution_resource_key", "left").where(F.col("holder").isNotNull() & (F.col("holder") != F.col("id")))
 
 
 def expired_resources(taken: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:

@@ -28,38 +28,45 @@ def fenced(jobs: DataFrame, commands: DataFrame, as_of: str) -> DataFrame:
 
 
 def enqueue(jobs: DataFrame, definitions: DataFrame, commands: DataFrame, as_of: str, first_id: int) -> Change:
-    """New jobs from commands (ordinal, job_type, organization_id, payload, priority, max_attempts, next_run_at, idempotency_key, stage).
+    """New jobs from commands (ordinal, job_type, organization_id, payload, priority, max_attempts, next_run_at, idempotency_key, stage; and execution_resource_key, if any).
 
     Unset values come from the type's enabled definition. A key that is there already, or that an
     earlier command of the batch has, gives the existing job if the requests are equal as
-    JSON values, else a conflict; one without stored request is a legacy error.
+    JSON values, else a conflict; one without stored request is a legacy error. A resource key must not be blank
+    or longer than 512 bytes. Commands without a key stay where they are; those with one are
+    aggregated by it, and only requests that meet another one are compared.
     Outcomes: ordinal, outcome, job_id.
     """
     now = instant(as_of)
-    request = F.to_json(F.struct("job_type", "organization_id", "payload", "priority", "max_attempts", F.date_format("next_run_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("next_run_at"), "stage"), {"ignoreNullFields": "false"})
-    asked = commands.withColumn("enqueue_request", canonical_json(request))
+    fields = ["job_type", "organization_id", "payload", "priority", "max_attempts", F.date_format("next_run_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("next_run_at"), "stage"]
+    if "execution_resource_key" in commands.columns:
+        fields.append("execution_resource_key")
+    else:
+        commands = commands.withColumn("execution_resource_key", _no_text())
+    asked = commands.withColumn("enqueue_request", canonical_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})))
     key = ["job_type", "organization_id", "idempotency_key"]
-    there = jobs.where("idempotency_key IS NOT NULL").select(*(F.col(c).alias(f"_{c}") for c in key), F.col("id").alias("there_id"), canonical_json("enqueue_request").alias("there_request"))
-    match = (F.col("job_type") == F.col("_job_type")) & F.col("organization_id").eqNullSafe(F.col("_organization_id")) & (F.col("idempotency_key") == F.col("_idempotency_key"))
-    first = F.row_number().over(Window.partitionBy(*key).orderBy("ordinal"))
-    lead = F.first("enqueue_request").over(Window.partitionBy(*key).orderBy("ordinal"))
-    lead_of = F.first("ordinal").over(Window.partitionBy(*key).orderBy("ordinal"))
-    keyed = F.col("idempotency_key").isNotNull()
+    same = lambda a, b: (a["job_type"] == b["_job_type"]) & a["organization_id"].eqNullSafe(b["_organization_id"]) & (a["idempotency_key"] == b["_idempotency_key"])
+    keyed = asked.where("idempotency_key IS NOT NULL")
+    leads = keyed.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.min("ordinal").alias("lead_of"), F.min_by("enqueue_request", "ordinal").alias("lead"))
+    there = jobs.where("idempotency_key IS NOT NULL").select(*(F.col(c).alias(f"_{c}") for c in key), F.col("id").alias("there_id"), F.col("enqueue_request").alias("stored"))
+    first = keyed.join(leads, same(keyed, leads)).drop("_job_type", "_organization_id", "_idempotency_key")
+    met = first.join(there, same(first, there), "left").drop("_job_type", "_organization_id", "_idempotency_key").withColumn("there_request", canonical_json("stored")).drop("stored")
+    unkeyed = asked.where("idempotency_key IS NULL").withColumns({"lead_of": F.col("ordinal"), "lead": F.col("enqueue_request"), "there_id": F.lit(None).cast("long"), "there_request": _no_text()})
     known = definitions.where("is_enabled").select("job_type", "default_priority", F.col("max_attempts").alias("default_max"), F.lit(True).alias("defined"))
-    ranked = asked.withColumns({"nth": F.when(keyed, first).otherwise(1), "lead": lead, "lead_of": F.when(keyed, lead_of).otherwise(F.col("ordinal"))})
-    joined = ranked.join(there, match, "left").join(known, "job_type", "left")
+    resource = F.col("execution_resource_key")
     outcome = (
-        F.when(F.col("there_id").isNotNull() & F.col("there_request").isNull(), "LEGACY_KEY")
+        F.when(resource.isNotNull() & ((F.trim(resource) == "") | (F.octet_length(resource) > 512)), "INVALID_RESOURCE")
+        .when(F.col("there_id").isNotNull() & F.col("there_request").isNull(), "LEGACY_KEY")
         .when(F.col("there_id").isNotNull(), F.when(F.col("there_request") == F.col("enqueue_request"), "EXISTING").otherwise("CONFLICT"))
         .when(F.col("defined").isNull(), "NO_ENABLED_DEFINITION")
-        .when(F.col("nth") == 1, "INSERTED")
+        .when(F.col("lead_of") == F.col("ordinal"), "INSERTED")
         .otherwise(F.when(F.col("lead") == F.col("enqueue_request"), "EXISTING").otherwise("CONFLICT"))
     )
-    decided = joined.withColumn("outcome", outcome)
+    decided = met.unionByName(unkeyed).join(known, "job_type", "left").withColumn("outcome", outcome)
     new = decided.where("outcome = 'INSERTED'").select(
         (F.lit(first_id) + F.col("ordinal")).cast("long").alias("id"), "job_type", "organization_id", "payload", F.lit("PENDING").alias("status"),
         F.coalesce("priority", "default_priority").alias("priority"), F.lit(1).alias("run_number"), F.lit(0).alias("attempt"), F.coalesce("max_attempts", "default_max").alias("max_attempts"),
-        F.coalesce("next_run_at", now).alias("next_run_at"), F.coalesce("stage", F.lit("queued")).alias("stage"), "idempotency_key", "enqueue_request", now.alias("created_at"),
+        F.coalesce("next_run_at", now).alias("next_run_at"), F.coalesce("stage", F.lit("queued")).alias("stage"), "idempotency_key", "enqueue_request", "execution_resource_key", now.alias("created_at"),
     )
     job_id = F.when(F.col("there_id").isNotNull(), F.col("there_id")).when(F.col("outcome").isin("INSERTED", "EXISTING"), (F.lit(first_id) + F.col("lead_of")).cast("long"))
     return Change({"job_queue": new}, {"job_events": event(new, "ENQUEUED", now)}, outcomes=decided.select("ordinal", "outcome", job_id.alias("job_id")))
@@ -84,7 +91,7 @@ def heartbeat(jobs: DataFrame, commands: DataFrame, lease_seconds: int, as_of: s
     now = instant(as_of)
     held = fenced(jobs, commands, as_of).withColumn("lease_expires_at", now + F.expr(f"INTERVAL '{int(lease_seconds)}' SECOND"))
     resources = held.where("execution_resource_key IS NOT NULL").select(F.col("execution_resource_key").alias("resource_key"), F.col("id").alias("job_id"), "lease_expires_at")
-    return Change({"job_queue": held, "job_execution_resource_claims": resources}, {"job_events": event(held, "HEARTBEAT", now)})
+    return Change({"job_queue": held}, {"job_events": event(held, "HEARTBEAT", now)}, updates={"job_execution_resource_claims": resources})
 
 
 def _finished(held: DataFrame, as_of: str, outcome) -> DataFrame:
@@ -92,14 +99,15 @@ def _finished(held: DataFrame, as_of: str, outcome) -> DataFrame:
 
 
 def _released(held: DataFrame) -> DataFrame:
-    return held.where("execution_resource_key IS NOT NULL").select(F.col("execution_resource_key").alias("resource_key"))
+    """The resource claims of jobs that end a lease."""
+    return held.where("execution_resource_key IS NOT NULL").select(F.col("execution_resource_key").alias("resource_key"), F.col("id").alias("job_id"))
 
 
 def succeed(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
     """Completes jobs; a success has no outcome in its attempt row."""
     held = fenced(jobs, commands, as_of)
     done = held.withColumns({"status": F.lit("SUCCEEDED"), "stage": F.lit("completed"), "lease_expires_at": _no_time(), "worker_id": _no_text()})
-    return Change({"job_queue": done, "job_attempts": _finished(held, as_of, _no_text())}, {"job_events": event(held, "SUCCEEDED", instant(as_of), stage=F.lit("completed"))}, {"job_execution_resource_claims": _released(held)})
+    return Change({"job_queue": done}, {"job_events": event(held, "SUCCEEDED", instant(as_of), stage=F.lit("completed"))}, {"job_execution_resource_claims": _released(held)}, updates={"job_attempts": _finished(held, as_of, _no_text())})
 
 
 def fail(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
@@ -115,7 +123,7 @@ def fail(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
     payload = F.to_json(F.struct(F.col("kind"), F.col("error_code")))
     schedule = F.to_json(F.struct(F.date_format("next_run_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("next_run_at"), F.col("source").alias("retry_timing_source")))
     events = event(held, "FAILED", now, payload).unionByName(event(again, "RETRY_SCHEDULED", now, schedule)).unionByName(event(dead, "DEAD_LETTERED", now, payload))
-    return Change({"job_queue": jobs_after, "job_attempts": _finished(held, as_of, F.col("kind")), "job_dead_letters": letters}, {"job_events": events}, {"job_execution_resource_claims": _released(held)})
+    return Change({"job_queue": jobs_after, "job_dead_letters": letters}, {"job_events": events}, {"job_execution_resource_claims": _released(held)}, updates={"job_attempts": _finished(held, as_of, F.col("kind"))})
 
 
 def continue_after(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
@@ -125,17 +133,23 @@ def continue_after(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
     at = now + F.make_dt_interval(secs=(F.col("delay_us") / F.lit(1_000_000)).cast("decimal(18,6)"))
     after = held.withColumns({"run_number": F.col("run_number") + 1, "attempt": F.lit(0), "status": F.lit("PENDING"), "stage": F.lit("queued"), "next_run_at": at, "lease_expires_at": _no_time(), "worker_id": _no_text()})
     payload = F.to_json(F.struct(F.lit("HANDLER_CONTINUATION").alias("reason"), F.lit("HANDLER_CONTINUATION").alias("requeue_kind"), (F.col("run_number") + 1).alias("next_run_number"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("next_run_at"), F.col("delay_us").alias("delay_microseconds")))
-    return Change({"job_queue": after, "job_attempts": _finished(held, as_of, _no_text())}, {"job_events": event(held, "REQUEUED", now, payload)}, {"job_execution_resource_claims": _released(held)})
+    return Change({"job_queue": after}, {"job_events": event(held, "REQUEUED", now, payload)}, {"job_execution_resource_claims": _released(held)}, updates={"job_attempts": _finished(held, as_of, _no_text())})
 
 
 def cancel(jobs: DataFrame, commands: DataFrame, as_of: str, scope: Scope = Scope.admin()) -> Change:
-    """Cancels pending and leased jobs; a lease's end stays, as the sign that its holder may still run."""
+    """Cancels pending and leased jobs; a lease's end stays, as the sign that its holder may still run.
+
+    So does a live lease's resource claim, to be released at that end; that of a lease that is over goes.
+    """
     asked = commands.select("id").distinct()
     seen = asked.join(jobs.where(scope.sees()), "id", "left")
     outcome = F.when(F.col("status").isNull(), "NOT_FOUND").when(F.col("status").isin("PENDING", "LEASED"), "CANCELED").otherwise("INVALID_STATE")
     decided = seen.withColumn("outcome", outcome)
     gone = decided.where("outcome = 'CANCELED'").drop("outcome").withColumns({"status": F.lit("CANCELED"), "worker_id": _no_text()})
-    return Change({"job_queue": gone}, {"job_events": event(gone, "CANCELED", instant(as_of))}, outcomes=decided.select("id", "outcome"))
+    leased = decided.where("outcome = 'CANCELED' AND status = 'LEASED'")
+    live = F.coalesce(F.col("lease_expires_at") > instant(as_of), F.lit(False))
+    later = leased.where(live & F.col("execution_resource_key").isNotNull()).select(F.col("execution_resource_key").alias("resource_key"), F.col("id").alias("job_id"), F.col("lease_expires_at").alias("release_after"))
+    return Change({"job_queue": gone}, {"job_events": event(gone, "CANCELED", instant(as_of))}, {"job_execution_resource_claims": _released(leased.where(~live))}, decided.select("id", "outcome"), {"job_execution_resource_claims": later})
 
 
 def compare_and_requeue(jobs: DataFrame, steps: DataFrame, commands: DataFrame, as_of: str) -> Change:
@@ -185,6 +199,8 @@ def reap_decisions(jobs: DataFrame, attempts: DataFrame, events: DataFrame, as_o
     exhausted job is dead-lettered; any other is retried.
     """
     stale = jobs.where((F.col("status") == "LEASED") & expired(as_of)).orderBy(F.asc("lease_expires_at"), F.asc("id")).limit(limit)
+    few = F.broadcast(stale.select(F.col("id").alias("job_id")))  # at most ``limit`` rows; so only their attempts and events are shuffled
+    attempts, events = attempts.join(few, "job_id", "left_semi"), events.join(few, "job_id", "left_semi")
     own = attempts.select(F.col("job_id").alias("id"), "run_number", "attempt", "claim_origin", "execution_started_persisted_at").dropDuplicates(["id", "run_number", "attempt"])
     ran = events.where((F.col("event_type") == "STAGE_CHANGED") & (F.col("stage") == "running")).groupBy(F.col("job_id").alias("id"), "run_number", "attempt").agg(F.min_by("occurred_at", "id").alias("running_at"))
     beat = events.where("event_type = 'HEARTBEAT'").select(F.col("job_id").alias("id"), "run_number", "attempt", F.lit(True).alias("beaten")).distinct()
@@ -210,7 +226,8 @@ def reap(jobs: DataFrame, attempts: DataFrame, events: DataFrame, as_of: str, li
     used = decided.where("decision <> 'RELEASE'")
     gone = decided.where("decision = 'RELEASE'").select(F.col("id").alias("job_id"), "run_number", "attempt")
     log = event(used, "LEASE_EXPIRED", now).unionByName(event(decided.where("decision = 'RETRY'"), "RETRY_SCHEDULED", now)).unionByName(event(dead, "DEAD_LETTERED", now))
-    return Change({"job_queue": after, "job_dead_letters": letters, "job_attempts": _finished(used, as_of, F.lit("LEASE_EXPIRED"))}, {"job_events": log}, {"job_attempts": gone}, decided.groupBy("decision").count())
+    deleted = {"job_attempts": gone, "job_execution_resource_claims": _released(decided)}
+    return Change({"job_queue": after, "job_dead_letters": letters}, {"job_events": log}, deleted, decided.groupBy("decision").count(), {"job_attempts": _finished(used, as_of, F.lit("LEASE_EXPIRED"))})
 
 
 def patch_payload(jobs: DataFrame, steps: DataFrame, commands: DataFrame) -> Change:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,26 +105,23 @@ def structure_errors(steps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(workflow_run_id, step_key): steps that no order can place. A graph is one run's declaration."""
-
-    def kahn(pdf: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list[str]] = {}
-        left: dict[str, int] = {}
-        for a, b in zip(pdf["prerequisite_key"], pdf["dependent_key"]):
-            after.setdefault(a, []).append(b)
-            left[b] = left.get(b, 0) + 1
-            left.setdefault(a, 0)
-        free = deque(k for k, n in left.items() if not n)
-        while free:
-            for b in after.get(free.popleft(), ()):
-                left[b] -= 1
-                if not left[b]:
-                    free.append(b)
-        stuck = sorted(k for k, n in left.items() if n)
-        return pd.DataFrame({"workflow_run_id": [pdf["workflow_run_id"].iloc[0]] * len(stuck), "step_key": pd.Series(stuck, dtype="object")})
-
-    kind = edges.schema["workflow_run_id"].dataType.simpleString()
-    return edges.groupBy("workflow_run_id").applyInPandas(kahn, f"workflow_run_id {kind}, step_key string")
+    """(workflow_run_id, step_key): steps that no order can place, as they are on a cycle or after one. A graph is one run's declaration.
+
+    Edges from steps that depend on none are taken away, a wave over all graphs at a time, until none goes; so a
+    graph of any size is spread over tasks. There are as many waves as the longest path has steps.
+    """
+    from jobloom.sources.storage import stored
+
+    now = stored(edges.select("workflow_run_id", "prerequisite_key", "dependent_key").distinct())
+    n = now.count()
+    while n:
+        waiting = now.select("workflow_run_id", F.col("dependent_key").alias("prerequisite_key")).distinct()
+        after = stored(now.join(waiting, ["workflow_run_id", "prerequisite_key"], "left_semi"))
+        left = after.count()
+        if left == n:
+            break
+        now, n = after, left
+    return now.select("workflow_run_id", F.col("dependent_key").alias("step_key")).distinct()
 
 
 def complete_external(steps: DataFrame, commands: DataFrame, as_of: str) -> DataFrame:
@@ -158,22 +152,29 @@ def appendable(steps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def canonical_request(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """A run's declaration as one text: steps by key, dependencies by keys with their effective mode."""
-    edge = F.struct("dependent_step_id", "prerequisite_step_id", F.coalesce("release_mode", F.lit("ON_TERMINAL")).alias("release_mode"))
-    per_edge = edges.groupBy("workflow_run_id").agg(F.array_sort(F.collect_list(edge)).alias("dependencies"))
-    per_step = steps.groupBy("workflow_run_id").agg(F.array_sort(F.collect_list(F.struct("step_key", "execution_kind"))).alias("steps"))
+    """A run's declaration as one text, the same for equal ones: steps by key with their kind, type and payload, dependencies by keys with their effective mode."""
+    names = lambda side: steps.select(F.col("id").alias(f"{side}_step_id"), F.col("step_key").alias(side))
+    named = edges.join(names("dependent"), "dependent_step_id").join(names("prerequisite"), "prerequisite_step_id")
+    edge = F.struct("dependent", "prerequisite", F.coalesce("release_mode", F.lit("ON_TERMINAL")).alias("release_mode"))
+    per_edge = named.groupBy("workflow_run_id").agg(F.array_sort(F.collect_list(edge)).alias("dependencies"))
+    step = F.struct("step_key", "execution_kind", F.coalesce("job_type", F.lit("")).alias("job_type"), F.coalesce("payload", F.lit("{}")).alias("payload"))
+    per_step = steps.groupBy("workflow_run_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     return per_step.join(per_edge, "workflow_run_id", "left").select("workflow_run_id", F.to_json(F.struct("steps", "dependencies")).alias("request"))
 
 
 def active_key(runs: DataFrame, commands: DataFrame) -> DataFrame:
-    """For commands (ordinal, workflow_type, organization_id, active_key): the live run that has the key, or the first command that gets it."""
-    from pyspark.sql import Window
-
-    key = ["workflow_type", "organization_id", "active_key"]
-    live = runs.where(F.col("status").isin("RUNNING", "WAITING_FOR_EXTERNAL")).select(*(F.col(c).alias(f"_{c}") for c in key), F.col("id").alias("run_id"))
-    match = (F.col("workflow_type") == F.col("_workflow_type")) & F.col("organization_id").eqNullSafe(F.col("_organization_id")) & (F.col("active_key") == F.col("_active_key"))
-    first = F.first("ordinal").over(Window.partitionBy(*key).orderBy("ordinal"))
-    return commands.withColumn("first", first).join(live, match, "left").select("ordinal", F.when(F.col("run_id").isNotNull(), "EXISTING").when(F.col("first") == F.col("ordinal"), "ENQUEUED").otherwise("EXISTING").alias("outcome"), "run_id", F.when(F.col("run_id").isNull(), F.col("first")).alias("enqueued_by"))
+    """For commands (ordinal, organization_id, active_key): the live run of the organization that has the key, or the first command that gets it.
+
+    A command without a key always gets a run of its own.
+    """
+    key = ["organization_id", "active_key"]
+    match = lambda a, b: a["organization_id"].eqNullSafe(b["_organization_id"]) & (a["active_key"] == b["_active_key"])
+    keyed, free = commands.where("active_key IS NOT NULL"), commands.where("active_key IS NULL").select("ordinal", F.col("ordinal").alias("first"), F.lit(None).cast("long").alias("run_id"))
+    live = runs.where(F.col("status").isin("RUNNING", "WAITING_FOR_EXTERNAL") & F.col("active_key").isNotNull()).groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.min("id").alias("run_id"))
+    leads = keyed.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.min("ordinal").alias("first"))
+    led = keyed.join(leads, match(keyed, leads)).select("ordinal", *key, "first")
+    met = led.join(live, match(led, live), "left").select("ordinal", "first", "run_id").unionByName(free)
+    return met.select("ordinal", F.when(F.col("run_id").isNotNull(), "EXISTING").when(F.col("first") == F.col("ordinal"), "ENQUEUED").otherwise("EXISTING").alias("outcome"), "run_id", F.when(F.col("run_id").isNull(), F.col("first")).alias("enqueued_by"))
 
 
 def recovery_blueprint(runs: DataFrame, steps: DataFrame, edges: DataFrame, commands: DataFrame) -> DataFrame:

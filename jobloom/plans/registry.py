@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from jobloom.functions.json_text import canonical_json
 from jobloom.functions.predicates import Scope, any_field_contains, progress_percent
 from jobloom.functions.timing import deferral_ms, failure_outcome, retry_delay_ms
-from jobloom.operators import claims, integrity, intents, lifecycle, metrics, reads, schedules, workflow
+from jobloom.operators import claims, integrity, intents, lifecycle, metrics, reads, schedules, workflow, workflow_writes
 from jobloom.sources.adapter import AS_OF, Ledger, from_star, with_views
 from jobloom.streaming import job_states
 
@@ -356,6 +356,11 @@ def _(l):
 
 # ---------------------------------------------------------------- claims and transitions
 
+def _all_and_none(l):
+    """Every job's id, and one that no job has."""
+    return l["job_queue"].select("id").union(l.spark.range(-1, 0))
+
+
 _ELIGIBLE = f"""free AS (SELECT * FROM job_queue q WHERE status = 'PENDING' AND next_run_at <= {NOW} AND execution_resource_key IS NOT NULL
         AND NOT EXISTS (SELECT 1 FROM job_execution_resource_claims c WHERE c.resource_key = q.execution_resource_key) ORDER BY priority DESC, next_run_at, created_at, id LIMIT 3200),
     heads AS (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY execution_resource_key ORDER BY priority DESC, next_run_at, created_at, id) = 1)"""
@@ -390,36 +395,39 @@ def _(l):
     return l["job_queue"].select("id", retry_delay_ms(F.col("attempt"), F.col("id")).cast("long").alias("delay_ms"))
 
 
-@query("x17_cancel", "job_queue", "SELECT CAST(i AS BIGINT) AS id, CASE WHEN q.id IS NULL THEN 'NOT_FOUND' WHEN q.status IN ('PENDING', 'LEASED') THEN 'CANCELED' ELSE 'INVALID_STATE' END AS outcome FROM range(0, 3000, 7) t(i) LEFT JOIN job_queue q ON q.id = i AND q.organization_id = 3")
+@query("x17_cancel", "job_queue", "SELECT CAST(i AS BIGINT) AS id, CASE WHEN q.id IS NULL THEN 'NOT_FOUND' WHEN q.status IN ('PENDING', 'LEASED') THEN 'CANCELED' ELSE 'INVALID_STATE' END AS outcome FROM (SELECT id AS i FROM job_queue UNION ALL SELECT -1) t LEFT JOIN job_queue q ON q.id = i AND q.organization_id = 3")
 def _(l):
-    return lifecycle.cancel(l["job_queue"], l.spark.range(0, 3000, 7), AS_OF, Scope.of(3)).outcomes
+    return lifecycle.cancel(l["job_queue"], _all_and_none(l), AS_OF, Scope.of(3)).outcomes
 
 
 @query("x18_requeue", "job_queue workflow_steps", f"""
     SELECT CAST(i AS BIGINT) AS id, CASE WHEN q.id IS NULL THEN 'NOT_FOUND' WHEN m.job_id IS NOT NULL THEN 'WORKFLOW_MANAGED' WHEN q.status <> 'CANCELED' OR q.run_number <> 3 THEN 'EXPECTATION_MISMATCH'
            WHEN q.lease_expires_at > {NOW} THEN 'CANCELLATION_NOT_QUIESCED' ELSE 'REQUEUED' END AS outcome
-    FROM range(0, 3000) t(i) LEFT JOIN job_queue q ON q.id = i LEFT JOIN (SELECT DISTINCT job_id FROM workflow_steps WHERE job_id IS NOT NULL) m ON m.job_id = i""")
+    FROM (SELECT id AS i FROM job_queue UNION ALL SELECT -1) t LEFT JOIN job_queue q ON q.id = i LEFT JOIN (SELECT DISTINCT job_id FROM workflow_steps WHERE job_id IS NOT NULL) m ON m.job_id = i""")
 def _(l):
-    commands = l.spark.range(0, 3000).select("id", F.lit("CANCELED").alias("expected_status"), F.lit(3).alias("expected_run"))
+    commands = _all_and_none(l).select("id", F.lit("CANCELED").alias("expected_status"), F.lit(3).alias("expected_run"))
     return lifecycle.compare_and_requeue(l["job_queue"], l["workflow_steps"], commands, AS_OF).outcomes
 
 
-@query("x20_reap", "job_queue job_attempts job_events", f"""
-    WITH stale AS (SELECT * FROM job_queue WHERE status = 'LEASED' AND lease_expires_at < {NOW} ORDER BY lease_expires_at, id LIMIT 200),
+_REAPED = f"""
+    WITH stale AS (SELECT * FROM job_queue WHERE status = 'LEASED' AND lease_expires_at < {NOW} ORDER BY lease_expires_at, id LIMIT LEASES),
     ran AS (SELECT DISTINCT job_id, run_number, attempt FROM job_events WHERE event_type = 'STAGE_CHANGED' AND stage = 'running'), beat AS (SELECT DISTINCT job_id, run_number, attempt FROM job_events WHERE event_type = 'HEARTBEAT'),
     j AS (SELECT s.id, s.attempt, s.max_attempts, a.claim_origin, a.execution_started_persisted_at IS NOT NULL OR r.job_id IS NOT NULL AS started, b.job_id IS NOT NULL AS beaten FROM stale s
         LEFT JOIN job_attempts a ON a.job_id = s.id AND a.run_number = s.run_number AND a.attempt = s.attempt LEFT JOIN ran r ON r.job_id = s.id AND r.run_number = s.run_number AND r.attempt = s.attempt
         LEFT JOIN beat b ON b.job_id = s.id AND b.run_number = s.run_number AND b.attempt = s.attempt)
-    SELECT id, CASE WHEN claim_origin = 'PRESTART' AND NOT started THEN 'RELEASE' WHEN attempt >= max_attempts THEN 'DEAD_LETTER' ELSE 'RETRY' END AS decision, started, started AND NOT beaten AS started_without_heartbeat FROM j""")
+    SELECT id, CASE WHEN claim_origin = 'PRESTART' AND NOT started THEN 'RELEASE' WHEN attempt >= max_attempts THEN 'DEAD_LETTER' ELSE 'RETRY' END AS decision, started, started AND NOT beaten AS started_without_heartbeat FROM j"""
+
+
+@query("x20_reap", "job_queue job_attempts job_events", _REAPED.replace("LEASES", "200"))
 def _(l):
     return lifecycle.reap_decisions(l["job_queue"], l["job_attempts"], l["job_events"], AS_OF, 200).select("id", "decision", "started", "started_without_heartbeat")
 
 
 @query("x24_patch_payload", "job_queue workflow_steps", """
     SELECT CAST(i AS BIGINT) AS id, CASE WHEN q.id IS NULL THEN 'NOT_FOUND' WHEN m.job_id IS NOT NULL THEN 'WORKFLOW_MANAGED' WHEN q.idempotency_key IS NOT NULL THEN 'IDEMPOTENT' WHEN q.status <> 'PENDING' THEN 'NOT_PENDING' WHEN q.attempt > 0 THEN 'ALREADY_CLAIMED' ELSE 'UPDATED' END AS outcome
-    FROM range(0, 2000) t(i) LEFT JOIN job_queue q ON q.id = i LEFT JOIN (SELECT DISTINCT job_id FROM workflow_steps WHERE job_id IS NOT NULL) m ON m.job_id = i""")
+    FROM (SELECT id AS i FROM job_queue UNION ALL SELECT -1) t LEFT JOIN job_queue q ON q.id = i LEFT JOIN (SELECT DISTINCT job_id FROM workflow_steps WHERE job_id IS NOT NULL) m ON m.job_id = i""")
 def _(l):
-    commands = l.spark.range(0, 2000).select("id", F.lit("tags").alias("field"), F.lit("[]").alias("value"))
+    commands = _all_and_none(l).select("id", F.lit("tags").alias("field"), F.lit("[]").alias("value"))
     return lifecycle.patch_payload(l["job_queue"], l["workflow_steps"], commands).outcomes
 
 
@@ -489,16 +497,27 @@ def _(l):
     return workflow.ready_steps(l["workflow_steps"], l["workflow_step_dependencies"], l["workflow_runs"]).select("id", "workflow_run_id", "becomes")
 
 
-@query("d9_propagate")
+def _waves(n: int) -> str:
+    """``n`` waves of settling, each a table of all steps; the supplied graphs have paths of ten steps."""
+    waves = "w0 AS MATERIALIZED (SELECT id, workflow_run_id, execution_kind, status FROM workflow_steps)"
+    for k in range(1, n + 1):
+        waves += f""", p{k} AS (SELECT e.dependent_step_id AS id, count(*) FILTER (WHERE s.status NOT IN ('SUCCEEDED', 'FAILED', 'CANCELED')) AS pending,
+                count(*) FILTER (WHERE s.status IN ('FAILED', 'CANCELED') AND e.release_mode = 'ON_SUCCESS') AS unsatisfied FROM workflow_step_dependencies e JOIN w{k - 1} s ON s.id = e.prerequisite_step_id GROUP BY 1),
+            w{k} AS MATERIALIZED (SELECT w.id, workflow_run_id, execution_kind, CASE WHEN status <> 'BLOCKED' OR coalesce(pending, 0) > 0 THEN status WHEN coalesce(unsatisfied, 0) > 0 THEN 'CANCELED'
+                WHEN execution_kind = 'EXTERNAL' THEN 'WAITING_FOR_EXTERNAL' ELSE 'ENQUEUED' END AS status FROM w{k - 1} w LEFT JOIN p{k} USING (id))"""
+    return waves
+
+
+@query("d9_propagate", "workflow_steps workflow_step_dependencies", f"""WITH {_waves(11)} SELECT w11.id, workflow_run_id, status, coalesce(pending, 0) AS pending, coalesce(unsatisfied, 0) AS unsatisfied FROM w11 LEFT JOIN p11 USING (id)""")
 def _(l):
     return workflow.propagate(l["workflow_steps"], l["workflow_step_dependencies"])
 
 
 @query("d9_downstream", "workflow_step_dependencies workflow_steps", """
-    SELECT DISTINCT root, id FROM (WITH RECURSIVE reach AS (SELECT prerequisite_step_id AS root, dependent_step_id AS id FROM workflow_step_dependencies WHERE prerequisite_step_id % 50 = 0
+    SELECT DISTINCT root, id FROM (WITH RECURSIVE reach AS (SELECT prerequisite_step_id AS root, dependent_step_id AS id FROM workflow_step_dependencies
         UNION SELECT r.root, e.dependent_step_id FROM reach r JOIN workflow_step_dependencies e ON e.prerequisite_step_id = r.id) SELECT * FROM reach)""")
 def _(l):
-    return workflow.downstream(l["workflow_step_dependencies"], l["workflow_steps"].where("id % 50 = 0").select("id"))
+    return workflow.downstream(l["workflow_step_dependencies"], l["workflow_steps"].select("id"))
 
 
 @query("d10_run_status", "workflow_runs workflow_steps", """
@@ -511,16 +530,16 @@ def _(l):
 
 @query("d14_cancel_runs", "workflow_runs workflow_steps", """
     SELECT s.id, s.workflow_run_id, CASE WHEN execution_kind = 'EXTERNAL' OR s.status = 'BLOCKED' THEN 'CANCEL_STEP' ELSE 'CANCEL_JOB_AND_STEP' END AS action
-    FROM workflow_steps s JOIN workflow_runs r ON r.id = s.workflow_run_id WHERE r.id < 50 AND r.status NOT IN ('SUCCEEDED', 'COMPLETED_WITH_ERRORS', 'CANCELED') AND s.status NOT IN ('SUCCEEDED', 'FAILED', 'CANCELED')""")
+    FROM workflow_steps s JOIN workflow_runs r ON r.id = s.workflow_run_id WHERE r.status NOT IN ('SUCCEEDED', 'COMPLETED_WITH_ERRORS', 'CANCELED') AND s.status NOT IN ('SUCCEEDED', 'FAILED', 'CANCELED')""")
 def _(l):
-    return workflow.cancel_run(l["workflow_steps"], l["workflow_runs"], l.spark.range(50))
+    return workflow.cancel_run(l["workflow_steps"], l["workflow_runs"], l["workflow_runs"].select("id"))
 
 
 @query("d15_recovery_blueprint", "workflow_runs workflow_steps workflow_step_dependencies", """
     SELECT s.workflow_run_id, s.step_key, s.execution_kind, coalesce((SELECT string_agg(p.step_key || ':' || e.release_mode, ',' ORDER BY p.step_key) FROM workflow_step_dependencies e JOIN workflow_steps p ON p.id = e.prerequisite_step_id WHERE e.dependent_step_id = s.id), '') AS needs
-    FROM workflow_steps s JOIN workflow_runs r ON r.id = s.workflow_run_id WHERE r.id < 40 AND r.status IN ('SUCCEEDED', 'COMPLETED_WITH_ERRORS', 'CANCELED')""")
+    FROM workflow_steps s JOIN workflow_runs r ON r.id = s.workflow_run_id WHERE r.status IN ('SUCCEEDED', 'COMPLETED_WITH_ERRORS', 'CANCELED')""")
 def _(l):
-    return workflow.recovery_blueprint(l["workflow_runs"], l["workflow_steps"], l["workflow_step_dependencies"], l.spark.range(40).withColumnRenamed("id", "source_run_id"))
+    return workflow.recovery_blueprint(l["workflow_runs"], l["workflow_steps"], l["workflow_step_dependencies"], l["workflow_runs"].select(F.col("id").alias("source_run_id")))
 
 
 @query("d1_cycles", "workflow_step_dependencies", "SELECT workflow_run_id, CAST(dependent_step_id AS VARCHAR) AS step_key FROM workflow_step_dependencies WHERE false")
@@ -658,14 +677,14 @@ def _fence(l, condition):
     return l["job_queue"].where(f"status = 'LEASED' AND {condition}").select("id", "run_number", "attempt", "worker_id")
 
 
-@query("x10_success", "job_queue", f"SELECT id, 'SUCCEEDED' AS status, run_number, attempt FROM job_queue WHERE {_LIVE} AND id % 2 = 0")
+@query("x10_success", "job_queue", f"SELECT id, 'SUCCEEDED' AS status, run_number, attempt FROM job_queue WHERE {_LIVE}")
 def _(l):
-    return lifecycle.succeed(l["job_queue"], _fence(l, "id % 2 = 0"), AS_OF).upserts["job_queue"].select("id", "status", "run_number", "attempt")
+    return lifecycle.succeed(l["job_queue"], _fence(l, "true"), AS_OF).upserts["job_queue"].select("id", "status", "run_number", "attempt")
 
 
-@query("x9_heartbeat", "job_queue", f"SELECT id, {NOW} + INTERVAL '90' SECOND AS lease_expires_at FROM job_queue WHERE {_LIVE} AND id % 3 = 0")
+@query("x9_heartbeat", "job_queue", f"SELECT id, {NOW} + INTERVAL '90' SECOND AS lease_expires_at FROM job_queue WHERE {_LIVE}")
 def _(l):
-    return lifecycle.heartbeat(l["job_queue"], _fence(l, "id % 3 = 0"), 90, AS_OF).upserts["job_queue"].select("id", "lease_expires_at")
+    return lifecycle.heartbeat(l["job_queue"], _fence(l, "true"), 90, AS_OF).upserts["job_queue"].select("id", "lease_expires_at")
 
 
 @query("x14_failures", "job_queue", f"""
@@ -684,19 +703,24 @@ def _(l):
     return lifecycle.continue_after(l["job_queue"], commands, AS_OF).upserts["job_queue"].select("id", "run_number", "attempt", "next_run_at")
 
 
-@query("x6_release_unstarted", "job_queue", "SELECT id, 'PENDING' AS status, attempt - 1 AS attempt FROM job_queue WHERE status = 'LEASED' AND id % 4 = 1")
+@query("x6_release_unstarted", "job_queue", "SELECT id, 'PENDING' AS status, attempt - 1 AS attempt FROM job_queue WHERE status = 'LEASED'")
 def _(l):
-    return claims.release_unstarted(l["job_queue"], _fence(l, "id % 4 = 1"), AS_OF).upserts["job_queue"].select("id", "status", "attempt")
+    return claims.release_unstarted(l["job_queue"], _fence(l, "true"), AS_OF).upserts["job_queue"].select("id", "status", "attempt")
 
 
-@query("x19_replay", "job_queue", "SELECT id AS ordinal, CASE WHEN status <> 'SUCCEEDED' OR run_number <> 1 THEN 'EXPECTATION_MISMATCH' ELSE 'REPLAYED' END AS outcome FROM job_queue WHERE id % 5 = 0")
+@query("x19_replay", "job_queue", """SELECT id AS ordinal, CASE WHEN id % 7 = 0 THEN CASE WHEN id % 2 = 0 THEN 'EXISTING' ELSE 'CONFLICT' END WHEN status <> 'SUCCEEDED' OR run_number <> 1 THEN 'EXPECTATION_MISMATCH' WHEN id % 2 = 0 THEN 'EXISTING' ELSE 'REPLAYED' END AS outcome FROM job_queue
+    UNION ALL SELECT -id, CASE WHEN id % 7 = 0 THEN 'EXISTING' WHEN status <> 'SUCCEEDED' OR run_number <> 1 THEN 'EXPECTATION_MISMATCH' ELSE 'REPLAYED' END FROM job_queue WHERE id % 2 = 0
+    UNION ALL SELECT 0, 'NOT_FOUND'""")
 def _(l):
-    none = l.spark.createDataFrame([], "source_job_id long, source_run_number int, replay_request_key string, reason string, replay_job_id long")
-    commands = l["job_queue"].where("id % 5 = 0").select(F.col("id").alias("ordinal"), F.col("id").alias("source_job_id"), F.lit(1).alias("source_run_number"), F.lit("k").alias("replay_request_key"), F.lit("again").alias("reason"))
-    return lifecycle.replay(l["job_queue"], none, commands, AS_OF, 10_000_000).outcomes
+    # a seventh was replayed before, half of these for another reason; every second one is asked for twice
+    key = lambda ordinal: l["job_queue"].select(ordinal.alias("ordinal"), F.col("id").alias("source_job_id"), F.lit(1).alias("source_run_number"), F.lit("k").alias("replay_request_key"), F.lit("again").alias("reason"))
+    done = l["job_queue"].where("id % 7 = 0").select(F.col("id").alias("source_job_id"), F.lit(1).alias("source_run_number"), F.lit("k").alias("replay_request_key"), F.when(F.col("id") % 2 == 0, "again").otherwise("other").alias("reason"), (F.col("id") + 5_000_000).alias("replay_job_id"))
+    twice = key(-F.col("id")).where("source_job_id % 2 = 0")
+    absent = l.spark.sql("SELECT 0L AS ordinal, -1L AS source_job_id, 1 AS source_run_number, 'k' AS replay_request_key, 'again' AS reason")
+    return lifecycle.replay(l["job_queue"], done, key(F.col("id")).unionByName(twice).unionByName(absent), AS_OF, 10_000_000).outcomes
 
 
-@query("x20_reap_report", "job_queue job_attempts job_events")
+@query("x20_reap_report", "job_queue job_attempts job_events", _REAPED.replace("LEASES", "1000").replace("SELECT id, CASE WHEN claim_origin", "SELECT decision, count(*) AS count FROM (SELECT id, CASE WHEN claim_origin") + ") GROUP BY decision")
 def _(l):
     return lifecycle.reap(l["job_queue"], l["job_attempts"], l["job_events"], AS_OF, 1000).outcomes
 
@@ -716,10 +740,10 @@ def _(l):
 
 @query("d12_external_completion", "workflow_steps", """
     SELECT id, CASE WHEN execution_kind <> 'EXTERNAL' THEN 'NOT_EXTERNAL' WHEN status = 'WAITING_FOR_EXTERNAL' THEN 'COMPLETED' WHEN status = 'SUCCEEDED' AND output IS NOT NULL THEN 'ALREADY_COMPLETED'
-           WHEN status IN ('SUCCEEDED', 'FAILED', 'CANCELED') THEN 'CONFLICT' ELSE 'NOT_WAITING' END AS outcome FROM workflow_steps WHERE id < 900""")
+           WHEN status IN ('SUCCEEDED', 'FAILED', 'CANCELED') THEN 'CONFLICT' ELSE 'NOT_WAITING' END AS outcome FROM workflow_steps""")
 def _(l):
     output = F.concat(F.lit('{ "v" : '), F.col("id").cast("string"), F.lit(".0 }"))
-    commands = l["workflow_steps"].where("id < 900").select("id", F.lit("SUCCEEDED").alias("new_status"), output.alias("new_output"))
+    commands = l["workflow_steps"].select("id", F.lit("SUCCEEDED").alias("new_status"), output.alias("new_output"))
     return workflow.complete_external(l["workflow_steps"], commands, AS_OF).select("id", "outcome")
 
 
@@ -740,6 +764,145 @@ def _(l):
     return workflow.appendable(l["workflow_steps"], edges).drop("born_unsatisfied")
 
 
-@query("d16_canonical_requests")
+@query("d16_canonical_requests", "workflow_steps workflow_step_dependencies", r"""
+    SELECT workflow_run_id, '{"steps":[' || steps || ']' || CASE WHEN deps IS NULL THEN '' ELSE ',"dependencies":[' || deps || ']' END || '}' AS request
+    FROM (SELECT workflow_run_id, string_agg('{"step_key":"' || step_key || '","execution_kind":"' || execution_kind || '","job_type":"' || coalesce(job_type, '') || '","payload":"' || replace(payload, '"', '\"') || '"}', ',' ORDER BY step_key, execution_kind) AS steps FROM workflow_steps GROUP BY 1)
+    LEFT JOIN (SELECT e.workflow_run_id, string_agg('{"dependent":"' || d.step_key || '","prerequisite":"' || p.step_key || '","release_mode":"' || release_mode || '"}', ',' ORDER BY d.step_key, p.step_key, release_mode) AS deps
+        FROM workflow_step_dependencies e JOIN workflow_steps d ON d.id = e.dependent_step_id JOIN workflow_steps p ON p.id = e.prerequisite_step_id GROUP BY 1) USING (workflow_run_id)""")
 def _(l):
     return workflow.canonical_request(l["workflow_steps"], l["workflow_step_dependencies"])
+
+
+# ---------------------------------------------------------------- changes applied to all tables they touch
+
+def _snapshot(after):
+    """The tables that job transitions touch, a row of text for each of theirs."""
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    row = lambda name, key, *values: after[name].select(F.lit(name).alias("tbl"), key.cast("string").alias("k"), F.concat_ws("|", *map(none, values)).alias("v"))
+    return (
+        row("job_queue", F.col("id"), "status", "run_number", "attempt", "worker_id", "stage", "lease_expires_at", "next_run_at")
+        .unionByName(row("job_attempts", F.concat_ws(":", "job_id", "run_number", "attempt"), "worker_id", "started_at", "finished_at", "outcome"))
+        .unionByName(row("job_execution_resource_claims", F.col("resource_key"), "job_id", "lease_expires_at"))
+        .unionByName(row("job_dead_letters", F.concat_ws(":", "job_id", "run_number"), "attempt", "error_code"))
+        .unionByName(after["job_events"].groupBy("event_type").count().select(F.lit("job_events").alias("tbl"), F.col("event_type").alias("k"), F.col("count").cast("string").alias("v")))
+    )
+
+
+def _applied(name, hit, make, events, status="status", run="run_number", attempt="attempt", worker="NULL", stage="stage", until="NULL", next_run="next_run_at", ends=None, gone=False, claim="DELETED", dead="false", error="''"):
+    """Registers a transition applied to the ledger. ``hit`` are the jobs it changes; the other arguments are SQL of what becomes of them."""
+    text = lambda *columns: "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+    new = lambda value, old: value if value == old else f"CASE WHEN hit THEN {value} ELSE {old} END"
+    queue = text(new(status, "status"), new(run, "run_number"), new(attempt, "attempt"), new(worker, "worker_id"), new(stage, "stage"), new(until, "lease_expires_at"), new(next_run, "next_run_at"))
+    finished, outcome = ("a.finished_at", "a.outcome") if ends is None else (f"CASE WHEN hit THEN {NOW} ELSE a.finished_at END", f"CASE WHEN hit THEN {ends} ELSE a.outcome END")
+    kept = {"DELETED": "NOT coalesce(hit, false)", "KEPT": "true"}.get(claim, claim)
+    lease = f"CASE WHEN hit THEN {until} ELSE c.lease_expires_at END" if claim == "KEPT" and until != "lease_expires_at" else "c.lease_expires_at"
+    logged = " UNION ALL ".join(f"SELECT '{kind}', count(*) FROM t WHERE hit AND ({when})" for kind, when in events)
+    sql = f"""WITH t AS (SELECT *, coalesce({hit}, false) AS hit, coalesce({dead}, false) AS dead FROM job_queue)
+        SELECT 'job_queue' AS tbl, CAST(id AS VARCHAR) AS k, {queue} AS v FROM t
+        UNION ALL SELECT 'job_attempts', concat_ws(':', a.job_id, a.run_number, a.attempt), {text("a.worker_id", "a.started_at", finished, outcome)}
+            FROM job_attempts a LEFT JOIN t ON t.id = a.job_id AND t.run_number = a.run_number AND t.attempt = a.attempt WHERE {"NOT coalesce(hit, false)" if gone else "true"}
+        UNION ALL SELECT 'job_execution_resource_claims', c.resource_key, {text("c.job_id", lease)}
+            FROM job_execution_resource_claims c LEFT JOIN t ON t.id = c.job_id AND t.execution_resource_key = c.resource_key WHERE {kept}
+        UNION ALL SELECT 'job_dead_letters', concat_ws(':', job_id, run_number), concat_ws('|', attempt, error_code) FROM job_dead_letters
+        UNION ALL SELECT 'job_dead_letters', concat_ws(':', id, run_number), concat_ws('|', attempt, {error}) FROM t WHERE hit AND dead
+        UNION ALL SELECT 'job_events', event_type, CAST(sum(n) AS VARCHAR) FROM (SELECT event_type, count(*) AS n FROM job_events GROUP BY 1 UNION ALL {logged}) GROUP BY event_type HAVING sum(n) > 0"""
+    query(name, "job_queue job_attempts job_execution_resource_claims job_dead_letters job_events", sql)(lambda l: _snapshot(make(l).apply(_touched(l))))
+
+
+def _touched(l):
+    return {name: l[name] for name in ("job_queue", "job_attempts", "job_execution_resource_claims", "job_dead_letters", "job_events")}
+
+
+_applied("snk1_success", _LIVE, lambda l: lifecycle.succeed(l["job_queue"], _fence(l, "true"), AS_OF), [("SUCCEEDED", "true")], status="'SUCCEEDED'", stage="'completed'", ends="NULL")
+_applied("snk1_heartbeat", _LIVE, lambda l: lifecycle.heartbeat(l["job_queue"], _fence(l, "true"), 90, AS_OF), [("HEARTBEAT", "true")], worker="worker_id", until=f"{NOW} + INTERVAL '90' SECOND", claim="KEPT")
+_applied("snk1_release", "status = 'LEASED'", lambda l: claims.release_unstarted(l["job_queue"], _fence(l, "true"), AS_OF), [("REQUEUED", "true")], status="'PENDING'", attempt="attempt - 1", stage="'queued'", gone=True)
+_applied("snk1_cancel", "status IN ('PENDING', 'LEASED')", lambda l: lifecycle.cancel(l["job_queue"], l["job_queue"].select("id"), AS_OF), [("CANCELED", "true")], status="'CANCELED'", until="lease_expires_at", claim=f"NOT coalesce(status = 'LEASED' AND lease_expires_at <= {NOW}, false)".replace("lease_expires_at", "t.lease_expires_at"))
+_applied("snk1_continuation", _LIVE, lambda l: lifecycle.continue_after(l["job_queue"], _fence(l, "true").withColumn("delay_us", F.lit(2_000_000)), AS_OF), [("REQUEUED", "true")], status="'PENDING'", run="run_number + 1", attempt="0", stage="'queued'", next_run=f"{NOW} + INTERVAL '2' SECOND", ends="NULL")
+_applied(
+    "snk1_failure", _LIVE, lambda l: lifecycle.fail(l["job_queue"], _fence(l, "true").withColumns({"kind": F.when(F.col("id") % 3 == 0, "TERMINAL").otherwise("RETRYABLE"), "error_code": F.lit("e"), "not_before": F.lit(None).cast("timestamp_ntz")}), AS_OF),
+    [("FAILED", "true"), ("RETRY_SCHEDULED", "NOT dead"), ("DEAD_LETTERED", "dead")], status="CASE WHEN dead THEN 'DEAD_LETTERED' ELSE 'PENDING' END", stage="CASE WHEN dead THEN 'completed' ELSE 'queued' END", ends="CASE WHEN id % 3 = 0 THEN 'TERMINAL' ELSE 'RETRYABLE' END".replace("id %", "t.id %"),
+    next_run=f"CASE WHEN dead THEN next_run_at ELSE {NOW} + greatest(1000, least(5000 * CAST(pow(2, least(greatest(attempt, 1), 10)) AS BIGINT), 300000) + id % 1000 - 500) * INTERVAL '1' MILLISECOND END", dead="id % 3 = 0 OR attempt >= max_attempts", error="'e'",
+)
+_applied(
+    "snk1_reap", f"status = 'LEASED' AND lease_expires_at < {NOW}", lambda l: lifecycle.reap(l["job_queue"], l["job_attempts"].limit(0), l["job_events"], AS_OF, 1_000_000_000),
+    [("LEASE_EXPIRED", "true"), ("RETRY_SCHEDULED", "NOT dead"), ("DEAD_LETTERED", "dead")], status="CASE WHEN dead THEN 'DEAD_LETTERED' ELSE 'PENDING' END", ends="'LEASE_EXPIRED'",
+    next_run=f"CASE WHEN dead THEN next_run_at ELSE {NOW} + INTERVAL '30' SECOND END", dead="attempt >= max_attempts", error="'job.lease_expired'",
+)
+
+
+# ---------------------------------------------------------------- workflow writes
+
+def _declared(l):
+    """All runs of the ledger, declared anew: types by place, every fifth pair of runs under one key, and a disabled type in every 17th run."""
+    runs = l["workflow_runs"].select(F.col("id").alias("ordinal"), "workflow_type", "organization_id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("new-"), F.floor(F.col("id") / 40).cast("string"))).alias("idempotency_key"), "result_step_key")
+    place = F.col("id") % 10
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = F.when(F.col("workflow_run_id") % 17 == 0, "jobs.p4").otherwise(F.concat(F.lit("jobs.p"), (1 + place % 3).cast("string")))
+    steps = l["workflow_steps"].select(F.col("workflow_run_id").alias("ordinal"), F.col("id").alias("step_ordinal"), "step_key", "execution_kind", F.when(F.col("execution_kind") == "JOB", kind).alias("job_type"), "payload", none("int").alias("priority"), none("int").alias("max_attempts"), none("int").alias("timeout_seconds"), none("string").alias("stage"))
+    key = lambda side: l["workflow_steps"].select(F.col("id").alias(f"{side}_step_id"), F.col("step_key").alias(f"{side}_key"))
+    edges = l["workflow_step_dependencies"].join(key("dependent"), "dependent_step_id").join(key("prerequisite"), "prerequisite_step_id").select(F.col("workflow_run_id").alias("ordinal"), "prerequisite_key", "dependent_key", "release_mode")
+    return runs, steps, edges
+
+
+@query("d4_enqueue_run", "workflow_runs workflow_steps workflow_step_dependencies job_definitions", """
+    WITH s AS (SELECT *, CASE WHEN execution_kind = 'JOB' THEN CASE WHEN workflow_run_id % 17 = 0 THEN 'jobs.p4' ELSE 'jobs.p' || CAST(1 + id % 10 % 3 AS VARCHAR) END END AS kind FROM workflow_steps),
+    e AS (SELECT d.workflow_run_id, d.id, d.step_key || '<' || p.step_key || ':' || release_mode AS edge FROM workflow_step_dependencies x JOIN workflow_steps d ON d.id = dependent_step_id JOIN workflow_steps p ON p.id = prerequisite_step_id),
+    r AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'new-' || CAST(id // 40 AS VARCHAR) END AS key, workflow_type, organization_id,
+        (SELECT string_agg(step_key || execution_kind || coalesce(kind, '') || payload, ',' ORDER BY step_key) FROM s WHERE s.workflow_run_id = r.id) || coalesce((SELECT string_agg(edge, ',' ORDER BY edge) FROM e WHERE e.workflow_run_id = r.id), '') AS request,
+        EXISTS (SELECT 1 FROM s WHERE s.workflow_run_id = r.id AND kind = 'jobs.p4') AS unknown FROM workflow_runs r),
+    led AS (SELECT *, CASE WHEN key IS NULL THEN id ELSE min(id) OVER (PARTITION BY workflow_type, organization_id, key) END AS lead_of FROM r),
+    o AS (SELECT led.id, CASE WHEN led.unknown THEN 'NO_ENABLED_DEFINITION' WHEN lead_of = led.id THEN 'INSERTED' WHEN led.request = f.request THEN 'EXISTING' ELSE 'CONFLICT' END AS outcome FROM led JOIN r f ON f.id = lead_of),
+    new AS (SELECT s.*, (SELECT count(*) FROM e WHERE e.id = s.id) AS total FROM s JOIN o ON o.id = s.workflow_run_id AND outcome = 'INSERTED'),
+    born AS (SELECT *, CASE WHEN total > 0 THEN 'BLOCKED' WHEN execution_kind = 'EXTERNAL' THEN 'WAITING_FOR_EXTERNAL' ELSE 'ENQUEUED' END AS now FROM new)
+    SELECT 'outcome' AS tbl, id AS k, outcome AS v FROM o
+    UNION ALL SELECT 'run', 1000000 + workflow_run_id, CASE WHEN bool_or(now IN ('BLOCKED', 'ENQUEUED')) THEN 'RUNNING' ELSE 'WAITING_FOR_EXTERNAL' END FROM born GROUP BY workflow_run_id
+    UNION ALL SELECT 'step', 2000000 + id, now || '|' || CAST(total AS VARCHAR) || '|' || coalesce(kind, '-') FROM born
+    UNION ALL SELECT 'job', 5000000 + id, kind || '|' || CAST(default_priority AS VARCHAR) || '|' || CAST(max_attempts AS VARCHAR) || '|' || payload FROM born JOIN job_definitions d ON d.job_type = kind WHERE now = 'ENQUEUED'
+    UNION ALL SELECT 'edges', 0, CAST(count(*) AS VARCHAR) FROM e JOIN o ON o.id = e.workflow_run_id AND outcome = 'INSERTED'""")
+def _(l):
+    runs, steps, edges = _declared(l)
+    there = {"job_definitions": l["job_definitions"], "workflow_runs": l["workflow_runs"].where("false")}
+    change = workflow_writes.enqueue_runs(there, runs, steps, edges, AS_OF, 1_000_000, 2_000_000, 3_000_000)
+    made = change.upserts
+    row = lambda frame, name, key, value: frame.select(F.lit(name).alias("tbl"), key.cast("long").alias("k"), value.alias("v"))
+    text = lambda *columns: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+    return (
+        row(change.outcomes, "outcome", F.col("ordinal"), F.col("outcome")).unionByName(row(made["workflow_runs"], "run", F.col("id"), F.col("status")))
+        .unionByName(row(made["workflow_steps"], "step", F.col("id"), text("status", "pending", "job_type")))
+        .unionByName(row(made["job_queue"], "job", F.col("id"), text("job_type", "priority", "max_attempts", "payload")))
+        .unionByName(row(made["workflow_step_dependencies"].agg(F.count(F.lit(1)).alias("n")), "edges", F.lit(0), F.col("n").cast("string")))
+    )
+
+
+@query("d8_release", "workflow_runs workflow_steps workflow_step_dependencies job_definitions", f"""WITH {_waves(11)},
+    live AS (SELECT * FROM workflow_runs WHERE status IN ('RUNNING', 'WAITING_FOR_EXTERNAL')),
+    moved AS (SELECT s.*, w11.status AS becomes FROM workflow_steps s JOIN w11 USING (id) JOIN live ON live.id = s.workflow_run_id WHERE w11.status <> s.status)
+    SELECT 'step' AS tbl, id AS k, becomes || '|' || CASE WHEN becomes = 'ENQUEUED' THEN CAST(3000000 + id AS VARCHAR) ELSE '-' END AS v FROM moved
+    UNION ALL SELECT 'job', 3000000 + m.id, coalesce(m.job_type, '-') || '|' || coalesce(CAST(d.default_priority AS VARCHAR), '-') || '|' || m.payload FROM moved m LEFT JOIN job_definitions d ON d.job_type = m.job_type AND d.is_enabled WHERE becomes = 'ENQUEUED'
+    UNION ALL SELECT 'run', live.id, CASE WHEN bool_or(w11.status IN ('ENQUEUED', 'RUNNING', 'BLOCKED')) THEN 'RUNNING' WHEN bool_or(w11.status = 'WAITING_FOR_EXTERNAL') THEN 'WAITING_FOR_EXTERNAL'
+        WHEN bool_or(w11.status IN ('FAILED', 'CANCELED')) THEN 'COMPLETED_WITH_ERRORS' ELSE 'SUCCEEDED' END FROM live JOIN w11 ON w11.workflow_run_id = live.id GROUP BY live.id""")
+def _(l):
+    change = workflow_writes.release(l, AS_OF, 3_000_000)
+    row = lambda frame, name, *values: frame.select(F.lit(name).alias("tbl"), F.col("id").alias("k"), F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in values)).alias("v"))
+    return row(change.outcomes, "step", "status", "job_id").unionByName(row(change.upserts["job_queue"], "job", "job_type", "priority", "payload")).unionByName(row(change.updates["workflow_runs"], "run", "status"))
+
+
+@query("d11_follow_jobs", "workflow_steps job_queue", """
+    SELECT id, becomes AS status FROM (SELECT s.id, s.status, CASE q.status WHEN 'LEASED' THEN 'RUNNING' WHEN 'PENDING' THEN 'ENQUEUED' WHEN 'SUCCEEDED' THEN 'SUCCEEDED' WHEN 'DEAD_LETTERED' THEN 'FAILED' ELSE 'CANCELED' END AS becomes
+    FROM workflow_steps s JOIN job_queue q ON q.id = s.job_id WHERE s.status NOT IN ('SUCCEEDED', 'FAILED', 'CANCELED')) WHERE becomes <> status""")
+def _(l):
+    return workflow_writes.follow_jobs(l["workflow_steps"], l["job_queue"], AS_OF).outcomes
+
+
+@query("d13_append_steps", "workflow_steps workflow_runs", """
+    SELECT w.id AS ordinal, CASE WHEN execution_kind <> 'EXTERNAL' OR w.status <> 'WAITING_FOR_EXTERNAL' OR r.status NOT IN ('RUNNING', 'WAITING_FOR_EXTERNAL') THEN 'WINDOW_CLOSED' WHEN w.id % 12 = 11 THEN 'INVALID' ELSE 'APPENDED' END AS outcome
+    FROM workflow_steps w JOIN workflow_runs r ON r.id = w.workflow_run_id UNION ALL SELECT -1, 'NOT_FOUND'""")
+def _(l):
+    # each step as a window for two new ones, the second of which needs the first; some need a step that isn't there
+    windows = l["workflow_steps"].select(F.col("id").alias("ordinal"), F.col("id").alias("window_step_id"), F.col("step_key").alias("window_key")).union(l.spark.sql("SELECT -1L, -1L, 'x'"))
+    none = lambda kind: F.lit(None).cast(kind)
+    new = windows.select("ordinal", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+    steps = new.select("ordinal", (2 * F.col("ordinal") + F.col("n")).alias("step_ordinal"), F.concat(F.lit("more-"), F.col("n").cast("string")).alias("step_key"), F.lit("JOB").alias("execution_kind"), F.lit("jobs.p1").alias("job_type"), F.lit("{}").alias("payload"), none("int").alias("priority"), none("int").alias("max_attempts"), none("int").alias("timeout_seconds"), none("string").alias("stage"))
+    edges = windows.select("ordinal", F.when(F.col("ordinal") % 12 == 11, "absent").otherwise(F.col("window_key")).alias("prerequisite_key"), F.lit("more-0").alias("dependent_key"), F.lit("ON_SUCCESS").alias("release_mode")).unionByName(
+        windows.select("ordinal", F.lit("more-0").alias("prerequisite_key"), F.lit("more-1").alias("dependent_key"), F.lit("ON_SUCCESS").alias("release_mode")))
+    return workflow_writes.append_steps(l, windows.drop("window_key"), steps, edges, AS_OF, 2_000_000, 3_000_000).outcomes.select("ordinal", "outcome")
