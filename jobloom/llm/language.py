@@ -15,9 +15,9 @@ from jobloom.llm.gru import PAD, Network
 
 #: Bytes that the network reads at a time.
 WINDOW = 64
-#: The bounded sample that it is trained on: languages (the most frequent ones), windows of a language, windows of a document.
-MOST_LANGUAGES = 100
+#: The bounded sample that it is trained on: windows of a language, of all languages, and of a document.
 SAMPLE = 6000
+WHOLE_SAMPLE = 600_000
 OF_A_DOCUMENT = 8
 UNDETERMINED = "und"
 
@@ -39,17 +39,20 @@ def windows(texts: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.nda
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, hidden: int = 16, epochs: int = 6) -> tuple[list[str], Network | None]:
     """The languages and the network learned from ``docs``, rows without language or text left out.
 
-    The sample: of each of the ``MOST_LANGUAGES`` most frequent languages, documents chosen by
-    the hash of their id, about sample / OF_A_DOCUMENT of them; of each document up to
-    OF_A_DOCUMENT windows, spread over its whole text. Only these windows come to the driver.
+    The sample: of each language, documents chosen by the hash of their id and text, about sample / OF_A_DOCUMENT of
+    them, fewer where many languages would make more than WHOLE_SAMPLE windows; of each document up to
+    OF_A_DOCUMENT windows, spread over its whole text. Equal texts of a language count once there, however often
+    they and their ids are repeated. Only these windows come to the driver. Every language that occurs is learned.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row a language
     languages = sorted(counts)
     if not languages:
         return [], None
-    shares = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample / OF_A_DOCUMENT / counts[k]))))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < 1_000_000 * F.element_at(shares, F.col(lang_col)))
+    each = min(sample, max(OF_A_DOCUMENT, WHOLE_SAMPLE // len(languages))) / OF_A_DOCUMENT
+    shares = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, each / counts[k]))))
+    drawn = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("sample")), F.lit(1_000_000_000)) < 1_000_000_000 * F.element_at(shares, F.col(lang_col)))
+    chosen = drawn.select(lang_col, text_col).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +65,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
                     part.append(data[starts[i] : starts[i] + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(part, pa.binary())], ["lang", "part"])
 
-    got = chosen.select(lang_col, text_col).mapInArrow(cut, "lang string, part binary").orderBy("lang", "part").limit(2 * sample * len(languages)).toArrow()
+    got = chosen.select(lang_col, text_col).mapInArrow(cut, "lang string, part binary").orderBy("lang", "part").toArrow()
     x, _ = windows(got.column("part").to_pylist())
     if not x.shape[1]:
         return [], None

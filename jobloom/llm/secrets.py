@@ -28,7 +28,7 @@ ENCODINGS = (
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"),
     ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base64url", r"^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("base64url", r"^[A-Za-z0-9_-]*[_-][A-Za-z0-9_-]*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("base64", r"^", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -115,13 +115,19 @@ def scan(docs: DataFrame, alpha: float = 0.05, id_col: str = "doc_id", text_col:
     The corpus is scanned once, and what was found is stored in the shared folder. The false-discovery control
     needs only counts of p-values by class of length and bin: a table of bounded size.
     """
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    found = _spans(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), alpha)
+    return found.select(F.col("id").alias(id_col), "base", "spans")
+
+
+def _spans(docs: DataFrame, alpha: float) -> DataFrame:
+    """base and spans of each row (id, text), and md5 of its text."""
+    base = docs.select("id", "text")
     text = F.col("text")
     none = F.array().cast(SPAN)
     located_once = base.select("id", "text", base_spans(text).alias("base"), F.when(text.rlike(TOKEN), located(text, TOKEN, 3)).otherwise(none).alias("tokens"))
     free = located_once.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))))
-    valued = free.select("id", "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _values(F.substring("text", t["start"] + 1, t["end"] - t["start"])).alias("x"))).alias("tokens"))
-    tested = valued.select("id", "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.floor(F.log2(F.size(t["x"]["v"]))).cast("int").alias("class"), _bin(_tests(t["x"])).alias("bin"))).alias("tokens"))
+    valued = free.select("id", F.md5("text").alias("md5"), "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _values(F.substring("text", t["start"] + 1, t["end"] - t["start"])).alias("x"))).alias("tokens"))
+    tested = valued.select("id", "md5", "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.floor(F.log2(F.size(t["x"]["v"]))).cast("int").alias("class"), _bin(_tests(t["x"])).alias("bin"))).alias("tokens"))
     table = stored(tested)
 
     counts = table.select(F.explode("tokens").alias("t")).groupBy(F.col("t.class").alias("class"), F.col("t.bin").alias("bin")).count()
@@ -133,7 +139,7 @@ def scan(docs: DataFrame, alpha: float = 0.05, id_col: str = "doc_id", text_col:
     passed = F.filter("tokens", lambda t: F.coalesce(t["bin"] < F.element_at(F.create_map(*(F.lit(x) for pair in limit.items() for x in pair)), t["class"]), F.lit(True)) if limit else F.lit(True))
     random = F.transform(passed, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end")))
     named = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind"), s["end"].alias("end")))
-    return table.select(F.col("id").alias(id_col), named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", random))).alias("spans"))
+    return table.select("id", "md5", named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", random))).alias("spans"))
 
 
 def _bin(p: Column) -> Column:
@@ -142,16 +148,20 @@ def _bin(p: Column) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "*", alpha: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and text of each document, each character of a secret replaced by ``mask``. Null text stays null."""
-    found = scan(docs, alpha, id_col, text_col).select(F.col(id_col).alias("hit"), "spans").where(F.size("spans") > 0).dropDuplicates(["hit", "spans"])
-    joined = docs.select(id_col, text_col).join(found, docs[id_col].eqNullSafe(found["hit"]), "left")
+    """id and text of each document row, each character of a secret replaced by ``mask``. Null text stays null.
+
+    Spans belong to an id and a text: rows that share an id and differ in text are masked by their own spans alone.
+    """
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(text_col).alias("md5"))
+    found = _spans(keyed.where("text IS NOT NULL"), alpha).where(F.size("spans") > 0).select(F.col("id").alias("hit"), F.col("md5").alias("of"), "spans").dropDuplicates(["hit", "of"])
+    joined = keyed.join(found, keyed["id"].eqNullSafe(found["hit"]) & (keyed["md5"] == found["of"]), "left")
     cut = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
-            F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.repeat(F.lit(mask), F.greatest(F.lit(0), s["end"] - F.greatest(a["at"], s["start"])))).alias("out"),
+            F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.repeat(F.lit(mask), F.greatest(F.lit(0), s["end"] - F.greatest(a["at"], s["start"])))).alias("out"),
         ),
-        lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(text_col))),
+        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    return joined.select(id_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cut).alias(text_col))
+    return joined.select(F.col("id").alias(id_col), F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut).alias(text_col))
