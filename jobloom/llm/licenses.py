@@ -20,8 +20,14 @@ CUT = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*"
 MARKERS = r"(?<![^\n])[\x20\x09]*(?:#+|//[/!]*|/\*[*!]*|\*+/?|--+>?|;+|%+|<!--+)[\x20\x09]*"
 #: What normalising turns into a space: ASCII other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Each known text has a sentence with one of these, so documents without any have no licence.
-TRIGGER = r"(?i)licen[sc]e|warrant|permission|redistribut|unencumbered"
+#: Numbers of a list's entries, at the start of a line or of a sentence: no text. What stands before stays.
+NUMBERS = r"(^|\n|[.!?;:][\x20\x09-\x0D])[\x20\x09]*\(?(?:[0-9]{1,2}|[a-h])[.)][\x20\x09]+"
+#: In normalised sentences, places for names of holders: (what may stand there, what is put for it).
+SLOTS = (
+    (r"neither the names? of .{1,200}? nor the names of (?:(?:its|his|her|their) )?contributors", "neither the name of x nor the names of its contributors"),
+    (r"provided by .{1,200}? as is", "provided by x as is"),
+    (r"in no event shall .{1,200}? be liable", "in no event shall x be liable"),
+)
 #: Sentences of other kinds, such as names of holders, that may stand inside a rule's sequence.
 MOST_BETWEEN = 3
 
@@ -56,6 +62,8 @@ TEXTS = [
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("ISC", "SPDX-License-Identifier: ISC"),
     ("BSD-2-Clause", _BSD + _BSD_AS_IS),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
@@ -89,7 +97,14 @@ TEXTS = [
 
 def known_sentences(text: str) -> list[str]:
     """The normalised sentences of a known text; as ``sentences`` finds them in documents."""
-    return [s for s in (re.sub(BETWEEN, " ", part).strip().lower() for part in re.split(CUT, text)) if s]
+    found = (re.sub(BETWEEN, " ", part).strip().lower() for part in re.split(CUT, re.sub(NUMBERS, r"\1", text)))
+    return [s for s in map(_slotted, found) if s]
+
+
+def _slotted(sentence: str) -> str:
+    for pattern, by in SLOTS:
+        sentence = re.sub(pattern, by, sentence)
+    return sentence
 
 
 def known(texts: list[tuple[str, str]] = TEXTS) -> tuple[dict[str, str], list[tuple[str, str]]]:
@@ -109,7 +124,15 @@ def uncommented(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text."""
-    return F.transform(F.split(lower_ascii(text), CUT), lambda s: F.trim(F.regexp_replace(s, BETWEEN, " ")))
+    return F.transform(F.split(F.regexp_replace(lower_ascii(text), NUMBERS, "$1"), CUT), normalised)
+
+
+def normalised(part: Column) -> Column:
+    """A lower-case part of a text with single spaces between its words, and names of holders replaced."""
+    part = F.trim(F.regexp_replace(part, BETWEEN, " "))
+    for pattern, by in SLOTS:
+        part = F.regexp_replace(part, pattern, by)
+    return part
 
 
 def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +140,8 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, id_col: str = "d
 
     Returns one row per document row: id, n_sentences (known sentences), sentence_ids (in text order, space-joined),
     n_licenses, licenses (distinct, sorted, comma-joined). Up to ``MOST_BETWEEN`` other
-    sentences may stand between two of a rule. A rule takes its sentences, so a notice inside a
+    sentences may stand between two of a rule. Where a licence names its holders, any name of up to 200 characters stands, and
+    numbers of a list's entries are no text. A rule takes its sentences, so a notice inside a
     longer text counts once. A line that is a whole known text counts even where the
     lines beside it have no closing punctuation. Comment markers at line starts are no text. A known
     sentence may be cut by one or two empty lines. Null text is empty; no row is dropped; there is no shuffle.
@@ -126,15 +150,15 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, id_col: str = "d
     lookup = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
     whole = F.create_map(*(F.lit(x) for pair in {" ".join(known_sentences(t)): licence for licence, t in texts}.items() for x in pair))
     text = uncommented(F.col("text"))
-    lines = F.transform(F.split(lower_ascii(text), "\n"), lambda s: F.trim(F.regexp_replace(s, BETWEEN, " ")))
+    lines = F.transform(F.split(lower_ascii(text), "\n"), normalised)
     notices = F.filter(F.transform(lines, lambda s: F.element_at(whole, s)), lambda x: x.isNotNull())
     parts = sentences(text)
     cut = lambda i, n: F.element_at(lookup, F.array_join(F.slice(F.col("parts"), i + 1, n), " "))
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", "text", F.when(F.col("text").rlike(TRIGGER), parts).alias("parts"))
+    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", "text", parts.alias("parts"))
     found = base.select(
         "id",
-        F.when(F.col("text").rlike(TRIGGER), F.transform("parts", lambda s, i: F.coalesce(F.element_at(lookup, s), cut(i, 2), cut(i, 3)))).alias("ids"),
-        F.when(F.col("text").rlike(TRIGGER), F.array_distinct(notices)).alias("notices"),
+        F.transform("parts", lambda s, i: F.coalesce(F.element_at(lookup, s), cut(i, 2), cut(i, 3))).alias("ids"),
+        F.array_distinct(notices).alias("notices"),
     )
     # known ones in order, with a bar wherever too many others stand between
     start = F.struct(F.lit(" ").alias("seq"), F.lit(0).alias("others"))

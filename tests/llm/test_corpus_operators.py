@@ -355,7 +355,6 @@ def test_licences(spark):
     got = by_id(licenses.scan(table(spark, rows)))
     assert {i: got[i]["licenses"] for i in range(40, 47)} == {40: "MIT", 41: "MIT", 42: "BSD-3-Clause", 43: "MIT", 44: "CC-BY-NC-4.0", 45: "", 46: "GPL-3.0-only"}
     assert all(got[i]["n_licenses"] == 0 for i in range(1, 10))
-    assert all(re.search(licenses.TRIGGER, t) for _, t in licenses.TEXTS)
     ids, rules = licenses.known()
     assert len(rules) == len({r for _, r in rules}) and len(ids) < 200
 

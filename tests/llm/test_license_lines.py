@@ -16,3 +16,20 @@ def test_notices_in_code(spark):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r["licenses"] for i, r in got.items()} == {1: "MIT", 2: "BSD-3-Clause", 3: "Apache-2.0", 4: "Apache-2.0", 5: ""}
     assert got[3]["n_sentences"] == len(licenses.known_sentences(apache))
+
+
+def test_names_of_holders_and_numbers(spark):
+    bsd = next(t for name, t in licenses.TEXTS if name == "BSD-3-Clause" and "Redistribution" in t)
+    named = bsd.replace("the copyright holder nor the names of its", "ACME Corp nor the names of its").replace("PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "PROVIDED BY ACME CORP").replace("SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE", "SHALL ACME CORP BE")
+    lettered = named.replace("1. ", "\n  (a) ").replace("2. ", "\n  (b) ").replace("3. ", "\n  (c) ")
+    unlicense = next(t for name, t in licenses.TEXTS if name == "Unlicense")
+    rows = [(1, named), (2, lettered), (3, "No warranty.\n1. Mix flour. 2. Add eggs. 3. Bake."), (4, unlicense.split(". ")[0] + "."), (5, "word"), (6, None)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["licenses"] for i, r in got.items()} == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "", 4: "", 5: "", 6: ""}
+    assert got[3]["n_sentences"] == 0 and got[4]["n_sentences"] == 1
+
+
+def test_own_texts_need_no_telling_words(spark):
+    docs = spark.createDataFrame([(1, "Use it as you like. It is yours."), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs, texts=[("Own", "Use it as you like. It is yours.")]).collect()}
+    assert got == {1: "Own", 2: ""} and licenses.scan(docs.where("false")).count() == 0
