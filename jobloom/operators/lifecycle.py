@@ -241,3 +241,31 @@ def patch_payload(jobs: DataFrame, steps: DataFrame, commands: DataFrame) -> Cha
     decided = joined.withColumn("outcome", outcome)
     new = decided.where("outcome = 'UPDATED'").withColumn("payload", json_with("payload", "field", "value")).select(*jobs.columns)
     return Change({"job_queue": new}, outcomes=decided.select("id", "outcome"))
+
+
+def patch_step_and_job(steps: DataFrame, jobs: DataFrame, commands: DataFrame) -> Change:
+    """Sets the payload of steps (id, new_payload) and of their jobs: both, or neither where the job isn't pending and unclaimed any more."""
+    own = steps.select("id", "job_id", F.col("status").alias("step_status"))
+    state = jobs.select(F.col("id").alias("job_id"), F.col("status").alias("job_status"), F.col("attempt").alias("job_attempt"))
+    joined = commands.join(own, "id", "left").join(state, "job_id", "left")
+    outcome = (
+        F.when(F.col("step_status").isNull(), "NOT_FOUND").when(F.col("job_id").isNull() | F.col("job_status").isNull(), "NO_JOB")
+        .when(F.col("job_status") != "PENDING", "NOT_PENDING").when(F.col("job_attempt") > 0, "ALREADY_CLAIMED").otherwise("UPDATED")
+    )
+    decided = joined.withColumn("outcome", outcome)
+    good = decided.where("outcome = 'UPDATED'")
+    updates = {"workflow_steps": good.select("id", F.col("new_payload").alias("payload")), "job_queue": good.select(F.col("job_id").alias("id"), F.col("new_payload").alias("payload"))}
+    return Change(outcomes=decided.select("id", "outcome"), updates=updates)
+
+
+def add_logs(jobs: DataFrame, entries: DataFrame) -> Change:
+    """Appends log entries (id, job_id, level, message) of jobs that there are. Outcomes: those of others."""
+    there = jobs.select(F.col("id").alias("job_id"))
+    return Change(appends={"job_logs": entries.join(there, "job_id", "left_semi").select("id", "job_id", "level", "message")}, outcomes=entries.join(there, "job_id", "left_anti").select("id", F.lit("NO_JOB").alias("outcome")))
+
+
+def defer_poisoned(jobs: DataFrame, errors: DataFrame, as_of: str, retry_delay_seconds: int = 30, samples: int = 16) -> Change:
+    """Expired leases that can't be reaped (errors: id, error) are put off: their lease ends later. Outcomes: the first ``samples`` of them, as a report."""
+    held = jobs.where((F.col("status") == "LEASED") & expired(as_of)).join(errors, "id")
+    until = plus_ms(instant(as_of), F.lit(retry_delay_seconds * 1000))
+    return Change(outcomes=held.orderBy("lease_expires_at", "id").limit(samples).select("id", "error"), updates={"job_queue": held.select("id", until.alias("lease_expires_at"))})

@@ -93,6 +93,51 @@ def dependencies_of(edges: DataFrame, runs: DataFrame, run_id: int, scope: Scope
     return edges.where(F.col("workflow_run_id") == run_id).join(owner, "workflow_run_id", "left_semi").orderBy("prerequisite_step_id", "dependent_step_id")
 
 
+def page_of_steps(steps: DataFrame, runs: DataFrame, run_id: int, scope: Scope = Scope.admin(), limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the steps of a run that is seen."""
+    check_page(limit, offset)
+    return steps_of(steps, runs, run_id, scope).offset(offset).limit(limit)
+
+
+def page_of_dependencies(edges: DataFrame, runs: DataFrame, run_id: int, scope: Scope = Scope.admin(), limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the dependencies of a run that is seen."""
+    check_page(limit, offset)
+    return dependencies_of(edges, runs, run_id, scope).offset(offset).limit(limit)
+
+
+def count_in_runs(rows: DataFrame, runs: DataFrame, scope: Scope = Scope.admin()) -> DataFrame:
+    """How many steps, or dependencies, each run that is seen has, none included."""
+    per = rows.groupBy(F.col("workflow_run_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return runs.where(scope.sees()).select("id").join(per, "id", "left").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def run_by_key(runs: DataFrame, workflow_type: str, key: str, scope: Scope) -> DataFrame:
+    """The run of a type that has an idempotency key, in one organization or in none."""
+    return runs.where((F.col("workflow_type") == workflow_type) & (F.col("idempotency_key") == key) & scope.exactly())
+
+
+def runtime_configs(configs: DataFrame, job_type: str | None = None) -> DataFrame:
+    """All runtime configurations by type, or that of one type."""
+    return configs.where(equals("job_type", job_type)).orderBy("job_type")
+
+
+def required_runtime_config(configs: DataFrame, job_type: str) -> DataFrame:
+    """The configuration of a type; a type without one is an error."""
+    found = runtime_configs(configs, job_type)
+    if found.isEmpty():
+        raise LookupError(f"no runtime configuration: {job_type}")
+    return found
+
+
+def job_detail(ledger: dict[str, DataFrame], scope: Scope = Scope.admin()) -> DataFrame:
+    """Each job that is seen with how many attempts, events and dead letters it has, and its last event."""
+    per = lambda name, *more: ledger[name].groupBy(F.col("job_id").alias("id")).agg(F.count(F.lit(1)).alias(name), *more)
+    last = F.max_by("event_type", F.struct("occurred_at", "id")).alias("last_event")
+    joined = ledger["job_queue"].where(scope.sees()).select("id", "status").join(per("job_attempts"), "id", "left").join(per("job_events", last), "id", "left").join(per("job_dead_letters"), "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return joined.select("id", "status", zero("job_attempts"), zero("job_events"), zero("job_dead_letters"), F.coalesce("last_event", F.lit("-")).alias("last_event"))
+
+
 def run_of_job(steps: DataFrame, job_ids: list[int]) -> DataFrame:
     """The workflow run of each job that a step has."""
     return steps.where(among("job_id", job_ids)).select("job_id", "workflow_run_id")

@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType, TimestampNTZType
 
 from jobloom.functions.predicates import among, instant
-from jobloom.operators.changes import upsert
+from jobloom.operators.changes import set_columns, upsert
 
 # Fields of a cron expression with seconds, their ranges and names.
 FIELDS = (("second", 0, 59), ("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 1, 7))
@@ -147,3 +147,13 @@ def sync(schedules: DataFrame, catalogue: DataFrame) -> DataFrame:
 def to_deactivate(schedules: DataFrame, scope: list[str], present: list[str]) -> DataFrame:
     """Active schedules of a scope of names that a catalogue lacks, sorted."""
     return schedules.where(F.col("is_active") & among("name", scope) & ~among("name", present)).select("name").orderBy("name")
+
+
+def set_active(schedules: DataFrame, commands: DataFrame) -> DataFrame:
+    """Schedules with activity set by name (name, is_active); names that aren't there do nothing."""
+    return set_columns(schedules, commands, ["name"])
+
+
+def set_next_fire(schedules: DataFrame, commands: DataFrame) -> DataFrame:
+    """Schedules with their next fire set by name (name, next_fire_at)."""
+    return set_columns(schedules, commands, ["name"])

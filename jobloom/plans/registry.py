@@ -906,3 +906,135 @@ def _(l):
     edges = windows.select("ordinal", F.when(F.col("ordinal") % 12 == 11, "absent").otherwise(F.col("window_key")).alias("prerequisite_key"), F.lit("more-0").alias("dependent_key"), F.lit("ON_SUCCESS").alias("release_mode")).unionByName(
         windows.select("ordinal", F.lit("more-0").alias("prerequisite_key"), F.lit("more-1").alias("dependent_key"), F.lit("ON_SUCCESS").alias("release_mode")))
     return workflow_writes.append_steps(l, windows.drop("window_key"), steps, edges, AS_OF, 2_000_000, 3_000_000).outcomes.select("ordinal", "outcome")
+
+
+# ---------------------------------------------------------------- other reads and writes
+
+@query("f4_legacy_scope", "job_queue", "SELECT 'none' AS scope, count(*) AS jobs FROM job_queue UNION ALL SELECT 'organization', count(*) FROM job_queue WHERE organization_id = 4")
+def _(l):
+    scopes = {"none": Scope.from_legacy(None), "organization": Scope.from_legacy(4)}
+    seen = F.explode(F.array_compact(F.array(*(F.when(s.sees(), name) for name, s in scopes.items())))).alias("scope")
+    return l["job_queue"].select(seen).groupBy("scope").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query("q18_run_by_key", "workflow_runs", "SELECT id, status FROM workflow_runs WHERE workflow_type = 'flow.1' AND idempotency_key = 'wf-9' AND organization_id = 3")
+def _(l):
+    return reads.run_by_key(l["workflow_runs"], "flow.1", "wf-9", Scope.of(3)).select("id", "status")
+
+
+@query("q16_all_runtime_configs", "job_runtime_configs", "SELECT job_type, schema_version, config FROM job_runtime_configs")
+def _(l):
+    return reads.runtime_configs(l["job_runtime_configs"]).select("job_type", "schema_version", "config")
+
+
+@query("q20_page_of_steps", "workflow_runs workflow_steps", "SELECT id, step_key FROM workflow_steps WHERE workflow_run_id = 12 ORDER BY created_at, id LIMIT 3 OFFSET 2")
+def _(l):
+    return reads.page_of_steps(l["workflow_steps"], l["workflow_runs"], 12, limit=3, offset=2).select("id", "step_key")
+
+
+@query("q20_count_steps", "workflow_runs workflow_steps", "SELECT r.id, count(s.id) AS n FROM workflow_runs r LEFT JOIN workflow_steps s ON s.workflow_run_id = r.id WHERE r.organization_id = 3 GROUP BY r.id")
+def _(l):
+    return reads.count_in_runs(l["workflow_steps"], l["workflow_runs"], Scope.of(3))
+
+
+@query("q21_page_of_dependencies", "workflow_runs workflow_step_dependencies", "SELECT prerequisite_step_id, dependent_step_id FROM workflow_step_dependencies WHERE workflow_run_id = 12 ORDER BY 1, 2 LIMIT 4 OFFSET 3")
+def _(l):
+    return reads.page_of_dependencies(l["workflow_step_dependencies"], l["workflow_runs"], 12, limit=4, offset=3).select("prerequisite_step_id", "dependent_step_id")
+
+
+@query("q21_count_dependencies", "workflow_runs workflow_step_dependencies", "SELECT r.id, count(e.workflow_run_id) AS n FROM workflow_runs r LEFT JOIN workflow_step_dependencies e ON e.workflow_run_id = r.id GROUP BY r.id")
+def _(l):
+    return reads.count_in_runs(l["workflow_step_dependencies"], l["workflow_runs"])
+
+
+@query("q24_job_detail", "job_queue job_attempts job_events job_dead_letters", """
+    SELECT q.id, q.status, coalesce(a.n, 0) AS job_attempts, coalesce(e.n, 0) AS job_events, coalesce(d.n, 0) AS job_dead_letters, coalesce(e.last, '-') AS last_event FROM job_queue q
+    LEFT JOIN (SELECT job_id, count(*) AS n FROM job_attempts GROUP BY 1) a ON a.job_id = q.id LEFT JOIN (SELECT job_id, count(*) AS n, arg_max(event_type, (occurred_at, id)) AS last FROM job_events GROUP BY 1) e ON e.job_id = q.id
+    LEFT JOIN (SELECT job_id, count(*) AS n FROM job_dead_letters GROUP BY 1) d ON d.job_id = q.id""")
+def _(l):
+    return reads.job_detail(l)
+
+
+@query("j11_passed_over", "job_queue job_execution_resource_claims", "SELECT q.id, c.job_id AS holder FROM job_queue q JOIN job_execution_resource_claims c ON c.resource_key = q.execution_resource_key WHERE q.status = 'PENDING' AND c.job_id <> q.id")
+def _(l):
+    return claims.not_acquired(l["job_queue"].where("status = 'PENDING'"), l["job_execution_resource_claims"]).select("id", "holder")
+
+
+@query("j15_quiesced", "job_queue", f"SELECT id FROM job_queue WHERE status = 'CANCELED' AND (lease_expires_at IS NULL OR lease_expires_at < {NOW})")
+def _(l):
+    return claims.quiesced(l["job_queue"], AS_OF).select("id")
+
+
+@query("j16_broken_links", "workflow_steps job_queue", "SELECT id, 'NO_JOB' AS fault FROM workflow_steps WHERE job_id IS NOT NULL AND job_id NOT IN (SELECT id FROM job_queue WHERE status <> 'CANCELED') UNION ALL SELECT job_id, 'SEVERAL_STEPS' FROM workflow_steps WHERE job_id IS NOT NULL GROUP BY job_id HAVING count(*) > 1")
+def _(l):
+    return integrity.broken_links(l["workflow_steps"], l["job_queue"].where("status <> 'CANCELED'"))
+
+
+@query("a11_all_there", "job_definitions", "SELECT count(DISTINCT job_type) = 2 AS all_there FROM job_definitions WHERE job_type IN ('jobs.p1', 'jobs.p2')")
+def _(l):
+    return integrity.all_there(l["job_definitions"], "job_type", ["jobs.p1", "jobs.p2"])
+
+
+@query("x21_defer_poisoned", "job_queue", f"SELECT id, status, CASE WHEN status = 'LEASED' AND lease_expires_at < {NOW} AND id % 2 = 0 THEN {NOW} + INTERVAL '30' SECOND ELSE lease_expires_at END AS lease_expires_at FROM job_queue WHERE lease_expires_at IS NOT NULL")
+def _(l):
+    errors = l["job_queue"].where("id % 2 = 0").select("id", F.lit("bad row").alias("error"))
+    after = lifecycle.defer_poisoned(l["job_queue"], errors, AS_OF).apply({"job_queue": l["job_queue"]})
+    return after["job_queue"].where("lease_expires_at IS NOT NULL").select("id", "status", "lease_expires_at")
+
+
+@query("x25_patch_step_and_job", "workflow_steps job_queue", """
+    WITH o AS (SELECT s.id, s.job_id, s.payload, CASE WHEN q.id IS NULL THEN 'NO_JOB' WHEN q.status <> 'PENDING' THEN 'NOT_PENDING' WHEN q.attempt > 0 THEN 'ALREADY_CLAIMED' ELSE 'UPDATED' END AS outcome FROM workflow_steps s LEFT JOIN job_queue q ON q.id = s.job_id)
+    SELECT 'outcome' AS tbl, id, outcome AS v FROM o UNION ALL SELECT 'step', id, CASE WHEN outcome = 'UPDATED' THEN '{}' ELSE payload END FROM o
+    UNION ALL SELECT 'job', q.id, CASE WHEN o.outcome = 'UPDATED' THEN '{}' ELSE q.payload END FROM job_queue q LEFT JOIN o ON o.job_id = q.id""")
+def _(l):
+    change = lifecycle.patch_step_and_job(l["workflow_steps"], l["job_queue"], l["workflow_steps"].select("id", F.lit("{}").alias("new_payload")))
+    after = change.apply({"workflow_steps": l["workflow_steps"], "job_queue": l["job_queue"]})
+    row = lambda frame, name, value: frame.select(F.lit(name).alias("tbl"), "id", F.col(value).alias("v"))
+    return row(change.outcomes, "outcome", "outcome").unionByName(row(after["workflow_steps"], "step", "payload")).unionByName(row(after["job_queue"], "job", "payload"))
+
+
+@query("x26_add_logs", "job_queue job_logs", "SELECT level, count(*) AS entries FROM (SELECT level FROM job_logs UNION ALL SELECT 'error' FROM job_queue WHERE status = 'DEAD_LETTERED') GROUP BY level")
+def _(l):
+    entries = l["job_queue"].where("status = 'DEAD_LETTERED'").select((F.col("id") + 1_000_000_000).alias("id"), F.col("id").alias("job_id"), F.lit("error").alias("level"), F.lit("gave up").alias("message"))
+    unknown = l.spark.sql("SELECT -1L, -1L, 'error', 'no such job'")
+    return lifecycle.add_logs(l["job_queue"], entries.union(unknown)).apply({"job_logs": l["job_logs"]})["job_logs"].groupBy("level").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("x27_upsert_definitions", "job_definitions", f"""
+    SELECT job_type, CASE WHEN job_type = 'jobs.p1' THEN 11 ELSE max_attempts END AS max_attempts, is_enabled, CASE WHEN job_type = 'jobs.p1' THEN {NOW} ELSE created_at END AS created_at FROM job_definitions
+    UNION ALL SELECT 'jobs.new', 4, true, {NOW}""")
+def _(l):
+    from jobloom.functions.predicates import instant
+    from jobloom.operators.changes import upsert_if_changed
+
+    base = l["job_definitions"].select("job_type", "max_attempts", "is_enabled", "created_at")
+    same = base.where("job_type = 'jobs.p2'")
+    changed = base.where("job_type = 'jobs.p1'").withColumn("max_attempts", F.lit(11)).unionByName(l.spark.sql("SELECT 'jobs.new' AS job_type, 4 AS max_attempts, true AS is_enabled, CAST(NULL AS TIMESTAMP_NTZ) AS created_at"))
+    return upsert_if_changed(base, same.unionByName(changed), ["job_type"], ["max_attempts", "is_enabled"], ("created_at", instant(AS_OF)))
+
+
+@query("h1_sync_schedules", "job_schedules", """
+    SELECT id, name, CASE WHEN id % 2 = 0 THEN '0 0 * * * *' ELSE cron_expr END AS cron_expr, is_active, CASE WHEN id % 2 = 0 AND cron_expr <> '0 0 * * * *' THEN CAST('2024-03-01 00:00:00' AS TIMESTAMP) ELSE next_fire_at END AS next_fire_at FROM job_schedules
+    UNION ALL SELECT -1, 'new', '0 0 * * * *', true, CAST('2024-03-01 00:00:00' AS TIMESTAMP)""")
+def _(l):
+    from jobloom.functions.predicates import instant
+
+    base = l["job_schedules"].select("id", "name", "cron_expr", "is_active", "next_fire_at")
+    fire = {"next_fire_at": instant("2024-03-01 00:00:00"), "is_active": F.lit(True)}
+    catalogue = base.where("id % 2 = 0").withColumns({"cron_expr": F.lit("0 0 * * * *"), **fire}).unionByName(base.where("id % 2 = 1").withColumns(fire)).unionByName(l.spark.sql("SELECT -1L AS id, 'new' AS name, '0 0 * * * *' AS cron_expr").withColumns(fire))
+    return schedules.sync(base, catalogue)
+
+
+@query("h2_set_schedules", "job_schedules", "SELECT id, CASE WHEN id % 3 = 0 THEN false ELSE is_active END AS is_active, CASE WHEN id % 5 = 0 THEN NULL ELSE next_fire_at END AS next_fire_at FROM job_schedules")
+def _(l):
+    table = l["job_schedules"]
+    off = schedules.set_active(table, table.where("id % 3 = 0").select("name", F.lit(False).alias("is_active")))
+    return schedules.set_next_fire(off, table.where("id % 5 = 0").select("name", F.lit(None).cast("timestamp_ntz").alias("next_fire_at"))).select("id", "is_active", "next_fire_at")
+
+
+@query("h10_runtime_configs", "job_runtime_configs", "SELECT job_type, CASE WHEN job_type = 'jobs.p1' THEN 7 ELSE schema_version END AS schema_version FROM job_runtime_configs UNION ALL SELECT 'jobs.new', 1")
+def _(l):
+    from jobloom.operators.changes import KEYS, upsert
+
+    base = l["job_runtime_configs"].select("job_type", "schema_version")
+    return upsert(base, l.spark.sql("SELECT 'jobs.p1' AS job_type, 7 AS schema_version UNION ALL SELECT 'jobs.new', 1"), KEYS["job_runtime_configs"])

@@ -67,3 +67,11 @@ def drain_terminal_runs(runs: DataFrame) -> DataFrame:
     stream = terminal_runs(spark.readStream.schema("id long, status string").parquet(source))
     stream.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("id long, status string").parquet(sink)
+
+
+def without_repeats(commands: DataFrame, within: str = "1 hour") -> DataFrame:
+    """A stream of enqueue commands (job_type, organization_id, idempotency_key, at) without those that repeat a key within a time.
+
+    It only spares work: keys stay unique for good by the join with the ledger, which has no end in time.
+    """
+    return commands.withWatermark("at", within).dropDuplicatesWithinWatermark(["job_type", "organization_id", "idempotency_key"])

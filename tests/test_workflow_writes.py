@@ -129,3 +129,34 @@ def test_set_columns_writes_nulls_and_adds_nothing(spark):
     base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, v string, w string")
     rows = spark.createDataFrame([(1, None), (3, "c")], "id long, v string").withColumn("unknown", F.lit(1))
     assert sorted(map(tuple, changes.set_columns(base, rows, ["id"]).collect())) == [(1, None, "x"), (2, "b", "y")]
+
+
+def test_a_stream_without_repeats(spark, tmp_path):
+    from jobloom.streaming.job_states import without_repeats
+
+    rows = [("t", 1, "k", "2024-01-01 00:00:00"), ("t", 1, "k", "2024-01-01 00:10:00"), ("t", 2, "k", "2024-01-01 00:10:00"), ("t", 1, "l", "2024-01-01 00:20:00")]
+    table = spark.createDataFrame(rows, "job_type string, organization_id long, idempotency_key string, t string").select("job_type", "organization_id", "idempotency_key", F.col("t").cast("timestamp").alias("at"))
+    table.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in")
+    query = without_repeats(stream).writeStream.format("memory").queryName("commands_once").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((r["organization_id"], r["idempotency_key"]) for r in spark.table("commands_once").collect())
+    assert got == [(1, "k"), (1, "l"), (2, "k")]
+
+
+def test_a_required_configuration(spark):
+    from jobloom.operators import reads
+
+    configs = spark.createDataFrame([("a", 1)], "job_type string, schema_version int")
+    assert reads.required_runtime_config(configs, "a").count() == 1
+    with pytest.raises(LookupError, match="b"):
+        reads.required_runtime_config(configs, "b")
+
+
+@pytest.mark.parametrize("limit, offset", [(0, 0), (1001, 0), (1, -1)])
+def test_pages_have_bounds(spark, limit, offset):
+    from jobloom.operators import reads
+
+    rows = spark.createDataFrame([], "id long, workflow_run_id long, created_at timestamp_ntz, organization_id long")
+    with pytest.raises(ValueError):
+        reads.page_of_steps(rows, rows, 1, limit=limit, offset=offset)
