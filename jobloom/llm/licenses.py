@@ -8,6 +8,9 @@ ordered rules, longest first. A rule is the sequence of sentences of one licence
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +120,22 @@ def known(texts: list[tuple[str, str]] = TEXTS) -> tuple[dict[str, str], list[tu
     return ids, sorted(((licence, rule) for rule, licence in rules.items()), key=lambda x: (-x[1].count(" "), x))
 
 
+def telling_words(sentences: list[str]) -> list[str]:
+    """Few words of which each of the sentences has one, so a text without any of them has none of the sentences.
+
+    Taken from the sentences themselves: again and again the word that, weighed by its length, most of those left have.
+    Sentences of a single word or of no word of three letters, such as the name at the end of a line of two sentences, say
+    nothing by themselves: they count only in texts that have a word of another one.
+    """
+    left, chosen = [set(s.split()) - {"x", "its"} for s in sentences if " " in s and re.search("[a-z]{3}", s)], []
+    while left := [s for s in left if s.isdisjoint(chosen)]:
+        score = Counter(w for s in left for w in s)
+        if not score:  # a sentence of nothing but a name's place: every text may have it
+            return [""]
+        chosen.append(max(score, key=lambda w: (score[w] * len(w), w)))
+    return chosen
+
+
 def uncommented(text: Column) -> Column:
     """``text`` without the comment markers at its lines' starts."""
     return F.regexp_replace(text, MARKERS, "")
@@ -141,7 +160,7 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, id_col: str = "d
     Returns one row per document row: id, n_sentences (known sentences), sentence_ids (in text order, space-joined),
     n_licenses, licenses (distinct, sorted, comma-joined). Up to ``MOST_BETWEEN`` other
     sentences may stand between two of a rule. Where a licence names its holders, any name of up to 200 characters stands, and
-    numbers of a list's entries are no text. A rule takes its sentences, so a notice inside a
+    numbers of a list's entries are no text. Texts without any of the ``telling_words`` of the known sentences aren't cut. A rule takes its sentences, so a notice inside a
     longer text counts once. A line that is a whole known text counts even where the
     lines beside it have no closing punctuation. Comment markers at line starts are no text. A known
     sentence may be cut by one or two empty lines. Null text is empty; no row is dropped; there is no shuffle.
@@ -154,7 +173,10 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, id_col: str = "d
     notices = F.filter(F.transform(lines, lambda s: F.element_at(whole, s)), lambda x: x.isNotNull())
     parts = sentences(text)
     cut = lambda i, n: F.element_at(lookup, F.array_join(F.slice(F.col("parts"), i + 1, n), " "))
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", "text", parts.alias("parts"))
+    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", "text", F.lower("text").alias("low"))
+    # only texts that have a word of a known sentence are cut
+    may = reduce(or_, (F.contains("low", F.lit(w)) for w in telling_words(list(ids))), F.lit(False))
+    base = base.select("id", F.when(may, F.col("text")).alias("text")).select("id", "text", parts.alias("parts"))
     found = base.select(
         "id",
         F.transform("parts", lambda s, i: F.coalesce(F.element_at(lookup, s), cut(i, 2), cut(i, 3))).alias("ids"),

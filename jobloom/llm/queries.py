@@ -79,14 +79,14 @@ def _licenses_sql() -> str:
         return part
 
     return f"""
-        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {lower} AS t FROM documents),
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {lower} AS t FROM documents), telling AS (SELECT r FROM d WHERE {" OR ".join(f"contains(lower(text), {text(w)})" for w in licenses.telling_words(list(ids)))}),
         known(s, id) AS (VALUES {known}), single(s, licence) AS (VALUES {single}),
-        parts AS (SELECT r, unnest(regexp_split_to_array({unnumbered}, {text(licenses.CUT)})) AS part, generate_subscripts(regexp_split_to_array({unnumbered}, {text(licenses.CUT)}), 1) AS place FROM d),
+        parts AS (SELECT r, unnest(regexp_split_to_array({unnumbered}, {text(licenses.CUT)})) AS part, generate_subscripts(regexp_split_to_array({unnumbered}, {text(licenses.CUT)}), 1) AS place FROM d JOIN telling USING (r)),
         found AS (SELECT r, place, id, place - coalesce(lag(place) OVER (PARTITION BY r ORDER BY place), 0) - 1 AS others FROM parts JOIN known ON known.s = {plain("part")}),
         seqs AS (SELECT r, ' ' || string_agg(CASE WHEN others > {licenses.MOST_BETWEEN} THEN '| ' ELSE '' END || id || ' ', '' ORDER BY place) AS seq FROM found GROUP BY r),
         named AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY place) AS ids FROM found GROUP BY r),
         matched AS ({steps}),
-        notices AS (SELECT r, list(licence) AS own FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) JOIN single ON single.s = {plain("line")} GROUP BY r),
+        notices AS (SELECT r, list(licence) AS own FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d JOIN telling USING (r)) JOIN single ON single.s = {plain("line")} GROUP BY r),
         joined AS (SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, list_sort(list_distinct(list_concat(coalesce(hits, []), coalesce(own, [])))) AS licences
             FROM d LEFT JOIN named USING (r) LEFT JOIN matched USING (r) LEFT JOIN notices USING (r))
         SELECT doc_id, n_sentences, sentence_ids, CAST(len(licences) AS BIGINT) AS n_licenses, array_to_string(licences, ',') AS licenses FROM joined
