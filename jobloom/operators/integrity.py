@@ -80,7 +80,7 @@ def all_there(rows: DataFrame, column: str, wanted: list[str]) -> DataFrame:
     return rows.where(F.col(column).isin(wanted)).agg((F.count_distinct(column) == len(set(wanted))).alias("all_there"))
 
 
-def broken_links(steps: DataFrame, jobs: DataFrame) -> DataFrame:
+def broken_job_links(steps: DataFrame, jobs: DataFrame) -> DataFrame:
     """Links between steps and jobs that are broken, both ways: steps whose job isn't there, and jobs that several steps have."""
     lost = steps.where("job_id IS NOT NULL").join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_anti").select("id", F.lit("NO_JOB").alias("fault"))
     shared = steps.where("job_id IS NOT NULL").groupBy(F.col("job_id").alias("id")).count().where("count > 1").select("id", F.lit("SEVERAL_STEPS").alias("fault"))

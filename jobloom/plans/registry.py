@@ -967,7 +967,7 @@ def _(l):
 
 @query("j16_broken_links", "workflow_steps job_queue", "SELECT id, 'NO_JOB' AS fault FROM workflow_steps WHERE job_id IS NOT NULL AND job_id NOT IN (SELECT id FROM job_queue WHERE status <> 'CANCELED') UNION ALL SELECT job_id, 'SEVERAL_STEPS' FROM workflow_steps WHERE job_id IS NOT NULL GROUP BY job_id HAVING count(*) > 1")
 def _(l):
-    return integrity.broken_links(l["workflow_steps"], l["job_queue"].where("status <> 'CANCELED'"))
+    return integrity.broken_job_links(l["workflow_steps"], l["job_queue"].where("status <> 'CANCELED'"))
 
 
 @query("a11_all_there", "job_definitions", "SELECT count(DISTINCT job_type) = 2 AS all_there FROM job_definitions WHERE job_type IN ('jobs.p1', 'jobs.p2')")
