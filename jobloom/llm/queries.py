@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import decontaminate, exact_dedup, html_text, language, licenses, near_dedup, packing, ppm, secrets, token_files
+from jobloom.llm import decontaminate, exact_dedup, html_text, language, lexical, licenses, near_dedup, packing, periodic, ppm, secrets, token_files
 from jobloom.llm.common import documents, shared_dir
 
 
@@ -60,6 +60,35 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def tiled(text: bytes, h: int) -> list[bytes]:
+    """The words of a text; where h is divisible by ten, those from a place on repeat a first few of them."""
+    words = text.split()
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of runs, its longest run, and digests of all runs and of the text without repeats."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    found = periodic.periodic_runs(documents(spark, sf_dir), key=crc, words_of=tiled)
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    start, period = (-F.col("first")["col2"], -F.col("first")["col3"])
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.withColumn("first", first).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), F.col("first")["length"].alias("length"), period.alias("period"),
+        F.floor(F.lit(1000) * F.col("first")["length"] / period).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    return lexical.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
 def _licenses_sql() -> str:
     """SQL for op8: identifiers by position, joined to a sequence, from which each rule in turn takes its matches."""
     ids, rules = licenses.known()
@@ -104,6 +133,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_token_files": op9_token_files,
     "op10_html": op10_html,
+    "op11_periodic": op11_periodic,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL = {
@@ -144,4 +175,25 @@ ORACLE_SQL = {
         FROM t
     """,
     "op8_licenses": _licenses_sql(),
+    "op13_lexical": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+        ), q AS (
+            SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark
+        ), size AS (
+            SELECT count(*) FILTER (WHERE len(t) > 0) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d
+        ), term AS (
+            SELECT i, t, count(*) AS times FROM (SELECT i, unnest(t) AS t FROM q) GROUP BY i, t
+        ), posting AS (
+            SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(t) AS t FROM d) WHERE t IN (SELECT t FROM term) GROUP BY r, t
+        ), weight AS (
+            SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * n + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM posting, size GROUP BY t, n
+        ), score AS (
+            SELECT i, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(d.t) * n) // l)))) AS BIGINT) AS score
+            FROM posting JOIN weight USING (t) JOIN term USING (t) JOIN d USING (r), size GROUP BY i, r
+        ), ranked AS (
+            SELECT i, r, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank FROM score JOIN d USING (r) WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN q USING (i) JOIN d USING (r) WHERE rank <= 20
+    """,
 }
