@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import decontaminate, exact_dedup, html_text, language, lexical, licenses, near_dedup, packing, periodic, ppm, secrets, token_files
+from jobloom.llm import decontaminate, exact_dedup, html_text, language, lexical, licenses, near_dedup, packing, periodic, ppm, secrets, token_files, vectors
 from jobloom.llm.common import documents, shared_dir
 
 
@@ -84,6 +84,11 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others found for every twentieth vector."""
+    return vectors.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), asks=F.col("vec_id") % 20 == 0, k=20)
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of each benchmark item."""
     return lexical.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
@@ -134,6 +139,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_html": op10_html,
     "op11_periodic": op11_periodic,
+    "op12_neighbours": op12_neighbours,
     "op13_lexical": op13_lexical,
 }
 
