@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 #: The natural key of each ledger table that changes.
 KEYS = {
-    "job_queue": ["id"], "job_attempts": ["job_id", "run_number", "attempt"], "job_dead_letters": ["job_id", "run_number"], "job_replays": ["replay_job_id"],
-    "job_execution_resource_claims": ["resource_key", "job_id"], "job_enqueue_intents": ["id"], "job_schedules": ["id"], "job_definitions": ["job_type"], "job_runtime_configs": ["job_type"],
+    "job_queue": ["id"], "job_attempts": ["job_id", "run_number", "attempt"], "job_dead_letters": ["job_id"], "job_replays": ["replay_job_id"],
+    "job_execution_resource_claims": ["resource_key"], "job_enqueue_intents": ["id"], "job_schedules": ["id"], "job_definitions": ["job_type"], "job_runtime_configs": ["job_type"],
     "workflow_runs": ["id"], "workflow_steps": ["id"], "workflow_step_dependencies": ["prerequisite_step_id", "dependent_step_id"],
 }
+#: What tells the rows of a table that ``updates`` means, where its key isn't enough: a claim that its job still holds.
+OWNED = KEYS | {"job_execution_resource_claims": ["resource_key", "job_id"]}
 
 
 @dataclass
@@ -37,7 +39,7 @@ class Change:
         for name, rows in self.deletes.items():
             after[name] = now(name).join(rows, rows.columns, "left_anti")
         for name, rows in self.updates.items():
-            after[name] = set_columns(now(name), rows, KEYS[name])
+            after[name] = set_columns(now(name), rows, OWNED[name])
         for name, rows in self.upserts.items():
             after[name] = upsert(now(name), rows, KEYS[name])
         for name, rows in self.appends.items():
@@ -45,18 +47,36 @@ class Change:
         return after
 
 
+def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: that of the lowest ``ordinal``, if there is one, then the smallest by its other columns in order; the same whatever the partitions."""
+    rest = sorted((c for c in rows.columns if c not in keys), key=lambda c: c != "ordinal")
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_least")).select(*keys, "_least.*").select(*rows.columns)
+
+
+def nth_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``_nth``, their number among those of the same key, in the order of ``one_each``."""
+    rest = sorted((c for c in rows.columns if c not in keys), key=lambda c: c != "ordinal")
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*(rest or keys))))
+
+
 def set_columns(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` with the columns of ``rows`` besides its keys set in the rows that it names, to null as well; columns that base lacks are ignored."""
+    """``base`` with the columns of ``rows`` besides its keys set in the rows that it names, to null as well; columns that base lacks are ignored.
+
+    Of rows that share a key, one counts (``one_each``), so no row of ``base`` is doubled.
+    """
     columns = [c for c in rows.columns if c not in keys and c in base.columns]
+    rows = one_each(rows.select(*keys, *columns), keys)
     new = rows.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_named"))
     joined = base.join(new, keys, "left")
     return joined.select(*(F.when(F.col("_named"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns))
 
 
 def upsert(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` with rows replaced by those of ``rows`` that have their key, and the others added."""
+    """``base`` with rows replaced by those of ``rows`` that have their key, and the others added; of rows that share a key, one counts (``one_each``)."""
     kept = base.join(rows.select(*keys), keys, "left_anti")
-    return kept.unionByName(rows.select(*[c for c in base.columns if c in rows.columns]), allowMissingColumns=True)
+    return kept.unionByName(one_each(rows.select(*[c for c in base.columns if c in rows.columns]), keys), allowMissingColumns=True)
 
 
 def upsert_if_changed(base: DataFrame, rows: DataFrame, keys: list[str], compared: list[str], stamp: tuple[str, Column]) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from jobloom.functions.json_text import canonical_json, json_with
 from jobloom.functions.predicates import Scope, expired, instant
 from jobloom.functions.timing import failure_outcome, plus_ms, retry_at, retry_delay_ms
-from jobloom.operators.changes import Change, event
+from jobloom.operators.changes import Change, event, nth_of, one_each
 
 FENCE = ["id", "run_number", "attempt", "worker_id"]
+#: A text of nothing but white space of any kind, or none at all.
+BLANK = r"(?U)^\s*\z"
 
 
 def _no_time() -> Column:
@@ -22,9 +24,9 @@ def _no_text() -> Column:
 
 
 def fenced(jobs: DataFrame, commands: DataFrame, as_of: str) -> DataFrame:
-    """Leased jobs with the commands of those who hold them now; all others' are stale and drop out."""
+    """Leased jobs with the commands of those who hold them now; all others' are stale and drop out. Of repeated commands for a fence, one counts (``one_each``)."""
     live = jobs.where((F.col("status") == "LEASED") & (F.col("lease_expires_at") > instant(as_of)))
-    return live.join(commands, FENCE)
+    return live.join(one_each(commands, FENCE), FENCE)
 
 
 def enqueue(jobs: DataFrame, definitions: DataFrame, commands: DataFrame, as_of: str, first_id: int) -> Change:
@@ -55,7 +57,7 @@ def enqueue(jobs: DataFrame, definitions: DataFrame, commands: DataFrame, as_of:
     known = definitions.where("is_enabled").select("job_type", "default_priority", F.col("max_attempts").alias("default_max"), F.lit(True).alias("defined"))
     resource = F.col("execution_resource_key")
     outcome = (
-        F.when(resource.isNotNull() & ((F.trim(resource) == "") | (F.octet_length(resource) > 512)), "INVALID_RESOURCE")
+        F.when(resource.isNotNull() & (resource.rlike(BLANK) | (F.octet_length(resource) > 512)), "INVALID_RESOURCE")
         .when(F.col("there_id").isNotNull() & F.col("there_request").isNull(), "LEGACY_KEY")
         .when(F.col("there_id").isNotNull(), F.when(F.col("there_request") == F.col("enqueue_request"), "EXISTING").otherwise("CONFLICT"))
         .when(F.col("defined").isNull(), "NO_ENABLED_DEFINITION")
@@ -153,12 +155,15 @@ def cancel(jobs: DataFrame, commands: DataFrame, as_of: str, scope: Scope = Scop
 
 
 def compare_and_requeue(jobs: DataFrame, steps: DataFrame, commands: DataFrame, as_of: str) -> Change:
-    """Starts settled jobs anew if they are as expected (expected_status, expected_run)."""
+    """Starts settled jobs anew if they are as expected (expected_status, expected_run).
+
+    Of commands for one job the first decides (``one_each``); the outcome of the others is DUPLICATE.
+    """
     managed = steps.where("job_id IS NOT NULL").select(F.col("job_id").alias("id"), F.lit(True).alias("managed")).distinct()
-    joined = commands.join(jobs, "id", "left").join(managed, "id", "left")
+    joined = nth_of(commands, ["id"]).join(jobs, "id", "left").join(managed, "id", "left")
     quiet = ~F.coalesce(F.col("lease_expires_at") > instant(as_of), F.lit(False))
     outcome = (
-        F.when(F.col("status").isNull(), "NOT_FOUND")
+        F.when(F.col("_nth") > 1, "DUPLICATE").when(F.col("status").isNull(), "NOT_FOUND")
         .when(F.col("managed").isNotNull(), "WORKFLOW_MANAGED")
         .when((F.col("status") != F.col("expected_status")) | (F.col("run_number") != F.col("expected_run")), "EXPECTATION_MISMATCH")
         .when(~F.col("status").isin("DEAD_LETTERED", "CANCELED"), "INVALID_STATE")
@@ -231,11 +236,14 @@ def reap(jobs: DataFrame, attempts: DataFrame, events: DataFrame, as_of: str, li
 
 
 def patch_payload(jobs: DataFrame, steps: DataFrame, commands: DataFrame) -> Change:
-    """Sets a field of payloads to a JSON array (id, field, value): only of direct, pending, unkeyed jobs that weren't claimed."""
+    """Sets a field of payloads to a JSON array (id, field, value): only of direct, pending, unkeyed jobs that weren't claimed.
+
+    Of commands for one job the first decides (``one_each``); the outcome of the others is DUPLICATE.
+    """
     managed = steps.where("job_id IS NOT NULL").select(F.col("job_id").alias("id"), F.lit(True).alias("managed")).distinct()
-    joined = commands.join(jobs, "id", "left").join(managed, "id", "left")
+    joined = nth_of(commands, ["id"]).join(jobs, "id", "left").join(managed, "id", "left")
     outcome = (
-        F.when(F.col("status").isNull(), "NOT_FOUND").when(F.col("managed").isNotNull(), "WORKFLOW_MANAGED").when(F.col("idempotency_key").isNotNull(), "IDEMPOTENT")
+        F.when(F.col("_nth") > 1, "DUPLICATE").when(F.col("status").isNull(), "NOT_FOUND").when(F.col("managed").isNotNull(), "WORKFLOW_MANAGED").when(F.col("idempotency_key").isNotNull(), "IDEMPOTENT")
         .when(F.col("status") != "PENDING", "NOT_PENDING").when(F.col("attempt") > 0, "ALREADY_CLAIMED").otherwise("UPDATED")
     )
     decided = joined.withColumn("outcome", outcome)
@@ -244,12 +252,15 @@ def patch_payload(jobs: DataFrame, steps: DataFrame, commands: DataFrame) -> Cha
 
 
 def patch_step_and_job(steps: DataFrame, jobs: DataFrame, commands: DataFrame) -> Change:
-    """Sets the payload of steps (id, new_payload) and of their jobs: both, or neither where the job isn't pending and unclaimed any more."""
+    """Sets the payload of steps (id, new_payload) and of their jobs: both, or neither where the job isn't pending and unclaimed any more.
+
+    Of commands for one step the first decides (``one_each``); the outcome of the others is DUPLICATE.
+    """
     own = steps.select("id", "job_id", F.col("status").alias("step_status"))
     state = jobs.select(F.col("id").alias("job_id"), F.col("status").alias("job_status"), F.col("attempt").alias("job_attempt"))
-    joined = commands.join(own, "id", "left").join(state, "job_id", "left")
+    joined = nth_of(commands, ["id"]).join(own, "id", "left").join(state, "job_id", "left")
     outcome = (
-        F.when(F.col("step_status").isNull(), "NOT_FOUND").when(F.col("job_id").isNull() | F.col("job_status").isNull(), "NO_JOB")
+        F.when(F.col("_nth") > 1, "DUPLICATE").when(F.col("step_status").isNull(), "NOT_FOUND").when(F.col("job_id").isNull() | F.col("job_status").isNull(), "NO_JOB")
         .when(F.col("job_status") != "PENDING", "NOT_PENDING").when(F.col("job_attempt") > 0, "ALREADY_CLAIMED").otherwise("UPDATED")
     )
     decided = joined.withColumn("outcome", outcome)
@@ -266,6 +277,6 @@ def add_logs(jobs: DataFrame, entries: DataFrame) -> Change:
 
 def defer_poisoned(jobs: DataFrame, errors: DataFrame, as_of: str, retry_delay_seconds: int = 30, samples: int = 16) -> Change:
     """Expired leases that can't be reaped (errors: id, error) are put off: their lease ends later. Outcomes: the first ``samples`` of them, as a report."""
-    held = jobs.where((F.col("status") == "LEASED") & expired(as_of)).join(errors, "id")
+    held = jobs.where((F.col("status") == "LEASED") & expired(as_of)).join(one_each(errors, ["id"]), "id")
     until = plus_ms(instant(as_of), F.lit(retry_delay_seconds * 1000))
     return Change(outcomes=held.orderBy("lease_expires_at", "id").limit(samples).select("id", "error"), updates={"job_queue": held.select("id", until.alias("lease_expires_at"))})
