@@ -25,7 +25,7 @@ TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256
 #: Postings between possible ends of blocks, most of these in a block, and what a block costs in units of a list's mean weight.
 STEP, LONGEST, PRICE = 16, 16, 12.0
 #: A shard's documents (their numbers fit 16 bits) and words, at most, but for one document alone.
-SHARD_DOCS, SHARD_WORDS = 1 << 14, 1 << 23
+SHARD_DOCS, SHARD_WORDS = 1 << 14, 1 << 22
 ITEMS_AT_ONCE = 256
 
 LISTS = "shard long, term binary, df long, docs binary, weights binary, block_ends binary, block_tops binary"
@@ -112,20 +112,20 @@ def index(docs: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_id", te
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
-        held: list[tuple[int, list[bytes]]] = []
-        words = 0
+        held, names, words = [], _Numbers(), 0
         for batch in batches:
             for key, text in zip(batch.column("id"), batch.column("text"), strict=True):
                 terms = terms_of(text.as_py())
                 if not terms:
                     continue
                 if held and (len(held) == SHARD_DOCS or words + len(terms) > SHARD_WORDS):
-                    yield from _shard_rows(shard, held, n_docs, n_terms)
-                    held, words, shard = [], 0, shard + 1
-                held.append((_NULL if key.as_py() is None else key.as_py(), terms))
+                    yield from _shard_rows(shard, held, names, n_docs, n_terms)
+                    held, names, words, shard = [], _Numbers(), 0, shard + 1
+                distinct, tf = np.unique(np.fromiter(map(names.__getitem__, terms), np.int32, len(terms)), return_counts=True)
+                held.append((_NULL if key.as_py() is None else key.as_py(), len(terms), distinct, tf.astype(np.int32)))
                 words += len(terms)
         if held:
-            yield from _shard_rows(shard, held, n_docs, n_terms)
+            yield from _shard_rows(shard, held, names, n_docs, n_terms)
 
     return stored(_texts(docs, id_col, text_col).mapInArrow(build, LISTS))
 
@@ -133,32 +133,46 @@ def index(docs: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_id", te
 _NULL = (1 << 63) - 1
 
 
-def _shard_rows(shard: int, held: list[tuple[int, list[bytes]]], n_docs: int, n_terms: int) -> Iterator[pa.RecordBatch]:
-    """The rows of one shard's lists."""
+class _Numbers(dict):
+    """Numbers terms as they come."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = number = len(self)
+        return number
+
+
+def _shard_rows(shard: int, held: list[tuple[int, int, np.ndarray, np.ndarray]], names: dict[bytes, int], n_docs: int, n_terms: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one shard's lists, from its documents' id, length, different terms and their occurrences."""
     held = sorted(held, key=lambda d: d[0])
-    names: dict[bytes, int] = {}
-    numbers = np.concatenate([np.fromiter((names.setdefault(t, len(names)) for t in terms), np.int64, len(terms)) for _, terms in held])
-    length = np.array([len(terms) for _, terms in held], np.int64)
-    pairs = np.repeat(np.arange(len(held), dtype=np.int64), length)
-    pairs, tf = np.unique((numbers << 16) | pairs, return_counts=True)
+    pairs = np.concatenate([(distinct.astype(np.int64) << 16) | n for n, (_, _, distinct, _) in enumerate(held)])
+    order = np.argsort(pairs, kind="stable")
+    pairs, tf = pairs[order], np.concatenate([d[3] for d in held])[order].astype(np.int64)
     of, doc = pairs >> 16, pairs & 0xFFFF
-    weights = part_of_score(tf.astype(np.int64), length[doc], n_docs, n_terms)
+    weights = part_of_score(tf, np.array([d[1] for d in held], np.int64)[doc], n_docs, n_terms)
     starts = np.flatnonzero(np.diff(of, prepend=-1))
     ends = np.append(starts[1:], len(of))
-    yield pa.RecordBatch.from_pydict({"shard": [shard], "term": [None], "df": [len(held)], "docs": [np.array([d for d, _ in held], np.int64).tobytes()], "weights": [None], "block_ends": [None], "block_tops": [None]}, schema=_LISTS)
+    yield pa.RecordBatch.from_pydict({"shard": [shard], "term": [None], "df": [len(held)], "docs": [np.array([d[0] for d in held], np.int64).tobytes()], "weights": [None], "block_ends": [None], "block_tops": [None]}, schema=_LISTS)
     long_ones = np.flatnonzero(ends - starts > STEP)
-    cut = dict(zip(long_ones.tolist(), blocks([weights[starts[k] : ends[k]] for k in long_ones]), strict=True))
-    whole = np.maximum.reduceat(weights, starts).astype(np.int32)  # a short list is one block
-    doc, weights = doc.astype(np.uint16), weights.astype(np.int32)
-    spellings = list(names)
+    cut = blocks([weights[starts[k] : ends[k]] for k in long_ones])
+    n_blocks = np.ones(len(starts), np.int64)  # a short list is one block
+    n_blocks[long_ones] = [len(at) for at, _ in cut]
+    firsts = np.concatenate(([0], np.cumsum(n_blocks)))
+    block_ends, block_tops = np.repeat(ends - starts, n_blocks).astype(np.int32), np.repeat(np.maximum.reduceat(weights, starts), n_blocks).astype(np.int32)
+    for k, (at, tops) in zip(long_ones.tolist(), cut, strict=True):
+        block_ends[firsts[k] : firsts[k + 1]], block_tops[firsts[k] : firsts[k + 1]] = at, tops
+    bounds = np.append(starts, len(of))
+    columns = [
+        pa.array(np.full(len(starts), shard, np.int64)), pa.array(list(names), pa.binary()), pa.array((ends - starts).astype(np.int64)), _slices(doc.astype(np.uint16), bounds),
+        _slices(weights.astype(np.int32), bounds), _slices(block_ends, firsts), _slices(block_tops, firsts),
+    ]
+    lists = pa.RecordBatch.from_arrays(columns, schema=_LISTS)
     for first in range(0, len(starts), 1 << 14):
-        out: dict[str, list] = {name: [] for name in _LISTS.names}
-        for k in range(first, min(first + (1 << 14), len(starts))):
-            a, b = starts[k], ends[k]
-            at, tops = cut[k] if k in cut else (np.array([b - a], np.int32), whole[k : k + 1])
-            for name, value in zip(_LISTS.names, (shard, spellings[of[a]], int(b - a), doc[a:b].tobytes(), weights[a:b].tobytes(), at.tobytes(), tops.astype(np.int32).tobytes()), strict=True):
-                out[name].append(value)
-        yield pa.RecordBatch.from_pydict(out, schema=_LISTS)
+        yield lists.slice(first, 1 << 14)
+
+
+def _slices(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """``values`` as bytes, cut at ``bounds``."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 _LISTS = pa.schema([("shard", pa.int64()), ("term", pa.binary()), ("df", pa.int64()), ("docs", pa.binary()), ("weights", pa.binary()), ("block_ends", pa.binary()), ("block_tops", pa.binary())])
