@@ -69,23 +69,33 @@ def blocks(lists: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     sum over blocks of size * maximum - sum of postings, plus ``PRICE`` times the list's mean a block, is found for all lists at
     once: best[j] = min over i of best[i] + cost(i, j).
     """
-    if not lists:
-        return []
+    sizes = np.array([len(x) for x in lists], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    found: list = [None] * len(lists)
+    done = 0
+    while done < len(lists):  # lists of about the same length together, in tables of at most 2^19 cells or of one list
+        part = order[done : done + max(1, (1 << 19) // (int(sizes[order[done]]) // STEP + 2))]
+        for n, one in zip(part.tolist(), _blocks([lists[n] for n in part]), strict=True):
+            found[n] = one
+        done += len(part)
+    return found
+
+
+def _blocks(lists: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``blocks`` of lists that become shorter."""
     sizes = np.array([len(x) for x in lists])
     steps = -(-sizes // STEP)
-    order = np.argsort(-steps, kind="stable")  # so that those which have a step j come first
     most = int(steps.max())
     tops, totals = np.zeros((len(lists), most)), np.zeros((len(lists), most + 1))
     price = np.empty(len(lists))
-    for k, n in enumerate(order.tolist()):
-        x = lists[n]
+    for k, x in enumerate(lists):
         at = np.arange(0, len(x), STEP)
         tops[k, : len(at)] = np.maximum.reduceat(x, at)
         totals[k, 1 : len(at) + 1] = np.cumsum(np.add.reduceat(x, at))
         price[k] = PRICE * x.mean()
-    ends = np.minimum(np.arange(most + 1) * STEP, sizes[order][:, None])
+    ends = np.minimum(np.arange(most + 1) * STEP, sizes[:, None])
     best, back = np.zeros((len(lists), most + 1)), np.zeros((len(lists), most + 1), np.int32)
-    alive = np.searchsorted(-steps[order], -np.arange(1, most + 1), side="right")
+    alive = np.searchsorted(-steps, -np.arange(1, most + 1), side="right")  # how many have a step j
     for j in range(1, most + 1):
         n, first = int(alive[j - 1]), max(0, j - LONGEST)
         top = np.maximum.accumulate(tops[:n, first:j][:, ::-1], axis=1)[:, ::-1]  # of steps i..j
@@ -93,13 +103,13 @@ def blocks(lists: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         pick = cost.argmin(axis=1)
         back[:n, j] = first + pick
         best[:n, j] = cost[np.arange(n), pick]
-    found: list = [None] * len(lists)
-    for k, n in enumerate(order.tolist()):
-        cuts = [int(steps[n])]
+    found = []
+    for k, x in enumerate(lists):
+        cuts = [int(steps[k])]
         while cuts[-1]:
             cuts.append(int(back[k, cuts[-1]]))
         bounds = ends[k, cuts[::-1]]
-        found[n] = (bounds[1:].astype(np.int32), np.maximum.reduceat(lists[n], bounds[:-1]))
+        found.append((bounds[1:].astype(np.int32), np.maximum.reduceat(x, bounds[:-1])))
     return found
 
 
