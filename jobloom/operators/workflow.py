@@ -75,6 +75,36 @@ def propagate(steps: DataFrame, edges: DataFrame) -> DataFrame:
         )
 
 
+def advance(steps: DataFrame, edges: DataFrame, finished: DataFrame) -> DataFrame:
+    """What newly finished steps (id, status) change, from counters that steps keep: id, workflow_run_id, status, pending, unsatisfied of changed steps alone.
+
+    ``steps`` have ``pending`` and ``unsatisfied``, as of all earlier finishes. A step that is blocked or over can't finish: such commands change
+    nothing, so repeating one is safe; of different ones for a step the first counts (``one_each``). Waves go from the finished steps along their edges, and on from
+    those that they cancel, so the work is in proportion to steps and edges of the runs that are touched; the result is that of ``propagate``.
+    """
+    from jobloom.operators.changes import one_each
+    from jobloom.sources.storage import stored
+
+    ends = one_each(finished.select("id", F.col("status").alias("ended")).where(F.col("ended").isin(*TERMINAL)), ["id"])
+    columns = ["id", "workflow_run_id", "execution_kind", "status", "pending", "unsatisfied"]
+    began = stored(steps.join(ends, "id").where(F.col("status").isin("ENQUEUED", "RUNNING", "WAITING_FOR_EXTERNAL")).withColumn("status", F.col("ended")).select(*columns))
+    runs = began.select("workflow_run_id").distinct()
+    own = stored(steps.select(*columns).join(runs, "workflow_run_id", "left_semi"))
+    links = stored(edges.join(runs, "workflow_run_id", "left_semi").select("prerequisite_step_id", F.col("dependent_step_id").alias("id"), (F.col("release_mode") == "ON_SUCCESS").alias("needs_success")))
+    changed, front = began, began
+    while not front.isEmpty():
+        before = front.select(F.col("id").alias("prerequisite_step_id"), (F.col("status") != "SUCCEEDED").alias("failed"))
+        hits = links.join(before, "prerequisite_step_id").groupBy("id").agg(F.count(F.lit(1)).alias("less"), F.count_if(F.col("needs_success") & F.col("failed")).alias("more"))
+        now = own.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+        counted = now.join(hits, "id").withColumns({"pending": F.col("pending") - F.col("less"), "unsatisfied": F.col("unsatisfied") + F.col("more"), "was": F.col("status")})
+        settled = (F.col("status") == "BLOCKED") & (F.col("pending") == 0)
+        becomes = F.when(settled & (F.col("unsatisfied") > 0), "CANCELED").when(settled & (F.col("execution_kind") == "EXTERNAL"), "WAITING_FOR_EXTERNAL").when(settled, "ENQUEUED").otherwise(F.col("status"))
+        wave = stored(counted.withColumn("status", becomes).select(*columns, "was"))
+        changed = stored(changed.join(wave.select("id"), "id", "left_anti").unionByName(wave.drop("was")))
+        front = wave.where("status = 'CANCELED' AND was = 'BLOCKED'").drop("was")
+    return changed.select("id", "workflow_run_id", "status", "pending", "unsatisfied")
+
+
 def downstream(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id): all steps that depend on each root (id), directly or not, a wave of edges at a time."""
     from jobloom.sources.storage import stored

@@ -114,6 +114,34 @@ def release(ledger: dict[str, DataFrame], as_of: str, first_job_id: int) -> Chan
     )
 
 
+def finish_steps(ledger: dict[str, DataFrame], finished: DataFrame, as_of: str, first_job_id: int) -> Change:
+    """Finishes steps (id, status) of live runs and does what follows from it, at a cost in proportion to the runs that are touched.
+
+    Steps keep counters (pending, unsatisfied); see ``workflow.advance``. Steps that get ready have jobs or wait, canceled ones cascade, and touched runs
+    get their status. Outcomes: id, workflow_run_id, status of each step whose status changed.
+    """
+    live = ledger["workflow_runs"].where(F.col("status").isin("RUNNING", "WAITING_FOR_EXTERNAL"))
+    named = finished.join(ledger["workflow_steps"].select("id", "workflow_run_id"), "id")
+    asked = named.join(live.select(F.col("id").alias("workflow_run_id")), "workflow_run_id", "left_semi").select(*finished.columns)
+    changed = stored(workflow.advance(ledger["workflow_steps"], ledger["workflow_step_dependencies"], asked))
+    runs = changed.select("workflow_run_id").distinct()
+    own = ledger["workflow_steps"].join(runs, "workflow_run_id", "left_semi")
+    new = changed.select("id", F.col("status").alias("becomes"))
+    moved = stored(own.join(new, "id").where("becomes <> status"))
+    known = ledger["job_definitions"].where("is_enabled").select("job_type", F.col("default_priority").alias("priority"), "max_attempts")
+    ready = moved.where("becomes = 'ENQUEUED'").join(live.select(F.col("id").alias("workflow_run_id"), "organization_id"), "workflow_run_id").join(known, "job_type", "left").withColumn("stage", F.lit("queued"))
+    jobs = new_jobs(ready, as_of, first_job_id)
+    released = moved.where("becomes = 'ENQUEUED'").select("id", (F.lit(first_job_id) + F.col("id")).cast("long").alias("new_job"))
+    after = own.join(new, "id", "left").withColumn("status", F.coalesce("becomes", "status"))
+    status = workflow.run_status(after, live.join(runs.select(F.col("workflow_run_id").alias("id")), "id", "left_semi")).select("id", "status")
+    job = own.select("id", F.col("job_id").alias("old_job"))
+    updates = changed.join(released, "id", "left").join(job, "id").select("id", "workflow_run_id", "status", "pending", "unsatisfied", F.coalesce("new_job", "old_job").alias("job_id"))
+    return Change(
+        {"job_queue": jobs}, {"job_events": event(jobs, "ENQUEUED", instant(as_of))}, outcomes=moved.select("id", "workflow_run_id", F.col("becomes").alias("status")),
+        updates={"workflow_steps": updates, "workflow_runs": status},
+    )
+
+
 def follow_jobs(steps: DataFrame, jobs: DataFrame, as_of: str) -> Change:
     """Steps take the status that their jobs lead to; a step's first start stays.
 
@@ -170,8 +198,12 @@ def append_steps(ledger: dict[str, DataFrame], commands: DataFrame, steps: DataF
     jobs = new_jobs(born.where("status = 'ENQUEUED'"), as_of, first_job_id)
     new_steps = born.select("id", "workflow_run_id", "step_key", "execution_kind", F.when(F.col("status") == "ENQUEUED", (F.lit(first_job_id) + F.col("id")).cast("long")).alias("job_id"), "status", "job_type", "payload", "total", "pending", instant(as_of).alias("created_at"))
     new_edges = placed.select("workflow_run_id", "prerequisite_step_id", "dependent_step_id", mode.alias("release_mode"))
+    logs = {"job_events": event(jobs, "ENQUEUED", instant(as_of))}
+    if "workflow_run_mutations" in ledger:  # kept for recoveries
+        requests = declared(steps, edges.withColumn("release_mode", mode)).join(good, "ordinal")
+        logs["workflow_run_mutations"] = requests.select("workflow_run_id", F.col("ordinal").alias("id"), F.lit("APPEND_STEPS").alias("mutation_kind"), "request")
     return Change(
-        {"workflow_steps": new_steps, "workflow_step_dependencies": new_edges, "job_queue": jobs}, {"job_events": event(jobs, "ENQUEUED", instant(as_of))},
+        {"workflow_steps": new_steps, "workflow_step_dependencies": new_edges, "job_queue": jobs}, logs,
         outcomes=decided.select("ordinal", "outcome", "workflow_run_id"),
     )
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from jobloom.functions.json_text import canonical_json
 from jobloom.functions.predicates import Scope, any_field_contains, progress_percent
 from jobloom.functions.timing import deferral_ms, failure_outcome, retry_delay_ms
-from jobloom.operators import claims, integrity, intents, lifecycle, metrics, reads, schedules, workflow, workflow_writes
+from jobloom.operators import claims, integrity, intents, lifecycle, metrics, reads, recovery, schedules, workflow, workflow_writes
 from jobloom.sources.adapter import AS_OF, Ledger, from_star, with_views
+from jobloom.sources.storage import shared_path, stored
+from jobloom.sources.store import LedgerStore
 from jobloom.streaming import job_states
 
 FLAGSHIP = "q2_job_metrics"
@@ -1038,3 +1040,124 @@ def _(l):
 
     base = l["job_runtime_configs"].select("job_type", "schema_version")
     return upsert(base, l.spark.sql("SELECT 'jobs.p1' AS job_type, 7 AS schema_version UNION ALL SELECT 'jobs.new', 1"), KEYS["job_runtime_configs"])
+
+
+# ---------------------------------------------------------------- a ledger that lasts
+
+@query("snk_merge", "job_queue job_attempts job_execution_resource_claims job_dead_letters job_events", f"""
+    WITH ran AS (SELECT DISTINCT job_id, run_number, attempt FROM job_events WHERE event_type = 'STAGE_CHANGED' AND stage = 'running'),
+    s AS (SELECT q.*, a.claim_origin = 'PRESTART' AND a.execution_started_persisted_at IS NULL AND r.job_id IS NULL AS unstarted FROM job_queue q
+        LEFT JOIN job_attempts a ON a.job_id = q.id AND a.run_number = q.run_number AND a.attempt = q.attempt LEFT JOIN ran r ON r.job_id = q.id AND r.run_number = q.run_number AND r.attempt = q.attempt),
+    t AS (SELECT *, CASE WHEN status = 'PENDING' THEN 'cancel' WHEN status = 'LEASED' AND lease_expires_at > {NOW} THEN CASE WHEN worker_id = 'worker-1' THEN 'succeed' WHEN id % 3 = 0 OR attempt >= max_attempts THEN 'die' ELSE 'retry' END
+        WHEN status = 'LEASED' AND lease_expires_at < {NOW} THEN CASE WHEN coalesce(unstarted, false) THEN 'release' WHEN attempt >= max_attempts THEN 'expire' ELSE 'again' END ELSE 'stay' END AS act FROM s),
+    u AS (SELECT *, CASE act WHEN 'cancel' THEN 'CANCELED' WHEN 'succeed' THEN 'SUCCEEDED' WHEN 'die' THEN 'DEAD_LETTERED' WHEN 'expire' THEN 'DEAD_LETTERED' WHEN 'stay' THEN status ELSE 'PENDING' END AS new_status,
+        CASE WHEN act = 'release' THEN attempt - 1 ELSE attempt END AS new_attempt, CASE WHEN act IN ('stay') THEN worker_id END AS new_worker,
+        CASE act WHEN 'succeed' THEN 'completed' WHEN 'die' THEN 'completed' WHEN 'retry' THEN 'queued' ELSE stage END AS new_stage, CASE WHEN act IN ('stay', 'cancel') THEN lease_expires_at END AS new_lease,
+        CASE act WHEN 'retry' THEN {NOW} + greatest(1000, least(5000 * CAST(pow(2, least(greatest(attempt, 1), 10)) AS BIGINT), 300000) + id % 1000 - 500) * INTERVAL '1' MILLISECOND WHEN 'again' THEN {NOW} + INTERVAL '30' SECOND ELSE next_run_at END AS new_next,
+        act NOT IN ('stay', 'cancel') AS ended FROM t)
+    SELECT 'job_queue' AS tbl, CAST(id AS VARCHAR) AS k, concat_ws('|', new_status, CAST(run_number AS VARCHAR), CAST(new_attempt AS VARCHAR), coalesce(new_worker, '-'), coalesce(new_stage, '-'), coalesce(CAST(new_lease AS VARCHAR), '-'), coalesce(CAST(new_next AS VARCHAR), '-')) AS v FROM u
+    UNION ALL SELECT 'job_attempts', concat_ws(':', a.job_id, a.run_number, a.attempt), concat_ws('|', coalesce(a.worker_id, '-'), coalesce(CAST(a.started_at AS VARCHAR), '-'),
+            coalesce(CAST(CASE WHEN ended THEN {NOW} ELSE a.finished_at END AS VARCHAR), '-'), coalesce(CASE act WHEN 'succeed' THEN NULL WHEN 'die' THEN CASE WHEN u.id % 3 = 0 THEN 'TERMINAL' ELSE 'RETRYABLE' END WHEN 'retry' THEN 'RETRYABLE' WHEN 'again' THEN 'LEASE_EXPIRED' WHEN 'expire' THEN 'LEASE_EXPIRED' ELSE a.outcome END, '-'))
+        FROM job_attempts a LEFT JOIN u ON u.id = a.job_id AND u.run_number = a.run_number AND u.attempt = a.attempt WHERE coalesce(act, 'stay') <> 'release'
+    UNION ALL SELECT 'job_execution_resource_claims', c.resource_key, concat_ws('|', CAST(c.job_id AS VARCHAR), CAST(c.lease_expires_at AS VARCHAR)) FROM job_execution_resource_claims c LEFT JOIN u ON u.id = c.job_id AND u.execution_resource_key = c.resource_key WHERE NOT coalesce(ended, false)
+    UNION ALL SELECT 'job_dead_letters', concat_ws(':', job_id, run_number), concat_ws('|', attempt, error_code) FROM job_dead_letters
+    UNION ALL SELECT 'job_dead_letters', concat_ws(':', id, run_number), concat_ws('|', attempt, CASE act WHEN 'die' THEN 'e' ELSE 'job.lease_expired' END) FROM u WHERE act IN ('die', 'expire')
+    UNION ALL SELECT 'job_events', event_type, CAST(count(*) AS VARCHAR) FROM (SELECT event_type FROM job_events UNION ALL SELECT unnest(CASE act WHEN 'cancel' THEN ['CANCELED'] WHEN 'succeed' THEN ['SUCCEEDED'] WHEN 'die' THEN ['FAILED', 'DEAD_LETTERED'] WHEN 'retry' THEN ['FAILED', 'RETRY_SCHEDULED']
+        WHEN 'again' THEN ['LEASE_EXPIRED', 'RETRY_SCHEDULED'] WHEN 'expire' THEN ['LEASE_EXPIRED', 'DEAD_LETTERED'] ELSE [] END) FROM u) GROUP BY event_type""")
+def _(l):
+    """Four batches written to a ledger that lasts, one of them twice, each decided from the snapshot before it."""
+    store = LedgerStore(l.spark, shared_path(l.spark, "ledger"))
+    store.create(_touched(l), buckets=8)
+    fence = lambda now, condition: _fence(now, condition)
+    kind = {"kind": F.when(F.col("id") % 3 == 0, "TERMINAL").otherwise("RETRYABLE"), "error_code": F.lit("e"), "not_before": F.lit(None).cast("timestamp_ntz")}
+    batches = [
+        (1, lambda now: lifecycle.cancel(now["job_queue"], now["job_queue"].where("status = 'PENDING'").select("id"), AS_OF)),
+        (2, lambda now: lifecycle.succeed(now["job_queue"], fence(now, "worker_id = 'worker-1'"), AS_OF)),
+        (3, lambda now: lifecycle.fail(now["job_queue"], fence(now, "worker_id <> 'worker-1'").withColumns(kind), AS_OF)),
+        (3, lambda now: lifecycle.cancel(now["job_queue"], now["job_queue"].select("id"), AS_OF)),  # this number is there: nothing happens
+        (4, lambda now: lifecycle.reap(now["job_queue"], now["job_attempts"], now["job_events"], AS_OF, 2**31 - 1)),
+    ]
+    for number, decide in batches:
+        store.apply(number, decide(store.read()))
+    return _snapshot(store.read())
+
+
+def _finishing(base: str, into: str, place: int, prefix: str, waves: int = 11) -> str:
+    """Steps of one place finish as the ledger has it; waves settle the others."""
+    sql = f"""{into}0 AS MATERIALIZED (SELECT b.id, b.workflow_run_id, b.execution_kind, CASE WHEN b.status IN ('ENQUEUED', 'WAITING_FOR_EXTERNAL') AND s.step_key = 'step-{place}' AND s.status IN ('SUCCEEDED', 'FAILED', 'CANCELED') THEN s.status ELSE b.status END AS status FROM {base} b JOIN workflow_steps s USING (id))"""
+    for k in range(1, waves + 1):
+        sql += f""", {prefix}{k} AS (SELECT e.dependent_step_id AS id, count(*) FILTER (WHERE s.status NOT IN ('SUCCEEDED', 'FAILED', 'CANCELED')) AS pending, count(*) FILTER (WHERE s.status IN ('FAILED', 'CANCELED') AND e.release_mode = 'ON_SUCCESS') AS unsatisfied
+                FROM workflow_step_dependencies e JOIN {into}{k - 1} s ON s.id = e.prerequisite_step_id GROUP BY 1),
+            {into}{k} AS MATERIALIZED (SELECT w.id, workflow_run_id, execution_kind, CASE WHEN status <> 'BLOCKED' OR coalesce(pending, 0) > 0 THEN status WHEN coalesce(unsatisfied, 0) > 0 THEN 'CANCELED' WHEN execution_kind = 'EXTERNAL' THEN 'WAITING_FOR_EXTERNAL' ELSE 'ENQUEUED' END AS status FROM {into}{k - 1} w LEFT JOIN {prefix}{k} USING (id))"""
+    return sql
+
+
+@query("d9_incremental", "workflow_steps workflow_step_dependencies", f"""
+    WITH fresh AS (SELECT id, workflow_run_id, execution_kind, CASE WHEN id IN (SELECT dependent_step_id FROM workflow_step_dependencies) THEN 'BLOCKED' WHEN execution_kind = 'EXTERNAL' THEN 'WAITING_FOR_EXTERNAL' ELSE 'ENQUEUED' END AS status FROM workflow_steps),
+    {_finishing("fresh", "a", 0, "ap")}, {_finishing("a11", "b", 1, "bp")}, {_finishing("b11", "c", 2, "cp")},
+    n AS (SELECT e.dependent_step_id AS id, count(*) FILTER (WHERE s.status NOT IN ('SUCCEEDED', 'FAILED', 'CANCELED')) AS pending, count(*) FILTER (WHERE s.status IN ('FAILED', 'CANCELED') AND e.release_mode = 'ON_SUCCESS') AS unsatisfied
+        FROM workflow_step_dependencies e JOIN c11 s ON s.id = e.prerequisite_step_id GROUP BY 1)
+    SELECT 'step' AS tbl, id, status || '|' || CAST(coalesce(pending, 0) AS VARCHAR) || '|' || CAST(coalesce(unsatisfied, 0) AS VARCHAR) AS v FROM c11 LEFT JOIN n USING (id)
+    UNION ALL SELECT 'run', workflow_run_id, CASE WHEN bool_or(status IN ('ENQUEUED', 'RUNNING', 'BLOCKED')) THEN 'RUNNING' WHEN bool_or(status = 'WAITING_FOR_EXTERNAL') THEN 'WAITING_FOR_EXTERNAL'
+        WHEN bool_or(status IN ('FAILED', 'CANCELED')) THEN 'COMPLETED_WITH_ERRORS' ELSE 'SUCCEEDED' END FROM c11 GROUP BY 2""")
+def _(l):
+    """All graphs begun anew in a ledger that lasts; then, place by place, steps that are ready finish as the ledger has it, once more each."""
+    total = l["workflow_step_dependencies"].groupBy(F.col("dependent_step_id").alias("id")).agg(F.count(F.lit(1)).alias("pending"))
+    status = F.when(F.col("pending") > 0, "BLOCKED").when(F.col("execution_kind") == "EXTERNAL", "WAITING_FOR_EXTERNAL").otherwise("ENQUEUED")
+    fresh = l["workflow_steps"].drop("status", "job_id").join(total, "id", "left").withColumns({"pending": F.coalesce("pending", F.lit(0).cast("long")), "unsatisfied": F.lit(0).cast("long"), "job_id": F.lit(None).cast("long")}).withColumn("status", status)
+    store = LedgerStore(l.spark, shared_path(l.spark, "ledger"))
+    runs = l["workflow_runs"].withColumn("status", F.lit("RUNNING"))
+    begun = workflow.run_status(fresh, runs).select("id", "status")
+    store.create({"workflow_steps": fresh, "workflow_step_dependencies": l["workflow_step_dependencies"], "workflow_runs": runs.drop("status").join(begun, "id"), "job_definitions": l["job_definitions"], "job_queue": l["job_queue"].where("false"), "job_events": l["job_events"].where("false")}, buckets=8)
+    for place in range(3):
+        ends = l["workflow_steps"].where((F.col("step_key") == f"step-{place}") & F.col("status").isin(*workflow.TERMINAL)).select("id", "status")
+        store.apply(place + 1, workflow_writes.finish_steps(store.read(), ends.unionByName(ends), AS_OF, 3_000_000))
+    after = store.read()
+    text = F.concat_ws("|", "status", F.col("pending").cast("string"), F.col("unsatisfied").cast("string"))
+    return after["workflow_steps"].select(F.lit("step").alias("tbl"), "id", text.alias("v")).unionByName(after["workflow_runs"].select(F.lit("run").alias("tbl"), "id", F.col("status").alias("v")))
+
+
+@query("d15_recover", "workflow_runs workflow_steps workflow_step_dependencies job_definitions", """
+    WITH s AS (SELECT *, CAST(id % 10 AS INT) AS place, CASE WHEN execution_kind = 'JOB' THEN CASE WHEN workflow_run_id % 17 = 0 THEN 'jobs.p4' ELSE 'jobs.p' || CAST(1 + id % 10 % 3 AS VARCHAR) END END AS kind FROM workflow_steps),
+    r AS (SELECT *, EXISTS (SELECT 1 FROM s WHERE s.workflow_run_id = r.id AND kind = 'jobs.p4') AS unknown FROM workflow_runs r),
+    c AS (SELECT id, 10 * id + n AS ordinal, n, CASE WHEN n = 2 THEN 'other' ELSE 'why' END AS reason, CASE WHEN n = 3 THEN -1 ELSE organization_id END AS asked_by FROM r, (VALUES (0), (1), (2), (3)) AS t(n) UNION ALL SELECT -1, -5, 0, 'why', NULL),
+    o AS (SELECT c.ordinal, c.id, c.n, CASE WHEN r.id IS NULL OR c.asked_by IS DISTINCT FROM r.organization_id THEN 'NOT_FOUND' WHEN r.status NOT IN ('SUCCEEDED', 'COMPLETED_WITH_ERRORS', 'CANCELED') THEN 'NOT_TERMINAL' WHEN r.id % 7 = 3 THEN 'SNAPSHOT_MISSING'
+        WHEN r.id % 7 = 4 THEN 'UNSAFE_SNAPSHOT' WHEN unknown THEN 'NO_ENABLED_DEFINITION' WHEN n = 0 THEN 'INSERTED' WHEN n = 1 THEN 'EXISTING' ELSE 'CONFLICT' END AS outcome FROM c LEFT JOIN r ON r.id = c.id),
+    new AS (SELECT o.ordinal, s.*, (SELECT count(*) FROM workflow_step_dependencies e WHERE e.dependent_step_id = s.id) AS total FROM s JOIN o ON o.id = s.workflow_run_id AND outcome = 'INSERTED'),
+    born AS (SELECT *, CASE WHEN total > 0 THEN 'BLOCKED' WHEN execution_kind = 'EXTERNAL' THEN 'WAITING_FOR_EXTERNAL' ELSE 'ENQUEUED' END AS now FROM new)
+    SELECT 'outcome' AS tbl, CAST(ordinal AS VARCHAR) AS k, outcome || '|' || CASE WHEN outcome = 'INSERTED' THEN CAST(1000000 + ordinal AS VARCHAR) WHEN outcome = 'EXISTING' THEN CAST(1000000 + ordinal - 1 AS VARCHAR) ELSE '-' END AS v FROM o
+    UNION ALL SELECT 'run', CAST(1000000 + ordinal AS VARCHAR), any_value(r.workflow_type) || '|' || coalesce(CAST(any_value(r.organization_id) AS VARCHAR), '-') || '|' || CASE WHEN bool_or(now IN ('BLOCKED', 'ENQUEUED')) THEN 'RUNNING' ELSE 'WAITING_FOR_EXTERNAL' END FROM born JOIN r ON r.id = workflow_run_id GROUP BY ordinal
+    UNION ALL SELECT 'step', CAST(1000000 + ordinal AS VARCHAR) || '.' || step_key, now || '|' || CAST(total AS VARCHAR) || '|' || coalesce(kind, '-') || '|' || '{"late":' || CAST(place AS VARCHAR) || '}' FROM born
+    UNION ALL SELECT 'edge', CAST(1000000 + ordinal AS VARCHAR) || '.' || d.step_key || '.' || p.step_key, release_mode FROM workflow_step_dependencies e JOIN o ON o.id = e.workflow_run_id AND outcome = 'INSERTED' JOIN s d ON d.id = e.dependent_step_id JOIN s p ON p.id = e.prerequisite_step_id
+    UNION ALL SELECT 'job', CAST(1000000 + ordinal AS VARCHAR) || '.' || step_key, kind || '|' || CAST(default_priority AS VARCHAR) || '|' || CAST(max_attempts AS VARCHAR) || '|{"late":' || CAST(place AS VARCHAR) || '}' FROM born JOIN job_definitions d ON d.job_type = kind WHERE now = 'ENQUEUED'
+    UNION ALL SELECT 'lineage', CAST(1000000 + ordinal AS VARCHAR), CAST(id AS VARCHAR) || '|k|FULL|why' FROM o WHERE outcome = 'INSERTED'""")
+def _(l):
+    """Every run asked for four times: once, again, with another reason, and by a stranger. Steps from the eighth place on were appended; payloads were changed since; some requests are gone or of an unknown form."""
+    _, steps, edges = _declared(l)
+    late = lambda key: F.substring(key, -1, 1).cast("int") >= 7
+    first = workflow_writes.declared(steps.where(~late("step_key")), edges.where(~late("dependent_key"))).select(F.col("ordinal").alias("id"), "request")
+    more = workflow_writes.declared(steps.where(late("step_key")), edges.where(late("dependent_key"))).select(F.col("ordinal").alias("workflow_run_id"), F.lit(1).cast("long").alias("id"), F.lit("APPEND_STEPS").alias("mutation_kind"), "request")
+    request = F.when(F.col("id") % 7 == 3, None).when(F.col("id") % 7 == 4, F.concat(F.lit('{"from":"elsewhere",'), F.substring("request", 2, 1 << 30))).otherwise(F.col("request"))
+    runs = l["workflow_runs"].drop("enqueue_request").join(first, "id").withColumn("enqueue_request", request).drop("request")
+    own = l["workflow_steps"].drop("payload").withColumn("payload", F.concat(F.lit('{"late":'), (F.col("id") % 10).cast("string"), F.lit("}")))
+    ledger = {"workflow_runs": runs, "workflow_steps": own, "job_definitions": l["job_definitions"], "workflow_run_mutations": more, "workflow_recoveries": l.spark.createDataFrame([], "recovery_run_id long, source_run_id long, source_step_id long, request_key string, mode string, reason string")}
+    n = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")
+    asked = l["workflow_runs"].select(F.col("id").alias("source_run_id"), "organization_id", n).select(
+        (10 * F.col("source_run_id") + F.col("n")).alias("ordinal"), "source_run_id", F.when(F.col("n") == 3, -1).otherwise(F.col("organization_id")).alias("organization_id"), F.lit(None).cast("long").alias("source_step_id"),
+        F.lit("k").alias("request_key"), F.lit("FULL").alias("mode"), F.when(F.col("n") == 2, "other").otherwise("why").alias("reason"))
+    stranger = l.spark.sql("SELECT -5L AS ordinal, -1L AS source_run_id, CAST(NULL AS BIGINT) AS organization_id, CAST(NULL AS BIGINT) AS source_step_id, 'k' AS request_key, 'FULL' AS mode, 'why' AS reason")
+    change = recovery.recover(ledger, asked.unionByName(stranger), AS_OF, 1_000_000, 1_000_000_000, 3_000_000)
+    made = change.upserts
+    text = lambda *columns: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+    row = lambda frame, name, key, value: frame.select(F.lit(name).alias("tbl"), key.cast("string").alias("k"), value.alias("v"))
+    new = stored(made["workflow_steps"])
+    at = lambda side: new.select(F.col("id").alias(f"{side}_step_id"), F.col("step_key").alias(side))
+    named = new.select((F.lit(3_000_000) + F.col("id")).alias("id"), F.concat_ws(".", F.col("workflow_run_id").cast("string"), "step_key").alias("at"))
+    linked = made["workflow_step_dependencies"].join(at("dependent"), "dependent_step_id").join(at("prerequisite"), "prerequisite_step_id")
+    return (
+        row(change.outcomes, "outcome", F.col("ordinal"), text("outcome", "run_id")).unionByName(row(made["workflow_runs"], "run", F.col("id"), text("workflow_type", "organization_id", "status")))
+        .unionByName(row(new, "step", F.concat_ws(".", F.col("workflow_run_id").cast("string"), "step_key"), text("status", "total", "job_type", "payload")))
+        .unionByName(row(linked, "edge", F.concat_ws(".", F.col("workflow_run_id").cast("string"), "dependent", "prerequisite"), F.col("release_mode")))
+        .unionByName(row(made["job_queue"].join(named, "id"), "job", F.col("at"), text("job_type", "priority", "max_attempts", "payload")))
+        .unionByName(row(change.appends["workflow_recoveries"], "lineage", F.col("recovery_run_id"), text("source_run_id", "request_key", "mode", "reason")))
+    )
