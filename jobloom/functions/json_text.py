@@ -6,6 +6,8 @@ import json
 from decimal import Decimal
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
@@ -64,9 +66,20 @@ def set_field(text: str | None, field: str, value: str) -> str | None:
     return json.dumps({**found, field: json.loads(value)}, separators=(",", ":"), ensure_ascii=False) if isinstance(found, dict) else None
 
 
-@pandas_udf(StringType())
-def canonical_json(texts: pd.Series) -> pd.Series:
-    return texts.map(canonical, na_action="ignore")
+#: A string of a JSON text, or a number written as a double without fraction.
+_WHOLE = r'("(?:[^"\\]|\\.)*+")|(?<![\d.])(-?\d+)\.0(?![\dE])'
+
+
+def canonical_json(text: Column | str) -> Column:
+    """One text for all JSON texts of a value, by Spark's own functions: variants have their members in order and decimals without trailing zeros.
+
+    Numbers with an exponent are doubles, equal to a plain number where they are short (1e2 is 100, but 1e7 isn't 10000000); digits beyond 38 are lost.
+    Of a text whose objects have a member twice only white space is normalised. What isn't JSON is null.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    value = F.to_json(F.try_parse_json(text))
+    plain = F.when(F.contains(value, F.lit(".0")), F.regexp_replace(value, _WHOLE, "$1$2")).otherwise(value)
+    return F.coalesce(F.when(plain == "-0", "0").otherwise(plain), F.get_json_object(text, "$"))
 
 
 @pandas_udf(StringType())

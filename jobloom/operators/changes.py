@@ -115,6 +115,16 @@ def rows_from_json(column: str, schema: str) -> Column:
     return F.from_json(column, f"array<struct<{schema}>>")
 
 
+def rows_from_arrays(rows: DataFrame, keep: list[str], arrays: dict[str, str]) -> DataFrame:
+    """A row for each place of arrays that go side by side, under the names given: columns of ``keep`` and one for each array.
+
+    Shorter arrays give nulls where others go on; null and empty ones have no places.
+    """
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
+    zipped = F.arrays_zip(*(empty(c).alias(c) for c in arrays))
+    return rows.select(*keep, F.explode(zipped).alias("_at")).select(*keep, *(F.col("_at")[c].alias(name) for c, name in arrays.items()))
+
+
 def event(rows: DataFrame, kind: str, as_of: Column, payload: Column | None = None, stage: Column | None = None) -> DataFrame:
     """A ledger event for each row (id, run_number, attempt)."""
     return rows.select(

@@ -65,13 +65,18 @@ def unavailable_schedules(schedules: DataFrame, definitions: DataFrame) -> DataF
     return schedules.where("is_active").join(definitions.where("is_enabled").select("job_type"), "job_type", "left_anti").select("id", "name", "job_type")
 
 
-def catalogue_changes(definitions: DataFrame, catalogue: list[str], scope: list[str]) -> DataFrame:
-    """What an exact sync of a catalogue of types does: (job_type, action)."""
+def catalogue_changes(definitions: DataFrame, catalogue: list[str] | DataFrame, scope: list[str] | DataFrame, exact: bool = True) -> DataFrame:
+    """What a sync of a catalogue of types (names, or a frame of job_type) does: (job_type, action).
+
+    Types that aren't there are inserted. An exact sync disables enabled types of the scope that the catalogue lacks; an additive one disables none.
+    """
     spark = definitions.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in sorted(set(catalogue))], "job_type string")
-    scoped = spark.createDataFrame([(t,) for t in sorted(set(scope))], "job_type string")
+    named = lambda given: (given if isinstance(given, DataFrame) else spark.createDataFrame([(t,) for t in given], "job_type string")).select("job_type").where("job_type IS NOT NULL").distinct()
+    wanted = named(catalogue)
     insert = wanted.join(definitions, "job_type", "left_anti").select("job_type", F.lit("INSERT").alias("action"))
-    disable = definitions.where("is_enabled").join(scoped, "job_type", "left_semi").join(wanted, "job_type", "left_anti").select("job_type", F.lit("DISABLE").alias("action"))
+    if not exact:
+        return insert
+    disable = definitions.where("is_enabled").join(named(scope), "job_type", "left_semi").join(wanted, "job_type", "left_anti").select("job_type", F.lit("DISABLE").alias("action"))
     return reduce(DataFrame.unionByName, [insert, disable])
 
 

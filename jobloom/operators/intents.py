@@ -11,6 +11,9 @@ from jobloom.functions.timing import deferral_ms, plus_ms
 from jobloom.operators.changes import Change, delete_oldest, event
 
 MOST_PROMOTED = 24
+#: A job's stages, and what is blank.
+STAGES = ("queued", "scheduled", "running", "completed")
+BLANK = r"(?U)^\s*\z"
 #: Error codes of requests that can never be promoted.
 CONFLICTS = ("job.intent_invalid_persisted_row", "job.invalid_job_type", "job.invalid_execution_resource_key", "job.invalid_stage")
 
@@ -35,7 +38,7 @@ def record(intents: DataFrame, commands: DataFrame, as_of: str, first_id: int) -
 def eligible(intents: DataFrame, definitions: DataFrame, types: list[str], as_of: str) -> DataFrame:
     """Pending intents that are due, of allowed types with an enabled definition."""
     known = definitions.where("is_enabled").select("job_type")
-    return intents.where((F.col("status") == "PENDING") & due(as_of, "next_promotion_at") & among("job_type", types)).join(F.broadcast(known), "job_type", "left_semi")
+    return intents.where((F.col("status") == "PENDING") & due(as_of, "next_promotion_at") & among("job_type", types)).join(known, "job_type", "left_semi")
 
 
 def has_eligible(intents: DataFrame, definitions: DataFrame, types: list[str], as_of: str) -> bool:
@@ -55,18 +58,23 @@ def failure_class(code: Column) -> Column:
 def promote(intents: DataFrame, jobs: DataFrame, definitions: DataFrame, types: list[str], as_of: str, first_id: int, limit: int = MOST_PROMOTED, share: Column | None = None) -> Change:
     """Turns a batch into jobs. One whose key a job has already converges on it if the requests are equal.
 
-    A request without type can never be promoted and is settled as a conflict; any other
-    failure, such as a key taken by another request, is put off. Outcomes are counted by kind.
+    One that can never be promoted (its request is no JSON object, or its type, resource key or stage is none) is settled as a
+    conflict; any other failure, such as a key taken by another request, is put off. Outcomes are counted by kind.
     """
     now = instant(as_of)
     chosen = batch(intents, definitions, types, as_of, limit)
     key = ["job_type", "organization_id", "idempotency_key"]
-    there = jobs.where("idempotency_key IS NOT NULL").select(*(F.col(c).alias(f"_{c}") for c in key), F.col("id").alias("there_id"), canonical_json(F.coalesce("enqueue_request", F.lit("null"))).alias("there"))
+    there = jobs.where("idempotency_key IS NOT NULL").select(*(F.col(c).alias(f"_{c}") for c in key), F.col("id").alias("there_id"), F.coalesce("enqueue_request", F.lit("null")).alias("there"))
     match = (F.col("job_type") == F.col("_job_type")) & F.col("organization_id").eqNullSafe(F.col("_organization_id")) & (F.col("idempotency_key") == F.col("_idempotency_key"))
     lead = Window.partitionBy(*key).orderBy("created_at", "id")
     joined = chosen.withColumns({"nth": F.row_number().over(lead), "lead": F.first("id").over(lead), "request": canonical_json("enqueue_request")}).join(there, match, "left")
-    taken = F.col("there_id").isNotNull() & (F.col("there") != F.col("request"))
-    code = F.when(F.trim("job_type") == "", "job.invalid_job_type").when(taken, "job.idempotency_conflict")
+    taken = F.col("there_id").isNotNull() & ~F.col("request").eqNullSafe(canonical_json("there"))
+    asked = lambda name: F.get_json_object("enqueue_request", f"$.{name}")
+    resource = asked("execution_resource_key")
+    code = (
+        F.when(F.col("request").isNull() | ~F.col("request").startswith("{"), "job.intent_invalid_persisted_row").when(F.col("job_type").rlike(BLANK), "job.invalid_job_type")
+        .when(resource.rlike(BLANK) | (F.octet_length(resource) > 512), "job.invalid_execution_resource_key").when(~asked("stage").isin(*STAGES), "job.invalid_stage").when(taken, "job.idempotency_conflict")
+    )
     outcome = F.when(code.isNotNull(), failure_class(code)).when(F.col("there_id").isNotNull() | (F.col("nth") > 1), "EXISTING").otherwise("PROMOTED")
     decided = joined.withColumn("outcome", outcome)
     job_id = F.coalesce("there_id", (F.lit(first_id) + F.col("lead")).cast("long"))

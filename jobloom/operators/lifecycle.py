@@ -74,9 +74,15 @@ def enqueue(jobs: DataFrame, definitions: DataFrame, commands: DataFrame, as_of:
     return Change({"job_queue": new}, {"job_events": event(new, "ENQUEUED", now)}, outcomes=decided.select("ordinal", "outcome", job_id.alias("job_id")))
 
 
-def mark_running(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
+def mark_running(jobs: DataFrame, commands: DataFrame, as_of: str, attempts: DataFrame | None = None) -> Change:
+    """Leased jobs begin to run; ``attempts`` that had no mark of a start get one, by which a reaper knows that the attempt was used."""
+    now = instant(as_of)
     held = fenced(jobs, commands, as_of).withColumn("stage", F.lit("running"))
-    return Change({"job_queue": held}, {"job_events": event(held, "STAGE_CHANGED", instant(as_of), stage=F.lit("running"))})
+    updates = {}
+    if attempts is not None:
+        unmarked = attempts.where("execution_started_persisted_at IS NULL").select(F.col("job_id").alias("id"), "run_number", "attempt")
+        updates["job_attempts"] = held.join(unmarked, ["id", "run_number", "attempt"], "left_semi").select(F.col("id").alias("job_id"), "run_number", "attempt", now.alias("execution_started_persisted_at"))
+    return Change({"job_queue": held}, {"job_events": event(held, "STAGE_CHANGED", now, stage=F.lit("running"))}, updates=updates)
 
 
 def progress(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
@@ -106,10 +112,19 @@ def _released(held: DataFrame) -> DataFrame:
 
 
 def succeed(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:
-    """Completes jobs; a success has no outcome in its attempt row."""
-    held = fenced(jobs, commands, as_of)
+    """Completes jobs; a success has no outcome in its attempt row.
+
+    Commands may have new_done, new_total, new_checkpoint and new_output, which replace progress_done, progress_total, checkpoint and output where they aren't null; merged progress
+    that doesn't fit leaves the job as it is. Outcomes (id, outcome) tell COMPLETED from INVALID_PROGRESS.
+    """
+    given = {old: new for old, new in (("progress_done", "new_done"), ("progress_total", "new_total"), ("checkpoint", "new_checkpoint"), ("output", "new_output")) if new in commands.columns}
+    held = fenced(jobs, commands, as_of).withColumns({old: F.coalesce(new, old) if old in jobs.columns else F.col(new) for old, new in given.items()})
+    outcomes = None
+    if {"new_done", "new_total"} & set(given.values()):
+        fits = F.coalesce((F.col("progress_done") >= 0) & (F.col("progress_total") >= 0) & (F.col("progress_done") <= F.col("progress_total")), F.lit(True))
+        outcomes, held = held.select("id", F.when(fits, "COMPLETED").otherwise("INVALID_PROGRESS").alias("outcome")), held.where(fits)
     done = held.withColumns({"status": F.lit("SUCCEEDED"), "stage": F.lit("completed"), "lease_expires_at": _no_time(), "worker_id": _no_text()})
-    return Change({"job_queue": done}, {"job_events": event(held, "SUCCEEDED", instant(as_of), stage=F.lit("completed"))}, {"job_execution_resource_claims": _released(held)}, updates={"job_attempts": _finished(held, as_of, _no_text())})
+    return Change({"job_queue": done}, {"job_events": event(held, "SUCCEEDED", instant(as_of), stage=F.lit("completed"))}, {"job_execution_resource_claims": _released(held)}, outcomes, {"job_attempts": _finished(held, as_of, _no_text())})
 
 
 def fail(jobs: DataFrame, commands: DataFrame, as_of: str) -> Change:

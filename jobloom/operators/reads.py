@@ -182,3 +182,17 @@ def decoded_events(events: DataFrame) -> DataFrame:
     requeued = F.col("event_type") == "REQUEUED"
     kind = F.when(requeued & continuation_is_valid(), "HANDLER_CONTINUATION").when(requeued & F.get_json_object("payload", "$.reason").isNotNull(), "OTHER_REQUEUE").when(requeued, "UNKNOWN").otherwise("PLAIN")
     return events.select("id", "job_id", "event_type", kind.alias("payload_kind"))
+
+
+def replay_lineage(jobs: DataFrame, replays: DataFrame, commands: DataFrame) -> DataFrame:
+    """The replay that each command (ordinal, source_job_id, source_run_number, replay_request_key, organization_id, reason) repeats: ordinal, replay_job_id, replay_reason, replay_status, replay_run_number.
+
+    A key that was used for another reason still shows its replay, but not that job's state. The source must be of the command's organization, null being one of its own; commands
+    that repeat nothing give no row.
+    """
+    key = ["source_job_id", "source_run_number", "replay_request_key"]
+    source = jobs.select(F.col("id").alias("source_job_id"), F.col("organization_id").alias("own_organization"))
+    known = commands.join(replays.select(*key, "replay_job_id", F.col("reason").alias("replay_reason")), key).join(source, "source_job_id").where(F.col("organization_id").eqNullSafe(F.col("own_organization")))
+    state = jobs.select(F.col("id").alias("_id"), F.col("status").alias("replay_status"), F.col("run_number").alias("replay_run_number"))
+    meant = (F.col("_id") == F.col("replay_job_id").outer()) & (F.col("replay_reason").outer() == F.col("reason").outer())
+    return known.lateralJoin(state.where(meant), how="left").select("ordinal", "replay_job_id", "replay_reason", "replay_status", "replay_run_number")

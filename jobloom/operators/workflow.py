@@ -182,12 +182,12 @@ def appendable(steps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def canonical_request(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """A run's declaration as one text, the same for equal ones: steps by key with their kind, type and payload, dependencies by keys with their effective mode."""
+    """A run's declaration as one text, the same for equal ones: steps by key with their kind, type and payload as a value, dependencies by keys with their effective mode."""
     names = lambda side: steps.select(F.col("id").alias(f"{side}_step_id"), F.col("step_key").alias(side))
     named = edges.join(names("dependent"), "dependent_step_id").join(names("prerequisite"), "prerequisite_step_id")
     edge = F.struct("dependent", "prerequisite", F.coalesce("release_mode", F.lit("ON_TERMINAL")).alias("release_mode"))
     per_edge = named.groupBy("workflow_run_id").agg(F.array_sort(F.collect_list(edge)).alias("dependencies"))
-    step = F.struct("step_key", "execution_kind", F.coalesce("job_type", F.lit("")).alias("job_type"), F.coalesce("payload", F.lit("{}")).alias("payload"))
+    step = F.struct("step_key", "execution_kind", F.coalesce("job_type", F.lit("")).alias("job_type"), F.coalesce(canonical_json("payload"), "payload", F.lit("{}")).alias("payload"))
     per_step = steps.groupBy("workflow_run_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     return per_step.join(per_edge, "workflow_run_id", "left").select("workflow_run_id", F.to_json(F.struct("steps", "dependencies")).alias("request"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.predicates import instant
-from jobloom.operators import workflow
+from jobloom.functions.json_text import canonical_json
+from jobloom.functions.predicates import Scope, instant
+from jobloom.operators import lifecycle, workflow
 from jobloom.operators.changes import Change, event
 from jobloom.sources.storage import stored
 
@@ -27,9 +28,14 @@ def check_runs(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return wrong.groupBy(F.col("workflow_run_id").alias("ordinal")).agg(F.min("error").alias("error"))
 
 
+def value_of(payload: str) -> Column:
+    """A payload by its JSON value; one that isn't JSON as it stands."""
+    return F.coalesce(canonical_json(payload), F.col(payload)).alias(payload)
+
+
 def declared(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ordinal, request): each declared run as one text, whatever the order of its steps and edges."""
-    step = F.struct("step_key", "execution_kind", "job_type", "payload", "priority", "max_attempts", "timeout_seconds", F.coalesce("stage", F.lit("queued")).alias("stage"))
+    """(ordinal, request): each declared run as one text, whatever the order of its steps and edges and however payloads are spelt."""
+    step = F.struct("step_key", "execution_kind", "job_type", value_of("payload"), "priority", "max_attempts", "timeout_seconds", F.coalesce("stage", F.lit("queued")).alias("stage"))
     edge = F.struct("dependent_key", "prerequisite_key", F.coalesce("release_mode", F.lit("ON_TERMINAL")).alias("release_mode"))
     per_step = steps.groupBy("ordinal").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     per_edge = edges.groupBy("ordinal").agg(F.array_sort(F.collect_list(edge)).alias("dependencies"))
@@ -142,6 +148,27 @@ def finish_steps(ledger: dict[str, DataFrame], finished: DataFrame, as_of: str,
     )
 
 
+def cancel_runs(ledger: dict[str, DataFrame], commands: DataFrame, as_of: str, scope: Scope = Scope.admin()) -> Change:
+    """Cancels runs (id): all steps that go on, their jobs, and the run itself. Outcomes: id, outcome.
+
+    A run that is over stays as it is (ALREADY_OVER), one that isn't seen is NOT_FOUND; repeating a command changes nothing more. A step whose job is pending or leased is
+    canceled with its job; where that job is over already, the step takes what it led to. A live lease ends as ``lifecycle.cancel`` has it. Steps' outputs and
+    counters stay: nothing of a canceled run is released any more.
+    """
+    now = instant(as_of)
+    asked = commands.select("id").distinct().join(ledger["workflow_runs"].where(scope.sees()), "id", "left")
+    outcome = F.when(F.col("status").isNull(), "NOT_FOUND").when(F.col("status").isin(*workflow.RUN_TERMINAL), "ALREADY_OVER").otherwise("CANCELED")
+    decided = stored(asked.select("id", outcome.alias("outcome")))
+    runs = decided.where("outcome = 'CANCELED'").select("id")
+    steps = ledger["workflow_steps"].where(~F.col("status").isin(*workflow.TERMINAL)).join(runs.select(F.col("id").alias("workflow_run_id")), "workflow_run_id", "left_semi")
+    state = ledger["job_queue"].select(F.col("id").alias("job_id"), F.col("status").alias("job_status"))
+    own = stored(steps.select("id", "workflow_run_id", "job_id").join(state, "job_id", "left"))
+    jobs = lifecycle.cancel(ledger["job_queue"], own.where("job_status IN ('PENDING', 'LEASED')").select(F.col("job_id").alias("id")), as_of)
+    ends = F.when(F.col("job_status") == "SUCCEEDED", "SUCCEEDED").when(F.col("job_status") == "DEAD_LETTERED", "FAILED").otherwise("CANCELED")
+    updates = {"workflow_runs": runs.withColumns({"status": F.lit("CANCELED"), "finished_at": now}), "workflow_steps": own.select("id", "workflow_run_id", ends.alias("status"), now.alias("finished_at"))}
+    return Change(jobs.upserts, jobs.appends, jobs.deletes, decided, updates | jobs.updates)
+
+
 def follow_jobs(steps: DataFrame, jobs: DataFrame, as_of: str) -> Change:
     """Steps take the status that their jobs lead to; a step's first start stays.
 

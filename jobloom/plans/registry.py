@@ -6,7 +6,9 @@ oracle states the same result in DuckDB SQL over the same views, written apart f
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from jobloom.functions.json_text import canonical_json
 from jobloom.functions.predicates import Scope, any_field_contains, progress_percent
 from jobloom.functions.timing import deferral_ms, failure_outcome, retry_delay_ms
-from jobloom.operators import claims, integrity, intents, lifecycle, metrics, reads, recovery, schedules, workflow, workflow_writes
+from jobloom.operators import changes, claims, integrity, intents, lifecycle, metrics, reads, recovery, schedules, workflow, workflow_writes
+from jobloom.operators.percentiles import exact_percentiles
+from jobloom.sources import clustered, keyed
 from jobloom.sources.adapter import AS_OF, Ledger, from_star, with_views
 from jobloom.sources.storage import shared_path, stored
 from jobloom.sources.store import LedgerStore
@@ -1161,3 +1165,173 @@ def _(l):
         .unionByName(row(made["job_queue"].join(named, "id"), "job", F.col("at"), text("job_type", "priority", "max_attempts", "payload")))
         .unionByName(row(change.appends["workflow_recoveries"], "lineage", F.col("recovery_run_id"), text("source_run_id", "request_key", "mode", "reason")))
     )
+
+
+# ---------------------------------------------------------------- layouts
+
+@query("q7_page_by_layout", "job_queue", "SELECT id, job_type, status, created_at FROM job_queue WHERE status <> 'PENDING' AND (created_at, id) < (CAST('2024-01-12 00:00:00' AS TIMESTAMP), 700) ORDER BY created_at DESC, id DESC LIMIT 500")
+def _(l):
+    """A page far down a table that is laid out in the order of its pages."""
+    path = shared_path(l.spark, "pages")
+    clustered.write(l["job_queue"], path, slice_rows=4096)
+    return clustered.page(l.spark, path, F.col("status") != "PENDING", ("2024-01-12 00:00:00", 700), 500).select("id", "job_type", "status", "created_at")
+
+
+@query("q24_keyed_detail")
+def _(l):
+    """Job details over tables in buckets by job: no exchange."""
+    name = f"keyed_{uuid.uuid4().hex}"
+    keyed.write_keyed(l, l.spark, name, buckets=8)
+    return reads.job_detail(keyed.read_keyed(l.spark, name))
+
+
+_ORACLES["q24_keyed_detail"] = _ORACLES["q24_job_detail"]
+
+
+@query("a3_exact_percentiles", "job_attempts job_queue", """
+    SELECT kind, CAST(round(quantile_cont(ms, 0.5), 3) AS DOUBLE) AS p50, CAST(round(quantile_cont(ms, 0.95), 3) AS DOUBLE) AS p95, CAST(round(quantile_cont(ms, 0.999), 3) AS DOUBLE) AS p999
+    FROM (SELECT unnest([CASE WHEN a.attempt < 3 THEN 'early' ELSE coalesce(CAST(q.organization_id AS VARCHAR), '-') END, 'all']) AS kind, (epoch_us(finished_at) - epoch_us(q.created_at)) / 1000.0::DOUBLE AS ms FROM job_attempts a JOIN job_queue q ON q.id = a.job_id WHERE finished_at IS NOT NULL) GROUP BY kind""")
+def _(l):
+    """How long after their job's creation attempts ended; one group has all of them."""
+    joined = l["job_attempts"].where("finished_at IS NOT NULL").join(l["job_queue"].select(F.col("id").alias("job_id"), "organization_id", F.col("created_at").alias("begun")), "job_id")
+    kind = F.when(F.col("attempt") < 3, "early").otherwise(F.coalesce(F.col("organization_id").cast("string"), F.lit("-")))
+    rows = joined.select(F.explode(F.array(kind, F.lit("all"))).alias("kind"), (F.expr("timestampdiff(MICROSECOND, begun, finished_at)") / 1000.0).alias("ms"))
+    found = exact_percentiles(rows, ["kind"], "ms", {"p50": 0.5, "p95": 0.95, "p999": 0.999})
+    return found.select("kind", *(F.round(c, 3).alias(c) for c in ("p50", "p95", "p999")))
+
+
+# ---------------------------------------------------------------- lineage, arrays, cancellations, starts
+
+@query("j18_lineage", "job_queue", """
+    WITH r AS (SELECT q.id AS replay_job_id, s.id AS source_job_id, s.run_number, s.organization_id, q.status, q.run_number AS replay_run FROM job_queue s JOIN job_queue q ON q.id = s.id + 1 WHERE s.status = 'SUCCEEDED')
+    SELECT source_job_id AS ordinal, replay_job_id, 'why' AS replay_reason, CASE WHEN source_job_id % 4 <> 0 THEN status END AS replay_status, CASE WHEN source_job_id % 4 <> 0 THEN replay_run END AS replay_run_number FROM r WHERE source_job_id % 5 <> 0""")
+def _(l):
+    """Each succeeded job's replay (the job after it), asked for by every job: some with another reason, some for another organization."""
+    jobs = l["job_queue"]
+    source = jobs.where("status = 'SUCCEEDED'").select(F.col("id").alias("source_job_id"), F.col("run_number").alias("source_run_number"), (F.col("id") + 1).alias("replay_job_id"))
+    replays = source.join(jobs.select(F.col("id").alias("replay_job_id")), "replay_job_id").withColumns({"replay_request_key": F.lit("k"), "reason": F.lit("why")})
+    reason = F.when(F.col("id") % 4 == 0, "other").otherwise("why").alias("reason")
+    asked = jobs.select(F.col("id").alias("ordinal"), F.col("id").alias("source_job_id"), F.col("run_number").alias("source_run_number"), F.lit("k").alias("replay_request_key"), F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("organization_id")).alias("organization_id"), reason)
+    return reads.replay_lineage(jobs, replays, asked)
+
+
+@query("src4_parallel_arrays", "workflow_steps workflow_step_dependencies", """
+    SELECT e.dependent_step_id AS id, count(*) AS ended, count(*) FILTER (WHERE e.release_mode = 'ON_SUCCESS' AND s.status <> 'SUCCEEDED') AS unsatisfied
+    FROM workflow_step_dependencies e JOIN workflow_steps s ON s.id = e.prerequisite_step_id WHERE s.status IN ('SUCCEEDED', 'FAILED', 'CANCELED') GROUP BY 1""")
+def _(l):
+    """Updates of dependents, sent as two arrays side by side for each step that is over."""
+    over = l["workflow_steps"].where(F.col("status").isin(*workflow.TERMINAL)).select(F.col("id").alias("prerequisite_step_id"), "status")
+    flagged = l["workflow_step_dependencies"].join(over, "prerequisite_step_id").withColumn("fails", (F.col("release_mode") == "ON_SUCCESS") & (F.col("status") != "SUCCEEDED"))
+    sent = flagged.groupBy("prerequisite_step_id").agg(F.collect_list(F.struct("dependent_step_id", "fails")).alias("u")).select("prerequisite_step_id", F.col("u.dependent_step_id").alias("ids"), F.col("u.fails").alias("flags"))
+    return changes.rows_from_arrays(sent, [], {"ids": "id", "flags": "fails"}).groupBy("id").agg(F.count(F.lit(1)).alias("ended"), F.count_if("fails").alias("unsatisfied"))
+
+
+@query("d14_cancel_changes", "workflow_runs workflow_steps job_queue job_execution_resource_claims", f"""
+    WITH hit AS (SELECT id FROM workflow_runs WHERE status NOT IN ('SUCCEEDED', 'COMPLETED_WITH_ERRORS', 'CANCELED')),
+    s AS (SELECT w.*, q.status AS job_status, w.workflow_run_id IN (SELECT id FROM hit) AND w.status NOT IN ('SUCCEEDED', 'FAILED', 'CANCELED') AS hit FROM workflow_steps w LEFT JOIN job_queue q ON q.id = w.job_id),
+    j AS (SELECT q.*, q.status IN ('PENDING', 'LEASED') AND q.id IN (SELECT job_id FROM s WHERE hit AND job_id IS NOT NULL) AS hit FROM job_queue q)
+    SELECT 'outcome' AS tbl, CAST(id AS VARCHAR) AS k, CASE WHEN id IN (SELECT id FROM hit) THEN 'CANCELED' ELSE 'ALREADY_OVER' END AS v FROM workflow_runs UNION ALL SELECT 'outcome', '-1', 'NOT_FOUND'
+    UNION ALL SELECT 'run', CAST(id AS VARCHAR), CASE WHEN id IN (SELECT id FROM hit) THEN 'CANCELED' ELSE status END FROM workflow_runs
+    UNION ALL SELECT 'step', CAST(id AS VARCHAR), CASE WHEN hit THEN CASE job_status WHEN 'SUCCEEDED' THEN 'SUCCEEDED' WHEN 'DEAD_LETTERED' THEN 'FAILED' ELSE 'CANCELED' END ELSE status END FROM s
+    UNION ALL SELECT 'job', CAST(id AS VARCHAR), concat_ws('|', CASE WHEN hit THEN 'CANCELED' ELSE status END, coalesce(CASE WHEN NOT hit THEN worker_id END, '-'), coalesce(CAST(lease_expires_at AS VARCHAR), '-')) FROM j
+    UNION ALL SELECT 'claim', c.resource_key, CAST(c.job_id AS VARCHAR) FROM job_execution_resource_claims c LEFT JOIN j ON j.id = c.job_id WHERE NOT coalesce(j.hit AND j.status = 'LEASED' AND j.execution_resource_key = c.resource_key AND NOT coalesce(j.lease_expires_at > {NOW}, false), false)
+    UNION ALL SELECT 'events', 'CANCELED', CAST(count(*) AS VARCHAR) FROM j WHERE hit""")
+def _(l):
+    asked = l["workflow_runs"].select("id").unionByName(l["workflow_runs"].select("id")).unionByName(l.spark.sql("SELECT -1L AS id"))
+    tables = {name: l[name] for name in ("workflow_runs", "workflow_steps", "job_queue", "job_execution_resource_claims")} | {"job_events": l["job_events"].where("false")}
+    change = workflow_writes.cancel_runs(tables, asked, AS_OF)
+    after = change.apply(tables)
+    text = lambda *columns: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+    row = lambda frame, name, key, value: frame.select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("k"), value.alias("v"))
+    return (
+        row(change.outcomes, "outcome", "id", F.col("outcome")).unionByName(row(after["workflow_runs"], "run", "id", F.col("status"))).unionByName(row(after["workflow_steps"], "step", "id", F.col("status")))
+        .unionByName(row(after["job_queue"], "job", "id", text("status", "worker_id", "lease_expires_at"))).unionByName(row(after["job_execution_resource_claims"], "claim", "resource_key", text("job_id")))
+        .unionByName(row(after["job_events"].groupBy("event_type").count(), "events", "event_type", text("count")))
+    )
+
+
+@query("x7_mark_running", "job_queue job_attempts", f"""
+    SELECT 'job' AS tbl, CAST(id AS VARCHAR) AS k, CASE WHEN {_LIVE} THEN 'running' ELSE stage END AS v FROM job_queue
+    UNION ALL SELECT 'attempt', concat_ws(':', a.job_id, a.run_number, a.attempt), coalesce(CAST(CASE WHEN a.execution_started_persisted_at IS NULL AND {_LIVE.replace("status", "q.status").replace("lease_", "q.lease_")} THEN {NOW} ELSE a.execution_started_persisted_at END AS VARCHAR), '-')
+        FROM job_attempts a LEFT JOIN job_queue q ON q.id = a.job_id AND q.run_number = a.run_number AND q.attempt = a.attempt
+    UNION ALL SELECT 'events', 'STAGE_CHANGED:running', CAST(count(*) AS VARCHAR) FROM job_queue WHERE {_LIVE}""")
+def _(l):
+    jobs = l["job_queue"].withColumn("stage", F.when(F.col("status") == "LEASED", "queued").otherwise(F.col("stage")))
+    tables = {"job_queue": jobs, "job_attempts": l["job_attempts"], "job_events": l["job_events"].where("false")}
+    fence = _fence(l, "true")
+    after = lifecycle.mark_running(jobs, fence.unionByName(fence), AS_OF, l["job_attempts"]).apply(tables)
+    stage = F.when((F.col("status") == "LEASED") & (F.col("stage") == "queued"), "running").otherwise(F.col("stage"))  # those that weren't held keep theirs
+    none = F.coalesce(F.col("execution_started_persisted_at").cast("string"), F.lit("-"))
+    row = lambda frame, name, key, value: frame.select(F.lit(name).alias("tbl"), key.cast("string").alias("k"), value.alias("v"))
+    return (
+        row(after["job_queue"], "job", F.col("id"), stage).unionByName(row(after["job_attempts"], "attempt", F.concat_ws(":", "job_id", "run_number", "attempt"), none))
+        .unionByName(row(after["job_events"].groupBy("event_type", "stage").count(), "events", F.concat_ws(":", "event_type", "stage"), F.col("count").cast("string")))
+    )
+
+
+@query("x8_progress", "job_queue", f"""
+    WITH t AS (SELECT *, coalesce({_LIVE}, false) AS held, CASE WHEN id % 3 <> 0 THEN id % 120 END AS new_done, CASE WHEN id % 4 <> 0 THEN 60 END AS new_total FROM job_queue),
+    u AS (SELECT *, coalesce(new_done, progress_done) AS done, coalesce(new_total, progress_total) AS total FROM t), v AS (SELECT *, coalesce(done >= 0 AND total >= 0 AND done <= total, true) AS fits FROM u)
+    SELECT 'job' AS tbl, id, concat_ws('|', coalesce(CAST(CASE WHEN held AND fits THEN done ELSE progress_done END AS VARCHAR), '-'), coalesce(CAST(CASE WHEN held AND fits THEN total ELSE progress_total END AS VARCHAR), '-')) AS v FROM v
+    UNION ALL SELECT 'outcome', id, CASE WHEN fits THEN 'UPDATED' ELSE 'INVALID' END FROM v WHERE held
+    UNION ALL SELECT 'events', 0, CAST(count(*) AS VARCHAR) FROM v WHERE held AND fits""")
+def _(l):
+    given = {"new_done": F.when(F.col("id") % 3 != 0, F.col("id") % 120), "new_total": F.when(F.col("id") % 4 != 0, F.lit(60).cast("long")), "new_stage": F.lit(None).cast("string")}
+    change = lifecycle.progress(l["job_queue"], _fence(l, "true").withColumns(given), AS_OF)
+    after = change.apply({"job_queue": l["job_queue"], "job_events": l["job_events"].where("false")})
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("progress_done", "progress_total")))
+    row = lambda frame, name, value: frame.select(F.lit(name).alias("tbl"), "id", value.alias("v"))
+    events = after["job_events"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("events").alias("tbl"), F.lit(0).cast("long").alias("id"), F.col("n").cast("string").alias("v"))
+    return row(after["job_queue"], "job", text).unionByName(row(change.outcomes, "outcome", F.col("outcome"))).unionByName(events)
+
+
+@query("ud5_completion", "job_queue", f"""
+    WITH t AS (SELECT *, coalesce({_LIVE}, false) AS held, CASE WHEN id % 3 <> 0 THEN id % 120 END AS new_done FROM job_queue),
+    v AS (SELECT *, coalesce(coalesce(new_done, progress_done) BETWEEN 0 AND progress_total, true) AS fits FROM t)
+    SELECT id, CASE WHEN held AND fits THEN concat_ws('|', 'SUCCEEDED', coalesce(CAST(coalesce(new_done, progress_done) AS VARCHAR), '-'), '{{"at":' || CAST(id AS VARCHAR) || '}}') ELSE concat_ws('|', status, coalesce(CAST(progress_done AS VARCHAR), '-'), '-') END AS v,
+        CASE WHEN held THEN CASE WHEN fits THEN 'COMPLETED' ELSE 'INVALID_PROGRESS' END ELSE '-' END AS outcome FROM v""")
+def _(l):
+    jobs = l["job_queue"].withColumn("output", F.lit(None).cast("string"))
+    given = {"new_done": F.when(F.col("id") % 3 != 0, F.col("id") % 120), "new_output": F.concat(F.lit('{"at":'), F.col("id").cast("string"), F.lit("}"))}
+    change = lifecycle.succeed(jobs, _fence(l, "true").withColumns(given), AS_OF)
+    after = changes.upsert(jobs, change.upserts["job_queue"], ["id"]).join(change.outcomes, "id", "left")
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    return after.select("id", F.concat_ws("|", "status", none("progress_done"), none("output")).alias("v"), none("outcome").alias("outcome"))
+
+
+@query("d1_stuck_steps", "workflow_step_dependencies", """
+    SELECT * FROM (WITH RECURSIVE e AS (SELECT workflow_run_id, prerequisite_step_id AS a, dependent_step_id AS b FROM workflow_step_dependencies UNION SELECT workflow_run_id, dependent_step_id, prerequisite_step_id FROM workflow_step_dependencies WHERE workflow_run_id % 7 = 0 AND dependent_step_id % 10 = 5),
+    back AS (SELECT DISTINCT workflow_run_id, b AS id FROM e WHERE workflow_run_id % 7 = 0 AND (b, a) IN (SELECT (a, b) FROM e)),
+    stuck AS (SELECT workflow_run_id, id FROM back UNION SELECT e.workflow_run_id, e.b FROM stuck s JOIN e ON e.a = s.id)
+    SELECT workflow_run_id, CAST(id AS VARCHAR) AS step_key FROM stuck)""")
+def _(l):
+    """Every seventh run's sixth step is needed by the steps that it needs: these, and all after them, can't be placed."""
+    there = l["workflow_step_dependencies"].select("workflow_run_id", F.col("prerequisite_step_id").alias("a"), F.col("dependent_step_id").alias("b"))
+    back = there.where("workflow_run_id % 7 = 0 AND b % 10 = 5").select("workflow_run_id", F.col("b").alias("a"), F.col("a").alias("b"))
+    edges = there.unionByName(back).select("workflow_run_id", F.col("a").cast("string").alias("prerequisite_key"), F.col("b").cast("string").alias("dependent_key"))
+    return workflow.cycles(edges)
+
+
+@query("x28_catalogue_sync", "job_queue job_definitions", """
+    WITH c AS (SELECT DISTINCT job_type || CASE WHEN organization_id = 3 THEN '.new' ELSE '' END AS job_type FROM job_queue WHERE job_type <> 'jobs.p3'), d AS (SELECT job_type, is_enabled FROM job_definitions)
+    SELECT mode, job_type, action FROM (SELECT unnest(['exact', 'additive']) AS mode, job_type, 'INSERT' AS action FROM c WHERE job_type NOT IN (SELECT job_type FROM d)
+    UNION ALL SELECT 'exact', job_type, 'DISABLE' FROM d WHERE is_enabled AND job_type NOT IN (SELECT job_type FROM c) AND job_type LIKE 'jobs.p%')""")
+def _(l):
+    """A catalogue of the types that jobs have, some renamed."""
+    named = l["job_queue"].where("job_type <> 'jobs.p3'").select(F.concat("job_type", F.when(F.col("organization_id") == 3, ".new").otherwise("")).alias("job_type"))
+    scope = l["job_definitions"].where("job_type LIKE 'jobs.p%'")
+    return reduce(DataFrame.unionByName, [integrity.catalogue_changes(l["job_definitions"], named, scope, exact).select(F.lit(mode).alias("mode"), "job_type", "action") for mode, exact in (("exact", True), ("additive", False))])
+
+
+@query("i3_promoted", "job_enqueue_intents job_queue job_definitions", f"""
+    WITH b AS (SELECT * FROM job_enqueue_intents WHERE status = 'PENDING' AND next_promotion_at <= {NOW} AND job_type IN ('jobs.p1', 'jobs.p2', 'jobs.p3', 'jobs.p5') AND job_type IN (SELECT job_type FROM job_definitions WHERE is_enabled) ORDER BY next_promotion_at, created_at, id LIMIT 24),
+    m AS (SELECT b.*, q.id AS there_id, q.enqueue_request AS there, row_number() OVER w AS nth, first_value(b.id) OVER w AS lead FROM b LEFT JOIN job_queue q ON q.job_type = b.job_type AND q.organization_id IS NOT DISTINCT FROM b.organization_id AND q.idempotency_key = b.idempotency_key
+        WINDOW w AS (PARTITION BY b.job_type, b.organization_id, b.idempotency_key ORDER BY b.created_at, b.id)),
+    o AS (SELECT *, CASE WHEN there_id IS NOT NULL AND there IS DISTINCT FROM enqueue_request THEN 'DEFERRED' WHEN there_id IS NOT NULL OR nth > 1 THEN 'EXISTING' ELSE 'PROMOTED' END AS outcome FROM m)
+    SELECT 'intent' AS tbl, id, concat_ws('|', CASE WHEN outcome = 'DEFERRED' THEN 'PENDING' ELSE 'PROMOTED' END, coalesce(CAST(CASE WHEN outcome <> 'DEFERRED' THEN coalesce(there_id, 10000000 + lead) END AS VARCHAR), '-'), CAST(promotion_attempts + 1 AS VARCHAR)) AS v FROM o
+    UNION ALL SELECT 'job', 10000000 + id, concat_ws('|', o.job_type, idempotency_key, CAST(default_priority AS VARCHAR)) FROM o JOIN job_definitions d ON d.job_type = o.job_type WHERE outcome = 'PROMOTED'""")
+def _(l):
+    change = intents.promote(l["job_enqueue_intents"], l["job_queue"], l["job_definitions"], ["jobs.p1", "jobs.p2", "jobs.p3", "jobs.p5"], AS_OF, 10_000_000)
+    text = lambda *columns: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+    row = lambda frame, name, value: frame.select(F.lit(name).alias("tbl"), "id", value.alias("v"))
+    return row(change.upserts["job_enqueue_intents"], "intent", text("status", "promoted_job_id", "promotion_attempts")).unionByName(row(change.upserts["job_queue"], "job", text("job_type", "idempotency_key", "priority")))
