@@ -4,8 +4,9 @@ Of every node of the page's tree: its characters per tag, adjusted by the share
 links (the composite text density of the published method). Of every node: the sum of its children's
 densities. The node with the largest sum leads to the article; the least density on its path to the
 body is the threshold. What stands beside that path, on any level, stays where it reaches the
-threshold. Inside, and in the ``article`` or ``main`` element around it, blocks of links and nodes that
-only a class name speaks against go where they don't reach it.
+threshold, and where its own density or sum has some weight against the largest sum. Names never decide alone: a class name or id raises the weight that a block
+needs, inside the article as well; a dense enough part stays whatever it is called. Only elements and roles that hold no article text by their
+definition, and readers' comments, which are as dense as an article, go by what they are.
 """
 
 from __future__ import annotations
@@ -34,10 +35,16 @@ BESIDE = frozenset("nav footer aside form button select option optgroup menu dia
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar".split())
 #: Elements that are left out as tags where the page never ends them.
 ENDED = frozenset("noscript template svg object audio video canvas map".split())
-#: Words of class or id that say what density can't: readers' comments and adverts are as dense as an article.
-WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsored banner cookie cookies gdpr nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav masthead newsletter popup modal overlay comment comments commentlist disqus pagination pager".split())
+#: Words of class or id of blocks that must weigh ``STRONG`` to stay.
+WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsored banner cookie cookies gdpr nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav masthead newsletter popup modal overlay pagination pager".split())
+#: Words of readers' comments.
+COMMENTS = frozenset("comment comments commentlist disqus".split())
 #: Words that count only against nodes under the threshold.
 HINTS = frozenset("header footer topbar aside widget widgets sponsor promo promotion consent notice notices alert subscribe subscription respond reply replies social share sharing related recommended recommendations login signup search toolbar skip".split())
+#: Parts of the largest density sum: what a block beside the path must have of its own, or of up to ``SHORT`` characters, and what one must have that names speak against,
+#: inside an article or main element or on a page without one, and outside it.
+WEAK, WEAK_SHORT, STRONG, OUTSIDE = 0.04, 0.3, 0.5, 8.0
+SHORT = 120
 #: Start tags that end an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -52,7 +59,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 class Node:
     """An element: what it holds in order (text or nodes), and the figures of its subtree.
 
-    ``doubt`` is 2 for what isn't article text by its element, role or class name, 1 for what has a hint of that, else 0.
+    ``doubt`` is 3 for what isn't article text by its element or role or as readers' comments, 2 for what its class name or id speaks against, 1 for what has a hint of that, else 0.
     """
 
     __slots__ = ("tag", "parent", "parts", "doubt", "beside", "chars", "tags", "link_chars", "link_tags", "density", "total")
@@ -66,25 +73,24 @@ class Node:
 def _doubt(tag: str, attributes: str, within: bool) -> int:
     """How sure the element itself is that it stands beside the article; ``within``: an article or main is open."""
     if tag in BESIDE or tag == "header" and not within:
-        return 2
-    if not attributes or tag in ("html", "body", "article", "main"):
+        return 3
+    if not attributes or tag not in BLOCK or tag in ("html", "body", "article", "main"):  # names of inline elements say how text looks
         return 0
     found = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "role" and value in ROLES:
-            return 2
+            return 3
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
-            found = 1
+            found = max(found, 1)
         if name in ("class", "id"):
             for word in value.split():
                 if word.startswith(("has-", "with-", "no-", "without-")):
                     continue
                 parts = re.split(r"[^a-z0-9]+", word)
-                if not WORDS.isdisjoint(parts):
-                    return 2
-                if not HINTS.isdisjoint(parts):
-                    found = 1
+                if not COMMENTS.isdisjoint(parts):
+                    return 3
+                found = max(found, 2 * (not WORDS.isdisjoint(parts)), int(not HINTS.isdisjoint(parts)))
     return found
 
 
@@ -173,7 +179,7 @@ def measure(root: Node) -> list[Node]:
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
     for node in nodes:  # a part of the page that holds more than half of all text, links apart, is no advert
-        if node.doubt == 2 and node.tag not in BESIDE and node.tags > 2 and 2 * (node.chars - node.link_chars) > root.chars - root.link_chars:
+        if node.doubt >= 2 and node.tag not in BESIDE and node.tags > 2 and 2 * (node.chars - node.link_chars) > root.chars - root.link_chars:
             node.doubt = 1
     share = root.link_chars / root.chars if root.chars else 0.0
     for node in nodes:
@@ -186,9 +192,9 @@ def measure(root: Node) -> list[Node]:
 def mark(root: Node) -> float:
     """Marks the nodes that stand beside the article, and returns the threshold. Of equal sums, the first in the page's levels leads."""
     nodes = measure(root)
-    shut: set[int] = set()  # what isn't article text by what it or a node around it says itself
+    shut: set[int] = set()  # what names or elements speak against, and all in it, doesn't lead to the article
     for node in nodes:
-        if node.doubt == 2 or id(node.parent) in shut:
+        if node.doubt >= 2 or id(node.parent) in shut:
             shut.add(id(node))
     best = max((n for n in nodes if id(n) not in shut), key=lambda n: n.total, default=root)
     path = [best]
@@ -198,14 +204,16 @@ def mark(root: Node) -> float:
     top = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
     inner = set(map(id, _nodes(top or best)))
     on_path = set(map(id, path))
+    largest = max(best.total, best.density)
     for node in nodes:
-        if node.doubt == 2:
-            node.beside = True
+        weight = max(node.total, node.density)
+        if node.doubt >= 2:
+            node.beside = node.doubt == 3 or weight < (STRONG if top is None or id(node) in inner else OUTSIDE) * largest
         elif id(node) in inner:
             links = node.link_tags > 1 and node.tag in BLOCK and node.tag != "p" and 10 * node.link_chars >= 9 * node.chars
             node.beside = (node.doubt == 1 or links) and id(node) not in on_path and node.density < threshold
         elif node.parent and id(node.parent) in on_path and id(node) not in on_path and node.chars and node.tag not in HEADING and node.tag != "article":
-            node.beside = node.density < threshold or node.doubt == 1 and top is not None
+            node.beside = node.density < threshold or weight < (WEAK if node.chars > SHORT else WEAK_SHORT) * largest or node.doubt == 1 and top is not None and weight < OUTSIDE * largest
     return threshold
 
 
