@@ -184,22 +184,22 @@ def gram_scores(docs: DataFrame, order: int) -> DataFrame:
 
 
 class Frequent:
-    """Scores by code: a hash table of a few probes; codes that found no place aren't in it."""
-
-    PROBES = 4
+    """Scores by code: a hash table, a quarter full at most, that has all codes given, each at the first free slot from its own on."""
 
     def __init__(self, codes: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(4 * len(codes) - 1).bit_length()) if len(codes) else 4
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros(1 << self.bits, np.float32)
-        for probe in range(self.PROBES):
-            at = self._slots(codes, probe)
+        self.probes = 0
+        while len(codes):
+            at = self._slots(codes, self.probes)
             free = np.flatnonzero(self.keys[at] < 0)
             at, first = np.unique(at[free], return_index=True)
             self.keys[at], self.values[at] = codes[free[first]], values[free[first]]
             rest = np.ones(len(codes), bool)
             rest[free[first]] = False
             codes, values = codes[rest], values[rest]
+            self.probes += 1
 
     def _slots(self, codes: np.ndarray, probe: int) -> np.ndarray:
         slots = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
@@ -208,15 +208,20 @@ class Frequent:
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The score of each code, 0 for those that aren't here, and the places of these."""
         at = self._slots(codes, 0)
-        value = self.values[at]
-        missing = np.flatnonzero(self.keys[at] != codes)
+        value, held = self.values[at], self.keys[at]
+        missing = held != codes
         value[missing] = 0
-        for probe in range(1, self.PROBES):
-            at = self._slots(codes[missing], probe)
-            hit = self.keys[at] == codes[missing]
-            value[missing[hit]] = self.values[at[hit]]
-            missing = missing[~hit]
-        return value, missing
+        open_ = np.flatnonzero(missing & (held >= 0))  # another code has the slot
+        for probe in range(1, self.probes):
+            if not len(open_):
+                break
+            at = self._slots(codes[open_], probe)
+            held = self.keys[at]
+            hit = held == codes[open_]
+            value[open_[hit]] = self.values[at[hit]]
+            missing[open_[hit]] = False
+            open_ = open_[~hit & (held >= 0)]
+        return value, np.flatnonzero(missing)
 
 
 class Model:
