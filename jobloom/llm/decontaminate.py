@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import among, lower_ascii, stored, text_of
+from jobloom.llm.common import among, lower_ascii, stored, text_of, with_values
 
 #: Words of lower-cased text: all but ASCII controls, white space, punctuation and capitals.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -66,7 +66,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "d
     passed = among(each, windows.select("hash"), "hash", set_bits, also=F.col("len").isNull())
     table = stored(passed.select("id", "key", "n_words", "start", "len", "hash", F.when(F.col("len").isNotNull(), F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("len")))).alias("window")))
 
-    sure = table.where("len is not null").join(windows.select("hash", "window", "items"), ["hash", "window"]).select("id", "key", "n_words", "start", "len", "items")
+    # windows by how many document windows have their words: those that very many have are sent to all tasks
+    seen = table.where("len is not null").groupBy("window").agg(F.count(F.lit(1)).alias("times"))
+    named = stored(windows.select("window", "items").join(seen, "window"))
+    sure = with_values(table.where("len is not null"), named, "window", "times").select("id", "key", "n_words", "start", "len", "items")
     itself = table.where("len is null").select("id", "key", "n_words", "start", "len", F.lit(None).cast("array<string>").alias("items"))
     found = sure.unionByName(itself).groupBy("id", "key", "n_words").agg(
         F.count_if(F.col("len").isNull()).alias("rows"),
