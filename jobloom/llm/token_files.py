@@ -90,7 +90,8 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
             yield done()
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", "text")
+    # by the text's beginning too, so that rows that share an id, or have none, are spread
+    ordered = rows.repartitionByRange(F.col("id"), F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
     ordered.mapInArrow(chunks, schema).write.option("compression", "none").parquet(path)
 
 
