@@ -31,7 +31,11 @@ def test_a_window_that_very_many_documents_hold(spark):
 
 def test_ids_that_very_many_rows_share(spark, tmp_path):
     docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(5).cast("long")).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") * 7919 % 1000).cast("string")).alias("text"))
-    token_files.write_ids(docs, str(tmp_path / "ids"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one partition
+    try:
+        token_files.write_ids(docs, str(tmp_path / "ids"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = token_files.read_ids(spark, str(tmp_path / "ids")).orderBy("start").collect()
     assert len(got) == 900 and [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
     rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in docs.collect()))
