@@ -192,17 +192,17 @@ def compare_and_requeue(jobs: DataFrame, steps: DataFrame, commands: DataFrame,
 
 
 def replay(jobs: DataFrame, replays: DataFrame, commands: DataFrame, as_of: str, first_id: int) -> Change:
-    """New jobs that repeat succeeded ones (ordinal, source_job_id, source_run_number, replay_request_key, reason), once per key."""
+    """New jobs that repeat succeeded ones (ordinal, source_job_id, source_run_number, replay_request_key, reason), once per key: a key that is used again for another reason is a CONFLICT."""
     key = ["source_job_id", "source_run_number", "replay_request_key"]
     source = jobs.select(F.col("id").alias("source_job_id"), F.col("run_number").alias("now_run"), "status", *[c for c in jobs.columns if c not in ("id", "run_number", "status")])
     done = replays.select(*key, F.col("reason").alias("done_reason"), F.col("replay_job_id"))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("ordinal"))
-    joined = commands.withColumn("nth", nth).join(done, key, "left").join(source, "source_job_id", "left")
+    first = Window.partitionBy(*key).orderBy("ordinal")
+    joined = commands.withColumns({"nth": F.row_number().over(first), "lead_reason": F.first("reason").over(first)}).join(done, key, "left").join(source, "source_job_id", "left")
     outcome = (
         F.when(F.col("done_reason").isNotNull(), F.when(F.col("done_reason") == F.col("reason"), "EXISTING").otherwise("CONFLICT"))
         .when(F.col("status").isNull(), "NOT_FOUND")
         .when((F.col("status") != "SUCCEEDED") | (F.col("now_run") != F.col("source_run_number")), "EXPECTATION_MISMATCH")
-        .when(F.col("nth") > 1, "EXISTING")
+        .when(F.col("nth") > 1, F.when(F.col("reason") == F.col("lead_reason"), "EXISTING").otherwise("CONFLICT"))
         .otherwise("REPLAYED")
     )
     decided = joined.withColumn("outcome", outcome).withColumn("new_id", (F.lit(first_id) + F.col("ordinal")).cast("long"))

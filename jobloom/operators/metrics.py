@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,15 @@ def job_metrics_rollup(ledger: dict[str, DataFrame], as_of: str) -> DataFrame:
     return stacked.groupBy(*KEY).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS), *(F.max(c).alias(c) for c in PERCENTILES))
 
 
+def metric_keys(ledger: dict[str, DataFrame], as_of: str) -> DataFrame:
+    """The organizations and job types that any of the four rollups has, each once."""
+    jobs = ledger["job_queue"]
+    owner = jobs.select(F.col("id").alias("job_id"), *KEY)
+    won = ledger["job_events"].where((F.col("event_type") == "SUCCEEDED") & last_day(as_of, "occurred_at")).join(owner, "job_id")
+    letters = ledger["job_dead_letters"].where(last_day(as_of, "failed_at"))
+    return reduce(DataFrame.union, [jobs.select(*KEY), recent_attempts(ledger["job_attempts"], jobs, as_of).select(*KEY), letters.select(*KEY), won.select(*KEY)]).distinct()
+
+
 def job_metrics(ledger: dict[str, DataFrame], as_of: str, scope: Scope = Scope.admin(), job_type: str | None = None) -> DataFrame:
     """Measures of each job definition, zero where it has no activity.
 

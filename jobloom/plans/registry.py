@@ -1335,3 +1335,127 @@ def _(l):
     text = lambda *columns: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
     row = lambda frame, name, value: frame.select(F.lit(name).alias("tbl"), "id", value.alias("v"))
     return row(change.upserts["job_enqueue_intents"], "intent", text("status", "promoted_job_id", "promotion_attempts")).unionByName(row(change.upserts["job_queue"], "job", text("job_type", "idempotency_key", "priority")))
+
+
+# ---------------------------------------------------------------- rows that result, on real conditions
+
+_TEXT = lambda *columns: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+
+
+@query("u1_all_metric_keys", "job_queue job_attempts job_dead_letters job_events", f"""
+    SELECT {ORG}, job_type FROM (SELECT organization_id, job_type FROM job_queue WHERE job_type <> 'jobs.p2' OR organization_id = 1
+    UNION SELECT q.organization_id, q.job_type FROM job_attempts a JOIN job_queue q ON q.id = a.job_id WHERE a.created_at >= {DAY} AND a.finished_at IS NOT NULL AND (job_type <> 'jobs.p2' OR organization_id = 1)
+    UNION SELECT organization_id, job_type FROM job_dead_letters WHERE failed_at >= {DAY} UNION SELECT q.organization_id, q.job_type FROM job_events e JOIN job_queue q ON q.id = e.job_id WHERE e.event_type = 'SUCCEEDED' AND e.occurred_at >= {DAY} AND (job_type <> 'jobs.p2' OR organization_id = 1))""")
+def _(l):
+    """One type's jobs are gone but for an organization: only letters, which carry their own key, still tell of the others."""
+    tables = {"job_queue": l["job_queue"].where("job_type <> 'jobs.p2' OR organization_id = 1"), "job_attempts": l["job_attempts"], "job_dead_letters": l["job_dead_letters"], "job_events": l["job_events"]}
+    return metrics.metric_keys(tables, AS_OF).select(org(), "job_type")
+
+
+@query("x12_retry_hints", "job_queue", f"""
+    WITH t AS (SELECT *, CASE WHEN id % 4 = 0 THEN NULL ELSE (id * 7919) % 400000000 END AS delay_us, greatest(1000, least(5000 * CAST(pow(2, least(greatest(attempt, 1), 10)) AS BIGINT), 300000) + id % 1000 - 500) AS policy FROM job_queue WHERE {_LIVE} AND attempt < max_attempts),
+    h AS (SELECT *, CASE WHEN delay_us > 0 THEN CAST(ceil(delay_us / 1000.0) AS BIGINT) END AS hint FROM t)
+    SELECT id, {NOW} + CASE WHEN coalesce(hint > policy, false) THEN hint ELSE policy END * INTERVAL '1' MILLISECOND AS next_run_at, CASE WHEN coalesce(hint > policy, false) THEN 'HANDLER' ELSE 'POLICY' END AS source FROM h""")
+def _(l):
+    """Failures with hints of up to 400 seconds: the later of policy and hint, and whose it was, as the event has it."""
+    from jobloom.functions.predicates import instant
+    from jobloom.functions.timing import hint_after
+
+    delay = F.when(F.col("id") % 4 != 0, F.col("id") * 7919 % 400_000_000)
+    change = lifecycle.fail(l["job_queue"], _fence(l, "true").withColumns({"kind": F.lit("RETRYABLE"), "error_code": F.lit("e"), "not_before": hint_after(instant(AS_OF), delay)}), AS_OF)
+    said = change.appends["job_events"].where("event_type = 'RETRY_SCHEDULED'").select(F.col("job_id").alias("id"), F.get_json_object("payload", "$.retry_timing_source").alias("source"))
+    return change.upserts["job_queue"].where("status = 'PENDING'").select("id", "next_run_at").join(said, "id")
+
+
+@query("x15_letters", "job_queue", f"""
+    SELECT id AS job_id, CASE WHEN {_LIVE} THEN concat_ws('|', CAST(run_number AS VARCHAR), 'new') ELSE '0|old' END AS v FROM job_queue WHERE status = 'LEASED'""")
+def _(l):
+    """All leased jobs died in an earlier run; those whose lease is live die again, by two commands each: one letter a job, the last one."""
+    old = l["job_queue"].where("status = 'LEASED'").select(F.col("id").alias("job_id"), "job_type", "organization_id", F.lit(0).alias("run_number"), "attempt", F.lit("old").alias("error_code"), F.col("payload").alias("payload_snapshot"), F.col("created_at").alias("failed_at"))
+    commands = _fence(l, "true").withColumns({"kind": F.lit("TERMINAL"), "error_code": F.lit("new"), "not_before": F.lit(None).cast("timestamp_ntz")})
+    change = lifecycle.fail(l["job_queue"], commands.unionByName(commands.withColumn("error_code", F.lit("newer"))), AS_OF)
+    after = change.apply({"job_queue": l["job_queue"], "job_attempts": l["job_attempts"], "job_execution_resource_claims": l["job_execution_resource_claims"], "job_events": l["job_events"], "job_dead_letters": old})
+    return after["job_dead_letters"].select("job_id", _TEXT("run_number", "error_code").alias("v"))
+
+
+@query("x18_requeue_rows", "job_queue", f"""
+    WITH t AS (SELECT *, status IN ('CANCELED', 'DEAD_LETTERED') AND run_number = 2 AND id % 3 <> 0 AND NOT (status = 'CANCELED' AND coalesce(lease_expires_at > {NOW}, false)) AS hit FROM job_queue)
+    SELECT 'job' AS tbl, id, CASE WHEN hit THEN concat_ws('|', 'PENDING', '3', '0', 'queued', CAST({NOW} AS VARCHAR)) ELSE concat_ws('|', status, CAST(run_number AS VARCHAR), CAST(attempt AS VARCHAR), stage, CAST(next_run_at AS VARCHAR)) END AS v FROM t
+    UNION ALL SELECT 'event', id, 'REQUEUED|2' FROM t WHERE hit
+    UNION ALL SELECT 'duplicates', 0, CAST(count(*) AS VARCHAR) FROM t""")
+def _(l):
+    """Every job asked for twice, of which steps have a third: the rows that result."""
+    jobs = l["job_queue"]
+    steps = jobs.where("id % 3 = 0").select(F.col("id").alias("job_id"))
+    ask = jobs.select("id", F.when(F.col("status") == "DEAD_LETTERED", "DEAD_LETTERED").otherwise("CANCELED").alias("expected_status"), F.lit(2).alias("expected_run"))
+    change = lifecycle.compare_and_requeue(jobs, steps, ask.unionByName(ask), AS_OF)
+    after = change.apply({"job_queue": jobs, "job_events": l["job_events"].where("false")})
+    row = lambda frame, name, key, value: frame.select(F.lit(name).alias("tbl"), F.col(key).alias("id"), value.alias("v"))
+    twice = change.outcomes.where("outcome = 'DUPLICATE'").agg(F.count(F.lit(1)).alias("n")).withColumn("zero", F.lit(0).cast("long"))
+    return row(after["job_queue"], "job", "id", _TEXT("status", "run_number", "attempt", "stage", "next_run_at")).unionByName(row(after["job_events"], "event", "job_id", _TEXT("event_type", "run_number"))).unionByName(row(twice, "duplicates", "zero", F.col("n").cast("string")))
+
+
+@query("x24_patch_rows", "job_queue", """
+    SELECT id, CASE WHEN status = 'PENDING' AND attempt = 0 AND idempotency_key IS NULL AND id % 3 <> 0 THEN left(payload, length(payload) - 1) || ',"tags":["a"]}' ELSE payload END AS payload FROM job_queue""")
+def _(l):
+    """A field set in every payload that may be, by two commands each."""
+    jobs = l["job_queue"]
+    ask = jobs.select("id", F.lit("tags").alias("field"), F.lit('["a"]').alias("value"))
+    change = lifecycle.patch_payload(jobs, jobs.where("id % 3 = 0").select(F.col("id").alias("job_id")), ask.unionByName(ask.withColumn("value", F.lit('["b"]'))))
+    return change.apply({"job_queue": jobs})["job_queue"].select("id", "payload")
+
+
+@query("x19_replay_rows", "job_queue", f"""
+    WITH hit AS (SELECT * FROM job_queue WHERE status = 'SUCCEEDED' AND run_number = 1)
+    SELECT 'job' AS tbl, 10000000 + 3 * id AS id, concat_ws('|', job_type, coalesce(CAST(organization_id AS VARCHAR), '-'), payload, 'PENDING', '1', '0', 'queued', CAST({NOW} AS VARCHAR), '-') AS v FROM hit
+    UNION ALL SELECT 'lineage', 10000000 + 3 * id, concat_ws('|', CAST(id AS VARCHAR), '1', 'k', 'why') FROM hit
+    UNION ALL SELECT 'outcome', 3 * id, 'REPLAYED' FROM hit UNION ALL SELECT 'outcome', 3 * id + 1, 'EXISTING' FROM hit UNION ALL SELECT 'outcome', 3 * id + 2, 'CONFLICT' FROM hit
+    UNION ALL SELECT 'outcome', 3 * id + n, 'EXPECTATION_MISMATCH' FROM job_queue, (VALUES (0), (1), (2)) AS t(n) WHERE NOT (status = 'SUCCEEDED' AND run_number = 1)""")
+def _(l):
+    """Every job asked for three times, the last time for another reason: new jobs, their lineage and the outcomes."""
+    jobs = l["job_queue"]
+    ask = jobs.select("id", F.explode(F.array(*map(F.lit, range(3)))).alias("n")).select((3 * F.col("id") + F.col("n")).alias("ordinal"), F.col("id").alias("source_job_id"), F.lit(1).alias("source_run_number"), F.lit("k").alias("replay_request_key"), F.when(F.col("n") == 2, "other").otherwise("why").alias("reason"))
+    done = l.spark.createDataFrame([], "replay_job_id long, source_job_id long, source_run_number int, replay_request_key string, reason string")
+    change = lifecycle.replay(jobs, done, ask, AS_OF, 10_000_000)
+    row = lambda frame, name, key, value: frame.select(F.lit(name).alias("tbl"), F.col(key).alias("id"), value.alias("v"))
+    new = change.upserts["job_queue"]
+    return (
+        row(new, "job", "id", _TEXT("job_type", "organization_id", "payload", "status", "run_number", "attempt", "stage", "next_run_at", "idempotency_key"))
+        .unionByName(row(change.appends["job_replays"], "lineage", "replay_job_id", _TEXT("source_job_id", "source_run_number", "replay_request_key", "reason"))).unionByName(row(change.outcomes, "outcome", "ordinal", F.col("outcome")))
+    )
+
+
+@query("x4_resource_keys", "job_queue job_definitions", """
+    SELECT id AS ordinal, CASE WHEN id % 5 IN (0, 1) THEN 'INVALID_RESOURCE' WHEN id % 5 = 2 AND id % 7 = 0 THEN 'INVALID_RESOURCE' WHEN job_type IN (SELECT job_type FROM job_definitions WHERE is_enabled) THEN 'INSERTED' ELSE 'NO_ENABLED_DEFINITION' END AS outcome FROM job_queue""")
+def _(l):
+    """Every job enqueued anew with resource keys of all kinds: empty, blank by a space that isn't ASCII, just too long, long enough, and none."""
+    place = F.col("id") % 5
+    key = F.when(place == 0, "").when(place == 1, "\u2003 \u3000").when(place == 2, F.when(F.col("id") % 7 == 0, "é" * 257).otherwise("é" * 256)).when(place == 3, F.concat(F.lit("r"), F.col("id").cast("string")))
+    none = lambda kind: F.lit(None).cast(kind)
+    commands = l["job_queue"].select(F.col("id").alias("ordinal"), "job_type", "organization_id", "payload", none("int").alias("priority"), none("int").alias("max_attempts"), none("timestamp_ntz").alias("next_run_at"), none("string").alias("idempotency_key"), none("string").alias("stage"), key.alias("execution_resource_key"))
+    return lifecycle.enqueue(l["job_queue"], l["job_definitions"], commands, AS_OF, 10_000_000).outcomes.select("ordinal", "outcome")
+
+
+@query("a10_eligible_types", "job_enqueue_intents job_definitions", f"""
+    SELECT job_type, EXISTS (SELECT 1 FROM job_enqueue_intents i WHERE i.job_type = d.job_type AND status = 'PENDING' AND next_promotion_at <= {NOW}) AND is_enabled AS eligible FROM job_definitions d""")
+def _(l):
+    types = [r[0] for r in l["job_definitions"].select("job_type").collect()]  # a catalogue of some types
+    return l.spark.createDataFrame([(t, intents.has_eligible(l["job_enqueue_intents"], l["job_definitions"], [t], AS_OF)) for t in types], "job_type string, eligible boolean")
+
+
+@query("src3_steps_from_json", "workflow_steps", "SELECT workflow_run_id, step_key, execution_kind, coalesce(job_id, -1) AS job_id FROM workflow_steps")
+def _(l):
+    """Each run's steps sent as one JSON array of records and taken apart again."""
+    sent = l["workflow_steps"].groupBy("workflow_run_id").agg(F.to_json(F.collect_list(F.struct("step_key", "execution_kind", "job_id"))).alias("records"))
+    rows = sent.select("workflow_run_id", F.inline(changes.rows_from_json("records", "step_key string, execution_kind string, job_id bigint")))
+    return rows.withColumn("job_id", F.coalesce("job_id", F.lit(-1).cast("long")))
+
+
+@query("d17_same_append", "workflow_steps workflow_step_dependencies", """
+    SELECT DISTINCT workflow_run_id AS ordinal, workflow_run_id % 3 <> 1 AS same FROM workflow_steps""")
+def _(l):
+    """Each run's declaration as a stored append, against itself in another order and spelling; every third one with another payload."""
+    _, steps, edges = _declared(l)
+    known = workflow_writes.declared(steps, edges).select("ordinal", "request")
+    other = F.when(F.col("ordinal") % 3 == 1, F.concat(F.lit('{"other":'), F.col("step_ordinal").cast("string"), F.lit("}"))).otherwise(F.concat(F.lit(' { "step" : '), (F.col("step_ordinal") % 10).cast("string"), F.lit(".0 } ")))
+    return workflow_writes.same_append(known, steps.orderBy(F.desc("step_key")).withColumn("payload", other), edges.orderBy(F.desc("prerequisite_key")))
