@@ -3,9 +3,10 @@
 Patterns give the base spans. The method adds spans of kind ``random``: of each long token an
 encoding is inferred (decimal, hex, base32, base64), and three tests ask whether its symbols
 could be drawn evenly from that encoding's alphabet: chi-squared uniformity, runs about the
-middle, lag-1 serial correlation. The three p-values give one (Bonferroni). Ordinary strings
-are the discoveries: Benjamini-Hochberg within each class of length, over all tokens of the
-corpus, rejects randomness at a controlled rate; what isn't rejected is a secret.
+middle, lag-1 serial correlation. The three p-values give one (Bonferroni). Discoveries are secrets, and the
+share of ordinary strings among them is held down within each class of length and encoding, over all tokens of the corpus: random strings have
+p-values spread as the tests' law has it, ordinary ones gather near 0. From those over a half the number of random strings follows, so
+from any bound how many over it are not; claimed are all p-values down to the least bound at which these are at most a given share.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ ENCODINGS = (
     ("both", r"[+/].*[_-]|[_-].*[+/]", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
     ("base64", r"^", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+#: What must stand shortly before a decimal number that is to be a secret: such numbers are random in most texts anyway.
+CONTEXT = r"(?i)(?:key|secret|token|passw|passphrase|credential|auth)[^\n]{0,16}$"
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 BINS_AN_OCTAVE = 8
+#: Bins of p-values over a half, and the last one of p-values that may be claimed at all (0.001).
+HALF, LAST = BINS_AN_OCTAVE - 1, 79
 
 
 def located(text: Column, pattern: str, rank: int, also: Column | None = None) -> Column:
@@ -105,6 +110,26 @@ def _tests(x: Column) -> Column:
     return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), 3 * least))
 
 
+def share_over(bin_: Column) -> Column:
+    """The part of random strings whose p-value lies in this bin or one of more: three times the least of three even values, cut at 1."""
+    return F.pow(1 - F.pow(F.lit(2.0), -(bin_ + 1) / BINS_AN_OCTAVE) / 3, F.lit(3))
+
+
+def limits(counts: DataFrame, alpha: float) -> DataFrame:
+    """(class, bin): the last bin of each class whose p-values are claimed, from counts (class, bin, count).
+
+    ``alpha``: the share of ordinary strings among a class's claims, as the mixture of both has it. Where none lies over a half, a
+    single string over ``LAST`` is claimed, as nothing speaks against it.
+    """
+    down = Window.partitionBy("class").orderBy("bin")
+    whole = Window.partitionBy("class")
+    random = F.sum(F.when(F.col("bin") <= HALF, F.col("count")).otherwise(0)).over(whole)
+    number = random / share_over(F.lit(HALF))
+    over = F.sum("count").over(down)
+    good = (F.col("bin") <= HALF) | (over - number * share_over(F.col("bin")) <= alpha * over) | ((random == 0) & (over == 1))
+    return counts.withColumn("good", good & (F.col("bin") <= LAST)).where("good").groupBy("class").agg(F.max("bin").alias("bin"))
+
+
 def scan(docs: DataFrame, alpha: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All secret spans of each document.
 
@@ -127,17 +152,16 @@ def _spans(docs: DataFrame, alpha: float) -> DataFrame:
     none = F.array().cast(SPAN)
     located_once = base.select("id", "text", base_spans(text).alias("base"), F.when(text.rlike(TOKEN), located(text, TOKEN, 3)).otherwise(none).alias("tokens"))
     free = located_once.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))))
+    told = lambda t: ~F.substring(text, t["start"] + 1, t["end"] - t["start"]).rlike("^[0-9]+$") | F.substring(text, F.greatest(F.lit(1), t["start"] - 31), F.least(t["start"], F.lit(32))).rlike(CONTEXT)
+    free = free.withColumn("tokens", F.filter("tokens", told))
     valued = free.select("id", F.md5("text").alias("md5"), "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _values(F.substring("text", t["start"] + 1, t["end"] - t["start"])).alias("x"))).alias("tokens"))
-    tested = valued.select("id", "md5", "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.floor(F.log2(F.size(t["x"]["v"]))).cast("int").alias("class"), _bin(_tests(t["x"])).alias("bin"))).alias("tokens"))
+    kind = lambda t: F.floor(F.log2(F.size(t["x"]["v"]))).cast("int") * 128 + t["x"]["k"]
+    tested = valued.select("id", "md5", "base", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), kind(t).alias("class"), _bin(_tests(t["x"])).alias("bin"))).alias("tokens"))
     table = stored(tested)
 
     counts = table.select(F.explode("tokens").alias("t")).groupBy(F.col("t.class").alias("class"), F.col("t.bin").alias("bin")).count()
-    up = Window.partitionBy("class").orderBy(F.desc("bin"))
-    at_most = F.sum("count").over(up)  # tokens whose p is this small
-    rejected = counts.select("class", "bin", at_most.alias("m"), F.sum("count").over(Window.partitionBy("class")).alias("all")).where(F.pow(F.lit(2.0), -F.col("bin") / BINS_AN_OCTAVE) <= alpha * F.col("m") / F.col("all"))
-    limits = rejected.groupBy("class").agg(F.min("bin").alias("bin"))
-    limit = {r[0]: r[1] for r in limits.collect()}  # a row for each class of length, of which a text of 2^31 characters has 31
-    passed = F.filter("tokens", lambda t: F.coalesce(t["bin"] < F.element_at(F.create_map(*(F.lit(x) for pair in limit.items() for x in pair)), t["class"]), F.lit(True)) if limit else F.lit(True))
+    limit = {r[0]: r[1] for r in limits(counts, alpha).collect()}  # a row for each class: an encoding and a doubling of length, of which a text of 2^31 characters has 31
+    passed = F.filter("tokens", lambda t: F.coalesce(t["bin"] <= F.element_at(F.create_map(*(F.lit(x) for pair in limit.items() for x in pair)), t["class"]), F.lit(False)) if limit else F.lit(False))
     random = F.transform(passed, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end")))
     named = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind"), s["end"].alias("end")))
     return table.select("id", "md5", named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", random))).alias("spans"))
