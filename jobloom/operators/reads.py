@@ -196,3 +196,8 @@ def replay_lineage(jobs: DataFrame, replays: DataFrame, commands: DataFrame) ->
     state = jobs.select(F.col("id").alias("_id"), F.col("status").alias("replay_status"), F.col("run_number").alias("replay_run_number"))
     meant = (F.col("_id") == F.col("replay_job_id").outer()) & (F.col("replay_reason").outer() == F.col("reason").outer())
     return known.lateralJoin(state.where(meant), how="left").select("ordinal", "replay_job_id", "replay_reason", "replay_status", "replay_run_number")
+
+
+def schedule_by_name(schedules: DataFrame, name: str) -> DataFrame:
+    """The schedule of a name, none if there isn't one. Names are unique."""
+    return schedules.where(F.col("name") == name)

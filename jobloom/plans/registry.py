@@ -239,7 +239,7 @@ def _(l):
 
 @query("q17_schedule_by_name", "job_schedules", "SELECT id, name, cron_expr, is_active, next_fire_at FROM job_schedules WHERE name = 'schedule-3'")
 def _(l):
-    return l["job_schedules"].where("name = 'schedule-3'").select("id", "name", "cron_expr", "is_active", "next_fire_at")
+    return reads.schedule_by_name(l["job_schedules"], "schedule-3").select("id", "name", "cron_expr", "is_active", "next_fire_at")
 
 
 @query("q18_latest_run_per_type", "workflow_runs", "SELECT id, workflow_type, status FROM workflow_runs QUALIFY row_number() OVER (PARTITION BY workflow_type ORDER BY created_at DESC, id DESC) = 1")
@@ -469,12 +469,23 @@ def _(l):
     return schedules.due_schedules(l["job_schedules"], AS_OF, 20).select("id", "name", "next_fire_at")
 
 
-@query("h4_materialise")
+@query("h4_materialise", "job_schedules job_definitions", f"""
+    SELECT s.id, s.job_type, CASE WHEN d.job_type IS NOT NULL THEN '{{"source":"schedule","_schedule":{{"id":"' || CAST(s.id AS VARCHAR) || '","name":"' || name || '","scheduled_for":"' || strftime(next_fire_at, '%Y-%m-%dT%H:%M:%S') || 'Z"}}}}' END AS payload,
+        'scheduled' AS stage, CASE WHEN d.job_type IS NOT NULL THEN {NOW} ELSE {NOW} + INTERVAL '30' SECOND END AS next_run_at, d.job_type IS NOT NULL AS enqueued
+    FROM (SELECT * FROM job_schedules WHERE is_active AND next_fire_at <= {NOW} ORDER BY next_fire_at, id LIMIT 1000) s LEFT JOIN job_definitions d ON d.job_type = s.job_type AND d.is_enabled""")
 def _(l):
     return schedules.materialise(l["job_schedules"], l["job_definitions"], AS_OF, 1000)
 
 
-@query("h5_next_fires")
+_JITTER = "CASE WHEN max_jitter_seconds > 0 THEN xor(id, epoch_ms(k.fire)) % (max_jitter_seconds + 1) ELSE 0 END * INTERVAL '1' SECOND"
+
+
+@query("h5_next_fires", "job_schedules", f"""
+    WITH f AS (SELECT unnest(range(TIMESTAMP '2024-01-28 00:00:00', TIMESTAMP '2024-02-05 00:00:00', INTERVAL '1' MINUTE)) AS fire),
+    k AS (SELECT '0 * * * * *' AS cron, fire FROM f UNION ALL SELECT '0 */15 * * * *', fire FROM f WHERE minute(fire) % 15 = 0 UNION ALL SELECT '0 30 2 * * Mon-Fri', fire FROM f WHERE hour(fire) = 2 AND minute(fire) = 30 AND isodow(fire) <= 5),
+    b AS (SELECT s.id, arg_min(k.fire + {_JITTER}, k.fire) AS first FROM job_schedules s JOIN k ON k.cron = s.cron_expr AND k.fire > s.next_fire_at GROUP BY s.id),
+    a AS (SELECT s.id, min(k.fire + {_JITTER}) AS later FROM job_schedules s JOIN k ON k.cron = s.cron_expr AND k.fire + {_JITTER} > {NOW} AND k.fire > {NOW} - CASE WHEN max_jitter_seconds > 0 THEN max_jitter_seconds + 1 ELSE 0 END * INTERVAL '1' SECOND GROUP BY s.id)
+    SELECT s.id, cron_expr, next_fire_at, CASE WHEN first > {NOW} THEN first ELSE later END AS following_fire_at FROM job_schedules s JOIN b USING (id) JOIN a USING (id)""")
 def _(l):
     return schedules.next_fires(l["job_schedules"], AS_OF).select("id", "cron_expr", "next_fire_at", "following_fire_at")
 
@@ -731,7 +742,11 @@ def _(l):
     return lifecycle.reap(l["job_queue"], l["job_attempts"], l["job_events"], AS_OF, 1000).outcomes
 
 
-@query("i3_promotion_report", "job_enqueue_intents job_queue job_definitions")
+@query("i3_promotion_report", "job_enqueue_intents job_queue job_definitions", f"""
+    WITH b AS (SELECT * FROM job_enqueue_intents WHERE status = 'PENDING' AND next_promotion_at <= {NOW} AND job_type IN ('jobs.p1', 'jobs.p2', 'jobs.p3', 'jobs.p5') AND job_type IN (SELECT job_type FROM job_definitions WHERE is_enabled) ORDER BY next_promotion_at, created_at, id LIMIT 24),
+    m AS (SELECT b.*, q.id AS there_id, q.enqueue_request AS there, row_number() OVER (PARTITION BY b.job_type, b.organization_id, b.idempotency_key ORDER BY b.created_at, b.id) AS nth
+        FROM b LEFT JOIN job_queue q ON q.job_type = b.job_type AND q.organization_id IS NOT DISTINCT FROM b.organization_id AND q.idempotency_key = b.idempotency_key)
+    SELECT CASE WHEN there_id IS NOT NULL AND there IS DISTINCT FROM enqueue_request THEN 'DEFERRED' WHEN there_id IS NOT NULL OR nth > 1 THEN 'EXISTING' ELSE 'PROMOTED' END AS outcome, count(*) AS count FROM m GROUP BY 1""")
 def _(l):
     return intents.promote(l["job_enqueue_intents"], l["job_queue"], l["job_definitions"], ["jobs.p1", "jobs.p2", "jobs.p3", "jobs.p5"], AS_OF, 10_000_000).outcomes
 
@@ -1459,3 +1474,50 @@ def _(l):
     known = workflow_writes.declared(steps, edges).select("ordinal", "request")
     other = F.when(F.col("ordinal") % 3 == 1, F.concat(F.lit('{"other":'), F.col("step_ordinal").cast("string"), F.lit("}"))).otherwise(F.concat(F.lit(' { "step" : '), (F.col("step_ordinal") % 10).cast("string"), F.lit(".0 } ")))
     return workflow_writes.same_append(known, steps.orderBy(F.desc("step_key")).withColumn("payload", other), edges.orderBy(F.desc("prerequisite_key")))
+
+
+@query("t8_dashboard_order", _ALL, f"""WITH {_Q_ROLLUP}, {_BY_DEFINITION}
+    SELECT job_type, row_number() OVER (ORDER BY pending_count + leased_count DESC, job_type) AS place FROM metrics""")
+def _(l):
+    """The places that the dashboard's own order gives."""
+    return metrics.dashboard(l, AS_OF).coalesce(1).select("job_type", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+@query("j13_claimed_heads", "job_queue job_execution_resource_claims", f"""WITH {_ELIGIBLE}
+    SELECT q.id, q.execution_resource_key, q.priority FROM job_queue q WHERE q.id IN (SELECT id FROM heads)""")
+def _(l):
+    """Whole rows of the jobs that are the first of their resource."""
+    heads = claims.resource_heads(l["job_queue"], l["job_execution_resource_claims"], AS_OF, 50).select("id")
+    return l["job_queue"].join(heads, "id", "left_semi").select("id", "execution_resource_key", "priority")
+
+
+@query("x2_enqueue_rows", "job_queue job_definitions", f"""
+    WITH c AS (SELECT id, n, job_type, organization_id, 'new-' || CAST(id // 2 AS VARCHAR) AS key, CASE WHEN n = 1 AND id % 3 = 0 THEN '{{"n":0}}' ELSE payload END AS payload, 4 * id + n AS ordinal FROM job_queue, (VALUES (0), (1)) AS t(n) WHERE id % 2 = 0
+        UNION ALL SELECT id, 2, job_type, organization_id, NULL, payload, 4 * id + 2 FROM job_queue WHERE id % 2 = 0),
+    o AS (SELECT *, CASE WHEN job_type NOT IN (SELECT job_type FROM job_definitions WHERE is_enabled) THEN 'NO_ENABLED_DEFINITION' WHEN n <> 1 THEN 'INSERTED' WHEN id % 3 = 0 THEN 'CONFLICT' ELSE 'EXISTING' END AS outcome FROM c)
+    SELECT 'outcome' AS tbl, ordinal AS id, outcome || '|' || CASE outcome WHEN 'INSERTED' THEN CAST(10000000 + ordinal AS VARCHAR) WHEN 'EXISTING' THEN CAST(10000000 + ordinal - 1 AS VARCHAR) ELSE '-' END AS v FROM o WHERE outcome <> 'CONFLICT'
+    UNION ALL SELECT 'outcome', ordinal, 'CONFLICT' FROM o WHERE outcome = 'CONFLICT'
+    UNION ALL SELECT 'job', 10000000 + ordinal, concat_ws('|', o.job_type, coalesce(CAST(organization_id AS VARCHAR), '-'), payload, 'PENDING', CAST(default_priority AS VARCHAR), '1', '0', CAST(d.max_attempts AS VARCHAR), CAST({NOW} AS VARCHAR), 'queued', coalesce(key, '-')) FROM o JOIN job_definitions d ON d.job_type = o.job_type WHERE outcome = 'INSERTED'""")
+def _(l):
+    """Every second job enqueued anew, by three commands: under a key, under it again in another spelling (a third of these with another payload), and without."""
+    none = lambda kind: F.lit(None).cast(kind)
+    n = F.explode(F.array(*map(F.lit, range(3)))).alias("n")
+    each = l["job_queue"].where("id % 2 = 0").select("id", "job_type", "organization_id", "payload", n)
+    payload = F.when((F.col("n") == 1) & (F.col("id") % 3 == 0), '{"n":0}').otherwise(F.col("payload"))
+    key = F.when(F.col("n") < 2, F.concat(F.lit("new-"), F.floor(F.col("id") / 2).cast("string")))
+    commands = each.select((4 * F.col("id") + F.col("n")).alias("ordinal"), "job_type", "organization_id", payload.alias("payload"), none("int").alias("priority"), none("int").alias("max_attempts"), none("timestamp_ntz").alias("next_run_at"), key.alias("idempotency_key"), none("string").alias("stage"))
+    change = lifecycle.enqueue(l["job_queue"].where("false"), l["job_definitions"], commands, AS_OF, 10_000_000)
+    row = lambda frame, name, key, value: frame.select(F.lit(name).alias("tbl"), F.col(key).alias("id"), value.alias("v"))
+    said = F.when(F.col("outcome") == "CONFLICT", F.col("outcome")).otherwise(_TEXT("outcome", "job_id"))
+    return row(change.outcomes, "outcome", "ordinal", said).unionByName(row(change.upserts["job_queue"], "job", "id", _TEXT("job_type", "organization_id", "payload", "status", "priority", "run_number", "attempt", "max_attempts", "next_run_at", "stage", "idempotency_key")))
+
+
+@query("i4_failure_classes", "job_enqueue_intents job_definitions", f"""
+    WITH b AS (SELECT * FROM job_enqueue_intents WHERE status = 'PENDING' AND next_promotion_at <= {NOW} AND job_type IN ('jobs.p1', 'jobs.p2') ORDER BY next_promotion_at, created_at, id LIMIT 24)
+    SELECT id, CASE WHEN id % 6 IN (0, 1, 2, 3) THEN 'CONFLICTED' ELSE 'PROMOTED' END AS status FROM b""")
+def _(l):
+    """The next batch with requests that no job can be made of: not JSON, no object, a blank resource key, a stage that isn't one."""
+    kinds = ("nope", "[1]", '{"execution_resource_key":" "}', '{"stage":"late"}', '{"stage":"queued"}', '{"execution_resource_key":"r"}')
+    wrong = F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") % 6 + 1).cast("int"))
+    table = l["job_enqueue_intents"].withColumns({"enqueue_request": wrong, "idempotency_key": F.concat(F.lit("own-"), F.col("id").cast("string"))})
+    return intents.promote(table, l["job_queue"], l["job_definitions"], ["jobs.p1", "jobs.p2"], AS_OF, 10_000_000).upserts["job_enqueue_intents"].select("id", "status")
