@@ -14,7 +14,7 @@ the full shingle sets of the texts verifies.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,35 +149,70 @@ def _clusters(listed: DataFrame) -> DataFrame:
     return clusters
 
 
-def _spread(clusters: DataFrame, members: int, shingles: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows of clusters (centre, n, ...) dealt to groups (centre, part, i, j) of bounded size that together hold each pair that can be linked.
+def _weigh(rows: DataFrame, members: int, shingles: int, *by: str) -> DataFrame:
+    """How many rows each group has, and how many blocks of ``members`` sets or ``shingles`` shingles they make; of these, those that no leader has joined (``rest``), and the others (``tied``)."""
+    blocks = lambda some: F.ceil(F.greatest(F.count_if(some) / members, F.sum(F.when(some, F.col("n")).otherwise(0)) / shingles)).cast("int")
+    tied = F.col("joined") if "joined" in rows.columns else F.lit(False)
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), blocks(F.lit(True)).alias("blocks"), blocks(~tied).alias("rest"), blocks(tied).alias("tied"))
+
+
+def _led(large: DataFrame, keyed: DataFrame, size: int, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of large clusters' members (centre, short, set, of, at, n, cells, blocks) with their centre, and the members (centre, short) that have one. Both are stored.
+
+    Each block of members meets the centre alone, so a cluster costs as many rows as it has members and blocks.
+    """
+    lead = F.col("short") == F.col("centre")
+    place = F.when(lead, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int")))
+    dealt = large.select("centre", F.lit(-1).alias("part"), F.explode(place).alias("i"), F.lit(0).alias("j"), "short", "set", "of", "at", "n", "cells", lead.alias("joined"))
+    near = stored(_promising(dealt, k, percent, led=True))
+    links = stored(_links(_with_texts(keyed, near, "joined"), size, k, percent, led=True))
+    ends = links.select(F.col("a").alias("set")).unionByName(links.select(F.col("b").alias("set"))).distinct()
+    joined = stored(near.select("centre", "short", "set").distinct().join(ends, "set", "left_semi").select("centre", "short"))
+    discard(near)
+    return links, joined
+
+
+def _with_texts(keyed: DataFrame, place: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``place`` with their texts, read only of documents that a filter of fixed size lets through."""
+    texts = among(keyed, place.select(F.xxhash64("of", "at").alias("place")), "place", FILTER_BITS).join(place, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at")))
+    return texts.select(*GROUP, "set", "score", "text", *more)
+
+
+def _spread(clusters: DataFrame, members: int, shingles: int, percent: int, lead: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows of clusters (centre, n, ...) dealt to groups (centre, part, i, j) of bounded size that together hold each pair that can tell more than ``lead`` does; and the links that it gave.
 
     Also the stored tables that this reads.
 
-    A cluster of more than ``members`` sets or ``shingles`` shingles is split by size: a set stands in
-    the part of its own class of size and in that of the next, so any two whose sizes
-    allow a link stand in one part together. A part that is still larger is cut into
-    blocks, and each two blocks make a group.
+    Members of a cluster of more than ``members`` sets or ``shingles`` shingles first meet its centre. Those that are linked with it are connected, and needn't meet each
+    other. The cluster is split by size: a set stands in the part of its own class of size and in that of the next, so any two whose sizes
+    allow a link stand in one part together. A part is cut into blocks of those that are connected and of the rest, and each block of the
+    rest makes a group with each other block. So a family of near copies is dealt about as many rows as it has members.
     """
-    weigh = lambda rows, *by: rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.greatest(F.count(F.lit(1)) / members, F.sum("n") / shingles)).cast("int").alias("blocks"))
-    sizes = stored(weigh(clusters, "centre"))
-    sized = stored(with_values(clusters, sizes, "centre", "rows"))
+    sizes = stored(_weigh(clusters, members, shingles, "centre"))
+    sized = stored(with_values(clusters, sizes.select("centre", "rows", "blocks"), "centre", "rows"))
     discard(sizes)
     own = F.floor(F.log("n") / F.log(F.lit(100.01 / percent))).cast("int")
-    whole = sized.where("blocks = 1").withColumns({"part": F.lit(0), "i": F.lit(0), "j": F.lit(0)}).drop("blocks")
-    parts = sized.where("blocks > 1").drop("blocks").withColumn("part", F.explode(F.array(own, own + 1))).withColumn("both", F.xxhash64("centre", "part"))
-    cut = stored(weigh(parts, "both").where("rows > 1"))
-    block = F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int")
-    dealt = with_values(parts, cut, "both", "rows").drop("both").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other", "blocks")
-    return whole.unionByName(blocks), [sized, cut]
+    whole = sized.where("blocks = 1").withColumns({"part": F.lit(0), "i": F.lit(0), "j": F.lit(0), "joined": F.lit(False)}).drop("blocks")
+    links, joined = lead(sized.where("blocks > 1"))
+    told = sized.where("blocks > 1").drop("blocks").join(joined.withColumn("joined", F.lit(True)), ["centre", "short"], "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
+    parts = stored(told.withColumn("part", F.explode(F.array(own, own + 1))).withColumn("both", F.xxhash64("centre", "part")))
+    cut = stored(_weigh(parts, members, shingles, "both").where("rows > 1 AND rest > 0").select("both", "rows", "rest", "tied"))
+    dealt = with_values(parts, cut, "both", "rows").drop("both")
+    block = lambda n: F.pmod(F.xxhash64("short"), F.col(n)).cast("int")
+    each = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    # groups of two blocks of the rest have j >= i >= 0; of a block of the rest and one of the connected, j < 0
+    pair = F.when(F.col("joined"), F.transform(each("rest"), lambda r: F.struct(r.alias("i"), (-1 - block("tied")).alias("j")))).otherwise(
+        F.concat(F.transform(each("rest"), lambda r: F.struct(F.least(block("rest"), r).alias("i"), F.greatest(block("rest"), r).alias("j"))), F.transform(each("tied"), lambda t: F.struct(block("rest").alias("i"), (-1 - t).alias("j"))))
+    )
+    blocks = dealt.withColumn("pair", F.explode(pair)).withColumns({"i": F.col("pair.i"), "j": F.col("pair.j")}).drop("pair", "rest", "tied")
+    return whole.unionByName(blocks), links, [sized, joined, parts, cut]
 
 
 GROUP = ("centre", "part", "i", "j")
 
 
-def _promising(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(*GROUP, set, of, at, score): the rows of groups that some other row's sketch is alike; score: how many others.
+def _promising(members: DataFrame, k: int, percent: int, led: bool = False) -> DataFrame:
+    """(*GROUP, set, of, at, score): the rows of groups that some other row's sketch is alike; score: how many others. ``led``: only those of the rows ``joined`` count.
 
     Sketches are compared all at once, as counts of values in 2048 cells: values that fall
     together can only make two sketches more alike, so no link is lost. ``cells`` has two bytes a value.
@@ -185,6 +220,7 @@ def _promising(members: DataFrame, k: int, percent: int) -> DataFrame:
 
     def choose(group: pa.Table) -> pa.Table:
         n = group.column("n").to_numpy()
+        first = group.column("joined").to_numpy(zero_copy_only=False) if led else None
         parts = group.column("cells").to_pylist()
         owner = np.repeat(np.arange(len(n)), [len(x) // 2 for x in parts])
         flat = owner * 2048 + np.frombuffer(b"".join(parts), np.uint16)
@@ -198,7 +234,9 @@ def _promising(members: DataFrame, k: int, percent: int) -> DataFrame:
             near = slice(np.searchsorted(n, -(-n[at] * percent // 100)), np.searchsorted(n, n[part][-1] * 100 // percent, "right"))
             pairs = cells[part] @ cells[near].T >= np.minimum(need[part, None], need[near])
             pairs &= 100 * np.minimum(n[part, None], n[near]) >= percent * np.maximum(n[part, None], n[near])
-            score[by[part]] = pairs.sum(axis=1) - 1  # without itself
+            if led:
+                pairs &= first[by[part]][:, None] | first[by[near]]
+            score[by[part]] = pairs.sum(axis=1) - (first[by[part]] if led else 1)  # without itself
         return group.drop_columns(["cells", "n"]).append_column("score", pa.array(score)).filter(pa.array(score > 0))
 
     fields = members.drop("cells", "n").schema.add("score", "long")
@@ -214,8 +252,8 @@ def _union_shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (again & (distinct <= k)).sum(axis=1)
 
 
-def spanning_links(sets: list[np.ndarray], order: list[int], k: int, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what all links among ``sets`` (sorted hashes) connect.
+def spanning_links(sets: list[np.ndarray], order: list[int], k: int, percent: int, joined: np.ndarray | None = None, led: bool = False) -> list[tuple[int, int]]:
+    """Links that connect what all links among ``sets`` (sorted hashes) connect, those that are ``joined`` being connected already; ``led``: only links with the first in order.
 
     Members take turns, in ``order``, to be compared with all later ones that aren't
     connected with them yet. A pair is passed over where its sizes, the triangle inequality
@@ -228,6 +266,8 @@ def spanning_links(sets: list[np.ndarray], order: list[int], k: int, percent: in
     rank = np.empty(m, np.int64)
     rank[order] = np.arange(m)
     component = np.arange(m)
+    if joined is not None and joined.any():
+        component[joined] = np.flatnonzero(joined)[0]
     elements, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     sketch = np.stack([np.pad(s[:k], (0, max(0, k - len(s))), constant_values=-(2**63) + 1) for s in sets])
@@ -244,7 +284,7 @@ def spanning_links(sets: list[np.ndarray], order: list[int], k: int, percent: in
         at = np.minimum(np.searchsorted(own, some), len(own) - 1)
         return np.bincount(of, own[at] == some, len(rows)).astype(np.int64)
 
-    for p in order:
+    for p in order[:1] if led else order:
         open_ = (component != component[p]) & (rank > rank[p]) & (100 * np.minimum(sizes, sizes[p]) >= percent * np.maximum(sizes, sizes[p]))
         if far is not None:
             open_ &= np.abs(far - far[p]) <= 1 - percent / 100 + 1e-9
@@ -273,14 +313,20 @@ def spanning_links(sets: list[np.ndarray], order: list[int], k: int, percent: in
     return found
 
 
-def _links(groups: DataFrame, size: int, k: int, percent: int) -> DataFrame:
-    """(a, b): links that connect each group (*GROUP, set, score, text), confirmed on the shingles' words; stars about the least member."""
+def _links(groups: DataFrame, size: int, k: int, percent: int, led: bool = False) -> DataFrame:
+    """(a, b): links that connect each group (*GROUP, set, score, text, joined), confirmed on the shingles' words; stars about the least member.
+
+    Members that are ``joined`` are connected already. ``led``: one is, the leader, and only links with it count.
+    """
 
     def link(group: pa.Table) -> pa.Table:
         names, texts = group.column("set").to_pylist(), group.column("text").to_pylist()
         score = group.column("score").to_pylist()
-        order = sorted(range(len(names)), key=lambda x: (-score[x], names[x]))
-        pairs = spanning_links([shingle_hashes(t, size) for t in texts], order, k, percent)
+        joined = group.column("joined").to_numpy(zero_copy_only=False)
+        order = sorted(range(len(names)), key=lambda x: (led and not joined[x], -score[x], names[x]))
+        if led and not joined.any():
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        pairs = spanning_links([shingle_hashes(t, size) for t in texts], order, k, percent, joined, led)
         words: dict[int, set] = {}
         top = list(range(len(names)))
         for a, b in pairs:
@@ -326,13 +372,12 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, k: int = 64,
     )
     clusters = _clusters(_listed(classes, min(k, LISTED), percent))
     met = clusters.join(_cells(classes), "short")
-    dealt, read = _spread(met, members, shingles, percent)
+    keyed = base.withColumn("place", F.xxhash64("id", "key"))
+    dealt, stars, read = _spread(met, members, shingles, percent, lambda large: _led(large, keyed, size, k, percent))
     place = stored(_promising(dealt, k, percent))
     discard(clusters, *read)
-    keyed = base.withColumn("place", F.xxhash64("id", "key"))
-    texts = among(keyed, place.select(F.xxhash64("of", "at").alias("place")), "place", FILTER_BITS).join(place, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at")))
-    links = stored(_links(texts.select(*GROUP, "set", "score", "text"), size, k, percent))
-    discard(place)
+    links = stored(_links(_with_texts(keyed, place, "joined"), size, k, percent).unionByName(stars))
+    discard(place, stars)
     return _result(rows, classes, components(links), id_col)
 
 

@@ -81,3 +81,52 @@ def test_stored_tables_can_go(spark):
     common.discard(table)
     with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
         table.collect()
+
+
+# ------------------------------------------------------------------ families of many distinct near copies
+
+def family(rng, n, words=200, edits=(1, 3), tag="f"):
+    base = [f"{tag}{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randint(*edits)):
+            own[rng.randrange(words)] = f"e{rng.randrange(10**9)}"
+        out.append(" ".join(own))
+    return out
+
+
+def dealt_rows(spark, monkeypatch, texts, members):
+    """The groups of near copies, and how many rows of sketches were dealt to find them."""
+    seen = []
+    real = near_dedup._promising
+
+    def counted(rows, *args, **kwargs):
+        seen.append(rows.count())
+        return real(rows, *args, **kwargs)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(near_dedup, "_promising", counted)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs, members=members).collect()}
+    return found, sum(seen)
+
+
+def test_rows_grow_with_a_family_not_with_its_square(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = family(rng, 2400)
+    small, few = dealt_rows(spark, monkeypatch, texts[:800], members=64)
+    large, many = dealt_rows(spark, monkeypatch, texts, members=64)
+    assert set(small.values()) == {0} and set(large.values()) == {0}
+    assert many < 4.5 * few and many < 20 * len(texts)
+
+
+def test_blocks_find_what_one_group_finds(spark, monkeypatch):
+    """Families whose members are often too far from the leader, and from each other, in small blocks and all at once."""
+    rng = random.Random(13)
+    texts = family(rng, 150, edits=(0, 14)) + family(rng, 150, edits=(6, 20), tag="g") + family(rng, 60, words=40, edits=(0, 5), tag="h")
+    rng.shuffle(texts)
+    whole, _ = dealt_rows(spark, monkeypatch, texts, members=10**6)
+    assert len(set(whole.values())) > 3
+    for members in (7, 40):
+        assert dealt_rows(spark, monkeypatch, texts, members)[0] == whole
