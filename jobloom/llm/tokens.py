@@ -67,7 +67,7 @@ class Encoder:
         self.byte_level = kind["normalizer"] is None and (kind["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not kind["pre_tokenizer"]["add_prefix_space"] and kind["post_processor"] is None
         self.model = self.tokenizer.model
         added = [t["content"] for t in kind["added_tokens"]]
-        self.whole = re.compile("|".join(map(re.escape, added))) if special and added else None  # texts that the library does whole
+        self.whole = [x for x in added if x] if special else []  # texts that have one of these the library does whole
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -120,7 +120,7 @@ class Encoder:
         for text in texts:
             if len(self.first) + len(self.later) + len(self.pieces) > self.most:
                 self.first, self.later, self.pieces = {}, {}, {}
-            ids = self._encode(text) if self.whole and self.whole.search(text) else self._text(text)
+            ids = self._encode(text) if any(x in text for x in self.whole) else self._text(text)
             found.append(np.frombuffer(ids, np.uint32))
         return found
 
