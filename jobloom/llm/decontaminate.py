@@ -98,7 +98,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the words of test windows cut out of their texts; what lies between words stays.
 
-    All columns and rows are returned; null text stays null.
+    All columns and rows are returned, repeated ones and those with a null id too; null text stays null. Rows that share an id are cut by their own texts' spans.
     """
     found = hits(docs, benchmark, size, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
     word = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # of text as it is

@@ -138,7 +138,8 @@ def has_letter(text: pd.Series) -> pd.Series:
 def drop_rejected(docs: DataFrame, held_out: Column, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without those of undetermined language, and those scored under ``least``; all columns are returned.
 
-    When nothing was learned, every text with a letter is kept, as no language can be told from another.
+    When nothing was learned, every text with a letter is kept, as no language can be told from another. Null texts and those without a letter go;
+    repeated rows stay or go alike, whatever their ids; of languages with equal scores the first by name is taken.
     """
     base = docs.withColumn("__held_out", held_out)
     learned = train(base.where(~F.col("__held_out")), lang_col, id_col, text_col)

@@ -407,6 +407,9 @@ def _result(rows: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str)
 
 
 def drop_near_copies(docs: DataFrame, size: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id; all columns are returned."""
+    """``docs`` with one document of each group, the one with the smallest id; all columns are returned.
+
+    Null texts and those without words are in no group and stay. Rows that share an id are one document here and stay or go alike; a null id goes where its group has another one.
+    """
     keep = near_groups(docs, size, percent, id_col=id_col, text_col=text_col).where("kept").select(F.col(id_col).alias("kept_id"))
     return docs.join(keep, docs[id_col].eqNullSafe(keep["kept_id"]), "left_semi")

@@ -10,10 +10,12 @@ from jobloom.llm.common import documents, shared_dir
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, each in one piece of one sequence of up to 2048."""
     return packing.pack(documents(spark, sf_dir), capacity=2048, end_id=1)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of base secrets by kind, their digest, and all spans, for each document."""
     found = secrets.scan(documents(spark, sf_dir))
     joined = lambda name: F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -26,37 +28,45 @@ def _remainder(by: int) -> Column:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, learned from those that aren't held out."""
     return language.identify(documents(spark, sf_dir), held_out=_remainder(4) == 2)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model scores of each document, by a model of those that aren't held out."""
     return ppm.score(documents(spark, sf_dir), held_out=_remainder(10) == 0, order=5)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of near copies on two-word shingles at 0.8."""
     return near_dedup.near_groups(documents(spark, sf_dir), size=2, percent=80)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a benchmark item's 13 words, and which items these are."""
     found = decontaminate.hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of equal texts."""
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences of each document, and the licences whose rules they fulfil."""
     return licenses.scan(documents(spark, sf_dir))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written as planes in ascending doc_id order and read back: where each document's lie, and their checksum."""
     path = f"{shared_dir(spark)}/ids"
     token_files.write_ids(documents(spark, sf_dir), path, end_id=0)
     return token_files.read_ids(spark, path, with_ids=False)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
