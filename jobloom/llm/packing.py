@@ -31,11 +31,12 @@ def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int, id_col: str
         codec = encoder(vocab)
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("row", "start", "length", "crc", "total")}
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(codec.texts([text])[0], np.uint32(end_id)).astype("<u4")
+            whole, counts = codec.column(batch.column(1), end_id)
+            for k, (end, n) in enumerate(zip(np.cumsum(counts).tolist(), counts.tolist())):
+                ids = whole[end - n : end].astype("<u4", copy=False)
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
-                    for name, value in zip(rows, (k, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
+                    for name, value in zip(rows, (k, start, len(piece), zlib.crc32(piece), len(ids))):
                         rows[name].append(value)
             own = batch.column(0).take(pa.array(rows["row"], pa.int64()))
             names = ["id", "start", "length", "ids_crc32", "doc_tokens"]

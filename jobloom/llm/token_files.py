@@ -76,12 +76,12 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
 
         for batch in batches:
             id_type = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(codec.texts([text])[0], np.uint32(end_id))
+            ids, counts = codec.column(batch.column(1), end_id)
+            for doc, end, n in zip(batch.column(0).to_pylist(), np.cumsum(counts).tolist(), counts.tolist()):
                 own.append(doc)
-                lengths.append(len(ids))
-                held.append(ids)
-                n_held += len(ids)
+                lengths.append(n)
+                held.append(ids[end - n : end])
+                n_held += n
                 if n_held >= chunk_ids:
                     yield done()
                     at, number = at + n_held, number + 1
