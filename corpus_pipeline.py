@@ -17,7 +17,8 @@ from jobloom.llm.common import documents, stored
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told; learns from the labelled ones that aren't held out.
 
-    Null texts and those without a letter go; where nothing can be learned, all others stay. Repeated rows stay or go together.
+    Null texts and those without a letter go, and those whose score is under half of what texts of a known language have in training;
+    where nothing can be learned, all with a letter stay. Repeated rows stay or go together.
     """
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     return language.drop_rejected(docs, held_out)

@@ -30,6 +30,7 @@ class Network:
         h = hidden
         near = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
         self.hidden = h
+        self.typical = 1 / languages  # the right language's probability in the last epoch, a geometric mean
         # for each direction: what a byte adds to update gate, reset gate and candidate; and the state's weights
         self.p = {f"{d}{k}": v for d in "fb" for k, v in (("x", near(257, 3 * h)), ("g", near(h, 2 * h)), ("c", near(h, h)))}
         self.p |= {"o": near(2 * h, languages), "ob": np.zeros(languages, np.float32)}
@@ -147,4 +148,5 @@ class Network:
                     self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
                 self._close()
             losses.append(float(np.mean(seen)))
+            self.typical = float(np.exp(-losses[-1]))
         return losses

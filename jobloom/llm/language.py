@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,8 @@ SAMPLE = 6000
 WHOLE_SAMPLE = 600_000
 OF_A_DOCUMENT = 8
 UNDETERMINED = "und"
+#: The part of the probability that right languages had in training, that ``drop_rejected`` asks for.
+TOLD = 0.5
 
 
 def windows(texts: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +75,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     return languages, network
 
 
-def predict(docs: DataFrame, languages: list[str], network: Network | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), at_once: int = 4096) -> DataFrame:
+def predict(docs: DataFrame, languages: list[str], network: Network | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), at_once: int = 1024) -> DataFrame:
     """``keep`` of each row of ``docs``, with lang_pred and score.
 
     Every byte of the text is labelled, in windows that are read ``at_once``; the probabilities
@@ -89,22 +90,27 @@ def predict(docs: DataFrame, languages: list[str], network: Network | None, text
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, network = sent.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            usable = [k for k, t in enumerate(texts) if network and t and any(map(str.isalpha, t))]
-            for group in _groups(usable, texts):
-                x, counts = windows([texts[k].encode() for k in group])
-                sums, weights = zip(*(network.pooled(x[:, i : i + at_once]) for i in range(0, x.shape[1], at_once)))
-                firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                mean = np.add.reduceat(np.concatenate(sums), firsts) / np.maximum(np.add.reduceat(np.concatenate(weights), firsts), 1)[:, None]
-                for k, best, value in zip(group, mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist()):
-                    lang[k], score[k] = languages[best], min(1.0, value)
+            lang, score = _labels(batch.column(batch.num_columns - 1).to_pylist(), languages, network, at_once)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return kept.mapInArrow(label, schema)
 
 
-def _groups(rows: list[int], texts: list[str], most: int = 4 << 20) -> Iterator[list[int]]:
+def _labels(texts: list[str | None], languages: list[str], network: Network | None, at_once: int = 1024) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    usable = [k for k, t in enumerate(texts) if network and t and any(map(str.isalpha, t))]
+    for group in _groups(usable, texts):
+        x, counts = windows([texts[k].encode() for k in group])
+        sums, weights = zip(*(network.pooled(x[:, i : i + at_once]) for i in range(0, x.shape[1], at_once)))
+        firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        mean = np.add.reduceat(np.concatenate(sums), firsts) / np.maximum(np.add.reduceat(np.concatenate(weights), firsts), 1)[:, None]
+        for k, best, value in zip(group, mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist()):
+            lang[k], score[k] = languages[best], min(1.0, value)
+    return lang, score
+
+
+def _groups(rows: list[int], texts: list[str], most: int = 1 << 20) -> Iterator[list[int]]:
     """``rows`` in lists of about ``most`` characters."""
     held, size = [], 0
     for k in rows:
@@ -129,21 +135,28 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     return predict(base, *learned, text_col=text_col, keep=(id_col, "held_out"))
 
 
-@F.pandas_udf(BooleanType())
-def has_letter(text: pd.Series) -> pd.Series:
+@F.arrow_udf(BooleanType())
+def has_letter(text: pa.Array) -> pa.Array:
     """Whether a text has a letter, by the rule of ``predict``; a null one has none."""
-    return text.map(lambda t: t is not None and any(map(str.isalpha, t))).astype(bool)
+    return pa.array([t is not None and any(map(str.isalpha, t)) for t in text.to_pylist()], pa.bool_())
 
 
-def drop_rejected(docs: DataFrame, held_out: Column, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def drop_rejected(docs: DataFrame, held_out: Column, least: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without those of undetermined language, and those scored under ``least``; all columns are returned.
 
+    The score is the answer's mean probability over a text's letters. By default it must be half of the probability that the right language had
+    over the letters that the network learned from (geometric mean, last epoch): near 0.5 for one that has learned well, less for one that had few texts.
     When nothing was learned, every text with a letter is kept, as no language can be told from another. Null texts and those without a letter go;
-    repeated rows stay or go alike, whatever their ids; of languages with equal scores the first by name is taken.
+    repeated rows stay or go alike, whatever their ids. Only texts go to Python.
     """
-    base = docs.withColumn("__held_out", held_out)
-    learned = train(base.where(~F.col("__held_out")), lang_col, id_col, text_col)
+    learned = train(docs.where(~held_out), lang_col, id_col, text_col)
     if learned[1] is None:
         return docs.where(has_letter(F.col(text_col)))
-    labelled = predict(docs.withColumn("__whole", F.struct(*docs.columns)), *learned, text_col=text_col, keep=("__whole",))
-    return labelled.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("__whole.*")
+    least = TOLD * learned[1].typical if least is None else least
+    sent = docs.sparkSession.sparkContext.broadcast(learned)
+
+    @F.arrow_udf(DoubleType())
+    def told(text: pa.Array) -> pa.Array:
+        return pa.array([None if lang == UNDETERMINED else score for lang, score in zip(*_labels(text.to_pylist(), *sent.value))], pa.float64())
+
+    return docs.where(told(F.col(text_col)) >= least)
