@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.json_text import canonical_json
 from jobloom.functions.predicates import instant
+from jobloom.sources.storage import by_key
 
 TERMINAL = ("SUCCEEDED", "FAILED", "CANCELED")
 ACTIVE = ("ENQUEUED", "RUNNING", "BLOCKED")
@@ -48,7 +49,7 @@ def run_status(steps: DataFrame, runs: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isin(*ACTIVE)).alias("active"), F.count_if(F.col("status") == "WAITING_FOR_EXTERNAL").alias("waiting"), F.count_if(F.col("status").isin("FAILED", "CANCELED")).alias("errored")
     )
     now = F.when(F.col("active") > 0, "RUNNING").when(F.col("waiting") > 0, "WAITING_FOR_EXTERNAL").when(F.col("errored") > 0, "COMPLETED_WITH_ERRORS").otherwise("SUCCEEDED")
-    return runs.join(per, "id").select("id", F.when(F.col("status") == "CANCELED", "CANCELED").otherwise(now).alias("status"), "active", "waiting", "errored")
+    return runs.join(by_key(per), "id").select("id", F.when(F.col("status") == "CANCELED", "CANCELED").otherwise(now).alias("status"), "active", "waiting", "errored")
 
 
 def propagate(steps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def structure_errors(steps: DataFrame, edges: DataFrame) -> DataFrame:
     row = lambda df, error, key: df.select("workflow_run_id", F.lit(error).alias("error"), F.col(key).alias("step_key"))
     blank = row(keys.where(F.trim("step_key") == ""), "BLANK_KEY", "step_key")
     double = row(keys.groupBy("workflow_run_id", "step_key").count().where("count > 1"), "DUPLICATE_KEY", "step_key")
-    missing = row(edges.join(keys.withColumnRenamed("step_key", "prerequisite_key"), ["workflow_run_id", "prerequisite_key"], "left_anti").distinct(), "MISSING_PREREQUISITE", "dependent_key")
+    missing = row(edges.join(by_key(keys.withColumnRenamed("step_key", "prerequisite_key")), ["workflow_run_id", "prerequisite_key"], "left_anti").distinct(), "MISSING_PREREQUISITE", "dependent_key")
     itself = row(edges.where("prerequisite_key = dependent_key"), "SELF_DEPENDENCY", "dependent_key")
     twice = row(edges.groupBy("workflow_run_id", "prerequisite_key", "dependent_key").count().where("count > 1"), "DUPLICATE_DEPENDENCY", "dependent_key")
     return blank.unionByName(double).unionByName(missing).unionByName(itself).unionByName(twice)
@@ -146,7 +147,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     n = now.count()
     while n:
         waiting = now.select("workflow_run_id", F.col("dependent_key").alias("prerequisite_key")).distinct()
-        after = stored(now.join(waiting, ["workflow_run_id", "prerequisite_key"], "left_semi"))
+        after = stored(now.join(by_key(waiting), ["workflow_run_id", "prerequisite_key"], "left_semi"))
         left = after.count()
         if left == n:
             break

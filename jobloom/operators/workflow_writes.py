@@ -9,7 +9,7 @@ from jobloom.functions.json_text import canonical_json
 from jobloom.functions.predicates import Scope, instant
 from jobloom.operators import lifecycle, workflow
 from jobloom.operators.changes import Change, event
-from jobloom.sources.storage import stored
+from jobloom.sources.storage import by_key, stored
 
 
 def new_jobs(steps: DataFrame, as_of: str, first_job_id: int) -> DataFrame:
@@ -39,7 +39,7 @@ def declared(steps: DataFrame, edges: DataFrame) -> DataFrame:
     edge = F.struct("dependent_key", "prerequisite_key", F.coalesce("release_mode", F.lit("ON_TERMINAL")).alias("release_mode"))
     per_step = steps.groupBy("ordinal").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     per_edge = edges.groupBy("ordinal").agg(F.array_sort(F.collect_list(edge)).alias("dependencies"))
-    return per_step.join(per_edge, "ordinal", "left").select("ordinal", F.to_json(F.struct("steps", "dependencies")).alias("request"))
+    return per_step.join(by_key(per_edge), "ordinal", "left").select("ordinal", F.to_json(F.struct("steps", "dependencies")).alias("request"))
 
 
 def enqueue_runs(ledger: dict[str, DataFrame], runs: DataFrame, steps: DataFrame, edges: DataFrame, as_of: str, first_run_id: int, first_step_id: int, first_job_id: int) -> Change:
@@ -56,7 +56,7 @@ def enqueue_runs(ledger: dict[str, DataFrame], runs: DataFrame, steps: DataFrame
     Outcomes: ordinal, outcome, run_id.
     """
     now = instant(as_of)
-    asked = runs.join(declared(steps, edges), "ordinal", "left").join(check_runs(steps, edges), "ordinal", "left")
+    asked = runs.join(by_key(declared(steps, edges)), "ordinal", "left").join(by_key(check_runs(steps, edges)), "ordinal", "left")
     known = ledger["job_definitions"].where("is_enabled").select("job_type")
     unknown = steps.where("execution_kind = 'JOB'").join(known, "job_type", "left_anti").select("ordinal", F.lit(True).alias("unknown")).distinct()
     key = ["workflow_type", "organization_id", "idempotency_key"]
@@ -64,8 +64,8 @@ def enqueue_runs(ledger: dict[str, DataFrame], runs: DataFrame, steps: DataFrame
     keyed = asked.where("idempotency_key IS NOT NULL")
     leads = keyed.where("error IS NULL").groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.min("ordinal").alias("lead_of"), F.min_by("request", "ordinal").alias("lead"))
     there = ledger["workflow_runs"].where("idempotency_key IS NOT NULL").select(*(F.col(c).alias(f"_{c}") for c in key), F.col("id").alias("there_id"), F.col("enqueue_request").alias("there_request"))
-    first = keyed.join(leads, same(keyed, leads), "left").drop("_workflow_type", "_organization_id", "_idempotency_key")
-    met = first.join(there, same(first, there), "left").drop("_workflow_type", "_organization_id", "_idempotency_key")
+    first = keyed.join(by_key(leads), same(keyed, leads), "left").drop("_workflow_type", "_organization_id", "_idempotency_key")
+    met = first.join(by_key(there), same(first, there), "left").drop("_workflow_type", "_organization_id", "_idempotency_key")
     free = asked.where("idempotency_key IS NULL").withColumns({"lead_of": F.col("ordinal"), "lead": F.col("request"), "there_id": F.lit(None).cast("long"), "there_request": F.lit(None).cast("string")})
     alike = lambda other: F.when(F.col(other) == F.col("request"), "EXISTING").otherwise("CONFLICT")
     outcome = (
@@ -73,22 +73,22 @@ def enqueue_runs(ledger: dict[str, DataFrame], runs: DataFrame, steps: DataFrame
         .when(F.col("there_id").isNotNull() & F.col("there_request").isNull(), "LEGACY_KEY").when(F.col("there_id").isNotNull(), alike("there_request"))
         .when(F.col("unknown").isNotNull(), "NO_ENABLED_DEFINITION").when(F.col("lead_of") == F.col("ordinal"), "INSERTED").otherwise(alike("lead"))
     )
-    decided = stored(met.unionByName(free).join(unknown, "ordinal", "left").withColumn("outcome", outcome))
+    decided = stored(met.unionByName(free).join(by_key(unknown), "ordinal", "left").withColumn("outcome", outcome))
     made = decided.where("outcome = 'INSERTED'")
 
-    own = workflow.step_defaults(steps.join(made.select("ordinal", "organization_id"), "ordinal"), ledger["job_definitions"])
+    own = workflow.step_defaults(steps.join(by_key(made.select("ordinal", "organization_id")), "ordinal"), ledger["job_definitions"])
     needs = edges.groupBy("ordinal", F.col("dependent_key").alias("step_key")).agg(F.count(F.lit(1)).alias("total"))
-    counted = own.join(needs, ["ordinal", "step_key"], "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
+    counted = own.join(by_key(needs), ["ordinal", "step_key"], "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
     status = F.when(F.col("total") > 0, "BLOCKED").when(F.col("execution_kind") == "EXTERNAL", "WAITING_FOR_EXTERNAL").otherwise("ENQUEUED")
     placed = stored(counted.withColumns({"id": (F.lit(first_step_id) + F.col("step_ordinal")).cast("long"), "workflow_run_id": (F.lit(first_run_id) + F.col("ordinal")).cast("long"), "status": status}))
     released = placed.where("status = 'ENQUEUED'")
     jobs = new_jobs(released, as_of, first_job_id)
     new_steps = placed.select("id", "workflow_run_id", "step_key", "execution_kind", F.when(F.col("status") == "ENQUEUED", (F.lit(first_job_id) + F.col("id")).cast("long")).alias("job_id"), "status", "job_type", "payload", F.col("total"), F.col("total").alias("pending"), now.alias("created_at"))
     at = lambda side: placed.select("ordinal", F.col("step_key").alias(f"{side}_key"), F.col("id").alias(f"{side}_step_id"), *(["workflow_run_id"] if side == "dependent" else []))
-    new_edges = edges.join(at("dependent"), ["ordinal", "dependent_key"]).join(at("prerequisite"), ["ordinal", "prerequisite_key"]).select("workflow_run_id", "prerequisite_step_id", "dependent_step_id", F.coalesce("release_mode", F.lit("ON_TERMINAL")).alias("release_mode"))
+    new_edges = edges.join(by_key(at("dependent")), ["ordinal", "dependent_key"]).join(by_key(at("prerequisite")), ["ordinal", "prerequisite_key"]).select("workflow_run_id", "prerequisite_step_id", "dependent_step_id", F.coalesce("release_mode", F.lit("ON_TERMINAL")).alias("release_mode"))
     begun = made.select((F.lit(first_run_id) + F.col("ordinal")).cast("long").alias("id"), "workflow_type", "organization_id", F.lit("RUNNING").alias("status"), "idempotency_key", F.col("request").alias("enqueue_request"), "result_step_key", now.alias("created_at"))
     state = workflow.run_status(new_steps, begun).select("id", F.col("status").alias("now"))
-    new_runs = begun.join(state, "id").withColumn("status", F.col("now")).drop("now")
+    new_runs = begun.join(by_key(state), "id").withColumn("status", F.col("now")).drop("now")
     run_id = F.when(F.col("there_id").isNotNull(), F.col("there_id")).when(F.col("outcome").isin("INSERTED", "EXISTING"), (F.lit(first_run_id) + F.col("lead_of")).cast("long"))
     return Change(
         {"workflow_runs": new_runs, "workflow_steps": new_steps, "workflow_step_dependencies": new_edges, "job_queue": jobs}, {"job_events": event(jobs, "ENQUEUED", now)},
